@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing
+from . import decontaminate, language, mixing, urls
 
 _QUERIES = {
+    "op2_language_id": language.op2_language_id,
+    "op3_url_filter": urls.op3_url_filter,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
