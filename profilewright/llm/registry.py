@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, urls
+from . import decontaminate, language, mixing, secrets, substrings, urls
 
 _QUERIES = {
     "op2_language_id": language.op2_language_id,
     "op3_url_filter": urls.op3_url_filter,
+    "op5_substring_dedup": substrings.op5_substring_dedup,
+    "op7_secret_scan": secrets.op7_secret_scan,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
-_SQL = {"op8_mix_sources": mixing.OP8_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
+_SQL = {"op5_substring_dedup": substrings.OP5_SQL, "op8_mix_sources": mixing.OP8_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
 
 
 def queries() -> dict:
