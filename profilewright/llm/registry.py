@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, secrets, substrings, urls
+from . import decontaminate, jaccard, language, mixing, secrets, substrings, urls
 
 _QUERIES = {
     "op2_language_id": language.op2_language_id,
@@ -10,6 +10,7 @@ _QUERIES = {
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 _SQL = {"op5_substring_dedup": substrings.OP5_SQL, "op8_mix_sources": mixing.OP8_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
