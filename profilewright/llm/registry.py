@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, mixing, secrets, substrings, urls
+from . import chat, decontaminate, jaccard, language, mixing, secrets, substrings, urls
 
 _QUERIES = {
+    "op1_chat_format": chat.op1_chat_format,
     "op2_language_id": language.op2_language_id,
     "op3_url_filter": urls.op3_url_filter,
     "op5_substring_dedup": substrings.op5_substring_dedup,
@@ -13,7 +14,7 @@ _QUERIES = {
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
-_SQL = {"op5_substring_dedup": substrings.OP5_SQL, "op8_mix_sources": mixing.OP8_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
+_SQL = {"op1_chat_format": chat.OP1_SQL, "op5_substring_dedup": substrings.OP5_SQL, "op8_mix_sources": mixing.OP8_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
 
 
 def queries() -> dict:
