@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, language, mixing, secrets, substrings, urls
+from . import chat, decontaminate, hamming, jaccard, language, mixing, secrets, substrings, urls
 
 _QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_language_id": language.op2_language_id,
     "op3_url_filter": urls.op3_url_filter,
+    "op4_topk_search": hamming.op4_topk_search,
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
-_SQL = {"op1_chat_format": chat.OP1_SQL, "op5_substring_dedup": substrings.OP5_SQL, "op8_mix_sources": mixing.OP8_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
+_SQL = {"op4_topk_search": hamming.OP4_SQL, "op1_chat_format": chat.OP1_SQL, "op5_substring_dedup": substrings.OP5_SQL, "op8_mix_sources": mixing.OP8_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
 
 
 def queries() -> dict:
