@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, hamming, jaccard, language, mixing, secrets, substrings, urls
+from . import chat, decontaminate, hamming, jaccard, language, mixing, secrets, substrings, urls, warc
 
 _QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -10,6 +10,7 @@ _QUERIES = {
     "op3_url_filter": urls.op3_url_filter,
     "op4_topk_search": hamming.op4_topk_search,
     "op5_substring_dedup": substrings.op5_substring_dedup,
+    "op6_warc_derivatives": warc.op6_warc_derivatives,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
