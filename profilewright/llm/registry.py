@@ -20,7 +20,9 @@ _SQL = {"op4_topk_search": hamming.OP4_SQL, "op1_chat_format": chat.OP1_SQL, "op
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    import corpus_pipeline
+
+    return _QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
