@@ -24,7 +24,7 @@ LEAST = 7
 #: Windows that a task settles among themselves before it sends them on.
 FLUSH = 1 << 20
 
-_ROWS = "route long, check long, doc_id long, code long, at int, sure boolean"
+_ROWS = "hash long, tag long, doc_id long"
 
 
 def levels_of(window: int, least: int = LEAST) -> list[int]:
@@ -62,41 +62,39 @@ class Texts:
         return ok, ok + at[ok], codes
 
 
-def marked(texts: Texts, codes: np.ndarray, positions: pa.ListArray, rows: slice) -> np.ndarray:
-    """Marks of the windows that ``positions`` (a list for each text) name, and of all equal ones of the same text."""
-    part = positions.slice(rows.start, rows.stop - rows.start)
-    counts = np.diff(np.asarray(part.offsets))
-    named = np.repeat(texts.first[:-1], counts) + part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    keys = codes ^ mixed(texts.doc[: len(codes)].astype(np.uint64) + np.uint64(1))
-    return np.isin(keys, keys[named])
+def marked(texts: Texts, codes: np.ndarray, hashes: pa.ListArray, rows: slice) -> np.ndarray:
+    """Marks of the windows whose hash is among those that ``hashes`` has for their text."""
+    part = hashes.slice(rows.start, rows.stop - rows.start)
+    named = part.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    owner = np.repeat(np.arange(len(part), dtype=np.uint64), np.diff(np.asarray(part.offsets)))
+    own = texts.doc[: len(codes)].astype(np.uint64)
+    return np.isin(codes ^ mixed(own + np.uint64(1)), named ^ mixed(owner + np.uint64(1)))
 
 
-def settle(code: np.ndarray, check: np.ndarray, doc: np.ndarray, text: np.ndarray, at: np.ndarray, last: bool) -> pa.RecordBatch:
-    """Rows to send on, of windows gathered by one task.
+def settle(code: np.ndarray, check: np.ndarray, doc: np.ndarray, last: bool) -> pa.RecordBatch:
+    """Rows to send on, of windows gathered by one task: each window's first document here, and what is sure already.
 
-    On the last level the rows of a window in documents after its first are surely to be removed; before, all rows of a window in
-    two documents surely survive. Sure rows are routed apart. Of the others one row of a window goes on, routed by its hash.
+    On the last level a window in documents after its first is surely removed; before, a window in two documents surely
+    survives in all. Sure rows have a tag other than 0 in the low half, different by document, so that they stay apart; the
+    high half holds more bits of the window's hash.
     """
-    order = np.lexsort((at, doc, check, code))
-    code, check, doc, text, at = (x[order] for x in (code, check, doc, text, at))
+    order = np.lexsort((doc, check, code))
+    code, check, doc = code[order], check[order], doc[order]
     head = first_of_runs(code) | first_of_runs(check)
-    group = np.cumsum(head) - 1
+    once = head | first_of_runs(doc)
+    code, check, doc, head = code[once], check[once], doc[once], head[once]
     starts = np.flatnonzero(head)
-    first_doc, last_doc = doc[starts], doc[np.append(starts[1:], len(doc)) - 1] if len(doc) else doc[:0]
-    if last:
-        sure = doc > first_doc[group]
-    else:
-        sure = (first_doc < last_doc)[group]
-    new_doc = head | first_of_runs(doc) | first_of_runs(text)
-    keep = new_doc & (sure | (doc == first_doc[group]))
-    apart = sure & ~head
-    route = np.where(apart, mixed(mixed(doc.view(np.uint64)) + at.astype(np.uint64)), code)
-    out = [route.view(np.int64), check.view(np.int64), doc, text, at.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (*out, sure)], names=["route", "check", "doc_id", "code", "at", "sure"])
+    several = np.diff(np.append(starts, len(code))) > 1
+    sure = ~head if last else several[np.cumsum(head) - 1]
+    high = check & np.uint64(0xFFFFFFFF00000000)
+    apart = high | (mixed(doc.view(np.uint64)) & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+    columns = (code, code), (high, apart), (doc, doc)
+    parts = [np.concatenate([x[head], y[sure]]) for x, y in columns]
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in parts], names=["hash", "tag", "doc_id"])
 
 
 def level_rows(first: bool, length: int, before: int, last: bool, sampled: bool, flush: int = FLUSH) -> Callable:
-    """The windows of one level, of batches ``doc_id, code, text`` and, but for the first level, ``positions`` that survived the one before.
+    """The windows of one level, of batches ``doc_id, text`` and, but for the first level, ``hashes`` of those that survived the one before.
 
     ``length`` and ``before``: of this level's windows and of the last one's; on the first level, ``before`` is the next one's.
     ``sampled``: the level before was the sampled first one.
@@ -107,7 +105,6 @@ def level_rows(first: bool, length: int, before: int, last: bool, sampled: bool,
         held: list[tuple] = []
         for batch in batches:
             ids = np.asarray(batch.column("doc_id").to_numpy(zero_copy_only=False), np.int64)
-            text_codes = np.asarray(batch.column("code").to_numpy(zero_copy_only=False), np.int64)
             for i, j, data, offsets in text_slices(batch.column("text")):
                 texts = Texts(hashers, data, offsets)
                 if first:
@@ -116,17 +113,14 @@ def level_rows(first: bool, length: int, before: int, last: bool, sampled: bool,
                 else:
                     if sampled:
                         ok, represented, old = texts.sampled(before, length)
-                        marks = marked(texts, old, batch.column("positions"), slice(i, j))
-                        chosen = ok[marks[represented]]
+                        chosen = ok[marked(texts, old, batch.column("hashes"), slice(i, j))[represented]]
                     else:
-                        old = texts.windows(before)
-                        marks = marked(texts, old, batch.column("positions"), slice(i, j))
+                        marks = marked(texts, texts.windows(before), batch.column("hashes"), slice(i, j))
                         ok = np.flatnonzero(inside(texts.doc, length))
                         chosen = ok[marks[ok] & marks[ok + length - before]]
                     codes = texts.windows(length)
                 check = texts.windows(length, 1)[chosen] if last else np.zeros(len(chosen), np.uint64)
-                doc = texts.doc[chosen]
-                held.append((codes[chosen], check, ids[i + doc], text_codes[i + doc], chosen - texts.first[doc]))
+                held.append((codes[chosen], check, ids[i + texts.doc[chosen]]))
                 if sum(len(x[0]) for x in held) >= flush:
                     yield settle(*(np.concatenate(x) for x in zip(*held, strict=True)), last)
                     held = []
@@ -136,9 +130,10 @@ def level_rows(first: bool, length: int, before: int, last: bool, sampled: bool,
     return rows
 
 
-def removed_words(texts: Texts, positions: pa.ListArray, rows: slice, window: int) -> np.ndarray:
+def removed_words(texts: Texts, hashes: pa.ListArray, rows: slice, window: int) -> np.ndarray:
     """Marks of the words under the windows named, in one slice."""
-    marks = marked(texts, texts.windows(window), positions, rows)
+    codes = texts.windows(window)
+    marks = marked(texts, codes, hashes, rows) & inside(texts.doc, window)
     step = np.zeros(len(texts.doc) + 1, np.int64)
     step[: len(marks)] += marks
     step[window : window + len(marks)] -= marks
@@ -146,12 +141,15 @@ def removed_words(texts: Texts, positions: pa.ListArray, rows: slice, window: in
 
 
 def removal(window: int) -> Callable:
+    """Batches ``doc_id, text, hashes, copy`` to the words kept."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers = Hasher(1), Hasher(2)
         for batch in batches:
-            positions = batch.column("positions")
-            has = np.asarray(positions.is_valid())
-            filled = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(has, np.asarray(positions.value_lengths().fill_null(0)), 0))]).astype(np.int32), positions.flatten())
+            hashes = batch.column("hashes")
+            has, copy = np.asarray(hashes.is_valid()), batch.column("copy").to_pylist()
+            lengths = np.where(has, np.asarray(hashes.value_lengths().fill_null(0)), 0)
+            filled = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), hashes.flatten())
             n_words, n_removed, kept = [], [], []
             for i, j, data, offsets in text_slices(batch.column("text")):
                 gone = None
@@ -162,7 +160,9 @@ def removal(window: int) -> Callable:
                 for k in range(j - i):
                     words = raw[offsets[k] : offsets[k + 1]].split()
                     n_words.append(len(words))
-                    if gone is not None and has[i + k] and (mask := gone[texts.first[k] : texts.first[k + 1]]).any():
+                    if copy[i + k]:
+                        words = words if len(words) < window else []
+                    elif gone is not None and has[i + k] and (mask := gone[texts.first[k] : texts.first[k + 1]]).any():
                         words = [w for w, g in zip(words, mask.tolist(), strict=True) if not g]
                     n_removed.append(n_words[-1] - len(words))
                     kept.append(b" ".join(words))
@@ -178,8 +178,8 @@ def _kept(ids: pa.Array, n_words: list, n_removed: list, kept: list) -> pa.Recor
     return pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
 
-def repeated_positions(docs: DataFrame, window: int = WINDOW, least: int = LEAST, flush: int = FLUSH) -> DataFrame:
-    """``doc_id, code, positions``: starts, in words, of windows that also start in a document with a smaller id (one start for equal windows of a document)."""
+def repeated_windows(texts: DataFrame, window: int = WINDOW, least: int = LEAST, flush: int = FLUSH) -> DataFrame:
+    """``doc_id, hashes`` of the windows of ``texts(doc_id, text)`` that also start in a document with a smaller id."""
     levels = levels_of(window, least)
     if len(levels) == 1:
         levels = [window, window]
@@ -187,18 +187,26 @@ def repeated_positions(docs: DataFrame, window: int = WINDOW, least: int = LEAST
     for k, length in enumerate(levels):
         last = k == len(levels) - 1
         if found is None:
-            rows = docs.mapInArrow(level_rows(True, length, levels[1], False, False, flush), _ROWS)
+            rows = texts.mapInArrow(level_rows(True, length, levels[1], False, False, flush), _ROWS)
         else:
-            rows = docs.join(found.hint("shuffle_hash"), ["doc_id", "code"]).select("doc_id", "code", "text", "positions").mapInArrow(level_rows(False, length, levels[k - 1], last, k == 1, flush), _ROWS)
-        same = Window.partitionBy("route", "check")
+            rows = texts.join(found.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "hashes").mapInArrow(level_rows(False, length, levels[k - 1], last, k == 1, flush), _ROWS)
+        same = Window.partitionBy("hash", "tag")
+        sure = F.col("tag").bitwiseAND(F.lit(0xFFFFFFFF)) != 0
         if last:
-            met = rows.withColumn("least", F.min("doc_id").over(same)).filter(F.col("sure") | (F.col("doc_id") > F.col("least")))
+            met = rows.withColumn("first", F.min("doc_id").over(same)).filter(sure | (F.col("doc_id") > F.col("first")))
         else:
-            met = rows.withColumns({"least": F.min("doc_id").over(same), "most": F.max("doc_id").over(same)}).filter(F.col("sure") | (F.col("least") < F.col("most")))
-        found = met.groupBy("doc_id", "code").agg(F.collect_list("at").alias("positions"))  # at most a number a word
+            met = rows.withColumns({"first": F.min("doc_id").over(same), "other": F.max("doc_id").over(same)}).filter(sure | (F.col("first") < F.col("other")))
+        found = met.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))  # a few numbers a word at most
     return found
 
 
+def later_copies(docs: DataFrame) -> DataFrame:
+    """``doc_id, codes``: hashes of those texts of a document that a document with a smaller id has as a whole."""
+    codes = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("code"), F.xxhash64(F.lit("again"), "text").alias("code2"))
+    firsts = codes.groupBy("code", "code2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("other")).filter("first < other")
+    return codes.join(firsts, ["code", "code2"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("code").alias("codes"))
+
+
 def dedup(docs: DataFrame, window: int = WINDOW, least: int = LEAST, flush: int = FLUSH) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text`` for each row of ``docs(doc_id, text)``; other columns don't matter.
 
@@ -206,14 +214,16 @@ def dedup(docs: DataFrame, window: int = WINDOW, least: int = LEAST, flush: int
     with a smaller doc_id is removed; windows are judged on the input. ``kept_text`` joins the others by single spaces.
     Null text: no words, an empty kept text. Texts of fewer words than a window keep all. Rows with a null doc_id keep all and
     take no part. Rows that share a doc_id do not remove from each other; equal rows get equal results, a row each.
-    Windows are told apart by 128-bit hashes on the last level.
+    Whole texts that a document with a smaller doc_id has need no windows: all their words go. On the last level windows are told
+    apart by 96 bits of hash.
     """
     coded = docs.select("doc_id", F.col("text").alias("text"), F.xxhash64("text").alias("code"))
     # One exchange of the texts serves every level and the removal; its rows without an id are kept out, so that all uses are alike.
-    texts = coded.filter(F.col("doc_id").isNotNull()).repartition("doc_id", "code")
-    found = repeated_positions(texts, window, least, flush)
-    placed = texts.join(found.hint("shuffle_hash"), ["doc_id", "code"], "left").select("doc_id", "text", "positions")
-    apart = coded.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<int>").alias("positions"))
+    texts = coded.filter(F.col("doc_id").isNotNull()).repartition("doc_id")
+    whole = texts.join(later_copies(docs).hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.coalesce(F.array_contains("codes", F.col("code")), F.lit(False)).alias("copy"))
+    found = repeated_windows(whole.filter(~F.col("copy")).select("doc_id", "text"), window, least, flush)
+    placed = whole.join(found.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "hashes", "copy")
+    apart = coded.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("hashes"), F.lit(False).alias("copy"))
     schema = "doc_id long, n_words long, n_removed long, kept_text string"
     return placed.mapInArrow(removal(window), schema).unionByName(apart.mapInArrow(removal(window), schema))
 
