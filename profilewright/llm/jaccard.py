@@ -218,8 +218,34 @@ class Region:
         self.connect(i, members[100 * both >= PERCENT * either])
         return 1 - both / either
 
+    def parts(self, members: np.ndarray) -> list[np.ndarray]:
+        """Members told apart by their rarest shingles here: of linked sets, the rarest tenth of each (and one more) have one in common."""
+        values = np.concatenate([self.sets[m] for m in members])
+        n = self.n[members]
+        owner = np.repeat(np.arange(len(members)), n)
+        names, at, count = np.unique(values, return_inverse=True, return_counts=True)
+        order = np.lexsort((at, count[at], owner))
+        place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+        rare = order[place <= n[owner] // 10]
+        rare = rare[count[at[rare]] > 1]
+        rare = rare[np.argsort(at[rare], kind="stable")]
+        same = np.flatnonzero(at[rare][1:] == at[rare][:-1])
+        ties = np.unique(np.stack([owner[rare][same], owner[rare][same + 1]], axis=1), axis=0)
+        label = np.arange(len(members))
+        while len(ties):  # the least label spreads, with jumps
+            low = np.minimum(label[ties[:, 0]], label[ties[:, 1]])
+            new = label.copy()
+            np.minimum.at(new, ties[:, 0], low)
+            np.minimum.at(new, ties[:, 1], low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        order = np.argsort(label, kind="stable")
+        return [members[g] for g in np.split(order, np.flatnonzero(np.diff(label[order])) + 1) if len(g) > 1]
+
     def join(self, members: np.ndarray) -> None:
-        """Find the components of the members: pivots, cells and their windows, and again inside each cell."""
+        """Find the components of the members: by rare shingles, then by pivots, cells and their windows, and again inside each cell."""
         stack = [members]
         while stack:
             members = stack.pop()
@@ -232,16 +258,18 @@ class Region:
                     if len(rest):
                         self.measure(members[k], rest)
                 continue
-            # Pivots are settled: they have been compared with all. Different components give the pivots that tell most.
-            _, first = np.unique(self.root[members], return_index=True)
-            picks = members[np.sort(first)[:PIVOTS]]
+            parts = self.parts(members)
+            if len(parts) != 1 or len(parts[0]) < len(members):
+                stack += parts
+                continue
+            # A pivot is settled once it has been compared with all. Small components come first: what is left then is one.
+            roots, first, size = np.unique(self.root[members], return_index=True, return_counts=True)
+            picks = members[first[np.argsort(size, kind="stable")[:PIVOTS]]]
             distances = np.stack([self.measure(p, members) for p in picks])
             rest = ~np.isin(members, picks)
             members, distances = members[rest], distances[:, rest]
-            if not len(members):
-                continue
-            nearest = distances.min(axis=0)
-            home = distances.argmin(axis=0)
+            nearest, home = distances.min(axis=0), distances.argmin(axis=0)
+            cells = []
             for c in range(len(picks)):
                 own = home == c
                 if not own.any():
@@ -251,7 +279,9 @@ class Region:
                 for k in range(len(picks)):
                     low, high = distances[k][own].min() - RADIUS - 1e-9, distances[k][own].max() + RADIUS + 1e-9
                     near &= (distances[k] >= low) & (distances[k] <= high)
-                stack.append(members[own | near])
+                cells.append(members[own | near])
+            # Cells that overlap too much would be joined again and again: then the members stay together, without the pivots.
+            stack += cells if 2 * sum(map(len, cells)) <= 3 * len(members) else [members]
 
 
 def region_links(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,6 +307,22 @@ def region_links(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+def refine_regions(sets: DataFrame) -> DataFrame:
+    """Rows ``region, doc_id, n, codes`` of large regions, under the smaller regions that their documents' rarest shingles tell apart; documents left alone go.
+
+    As ``Region.parts``, over tasks: shingles are counted inside each region, and a document's rarest tenth (and one more) tie it
+    to the others that have one of them there. A document has one region.
+    """
+    each = sets.select("region", "doc_id", F.monotonically_increasing_id().alias("row"), "n", F.explode("codes").alias("code"))
+    each = materialize(each, "jaccard-shingles")
+    shared = each.groupBy("region", "code").agg(F.count(F.lit(1)).alias("count"), F.min("doc_id").alias("first")).filter("count > 1")
+    counted = each.join(shared, ["region", "code"], "left").select("region", "doc_id", "row", "n", "code", F.coalesce("count", F.lit(1)).alias("count"), "first")
+    place = F.row_number().over(Window.partitionBy("region", "row").orderBy("count", "code"))
+    rare = counted.withColumn("place", place).filter((F.col("place") <= F.floor(F.col("n") / 10) + 1) & (F.col("count") > 1))
+    ties = components(rare.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
+    return sets.join(ties, sets["doc_id"] == ties["id"]).select(F.col("component").alias("region"), "doc_id", "n", "codes")
+
+
 def split_regions(sets: DataFrame, large: DataFrame, region_shingles: int, pivots: int = 8) -> tuple[DataFrame, DataFrame]:
     """Regions too large for a task, one level of the same join spread over tasks: links to pivots, and sub-regions that hold every pair that may still link.
 
@@ -337,9 +383,13 @@ def link_components(docs: DataFrame, region_shingles: int = REGION_SHINGLES) ->
     links = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     small = found
     if large.head(1):
-        more, subs = split_regions(found, large, region_shingles)
-        small = found.join(large.select("region"), "region", "left_anti").unionByName(subs)
-        links = links.unionByName(more)
+        small = found.join(large.select("region"), "region", "left_anti")
+        finer = materialize(refine_regions(found.join(large.select("region"), "region", "left_semi")), "jaccard-finer")
+        large = materialize(finer.groupBy("region").agg(F.sum("n").alias("shingles")).filter(F.col("shingles") > region_shingles), "jaccard-large")
+        small = small.unionByName(finer.join(large.select("region"), "region", "left_anti"))
+        if large.head(1):
+            more, subs = split_regions(finer, large, region_shingles)
+            small, links = small.unionByName(subs), links.unionByName(more)
     links = links.unionByName(small.repartition("region").sortWithinPartitions("region").mapInArrow(region_links, "a long, b long"))
     labels = components(links)
     return sets.join(labels, sets["doc_id"] == labels["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
