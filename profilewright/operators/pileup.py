@@ -8,14 +8,45 @@ from pyspark.sql import functions as F
 from ..functions.scalars import MODIFICATION, cigar_ops, phred_error, share_if_other, share_if_same
 
 
+_GAP = "DN"
+_TOUCHING = "I[0-9]+[DN]|[DN][0-9]+I"
+#: Where an insertion and a deletion touch at an end, or three such operations follow each other, several paths may be open.
+_TANGLED = "I[0-9]+[DN][0-9]+I|[DN][0-9]+I[0-9]+[DN]|^([0-9]+[SHP])*[0-9]+([DN][0-9]+I|I[0-9]+[DN])|(I[0-9]+[DN]|[DN][0-9]+I)([0-9]+[SHP])*$"
+
+
+def is_tangled(cigar: Column) -> Column:
+    return cigar.rlike(_TANGLED)
+
+
+def only_path(ops: Column) -> Column:
+    """The operations of the one path that a band of nothing leaves: a read cannot go between insertion and deletion, so where the two touch, one base of each becomes a match."""
+    def op(o, kind, length, query, ref):
+        return F.struct(F.lit(kind).alias("op") if isinstance(kind, str) else kind.alias("op"), length.cast("int").alias("len"), query.cast("int").alias("query"), ref.cast("bigint").alias("ref"))
+
+    def rewritten(o, i):
+        before, after = F.get(ops, i - 1)["op"], F.get(ops, i + 1)["op"]
+        is_in, is_gap = o["op"] == "I", F.lit(_GAP).contains(o["op"])
+        next_gap, last_gap = F.coalesce(F.lit(_GAP).contains(after), F.lit(False)), F.coalesce(F.lit(_GAP).contains(before), F.lit(False))
+        n, q, r, one = o["len"], o["query"], o["ref"], F.lit(1)
+        return (
+            F.when(is_in & next_gap, F.array(op(o, "I", n - 1, q, r), op(o, "M", one, q + n - 1, r)))
+            .when(is_in & last_gap, F.array(op(o, "I", n - 1, q + 1, r)))
+            .when(is_gap & (before == "I"), F.array(op(o, o["op"], n - 1, q, r + 1)))
+            .when(is_gap & (after == "I"), F.array(op(o, o["op"], n - 1, q, r), op(o, "M", one, q, r + n - 1)))
+            .otherwise(F.array(op(o, o["op"], n, q, r)))
+        )
+
+    return F.filter(F.flatten(F.transform(ops, rewritten)), lambda o: o["len"] > 0)
+
+
 def placed(reads: DataFrame, references: DataFrame) -> DataFrame:
-    """Accepted reads with their operations, their reference, and whether the alignment is a path of the model: no insertion beside a deletion, no base outside the reference."""
-    joined = reads.join(references.select("tid", F.col("seq").alias("ref_seq"), F.col("len").alias("ref_len")), "tid")
+    """Accepted reads with the operations of their path, their reference, and whether the path is inside the reference. Tangled reads are for the model itself."""
+    joined = reads.join(references.select("tid", F.col("seq").alias("ref_seq"), F.col("len").alias("ref_len")), "tid").filter(~is_tangled(F.col("cigar")))
     # A generator of one row keeps the parsed operations from being computed again for each use.
-    ops = joined.withColumn("ops", F.explode(F.array(cigar_ops(F.col("cigar"), F.col("pos")))))
+    ops = joined.withColumn("own_ops", F.explode(F.array(cigar_ops(F.col("cigar"), F.col("pos")))))
+    ops = ops.withColumn("ops", F.explode(F.array(F.when(F.col("cigar").rlike(_TOUCHING), only_path(F.col("own_ops"))).otherwise(F.transform("own_ops", lambda o: F.struct(o["op"].alias("op"), o["len"].cast("int").alias("len"), o["query"].cast("int").alias("query"), o["ref"].cast("bigint").alias("ref"))))))).drop("own_ops")
     outside = F.exists("ops", lambda o: F.lit("M=X").contains(o["op"]) & ((o["ref"] < 0) | (o["ref"] + o["len"] > F.col("ref_len"))))
-    touching = F.regexp_replace("cigar", "[0-9]+P", "").rlike("I[0-9]+[DN]|[DN][0-9]+I")
-    return ops.withColumn("has_path", ~outside & ~touching)
+    return ops.withColumn("has_path", ~outside)
 
 
 def contributions(reads: DataFrame, substitution: float = 1.0, deletion: float = 1.0, insertion: float = 0.0, min_phred: int = 0, modification: float = MODIFICATION) -> DataFrame:
@@ -25,30 +56,31 @@ def contributions(reads: DataFrame, substitution: float = 1.0, deletion: float =
     as a mutation; an insertion counts, by its weight, for the base after it. Deletions at the ends count for nothing.
     """
     op = F.col("o.op")
-    each = reads.filter("has_path").select("tid", "seq", "qual", "ref_seq", "ref_len", "ops", F.posexplode("ops").alias("at", "o"))
+    letters = F.struct(_letters("seq").alias("seq"), _letters("ref_seq").alias("ref"), F.split("qual", "").alias("qual"))
+    each = reads.filter("has_path").select("tid", "ref_len", "ops", F.explode(F.array(letters)).alias("x")).select("tid", "ref_len", "ops", "x", F.posexplode("ops").alias("at", "o"))
     between = F.exists(F.slice("ops", 1, F.col("at")), lambda o: F.lit("MI=X").contains(o["op"])) & F.exists(F.slice("ops", F.col("at") + 2, F.size("ops")), lambda o: F.lit("MI=X").contains(o["op"]))
     counts = op.isin("M", "=", "X") | (op.isin("D", "N") & between) | ((op == "I") & F.lit(insertion > 0))
-    bases = each.filter(counts).select("tid", "seq", "qual", "ref_seq", "ref_len", "o", F.explode(F.sequence(F.lit(0), F.when(op == "I", 0).otherwise(F.col("o.len") - 1))).alias("k"))
-    pos = F.col("o.ref") + F.col("k")
-    read_base, ref_base = _letter(F.substring("seq", F.col("o.query") + F.col("k") + 1, F.lit(1))), _letter(F.substring("ref_seq", (pos + 1).cast("int"), F.lit(1)))
-    quality = F.when(F.col("qual").isNotNull(), F.ascii(F.substring("qual", F.col("o.query") + F.col("k") + 1, F.lit(1))) - 33)
-    error = phred_error(quality, min_phred)
-    known = F.lit("ACGT").contains(read_base) & F.lit("ACGT").contains(ref_base)
-    share = F.when(~known, 0.0).when(read_base == ref_base, share_if_same(error, modification)).otherwise(share_if_other(error, modification))
-    is_base, is_gap = op.isin("M", "=", "X"), op.isin("D", "N")
-    return bases.select(
-        "tid", pos.cast("int").alias("pos"),
-        F.when(is_base, 1.0).otherwise(0.0).alias("coverage"),
-        F.when(is_base | is_gap, 1.0).otherwise(insertion).alias("spanned"),
-        F.when(is_base, substitution * share).when(is_gap, F.when(F.col("k") == F.col("o.len") - 1, deletion).otherwise(0.0)).otherwise(insertion).alias("mutations"),
-        "ref_len",
-    ).filter((F.col("pos") >= 0) & (F.col("pos") < F.col("ref_len"))).drop("ref_len")
-
-
-def _letter(base: Column) -> Column:
-    return F.translate(F.upper(base), "U", "T")
+    bases = each.filter(counts).select("tid", "ref_len", "x", "o", F.explode(F.sequence(F.lit(0), F.when(op == "I", 0).otherwise(F.col("o.len") - 1))).alias("k"))
+    query, pos = F.col("o.query") + F.col("k"), F.col("o.ref") + F.col("k")
+    named = bases.select(
+        "tid", "ref_len", pos.cast("int").alias("pos"), op.isin("M", "=", "X").alias("is_base"), op.isin("D", "N").alias("is_gap"), (F.col("k") == F.col("o.len") - 1).alias("is_last"),
+        F.get("x.seq", query).alias("read_base"), F.get("x.ref", pos.cast("int")).alias("ref_base"), (F.ascii(F.get("x.qual", query)) - 33).alias("quality"),
+    ).withColumn("error", phred_error(F.col("quality"), min_phred))
+    known = F.col("read_base").isin(*"ACGT") & F.col("ref_base").isin(*"ACGT")
+    share = F.when(~known, 0.0).when(F.col("read_base") == F.col("ref_base"), share_if_same(F.col("error"), modification)).otherwise(share_if_other(F.col("error"), modification))
+    return named.filter((F.col("pos") >= 0) & (F.col("pos") < F.col("ref_len"))).select(
+        "tid", "pos",
+        F.when(F.col("is_base"), 1.0).otherwise(0.0).alias("coverage"),
+        F.when(F.col("is_base") | F.col("is_gap"), 1.0).otherwise(insertion).alias("spanned"),
+        F.when(F.col("is_base"), substitution * share).when(F.col("is_gap"), F.when(F.col("is_last"), deletion).otherwise(0.0)).otherwise(insertion).alias("mutations"),
+    )
+
+
+def _letters(column: str) -> Column:
+    """Single letters, bases in upper case; upper() might change the number of others."""
+    return F.split(F.translate(column, "acgtuU", "ACGTTT"), "")
 
 
 def pileup(reads: DataFrame, references: DataFrame, **options) -> DataFrame:
-    """``tid, pos`` and the sums of what accepted reads contribute; sums are partly made before the shuffle, so one deep reference is no hot group."""
+    """``tid, pos`` and the sums of what accepted reads contribute, tangled ones apart; sums are partly made before the shuffle, so one deep reference is no hot group."""
     return contributions(placed(reads, references), **options).groupBy("tid", "pos").agg(*(F.sum(c).alias(c) for c in ("coverage", "spanned", "mutations")))

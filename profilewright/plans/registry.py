@@ -74,7 +74,7 @@ def flt_out_of_order(spark, d):
     return filters.out_of_order(b.alignments(spark, d).withColumn("file_id", F.floor(F.col("tid") / 2))).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("cigar_placements", f"WITH {b.B1} SELECT rec_no, CAST(i - 1 AS INT) AS op_no, op, len, CAST(q0 AS BIGINT) AS query, r0 AS ref FROM offs")
+@query("cigar_placements", f"WITH {b.B1} SELECT rec_no, CAST(i - 1 AS INT) AS op_no, op, len, CAST(q0 AS BIGINT) AS query, r0 AS ref FROM raw_offs")
 def cigar_placements(spark, d):
     ops = _mapped(spark, d).filter("accepted").select("rec_no", F.posexplode(scalars.cigar_ops(F.col("cigar"), F.col("pos"))).alias("op_no", "o"))
     return ops.select("rec_no", "op_no", "o.op", "o.len", F.col("o.query").cast("long").alias("query"), F.col("o.ref").cast("long").alias("ref"))
@@ -140,8 +140,8 @@ def hmm_pairwise(spark, d):
 
 @query("profile_skeleton", f"""WITH {b.B1}, each_pos AS (SELECT tid, p AS pos, instr('ACGT', substr(seq, p + 1, 1)) - 1 AS base FROM refs, unnest(range(0, 120)) AS t(p)),
 j AS (SELECT e.tid, e.pos, base, coalesce(coverage, 0) AS coverage, coalesce(spanned, 0) AS s, coalesce(mutations, 0) AS m FROM each_pos e LEFT JOIN pile USING (tid, pos))
-SELECT CAST(tid AS INT) AS tid, CAST(pos AS INT) AS pos, CAST(base AS TINYINT) AS base, round(coverage, 3) AS coverage, CASE WHEN s > 0 AND s >= 1 THEN round(least(1.0, m / s), 5) END AS reactivity,
-CASE WHEN s > 0 AND s >= 1 THEN round(sqrt(least(1.0, m / s) * (1 - least(1.0, m / s)) / s), 5) END AS error FROM j""")
+SELECT CAST(tid AS INT) AS tid, CAST(pos AS INT) AS pos, CAST(base AS TINYINT) AS base, round(coverage, 3) AS coverage, CASE WHEN s > 0 AND s >= 1 THEN round(CAST(CAST(least(1.0, m / s) AS FLOAT) AS DOUBLE), 5) END AS reactivity,
+CASE WHEN s > 0 AND s >= 1 THEN round(CAST(CAST(sqrt(least(1.0, m / s) * (1 - least(1.0, m / s)) / s) AS FLOAT) AS DOUBLE), 5) END AS error FROM j""")
 def profile_skeleton(spark, d):
     found = profile.profile(b.references(spark), pileup(_mapped(spark, d).filter("accepted"), b.references(spark)))
     return found.select("tid", "pos", "base", F.round(F.col("coverage").cast("double"), 3).alias("coverage"), shown(F.col("reactivity"), 5).alias("reactivity"), shown(F.col("error"), 5).alias("error"))
