@@ -172,7 +172,8 @@ def learn(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, dim: int = DIM, n: i
                 norms = np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
                 for vector, lang in zip(vectors / norms, langs[i:j], strict=True):
                     sums[lang] = sums.get(lang, 0) + vector.astype(np.float64)
-        yield pd.DataFrame({"lang": list(sums), "vector": [v.tolist() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "vector": [v.tolist() for v in sums.values()]})
 
     parts = learning_sample(docs, per_lang).repartition(16).mapInPandas(bundled, "lang string, vector array<double>")
     total = parts.select("lang", F.posexplode("vector").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
