@@ -132,8 +132,9 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K, query_block: int =
 
     ``codes(id, code)`` and ``queries(query_id, code)`` with codes from ``sign_code``. A query meets all codes, its own row too.
     Null codes and null ids are not found, and null queries find nothing. Equal codes are looked up once: of each code only the
-    k smallest ids can matter. Repeated ids count as often as they stand. Empty tables give no rows.
+    k smallest ids can matter. Repeated ids count as often as they stand. Empty tables give no rows. Other columns are dropped.
     """
+    queries = queries.select("query_id", "code")
     ranked = Window.partitionBy("code").orderBy("id")
     least = codes.filter(F.col("code").isNotNull() & F.col("id").isNotNull()).select("id", "code").withColumn("nth", F.row_number().over(ranked)).filter(F.col("nth") <= k)
     grouped = materialize(least.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")).repartition("code"), "mih-codes")
