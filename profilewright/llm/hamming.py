@@ -140,6 +140,8 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K, query_block: int =
     grouped = materialize(least.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")).repartition("code"), "mih-codes")
     asked = materialize(queries.filter(F.col("code").isNotNull()).select("code").distinct(), "mih-queries")
     blocks = max(1, -(-asked.count() // query_block))
+    # Codes are few bytes and much work: their files alone would make too few tasks.
+    grouped = grouped.repartition(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "code")
     parts = []
     for block in range(blocks):
         rows = asked.filter(F.pmod(F.xxhash64("code"), F.lit(blocks)) == block).collect()  # about a block of codes
