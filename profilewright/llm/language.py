@@ -21,7 +21,7 @@ N = 3
 #: At most so many texts of a language are learned from; they are the first in a fixed hash order.
 SAMPLE_PER_LANG = 1000
 #: n-grams whose vectors are held at once, and n-grams of a text that are counted at once.
-BLOCK, PIECE = 4096, 1 << 20
+BLOCK, PIECE = 1024, 1 << 20
 UNDETERMINED = "und"
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -96,7 +96,7 @@ def gram_counts(text: str | None, alphabet: Alphabet, n: int = N) -> tuple[np.nd
 class Bundler:
     """Text vectors of batches; vectors of n-grams that recur are kept, up to a bound."""
 
-    def __init__(self, dim: int = DIM, n: int = N, keep: int = 8192):
+    def __init__(self, dim: int = DIM, n: int = N, keep: int = 2048):
         self.dim, self.n, self.keep, self.alphabet = dim, n, keep, Alphabet()
         self.grams, self.vectors = np.zeros(0, np.int64), np.zeros((0, dim), np.float32)
 
