@@ -42,8 +42,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix by source, in the order of training: documents of which words are taken, with their copies and positions."""
-    return mixing.in_order(mixing.mix(docs, keep=("text",)))
+    """The mix by source: documents of which words are taken, a row each, by their first copy, with the positions of all copies; ``mixing.in_order`` deals out the copies."""
+    return mixing.by_first_copy(mixing.mix(docs, keep=("text",)))
 
 
 STAGES = [

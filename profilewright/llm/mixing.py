@@ -2,7 +2,7 @@
 
 Each source has a budget of words (its target) and a weight schedule over training time 0..1. Documents of a source stand in a
 fixed shuffled order, repeated as epochs; the source's stream of words is cut off at its target. Integrating the schedule gives
-the share of the budget due by a time; inverting it at the words before a document gives the document's training position.
+the share of the budget due by a time; inverting it at the words before a copy of a document gives that copy's training position.
 
 The running totals behind this are taken in two levels - inside hash buckets of a source, then over a source's buckets - so a
 source that holds a third of all rows is spread over all tasks, and no window sees more than one bucket or one row a bucket.
@@ -64,10 +64,10 @@ def time_of(share: Column, slope: Column) -> Column:
 def mix(docs: DataFrame, repeats: int = REPEATS, bucket_digits: int = BUCKET_DIGITS, slope=slope_of, keep: tuple[str, ...] = ()) -> DataFrame:
     """Deal out ``docs(doc_id, text, source)``; of other columns, those in ``keep`` are passed on.
 
-    One row a document: ``doc_id, source, size, source_size, target, taken, n_copies, position``. ``taken`` counts the words the mix takes
+    One row a document: ``doc_id, source, size, source_size, target, taken, n_copies, position, positions``. ``taken`` counts the words the mix takes
     of it, repeats included: the source's stream of documents, epoch after epoch, is cut at its rounded target, so a source's
-    taken words sum to that exactly and no document is above ``repeats`` times its size. ``position`` (0..1) is the training
-    time of its first copy, null if none is taken.
+    taken words sum to that exactly and no document is above ``repeats`` times its size. ``positions`` are the training times
+    (0..1) of its copies, ascending, ``n_copies`` of them; ``position`` is the first, null if none is taken.
     Null text, or one of blanks: size 0, nothing taken. Null source: a source of its own, last. Equal rows get a row each. Empty
     input: no rows. Every step is deterministic, so reruns agree.
     """
@@ -91,24 +91,49 @@ def mix(docs: DataFrame, repeats: int = REPEATS, bucket_digits: int = BUCKET_DIG
     epochs = F.when(F.col("source_size") > 0, F.floor(goal / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("long")
     rest = goal - epochs * F.col("source_size")
     partial = F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
-    share = start / F.greatest(goal, F.lit(1))
+    n_copies = (F.when(F.col("size") > 0, epochs).otherwise(0) + (partial > 0).cast("long")).cast("long")
+
+    def at(epoch: int) -> Column:
+        share = (start + epoch * F.col("source_size")) / F.greatest(goal, F.lit(1))
+        return time_of(F.least(share, F.lit(1.0)), slope(F.col("place")))
+
     return placed.select(
         "doc_id", "source", "size", "source_size", "target",
         (epochs * F.col("size") + partial).cast("long").alias("taken"),
-        (F.when(F.col("size") > 0, epochs).otherwise(0) + (partial > 0).cast("long")).cast("long").alias("n_copies"),
-        time_of(F.least(share, F.lit(1.0)), slope(F.col("place"))).alias("at"), *keep,
-    ).withColumn("position", F.when(F.col("taken") > 0, F.col("at"))).drop("at")
+        n_copies.alias("n_copies"), F.when(n_copies > 0, at(0)).alias("position"),
+        F.slice(F.array(*(at(epoch) for epoch in range(repeats))), F.lit(1), n_copies.cast("int")).alias("positions"), *keep,
+    )
+
+
+def copies(mixed: DataFrame) -> DataFrame:
+    """A mix with a row for each copy: ``copy`` (1, 2, ...), its own ``position``, and in ``taken`` its own words; all but a source's last copy are whole."""
+    each = mixed.select(*(c for c in mixed.columns if c not in ("position", "positions")), F.posexplode("positions").alias("nth", "position"))
+    own = F.least(F.col("size"), F.col("taken") - F.col("nth") * F.col("size"))
+    return each.withColumns({"taken": own, "copy": F.col("nth").cast("long") + 1}).drop("nth")
 
 
 def in_order(mixed: DataFrame) -> DataFrame:
-    """Range-sort a mix by training position: partition by ranges of the position, then sort inside."""
+    """The copies of a mix, range-sorted by training position: partition by ranges of the position, then sort inside."""
+    return copies(mixed).repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")
+
+
+def by_first_copy(mixed: DataFrame) -> DataFrame:
+    """Documents of which words are taken, range-sorted by the position of their first copy; ``in_order`` of it gives all copies in training order."""
     return mixed.filter("taken > 0").repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def op8_mix_sources(spark, sf_dir):
     from .common import table
 
-    return mix(table(spark, sf_dir, "documents")).drop("source")
+    # Without ``positions``, which OP8_SQL does not have; op8_mix_copies has them.
+    return mix(table(spark, sf_dir, "documents")).drop("source", "positions")
+
+
+def op8_mix_copies(spark, sf_dir):
+    """Every copy of every document that the mix takes, in the order of training."""
+    from .common import table
+
+    return in_order(mix(table(spark, sf_dir, "documents")))
 
 
 OP8_SQL = r"""

@@ -13,6 +13,7 @@ _QUERIES = {
     "op6_warc_derivatives": warc.op6_warc_derivatives,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op8_mix_copies": mixing.op8_mix_copies,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }

@@ -221,6 +221,28 @@ def test_positions_invert_the_schedule(spark, slope):
     assert all(abs(slope * r["t"] ** 2 + (1 - slope) * r["t"] - r["u"]) < 1e-9 and -1e-9 <= r["t"] <= 1 + 1e-9 for r in rows)
 
 
+def test_every_copy_has_its_place_in_training(spark):
+    """In training order each source's words come as its schedule says: by time t, the integral of the weight up to t."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 9))), "abcd"[i % 4]) for i in range(160)] + [(1000 + i, "w " * 40, "big") for i in range(200)] + [(2000, " ", "a")]
+    mixed = mixing.mix(docs_of(spark, rows), bucket_digits=1, keep=("text",))
+    by_doc = {r["doc_id"]: r for r in mixed.collect()}
+    got = mixing.in_order(mixing.by_first_copy(mixed)).collect()
+    assert [(r["position"], r["doc_id"], r["copy"]) for r in got] == sorted((r["position"], r["doc_id"], r["copy"]) for r in got)
+    assert max(r["copy"] for r in got) == 3 and sum(r["taken"] for r in got) == sum(r["taken"] for r in by_doc.values())
+    for doc, r in by_doc.items():
+        mine = [x for x in got if x["doc_id"] == doc]
+        assert len(mine) == r["n_copies"] == len(r["positions"]) and [x["position"] for x in mine] == r["positions"] == sorted(r["positions"])
+        assert sum(x["taken"] for x in mine) == r["taken"] and all(0 < x["taken"] <= r["size"] for x in mine)
+        assert r["position"] == (r["positions"][0] if r["positions"] else None)
+    for place, source in enumerate(["a", "b", "big", "c", "d"]):
+        mine, slope = [r for r in got if r["source"] == source], (0.5, 0.0, -0.5)[place % 3]
+        goal = sum(r["taken"] for r in mine)
+        for t in np.linspace(0.05, 1, 20):
+            due, placed = goal * (slope * t * t + (1 - slope) * t), sum(r["taken"] for r in mine if r["position"] < t - 1e-9)
+            assert due - 1e-6 <= placed <= due + max(r["size"] for r in mine) + 1e-6
+
+
 # --- 9: Jaccard join ---
 
 
