@@ -5,7 +5,7 @@ A stage takes (spark, docs, folder of the tables). All but the last return the c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from profilewright.llm import decontaminate, jaccard, language, mixing, secrets
@@ -24,9 +24,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by links, keep the one with the smallest doc_id, in one row; rows without a doc_id stay."""
+    """Of documents connected by links, keep the one with the smallest doc_id: each of its different texts once, in the first row by the other columns. Rows without a doc_id stay."""
     firsts = jaccard.link_components(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.filter(F.col("doc_id").isNotNull()).join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    first_row = Window.partitionBy("doc_id", "text").orderBy(*([c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(1)]))
+    kept = docs.filter(F.col("doc_id").isNotNull()).join(firsts, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first_row)).filter("_nth = 1")
     return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 

@@ -326,27 +326,27 @@ def refine_regions(sets: DataFrame) -> DataFrame:
 def split_regions(sets: DataFrame, large: DataFrame, region_shingles: int, pivots: int = 8) -> tuple[DataFrame, DataFrame]:
     """Regions too large for a task, one level of the same join spread over tasks: links to pivots, and sub-regions that hold every pair that may still link.
 
-    Pivots of a region are its first documents by a hash. A document belongs to the cell of its nearest pivot and is replicated
-    into every cell within twice the radius. A cell whose documents the pivots' links connect already is done. Others are dealt
+    Pivots of a region are its first documents by a hash. A set belongs to the cell of its nearest pivot and is replicated, with
+    the others of its document, into every cell within twice the radius. A cell whose documents the pivots' links connect already is done. Others are dealt
     into chunks, and pairs of chunks become sub-regions, so that each fits a task and every pair of documents meets.
     """
     members = sets.join(large.select("region"), "region")
     place = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = members.select("region", "doc_id", "n", "codes").withColumn("pivot", place).filter(F.col("pivot") <= pivots).select("region", "pivot", F.col("doc_id").alias("p"), F.col("n").alias("p_n"), F.col("codes").alias("p_codes"))
     both = F.size(F.array_intersect("codes", "p_codes"))
-    pairs = members.join(chosen, "region").withColumn("both", both).select("region", "doc_id", "n", "pivot", "p", "both", (F.col("n") + F.col("p_n") - F.col("both")).alias("either"))
+    pairs = members.join(chosen, "region").withColumn("both", both).select("region", "doc_id", F.xxhash64("codes").alias("set"), "n", "pivot", "p", "both", (F.col("n") + F.col("p_n") - F.col("both")).alias("either"))
     pairs = materialize(pairs.withColumn("d", 1 - F.col("both") / F.col("either")), "jaccard-pivots")
     links = pairs.filter((100 * F.col("both") >= PERCENT * F.col("either")) & (F.col("doc_id") != F.col("p"))).select(F.col("doc_id").alias("a"), F.col("p").alias("b"))
     known = components(links)
-    homes = pairs.groupBy("region", "doc_id").agg(F.min("d").alias("d_home"))
-    cells = pairs.join(homes, ["region", "doc_id"]).filter(F.col("d") <= F.col("d_home") + 2 * RADIUS + 1e-9).select("region", "pivot", "doc_id", "n")
+    homes = pairs.groupBy("region", "doc_id", "set").agg(F.min("d").alias("d_home"))
+    cells = pairs.join(homes, ["region", "doc_id", "set"]).filter(F.col("d") <= F.col("d_home") + 2 * RADIUS + 1e-9).select("region", "pivot", "doc_id", "n")
     cells = cells.join(known, cells["doc_id"] == known["id"], "left").select("region", "pivot", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     cells = materialize(cells, "jaccard-cells")
     open_ = cells.groupBy("region", "pivot").agg(F.min("component").alias("one"), F.max("component").alias("other"), F.sum("n").alias("shingles")).filter("one < other")
     chunks = F.ceil(2 * F.col("shingles") / F.lit(region_shingles)).cast("int")
     dealt = cells.join(open_, ["region", "pivot"]).withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit("chunk")), F.col("chunks")).cast("int"))
     pairs_of = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda other: F.struct(F.least("chunk", other).alias("i"), F.greatest("chunk", other).alias("j")))
-    subs = dealt.select("region", "pivot", "doc_id", F.explode(pairs_of).alias("c")).select("doc_id", F.col("region").alias("whole"), F.xxhash64("region", "pivot", "c.i", "c.j").alias("sub"))
+    subs = dealt.select("region", "pivot", "doc_id", F.explode(pairs_of).alias("c")).select("doc_id", F.col("region").alias("whole"), F.xxhash64("region", "pivot", "c.i", "c.j").alias("sub")).distinct()
     return links, members.join(subs, (members["doc_id"] == subs["doc_id"]) & (members["region"] == subs["whole"])).select(F.col("sub").alias("region"), members["doc_id"], "n", "codes")
 
 
@@ -366,12 +366,17 @@ def link_components(docs: DataFrame, region_shingles: int = REGION_SHINGLES) ->
     copies = full.join(keepers.filter("copies > 1"), ["a", "b"]).filter("doc_id > rep").select("doc_id", "rep").distinct()
     copies = materialize(copies, "jaccard-copies")
 
+    # A document with other sets too stays in its regions, where all its texts are read.
+    ends = full.groupBy("doc_id").agg(F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"))
+    of_one_set = ends.filter("a0 = a1 and b0 = b1").select("doc_id")
+    replaced = materialize(copies.join(of_one_set, "doc_id", "left_semi"), "jaccard-replaced")
+
     first = F.min("doc_id").over(Window.partitionBy("a"))
     shared = rows.filter("kind = 1").select("a", "doc_id").withColumn("first", first).filter("doc_id > first").select("first", "doc_id").distinct()
 
     def kept(df: DataFrame, column: str) -> DataFrame:
-        """Copies give way to the first document with their set."""
-        named = copies.select(F.col("doc_id").alias("copy"), F.col("rep"))
+        """Copies that have no other set give way to the first document with theirs."""
+        named = replaced.select(F.col("doc_id").alias("copy"), F.col("rep"))
         return df.join(named, df[column] == named["copy"], "left").withColumn(column, F.coalesce("rep", column)).drop("copy", "rep")
 
     regions = components(kept(kept(shared, "first"), "doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b")))

@@ -300,3 +300,11 @@ def test_pipeline_stages_keep_columns_and_take_awkward_rows(spark, tmp_path):
     assert corpus_pipeline.mix_sources(spark, docs.limit(0), "").count() == 0
     assert decontaminate.decontaminate(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).count() == len(rows)
     assert json.dumps(corpus_pipeline.ORACLE_SQL) == "null" and isinstance(mixing.mix(docs).toPandas(), pd.DataFrame)
+
+
+def test_pipeline_keeps_each_text_of_an_id(spark):
+    """Two texts under one id both stay; of equal texts the first row by the other columns."""
+    one, two = (" ".join(f"{c}{i}" for i in range(20)) for c in "xy")
+    rows = [(1, one, "en", "b", 1), (1, two, "en", "b", 1), (1, two, "en", "a", 1), (1, two, "en", "a", 1), (2, one, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert sorted(map(tuple, corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect())) == sorted([rows[0], rows[2]])

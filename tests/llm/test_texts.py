@@ -293,6 +293,19 @@ def test_components_are_exact(spark, seed, limit):
     assert sorted(got, key=repr) == want and len({r[2] for r in want}) < len(want) - 20
 
 
+@pytest.mark.parametrize("limit", [jaccard.REGION_SHINGLES, 400])
+def test_documents_of_several_texts_keep_all_their_links(spark, limit):
+    """Document 2 has a text that 1 has too, and another that 3 nearly has; then many documents of two texts."""
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    rows = [(1, two), (2, one), (2, two), (3, one + " z")]
+    copied = near_copies(7, 120, 10)
+    rows += [(1000 + d, t) for d, t in copied] + [(1000 + d, copied[(d * 37) % len(copied)][1]) for d, _ in copied[::12]]
+    rows += [(5000 + i, t) for i, (_, t) in enumerate(copied[::9])] + [(5000 + i, f"{i} " + " ".join(f"u{i}v{k}" for k in range(40))) for i in range(5)]
+    got = [tuple(r) for r in jaccard.link_components(docs_of(spark, rows).repartition(3), limit).collect()]
+    assert {r[2] for r in got if r[0] < 4} == {1}
+    assert sorted(got, key=repr) == brute_components(rows)
+
+
 def test_blocks_hold_every_linked_pair():
     """Of two sets within the distance, some block's signature is common, at every size."""
     rng = np.random.default_rng(4)
