@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, private, table
 
 WINDOW = 13
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -31,6 +31,11 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return grams.groupBy("gram").agg(F.collect_set(F.col("item_id").cast("string")).alias("item_ids")).withColumn("code", F.xxhash64("gram"))
 
 
+def text_key() -> Column:
+    """What names the text of a row: doc_id, and hash and length of the text."""
+    return F.struct(F.col("doc_id"), F.xxhash64("text").alias("code"), F.coalesce(F.length("text"), F.lit(-1)).alias("chars"))
+
+
 def code_at(k: int):
     return lambda i: F.xxhash64(F.slice("words", i, k))
 
@@ -95,9 +100,9 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the contaminated rows, all columns kept."""
-    bad = scan(docs, items, window).filter(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("key").alias("bad_key")).distinct()
-    key = F.struct(docs["doc_id"], F.xxhash64(docs["text"]).alias("code"), F.coalesce(F.length(docs["text"]), F.lit(-1)).alias("chars"))
-    return docs.join(bad, key.eqNullSafe(F.col("bad_key")), "left_anti")
+    name = private(docs, "bad_key")
+    bad = scan(docs, items, window).filter(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("key").alias(name)).distinct()
+    return docs.join(bad, text_key().eqNullSafe(F.col(name)), "left_anti")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

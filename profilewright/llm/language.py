@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, with_results
 
 DIM = 1024
 N = 3
@@ -185,11 +185,12 @@ def learn(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, dim: int = DIM, n: i
     return dict(sorted(found.items()))
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM, n: int = N) -> DataFrame:
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM, n: int = N, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, the cosine with the best prototype, 0 at least; its other columns are kept.
 
     ``und`` with score 0 for a null text, one without a letter, or with nothing learned. Ties go to the first name. Texts are
-    read whole, in pieces of bounded size; nothing is shuffled.
+    read whole, in pieces of bounded size; nothing is shuffled. ``into`` gives the two columns other names; columns of these
+    names in ``docs`` give way, any others may have any name.
     """
     names, matrix = list(prototypes), np.stack(list(prototypes.values())) if prototypes else np.zeros((0, dim), np.float32)
 
@@ -207,7 +208,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
     guess = F.pandas_udf(scored, "lang_pred string, score double")
-    return docs.withColumn("guess", guess(F.col("text"))).select(*docs.columns, "guess.lang_pred", "guess.score")
+    return with_results(docs, guess(F.col("text")), {"lang_pred": into[0], "score": into[1]})
 
 
 def held_out(doc_id: Column) -> Column:
