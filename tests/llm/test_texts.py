@@ -91,6 +91,25 @@ def test_language_is_learned_and_predicted(spark):
     assert {r["lang_pred"] for r in nothing.collect()} == {"und"}
 
 
+CLASHING = ("score", "lang_pred", "guess", "results", "found", "spans", "n_hex", "bad_key", "_bad_key", "nth", "key", "words")
+
+
+def test_operators_take_columns_of_any_name(spark):
+    """Columns with the names that operators use stay as they are; only an operator's own results take the place of theirs."""
+    docs = spark.createDataFrame([(1, "the dog password=abc123def and w1 w2", "en", "s"), (2, None, None, None)], "doc_id long, text string, lang string, source string").withColumns({c: F.lit(c) for c in CLASHING})
+    rest = lambda df, *own: {tuple(r[c] for c in CLASHING if c not in own) for r in df.collect()}
+    own = lambda *names: {tuple(c for c in CLASHING if c not in names)}
+    named = language.predict(docs, language.learn(docs.filter("lang = 'en'")), into=("_lang", "_score"))
+    assert rest(named) == own() and named.columns[-2:] == ["_lang", "_score"]
+    assert rest(language.predict(docs, {}), "score", "lang_pred") == own("score", "lang_pred")
+    assert rest(secrets.scan(docs), "spans", "n_hex") == own("spans", "n_hex") and {r["n_assign"] for r in secrets.scan(docs).collect()} == {0, 1}
+    assert rest(secrets.redact(docs)) == own() and secrets.redact(docs).columns == docs.columns
+    items = spark.createDataFrame([(1, "w1 w2")], "item_id long, text string").withColumns({c: F.lit(c) for c in CLASHING})
+    kept = decontaminate.decontaminate(docs, items)
+    assert [r["doc_id"] for r in kept.collect()] == [2] and kept.columns == docs.columns and rest(kept) == own()
+    assert secrets.scan(docs.drop("text").withColumn("text", F.lit("x"))).columns[-5:] == ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+
+
 def test_gram_counts_do_not_depend_on_pieces(monkeypatch):
     alphabet, text = language.Alphabet(), "Ab cdé, f " * 50 + "x"
     whole = language.gram_counts(text, alphabet)
@@ -168,6 +187,44 @@ def test_models_tell_random_strings_from_identifiers():
     assert [(text[s:e], secrets.KINDS[k]) for s, k, e in secrets.find_spans(text, model)] == [("xK9dQ2mZ7pLw4RtY8vBn3Hc6", "markov")]
 
 
+def bigrams(labelled):
+    counts, name = [{}, {}], lambda c: c if c in secrets._CLASSES else None
+    for token, label in labelled:
+        for a, b in zip([None, *map(name, token)], map(name, token)):
+            counts[label][a, b] = counts[label].get((a, b), 0) + 1
+    return counts
+
+
+def brute_added(text, counts):
+    """Spans that the two models add, worked out apart: bigram counts in dictionaries, a mean of log ratios a token."""
+    letters = secrets._CLASSES
+    chance = lambda label, a, b: (counts[label].get((a, b), 0) + 0.5) / sum(counts[label].get((a, x), 0) + 0.5 for x in [*letters, None])
+    base = [tuple(map(int, s.split(":")[1:])) for s in brute_spans(text)]
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        ratio = np.mean([np.log(chance(1, a, b) / chance(0, a, b)) for a, b in zip([None, *m.group()], m.group())])
+        if ratio >= 0.4 and not any(s < m.end() and m.start() < e for s, e in base):
+            out.append(f"markov:{m.start()}:{m.end()}")
+    return out
+
+
+def test_the_models_add_the_spans_that_brute_force_finds(spark):
+    """Random strings of letters and digits, and words, among words: what is added equals the ratio worked out apart, and finds nearly all."""
+    rng, labelled = np.random.default_rng(12), secrets.labelled_tokens()
+    counts = bigrams(labelled)
+    planted, texts = [], []
+    for i in range(60):
+        own = ["".join(rng.choice(list(secrets._CLASSES[:62]), int(rng.integers(20, 40)))) for _ in range(2)]
+        words = ["get_user_account_settings_from_cache", "donaudampfschifffahrtsgesellschaft", "é" * 25, "password=" + own[0], "f" * 30, "x"]
+        texts.append((i, " ".join([*rng.permutation(words), own[1], *rng.permutation(words)])))
+        planted.append(own[1])
+    got = {r["doc_id"]: r["spans"].split(",") for r in secrets.scan(docs_of(spark, texts), secrets.train(labelled)).collect()}
+    for i, text in texts:
+        assert [s for s in got[i] if s.startswith("markov")] == brute_added(text, counts)
+    found = [any(text[int(s.split(":")[1]) : int(s.split(":")[2])] == own for s in got[i] if s.startswith("markov")) for (i, text), own in zip(texts, planted)]
+    assert np.mean(found) > 0.95
+
+
 def test_redaction_leaves_the_rest(spark):
     rows = [(1, "a password=abc123def b"), (2, "nothing here"), (3, None), (4, "token = " + "f" * 40 + "!")]
     got = {r["doc_id"]: r["text"] for r in secrets.redact(docs_of(spark, rows), "#").collect()}
