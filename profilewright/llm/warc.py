@@ -16,24 +16,71 @@ from .common import table
 
 #: The date given to records of pages, which carry none.
 PAGE_DATE = "2024-01-01T00:00:00Z"
+SOURCE_HEADERS = "WARC-Source-Headers"
 RESPONSE_SCHEMA = "record_id string, target_uri string, warc_date string, http_headers string, payload string"
 RECORD_SCHEMA = (
     "warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, "
     "content_length long, block_digest string, payload_digest string, source_headers string, block string"
 )
 
-# One pass finds all that is not text: comments, elements whose content is not text, and tags, told apart by their names.
-_MARKUP = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?[a-z][a-z0-9]*)\b[^>]*>|<![^>]*>|<\?[^>]*>")
 _BLOCKS = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
-_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
-_LANG = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z-]+)""")
-_LINK = re.compile(r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+#: Elements whose content is not markup, and of those the ones whose content is no text either.
+_RAW = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "noscript", "template", "svg")}
+_NAME = re.compile(r"/?[A-Za-z][A-Za-z0-9]*\b")
+_TITLE_END, _HEAD_END = re.compile(r"(?i)</title\s*>"), re.compile(r"(?i)</head\s*>")
+_LANG = re.compile(r"""(?i)\blang\s*=\s*["']?([A-Za-z-]+)""")
+_HREF = re.compile(r"""(?i)\bhref\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>"']+))""")
+_LONG_NUMBER = re.compile(r"&#0*([0-9]{8,});?")
+_CONTROL = re.compile(r"[\x00-\x1F\x7F\x85\u2028\u2029]+")
+
+
+def pieces(page: str) -> Iterator[tuple[str, int, int]]:
+    """``(name, start, end)`` of the markup of a page, in order: tags by lower-case name (with ``/`` where they end an element), and ``!`` for comments, declarations and elements whose content is no text, up to their end.
+
+    A tag ends at its first ``>``; without one it is text. One pass: what was looked for in vain is not looked for again.
+    """
+    at, n, no_more = 0, len(page), False
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = n if end < 0 else end + 3
+            yield "!", start, at
+            continue
+        name = _NAME.match(page, start + 1)
+        if no_more or not (name or page.startswith(("<!", "<?"), start)):
+            continue
+        close = page.find(">", start + 1)
+        if close < 0:
+            no_more = True
+            continue
+        at = close + 1
+        kind = name.group().lower() if name else "!"
+        if kind in _RAW:
+            end = _RAW[kind].search(page, at)
+            at, kind = end.end() if end else n, "!"
+        yield kind, start, at
+
+
+def unescaped(text: str) -> str:
+    """Entities resolved; numbers of more than seven digits stand for no character."""
+    return html.unescape(_LONG_NUMBER.sub("\ufffd", text)) if "&" in text else text
 
 
 def plain_text(page: str) -> str:
-    """Text of an HTML page: a line for each stretch between block elements, blanks run together, entities resolved."""
-    text = _MARKUP.sub(lambda m: "\n" if m.group(2) and m.group(2).lower().lstrip("/") in _BLOCKS else (" " if m.group(1) or m.group(2) is None else ""), page)
-    lines = (" ".join(line.split()) for line in html.unescape(text).split("\n"))
+    """Text of an HTML page: a line for each stretch between block elements, blanks run together, entities resolved; the head has none."""
+    out, at, head_end = [], 0, 0
+    for name, start, end in pieces(page):
+        if start < head_end or start < at:
+            continue
+        out.append(page[at:start])
+        at = end
+        if name == "head":
+            found = _HEAD_END.search(page, end)
+            at = head_end = found.end() if found else len(page)
+        out.append("\n" if name.lstrip("/") in _BLOCKS else " " if name in ("!", "head") else "")
+    out.append(page[at:])
+    lines = (" ".join(line.split()) for line in unescaped("".join(out)).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
@@ -48,11 +95,24 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
 
 
+def folded(value: str) -> str:
+    """On one line: control characters, which would begin another field, become blanks."""
+    return _CONTROL.sub(" ", value).strip()
+
+
 def page_metadata(page: str) -> list[tuple[str, str]]:
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    fields = [("title", " ".join(html.unescape(title.group(1)).split()))] if title else []
-    fields += [("language", lang.group(1).lower())] if lang else []
-    return fields + [("outlink", html.unescape(a or b or c).strip()) for a, b, c in _LINK.findall(page)]
+    """Title, language and links; those of comments and scripts don't count."""
+    title = lang = None
+    links = []
+    for name, start, end in pieces(page):
+        if name == "title" and title is None:
+            found = _TITLE_END.search(page, end)
+            title = " ".join(unescaped(page[end : found.start()]).split()) if found else ""
+        elif name == "html" and lang is None:
+            lang = _LANG.search(page, start, end)
+        elif name == "a" and (href := _HREF.search(page, start, end - 1)):
+            links.append(("outlink", unescaped(next((x for x in href.groups() if x is not None), ""))))
+    return ([("title", title)] if title else []) + ([("language", lang.group(1).lower())] if lang else []) + links
 
 
 def derive(response: dict) -> list[dict]:
@@ -63,6 +123,7 @@ def derive(response: dict) -> list[dict]:
     payload_digest = digest(raw)
     kept = [line.partition(":") for line in headers.replace("\r\n", "\n").split("\n")[1:] if ":" in line]
     fields = [("payload-digest", payload_digest), ("payload-length", str(len(raw)))] + [(f"source-{k.strip().lower()}", v.strip()) for k, _, v in kept] + page_metadata(payload)
+    fields = [(folded(k), folded(v)) for k, v in fields]
     blocks = (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields)), ("conversion", "text/plain; charset=utf-8", plain_text(payload)))
     out = []
     for kind, content_type, block in blocks:
@@ -75,8 +136,9 @@ def derivatives(responses: DataFrame) -> DataFrame:
     """Two rows (``RECORD_SCHEMA``) for each row of ``responses`` (``RESPONSE_SCHEMA``; other columns are dropped).
 
     Both refer to the response's record by ``refers_to`` and carry its target, date, HTTP headers and payload digest; the metadata record
-    also lists them, with title, language and links, as warc-fields. Their ids follow from the response's. Nulls count as
-    empty; an empty payload gives an empty conversion; repeated responses give repeated records. Rows are handled where they lie.
+    also lists them, with title, language and links, as warc-fields, each on one line. Their ids follow from the response's.
+    Nulls count as empty; an empty payload gives an empty conversion; repeated responses give repeated records. Rows are handled
+    where they lie, in time that grows with their length, whatever the markup.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,13 +161,22 @@ def responses_of_pages(pages: DataFrame, date: str = PAGE_DATE) -> DataFrame:
 
 
 def serialized(records: DataFrame) -> DataFrame:
-    """``record_id, record``: each record as the lines of a WARC file."""
-    header = lambda name, value: F.when(value.isNotNull() & (value.cast("string") != ""), F.concat(F.lit(name + ": "), value.cast("string"), F.lit("\r\n"))).otherwise("")
-    names = (("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"))
-    head: list[Column] = [header(n, F.col(c)) for n, c in names]
+    """``record_id, record``: each record as the lines of a WARC file. The HTTP headers of the source stand in one extension field, with ``\\`` before r, n and itself for line ends and backslashes; other control characters become blanks."""
+    def header(name: str, value: Column) -> Column:
+        line = F.trim(F.regexp_replace(value.cast("string"), r"[\x00-\x08\x0A-\x1F\x7F]+", " "))
+        return F.when(line != "", F.concat(F.lit(name + ": "), line, F.lit("\r\n"))).otherwise("")
+
+    escaped = F.replace(F.replace(F.replace(F.col("source_headers"), F.lit("\\"), F.lit("\\\\")), F.lit("\r"), F.lit("\\r")), F.lit("\n"), F.lit("\\n"))
+    names = (("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Payload-Digest", "payload_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"))
+    head = [F.coalesce(header(n, F.col(c)), F.lit("")) for n, c in names] + [F.coalesce(header(SOURCE_HEADERS, escaped), F.lit(""))]
     return records.select("record_id", F.concat(F.lit("WARC/1.0\r\n"), *head, F.lit("\r\n"), F.col("block"), F.lit("\r\n\r\n")).alias("record"))
 
 
+def source_headers(value: str) -> str:
+    """The HTTP headers that ``serialized`` wrote in one field."""
+    return re.sub(r"\\(.)", lambda m: {"r": "\r", "n": "\n"}.get(m.group(1), m.group(1)), value)
+
+
 def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
     """Headers and blocks of the records of a WARC file; the reverse of ``serialized``, for small files and tests."""
     out, at = [], 0
