@@ -2,15 +2,17 @@
 
 Codes are cut into segments of eight bits. Two codes within distance d agree on some segment up to floor(d / segments) bits, so
 when all segment values within radius r of the query's have been looked up, every code nearer than segments * (r + 1) has been
-seen. The radius grows until the k-th verified distance is under that bound; only queries that are not there yet go on.
+seen. The radius grows over the whole table at once: after each step the k best so far of all chunks are brought together, and
+only queries whose k-th verified distance is not under that bound yet go on, with that distance as a limit for what is still
+worth reporting.
 
-A stated set of queries meets all rows in blocks: each task indexes chunks of codes and answers a bounded block of queries for
-them exactly, k rows a query; the k best of those are the answer.
+A stated set of queries meets all rows in blocks: a task indexes one chunk of codes and looks up one block of queries in it. Queries,
+codes and answers stay in tables; the driver sees only how many queries are open.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -19,12 +21,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .common import table
+from .common import spread_join, table
 
 K = 10
 BITS = 8
 #: Bounds of what is held at once: distinct queries of a block, codes of a chunk, and candidates of a lookup.
-QUERY_BLOCK, CHUNK, CANDIDATES = 50_000, 100_000, 1 << 21
+QUERY_BLOCK, CHUNK, CANDIDATES = 50_000, 100_000, 1 << 20
+#: A distance that no code has.
+FAR = 1 << 40
+_ANSWERS = "q binary, code binary, ids array<long>, distance long"
 
 
 def sign_code(vector: Column, dim: int) -> Column:
@@ -35,139 +40,140 @@ def sign_code(vector: Column, dim: int) -> Column:
     return F.when(F.size(vector) == dim, F.unhex(F.concat(*(F.lpad(F.hex(h), 2, "0") for h in hexes))) if dim else F.lit(b""))
 
 
+def usual_width(vectors: Column, rows: DataFrame) -> int:
+    """The commonest length of the vectors; of equally common ones the longest. 0 if there are none."""
+    sizes = rows.select(F.size(vectors).alias("width")).filter("width >= 0").groupBy("width").count()
+    found = sizes.agg(F.max(F.struct("count", "width")).alias("most")).first()["most"]
+    return found["width"] if found else 0
+
+
+def padded(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes as segments (n x bytes) and as whole words of 64 bits."""
+    segments = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    words = np.zeros((len(codes), -(-segments.shape[1] // 8) * 8), np.uint8)
+    words[:, : segments.shape[1]] = segments
+    return segments, words.view(np.uint64)
+
+
 class Index:
-    """Codes of one chunk (n x segments bytes) with a table for each segment."""
+    """Codes of one chunk with a table for each segment."""
 
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
+    def __init__(self, codes: list[bytes]):
+        self.segments, self.words = padded(codes)
         self.tables = []
-        for s in range(codes.shape[1]):
-            order = np.argsort(codes[:, s], kind="stable")
-            self.tables.append((order, np.concatenate([[0], np.cumsum(np.bincount(codes[:, s], minlength=1 << BITS))])))
+        for s in range(self.segments.shape[1]):
+            order = np.argsort(self.segments[:, s], kind="stable")
+            self.tables.append((order, np.concatenate([[0], np.cumsum(np.bincount(self.segments[:, s], minlength=1 << BITS))])))
 
-    def within(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(query, code, distance) of all codes whose nearest segment is ``radius`` bits off, each once."""
+    def within(self, queries: np.ndarray, words: np.ndarray, limits: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, code, distance) of the codes under each query's limit with a segment that is ``radius`` bits off; one may come for several segments."""
         masks = np.array([sum(1 << i for i in c) for c in combinations(range(BITS), radius)], np.uint8)
         for s, (order, starts) in enumerate(self.tables):
-            values = queries[:, s, None] ^ masks[None, :]
-            first, count = starts[values], starts[values.astype(np.int64) + 1] - starts[values]
-            per_query = count.sum(axis=1)
+            values = (queries[:, s, None] ^ masks[None, :]).astype(np.int64)
+            first, count = starts[values], starts[values + 1] - starts[values]
+            ends = np.cumsum(count.sum(axis=1))
             i = 0
             while i < len(queries):
-                j = max(i + 1, int(np.searchsorted(np.cumsum(per_query[i:]), CANDIDATES, side="right")) + i)
+                before = ends[i - 1] if i else 0
+                j = max(i + 1, int(np.searchsorted(ends, before + CANDIDATES, side="right")))
                 n = count[i:j].ravel()
                 total = int(n.sum())
                 if total:
                     at = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[i:j].ravel(), n)
-                    code, query = order[at], np.repeat(np.arange(i, j), per_query[i:j])
-                    off = np.bitwise_count(self.codes[code] ^ queries[query])
-                    once = (off.min(axis=1) == radius) & (off.argmin(axis=1) == s)
-                    yield query[once], code[once], off[once].sum(axis=1, dtype=np.int64)
+                    code, query = order[at], np.repeat(np.arange(i, j), ends[i:j] - np.concatenate([[before], ends[i : j - 1]]))
+                    off = np.bitwise_count(self.words[code, 0] ^ words[query, 0]).astype(np.int64)
+                    for w in range(1, self.words.shape[1]):
+                        off += np.bitwise_count(self.words[code, w] ^ words[query, w])
+                    near = off <= limits[query]
+                    yield query[near], code[near], off[near]
                 i = j
 
-    def nearest(self, queries: np.ndarray, k: int, first_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, code, distance) of the ``k`` codes nearest to each query, ties by ``first_ids``."""
-        segments = self.codes.shape[1]
-        open_ = np.arange(len(queries))
-        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        done = []
-        for radius in range(BITS + 1):
-            for q, c, d in self.within(queries[open_], radius):
-                best = _best(np.concatenate([best[0], open_[q]]), np.concatenate([best[1], c]), np.concatenate([best[2], d]), k, first_ids)
-            counts = np.bincount(best[0], minlength=len(queries))
-            worst = np.zeros(len(queries), np.int64)
-            np.maximum.at(worst, best[0], best[2])
-            covered = (counts >= min(k, len(self.codes))) & (worst < segments * (radius + 1))
-            ready = covered[best[0]]
-            done.append(tuple(x[ready] for x in best))
-            best = tuple(x[~ready] for x in best)
-            open_ = open_[~covered[open_]]
-            if not len(open_):
-                break
-        done.append(best)
-        return tuple(np.concatenate(x) for x in zip(*done, strict=True))
-
 
 def _best(q: np.ndarray, c: np.ndarray, d: np.ndarray, k: int, ids: np.ndarray):
-    order = np.lexsort((ids[c], d, q))
+    """The k nearest of each query, ties by id; equal (query, code) once."""
+    order = np.lexsort((c, ids[c], d, q))
     q, c, d = q[order], c[order], d[order]
+    fresh = np.concatenate([[True], (q[1:] != q[:-1]) | (c[1:] != c[:-1])]) if len(q) else np.zeros(0, bool)
+    q, c, d = q[fresh], c[fresh], d[fresh]
     head = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
     place = np.arange(len(q)) - np.repeat(head, np.diff(np.append(head, len(q))))
     return q[place < k], c[place < k], d[place < k]
 
 
-def answers(queries: np.ndarray, k: int):
-    """Batches of ``code, ids`` (the smallest ids of each code, ascending) to ``q, id, distance``: k rows a query and chunk at most."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= CHUNK:
-                yield from found(held)
-                held, size = [], 0
-        yield from found(held)
-
-    def found(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not sum(b.num_rows for b in held):
-            return
-        codes = np.frombuffer(b"".join(x for b in held for x in b.column("code").to_pylist()), np.uint8).reshape(-1, queries.shape[1])
-        ids = [x for b in held for x in b.column("ids").to_pylist()]
-        counts = np.array([len(x) for x in ids])
-        flat, starts = np.array([i for x in ids for i in x], np.int64), np.concatenate([[0], np.cumsum(counts)])
-        index = Index(codes)
-        for i in range(0, len(queries), 512):
-            q, c, d = index.nearest(queries[i : i + 512], k, flat[starts[:-1]])
-            n = counts[c]
-            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[c], n)
-            q, c, d = _best(np.repeat(q, n), at, np.repeat(d, n), k, flat)
-            yield pa.RecordBatch.from_arrays([pa.array([queries[i + x].tobytes() for x in q], pa.binary()), pa.array(flat[c]), pa.array(d)], names=["q", "id", "distance"])
-
-    return rows
-
-
-def search(codes: DataFrame, queries: DataFrame, k: int = K, query_block: int = QUERY_BLOCK) -> DataFrame:
+def lookup(radius: int, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A chunk ``code, ids`` (the smallest ids of each code, ascending) and a block ``q, worst`` of queries to ``q, code, ids, distance``: of what the radius newly reaches, the k best codes a query."""
+
+    def found(chunk: pa.Table, block: pa.Table) -> pa.Table:
+        queries, codes, distances = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        chunk = chunk.combine_chunks()
+        if chunk.num_rows and block.num_rows:
+            index, ids = Index(chunk.column("code").to_pylist()), chunk.column("ids").combine_chunks()
+            first = np.asarray(ids.flatten(), np.int64)[np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths()))[:-1]])]
+            names, limits = block.column("q").to_pylist(), np.asarray(block.column("worst"), np.int64)
+            segments, words = padded(names)
+            for i in range(0, len(names), 512):
+                best = (np.zeros(0, np.int64),) * 3
+                for part in index.within(segments[i : i + 512], words[i : i + 512], limits[i : i + 512], radius):
+                    best = _best(*(np.concatenate(x) for x in zip(best, part, strict=True)), k, first)
+                queries += [names[i + x] for x in best[0]]
+                codes.append(best[1]), distances.append(best[2])
+        at = pa.array(np.concatenate(codes))
+        return pa.table({"q": pa.array(queries, pa.binary()), "code": chunk.column("code").take(at), "ids": chunk.column("ids").take(at), "distance": np.concatenate(distances)})
+
+    return found
+
+
+def search(codes: DataFrame, queries: DataFrame, k: int = K, query_block: int = QUERY_BLOCK, chunk: int = CHUNK) -> DataFrame:
     """``query_id, rank, id, distance``: the ``k`` codes nearest to each query, ties by id; fewer if there are fewer codes.
 
-    ``codes(id, code)`` and ``queries(query_id, code)`` with codes from ``sign_code``. A query meets all codes, its own row too.
-    Null codes and null ids are not found, and null queries find nothing. Equal codes are looked up once: of each code only the
-    k smallest ids can matter. Repeated ids count as often as they stand. Empty tables give no rows. Other columns are dropped.
+    ``codes(id, code)`` and ``queries(query_id, code)`` with codes of one width from ``sign_code``. A query meets all codes, its
+    own row too. Null codes and null ids are not found, and null queries find nothing. Equal codes are looked up once: of each
+    code only the k smallest ids can matter. Repeated ids count as often as they stand. Empty tables give no rows. Other columns
+    are dropped.
     """
     queries = queries.select("query_id", "code")
     ranked = Window.partitionBy("code").orderBy("id")
     least = codes.filter(F.col("code").isNotNull() & F.col("id").isNotNull()).select("id", "code").withColumn("nth", F.row_number().over(ranked)).filter(F.col("nth") <= k)
-    grouped = materialize(least.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")).repartition("code"), "mih-codes")
-    asked = materialize(queries.filter(F.col("code").isNotNull()).select("code").distinct(), "mih-queries")
-    blocks = max(1, -(-asked.count() // query_block))
-    # Codes are few bytes and much work: their files alone would make too few tasks.
-    grouped = grouped.repartition(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "code")
-    parts = []
-    for block in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("code"), F.lit(blocks)) == block).collect()  # about a block of codes
-        if rows and len(rows[0]["code"]):
-            matrix = np.frombuffer(b"".join(bytes(r["code"]) for r in rows), np.uint8).reshape(len(rows), -1)
-            near = grouped.mapInArrow(answers(matrix, k), "q binary, id long, distance long")
-            best = Window.partitionBy("q").orderBy("distance", "id")
-            parts.append(near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k))
-    if not parts:
-        return queries.select("query_id", F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("distance")).limit(0)
-    top = parts[0]
-    for part in parts[1:]:
-        top = top.unionByName(part)
-    return queries.join(top, queries["code"] == top["q"]).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "distance")
+    grouped = materialize(least.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "mih-codes")
+    open_ = materialize(queries.filter(F.col("code").isNotNull()).select(F.col("code").alias("q")).distinct().withColumn("worst", F.lit(FAR)), "mih-open")
+    sizes = grouped.agg(F.count(F.lit(1)).alias("codes"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("ids"), F.coalesce(F.max(F.length("code")), F.lit(0)).alias("segments")).first()
+    best = codes.sparkSession.createDataFrame([], _ANSWERS)
+    # Codes are few bytes and much work: at least as many chunks as a shuffle has tasks.
+    chunks = max(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sizes["codes"] // chunk))
+    order = Window.partitionBy("q").orderBy("distance", F.get("ids", F.lit(0)), "code")
+    nearer = F.coalesce(F.sum(F.size("ids")).over(Window.partitionBy("q").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    for radius in range(BITS + 1 if sizes["segments"] else 0):
+        n_open = open_.count()
+        if not n_open:
+            break
+        blocks = -(-n_open // query_block)
+        chunk_of, block_of = F.pmod(F.xxhash64("code"), F.lit(chunks)).cast("int"), F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")
+        met = grouped.withColumns({"chunk": chunk_of, "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+        asked = open_.withColumns({"block": block_of, "chunk": F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))})
+        near = met.groupBy("chunk", "block").cogroup(asked.groupBy("chunk", "block")).applyInArrow(lookup(radius, k), _ANSWERS)
+        # What one segment reaches at this radius another may have reached before.
+        both = near.unionByName(best).groupBy("q", "code").agg(F.first("ids").alias("ids"), F.first("distance").alias("distance"))
+        placed = both.withColumns({"nth": F.row_number().over(order), "nearer": nearer})
+        best = materialize(placed.filter((F.col("nth") <= k) & (F.col("nearer") < k)).drop("nth", "nearer"), "mih-best")
+        state = best.groupBy("q").agg(F.sum(F.size("ids")).alias("n"), F.max("distance").alias("farthest"))
+        # Short of k answers, everything is still worth reporting.
+        reached = F.coalesce(F.col("n"), F.lit(0)) >= min(k, sizes["ids"])
+        left = open_.select("q").join(state, "q", "left").withColumn("worst", F.when(reached, F.col("farthest")).otherwise(F.lit(FAR)))
+        open_ = materialize(left.filter(F.col("worst") >= sizes["segments"] * (radius + 1)).select("q", "worst"), "mih-open")
+    rows = best.select(F.col("q").alias("code"), F.explode("ids").alias("id"), "distance")
+    top = rows.withColumn("rank", F.row_number().over(Window.partitionBy("code").orderBy("distance", "id")).cast("long")).filter(F.col("rank") <= k)
+    return spread_join(queries.filter(F.col("code").isNotNull()), top, ["code"], "mih-asked").select("query_id", "rank", "id", "distance")
 
 
 def op4_topk_search(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    dim = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
-    codes = vectors.select(F.col("vec_id").alias("id"), sign_code(F.col("embedding"), dim).alias("code"))
+    codes = vectors.select(F.col("vec_id").alias("id"), sign_code(F.col("embedding"), usual_width(F.col("embedding"), vectors)).alias("code"))
     queries = codes.filter(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), "code")
     return search(codes, queries).withColumnRenamed("id", "vec_id")
 
 
 OP4_SQL = r"""
-WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings WHERE len(embedding) = (SELECT max(len(embedding)) FROM embeddings)),
+WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings WHERE len(embedding) = (SELECT len(embedding) FROM embeddings WHERE embedding IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1)),
 p AS (SELECT q.vec_id AS query_id, c.vec_id, len(list_filter(list_zip(q.bits, c.bits), lambda z: z[1] != z[2])) AS distance FROM c AS q, c WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p)
 SELECT query_id, rank, vec_id, CAST(distance AS BIGINT) AS distance FROM r WHERE rank <= 10
