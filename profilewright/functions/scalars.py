@@ -45,21 +45,27 @@ def share_if_other(error: Column, m: float = MODIFICATION) -> Column:
     return half / ((1 - m) * error / 3 + half)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def cigar_ops(cigar: Column, pos: Column) -> Column:
     """A CIGAR's operations as ``struct(op, len, query, ref)``, with the query and reference positions at which each begins."""
     pattern = F.lit("([0-9]+)([MIDNSHP=X])")
     lens, kinds = F.regexp_extract_all(cigar, pattern, F.lit(1)), F.regexp_extract_all(cigar, pattern, F.lit(2))
-    ops = F.transform(F.arrays_zip(lens.alias("len"), kinds.alias("op")), lambda o: F.struct(o["op"].alias("op"), o["len"].cast("int").alias("len")))
+    parsed = F.transform(F.arrays_zip(lens.alias("len"), kinds.alias("op")), lambda o: F.struct(o["op"].alias("op"), o["len"].cast("int").alias("len")))
 
-    def moved(upto: Column, by: str) -> Column:
+    def moved(ops: Column, upto: Column, by: str) -> Column:
         return F.aggregate(F.slice(ops, 1, upto), F.lit(0), lambda s, o: s + F.when(F.lit(by).contains(o["op"]), o["len"]).otherwise(0))
 
-    return F.transform(ops, lambda o, i: F.struct(o["op"].alias("op"), o["len"].alias("len"), moved(i, "MIS=X").alias("query"), (pos + moved(i, "MDN=X")).alias("ref")))
+    return bound(parsed, lambda ops: F.transform(ops, lambda o, i: F.struct(o["op"].alias("op"), o["len"].alias("len"), moved(ops, i, "MIS=X").alias("query"), (pos + moved(ops, i, "MDN=X")).alias("ref"))))
 
 
 def placed_length(cigar: Column, l_qseq: Column) -> Column:
     """Bases between the clips; 0 without a CIGAR."""
-    clip = lambda pattern: F.coalesce(F.regexp_extract(cigar, pattern, 1).try_cast("int"), F.lit(0))
+    # An empty string is told before the cast: failing casts are slow.
+    clip = lambda pattern: F.coalesce(F.nullif(F.regexp_extract(cigar, pattern, 1), F.lit("")).cast("int"), F.lit(0))
     all_clips = F.coalesce(cigar, F.lit("*")).rlike("^([0-9]+[SHP]|[0-9]+[DN])*$") | (F.coalesce(cigar, F.lit("*")) == "*")
     return F.when(all_clips, 0).otherwise(l_qseq - clip("^(?:[0-9]+H)?([0-9]+)S") - clip("([0-9]+)S(?:[0-9]+H)?$"))
 

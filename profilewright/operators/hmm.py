@@ -5,23 +5,23 @@ Spark deals out the reads and sums what comes back; in a task, batches of reads
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.scalars import reference_span
+from ..joins import ascii_only, with_stretch
 
 OK, NO_PATH = "ok", "no path"
-#: Cells of one batch of reads.
-CELLS = 1 << 20
+#: Cells of one batch of reads; positions to a side of the squares in which pairs are summed, and squares held at once.
+CELLS, SQUARE, SQUARES = 1 << 20, 256, 24
 TOLERANCE = 1e-6
-_OP = re.compile(r"(\d+)([MIDNSHP=X])")
 _CODE = np.full(256, -1, np.int8)
 for _i, _pair in enumerate(("Aa", "Cc", "Gg", "TtUu")):
     for _c in _pair:
@@ -46,83 +46,151 @@ class Model:
             raise ValueError("chances and weights lie in 0-1, and the two openings sum to 1 at most")
 
 
-def places(cigar: str, pos: int) -> tuple[list[int], list[int], int, int]:
-    """After each placed base, and before the first, the reference bases passed: before and after a deletion there. And the clipped bases at either end."""
-    ops = [(int(n), op) for n, op in _OP.findall(cigar)]
-    lead = tail = 0
-    while ops and ops[0][1] in "SHP":
-        n, op = ops.pop(0)
-        lead += n * (op == "S")
-    while ops and ops[-1][1] in "SHP":
-        n, op = ops.pop()
-        tail += n * (op == "S")
-    first, last, at = [pos], [pos], pos
-    for n, op in ops:
-        if op in "M=X":
-            first += range(at + 1, at + n + 1)
-            last += range(at + 1, at + n + 1)
-            at += n
-        elif op == "I":
-            first += [at] * n
-            last += [at] * n
-        elif op in "DN":
-            at += n
-            last[-1] = at
-    return first, last, lead, tail
+def kind(letters: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[ord(c) for c in letters]] = True
+    return out
+
+
+_MATCH, _GAP, _CLIP = kind("M=X"), kind("DN"), kind("SHP")
+
+
+def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column, and where each value begins and ends; null is empty."""
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8), offsets
+
+
+def ragged(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of ``counts`` values that begin at ``starts``: the row, and the place, of each value."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
+
+
+class Reads:
+    """The reads of an Arrow batch with the places of their bases, worked out for all together.
+
+    After each placed base, and before the first, ``first`` and ``last`` are the reference bases passed before and after a
+    deletion there; read k has the values from ``edges[k]`` on, one more than it has placed bases.
+    """
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.tid, self.pos = (np.asarray(batch.column(c), np.int64) for c in ("tid", "pos"))
+        self.n = n = len(self.tid)
+        kinds, kind_at = strings(batch.column("kinds"))
+        lens = batch.column("lens")
+        size = np.asarray(lens.flatten(), np.int64)
+        counts = np.diff(kind_at)
+        owner, at = ragged(kind_at[:-1], counts)
+        op = kinds[at]
+        core = np.flatnonzero(~_CLIP[op])
+        begin, end = np.full(n, len(op)), np.zeros(n, np.int64)
+        np.minimum.at(begin, owner[core], core)
+        np.maximum.at(end, owner[core], core + 1)
+        place = np.arange(len(op))
+        soft = np.where(op == ord("S"), size, 0)
+        lead = np.bincount(owner, soft * (place < begin[owner]), n).astype(np.int64)
+        tail = np.bincount(owner, soft * (place >= end[owner]), n).astype(np.int64)
+        taken, passed = np.where(_MATCH[op] | (op == ord("I")), size, 0), np.where(_MATCH[op] | _GAP[op], size, 0)
+        before = lambda x: np.cumsum(x) - x - np.repeat((np.cumsum(x) - x)[np.minimum(np.cumsum(counts) - counts, max(0, len(x) - 1))], counts) if len(x) else x
+        ref, query = self.pos[owner] + before(passed), before(taken)
+        self.bases = np.bincount(owner, taken, n).astype(np.int64)
+        self.edges = np.concatenate([[0], np.cumsum(self.bases + 1)])
+        self.first = np.empty(int(self.edges[-1]), np.int64)
+        self.first[self.edges[:-1]] = self.pos
+        which, k = ragged(np.zeros(len(op), np.int64), taken)
+        self.first[self.edges[owner[which]] + 1 + query[which] + k] = ref[which] + np.where(_MATCH[op[which]], k + 1, 0)
+        self.last = self.first.copy()
+        gap = np.flatnonzero(_GAP[op])
+        self.last[self.edges[owner[gap]] + query[gap]] = ref[gap] + size[gap]  # of several that follow each other, the last stays
+        self.seq, seq_at = strings(batch.column("seq"))
+        self.seq_at = seq_at[:-1] + lead
+        if (np.diff(seq_at) - lead - tail != self.bases).any():
+            raise ValueError("a read's sequence does not have the length of its alignment")
+        self.has_quality = np.asarray(batch.column("qual").is_valid())
+        self.qual, qual_at = strings(batch.column("qual"))
+        self.qual_at = qual_at[:-1] + lead
+        self.stretch, self.stretch_at = strings(batch.column("stretch"))
+        self.stretch_from, self.ref_len = (np.asarray(batch.column(c), np.int64) for c in ("stretch_from", "ref_len"))
+        self.band = None
+        if "band" in batch.schema.names:
+            given = batch.column("band")
+            if (np.asarray(given.value_lengths()) != self.bases + 1).any():
+                raise ValueError("a band needs a half-width for each placed base and one before the first")
+            self.band = np.asarray(given.flatten(), np.int64)
+        spread = np.maximum.reduceat(self.last - self.first, self.edges[:-1]) if n else np.zeros(0, np.int64)
+        self.width = spread + (2 * np.maximum.reduceat(self.band, self.edges[:-1]) if self.band is not None and n else 0)
+
+    def batches(self, band: int) -> Iterator[np.ndarray]:
+        """Reads of like length and band together, each batch of bounded size; one huge gap does not widen the others."""
+        order = np.lexsort((self.bases, self.width))
+        rows, width = self.bases[order] + 1, self.width[order] + 2 * band + 1
+        i = 0
+        while i < self.n:
+            cells = np.maximum.accumulate(rows[i:]) * np.maximum.accumulate(width[i:]) * np.arange(1, self.n - i + 1)
+            j = i + max(1, int(np.searchsorted(cells, CELLS, side="right")))
+            yield order[i:j]
+            i = j
 
 
 class Batch:
-    """Reads as padded arrays, row i for the i-th placed base; the band of row i starts at ``low``."""
-
-    def __init__(self, reads: list[tuple], band: int, min_phred: int):
-        n, rows = len(reads), max(len(r[2]) for r in reads)
-        self.n_bases = np.array([len(r[2]) - 1 for r in reads])
-        first, last = np.zeros((n, rows), np.int64), np.zeros((n, rows), np.int64)
-        self.base, self.error = np.full((n, rows), -1, np.int8), np.zeros((n, rows))
-        self.origin = np.array([r[1] for r in reads]) - band - 1
-        for k, (_, _, f, s, seq, qual, _, _, _) in enumerate(reads):
-            first[k, : len(f)], last[k, : len(f)] = f, s
-            first[k, len(f) :] = last[k, len(f) :] = f[-1]
-            self.base[k, 1 : len(f)] = _CODE[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
-            if qual is not None:
-                q = np.frombuffer(qual.encode("latin-1", "replace"), np.uint8).astype(float) - 33
-                self.error[k, 1 : len(f)] = np.where(q < min_phred, scalars.WORST_ERROR, np.minimum(scalars.WORST_ERROR, 10 ** (-q / 10)))
-        self.low, self.width = first - band, last - first + 2 * band + 1
+    """Some reads as padded arrays, row i for the i-th placed base; the band of row i starts at ``low``."""
+
+    def __init__(self, reads: Reads, chosen: np.ndarray, band: int, min_phred: int, m: float):
+        n, self.n_bases = len(chosen), reads.bases[chosen]
+        rows = int(self.n_bases.max()) + 1
+        real = np.arange(rows) <= self.n_bases[:, None]
+        at = reads.edges[chosen][:, None] + np.minimum(np.arange(rows), self.n_bases[:, None])
+        first, last = reads.first[at], np.where(real, reads.last[at], reads.first[at])
+        half = band if reads.band is None else np.where(real, reads.band[at], 0)
+        self.low, self.width = first - half, last - first + 2 * half + 1
         self.cells = np.arange(int(self.width.max()))
-        lengths = [len(r[6]) for r in reads]
-        self.reference = np.concatenate([_CODE[np.frombuffer(r[6].encode("latin-1", "replace"), np.uint8)] for r in reads] + [np.array([-1], np.int8)])
-        self.slice_start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        self.slice_len, self.slice_from = np.array(lengths), np.array([r[7] for r in reads])
-        self.ref_len = np.array([r[8] for r in reads])
-        self.window = int((last.max(axis=1) - first[:, 0]).max()) + 2 * band + 4
-
-    def valid(self, i: int) -> np.ndarray:
-        return self.cells < self.width[:, i, None]
-
-    def prefixes(self, i: int) -> np.ndarray:
-        return self.low[:, i, None] + self.cells
-
-    def emission(self, i: int, m: float) -> tuple[np.ndarray, np.ndarray]:
-        """Chance of base i before each reference prefix, and the share of it that is a modification."""
-        j = self.prefixes(i)
-        at = j - 1 - self.slice_from[:, None]
-        seen = (at >= 0) & (at < self.slice_len[:, None])
-        ref = np.where(seen, self.reference[np.where(seen, self.slice_start[:, None] + at, -1)], -1)
-        base, e = self.base[:, i, None], self.error[:, i, None]
-        same = (1 - m) * (1 - e) + m * e / 3
-        other_mod = m * (1 - e / 3) / 3
-        other = (1 - m) * e / 3 + other_mod
-        named, agree = (base >= 0) & (ref >= 0), base == ref
+        self.origin = self.low.min(axis=1) - 1
+        self.window = int(((self.low + self.width).max(axis=1) - self.origin).max()) + 2
+        self.ref_len = reads.ref_len[chosen]
+        placed = real[:, 1:]
+        step = np.arange(rows - 1)
+        base, error = np.full((n, rows), -1, np.int8), np.zeros((n, rows))
+        base[:, 1:][placed] = _CODE[reads.seq[(reads.seq_at[chosen][:, None] + step)[placed]]]
+        known = placed & reads.has_quality[chosen][:, None]
+        q = reads.qual[(reads.qual_at[chosen][:, None] + step)[known]].astype(float) - 33
+        error[:, 1:][known] = np.where(q < min_phred, scalars.WORST_ERROR, np.minimum(scalars.WORST_ERROR, 10 ** (-q / 10)))
+        # Emissions of all rows (rows, reads, cells): the chance of a base before each reference prefix, and its share of a modification.
+        j = (self.low.T[:, :, None] + self.cells).astype(np.int64)
+        stretch_from, stretch_at = reads.stretch_from[chosen], reads.stretch_at[:-1][chosen]
+        there = j - 1 - stretch_from[:, None]
+        seen = (there >= 0) & (there < (reads.stretch_at[1:][chosen] - stretch_at)[:, None])
+        letters = np.append(reads.stretch, np.uint8(0))
+        ref = _CODE[letters[np.where(seen, there + stretch_at[:, None], len(letters) - 1)]]
+        same = (1 - m) * (1 - error) + m * error / 3
+        other_mod = m * (1 - error / 3) / 3
+        other = (1 - m) * error / 3 + other_mod
         with np.errstate(divide="ignore", invalid="ignore"):
-            share = np.where(named, np.where(agree, np.where(same > 0, m * e / 3 / same, 0), np.where(other > 0, other_mod / other, 0)), 0.0)
+            share_same, share_other = np.where(same > 0, m * error / 3 / same, 0.0), np.where(other > 0, other_mod / other, 0.0)
+        column = lambda x: x.T[:, :, None]
+        named, agree = (column(base) >= 0) & (ref >= 0), column(base) == ref
         inside = (j >= 1) & (j <= self.ref_len[:, None])
-        return np.where(inside, np.where(named, np.where(agree, same, other), 0.25), 0.0), np.where(inside, share, 0.0)
+        self.emit = np.where(inside, np.where(named, np.where(agree, column(same), column(other)), 0.25), 0.0)
+        self.share = np.where(inside & named, np.where(agree, column(share_same), column(share_other)), 0.0)
+        self.valid = self.cells < self.width.T[:, :, None]
 
     def shifted(self, values: np.ndarray, i: int, to: int, by: int) -> np.ndarray:
-        """Values of row i under the cells of row ``to``, ``by`` prefixes on."""
-        at = self.cells + (self.low[:, to] - self.low[:, i])[:, None] + by
-        ok = (at >= 0) & (at < self.width[:, i, None])
-        return np.where(ok, np.take_along_axis(values, np.clip(at, 0, len(self.cells) - 1), axis=1), 0.0)
+        """Values of row i under the cells of row ``to``, ``by`` prefixes on. Most reads move alike from row to row; the others are looked up."""
+        move = self.low[:, to] - self.low[:, i] + by
+        usual = int(np.bincount(move - move.min()).argmax() + move.min())
+        w = len(self.cells)
+        out = np.zeros_like(values)
+        if 0 <= usual < w:
+            out[:, : w - usual] = values[:, usual:]
+        elif -w < usual < 0:
+            out[:, -usual:] = values[:, :usual]
+        odd = np.flatnonzero(move != usual)
+        if len(odd):
+            at = self.cells + move[odd, None]
+            ok = (at >= 0) & (at < w)
+            out[odd] = np.where(ok, np.take_along_axis(values[odd], np.clip(at, 0, w - 1), axis=1), 0.0)
+        return out
 
 
 def posteriors(b: Batch, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -133,16 +201,16 @@ def posteriors(b: Batch, model: Model) -> tuple[np.ndarray, np.ndarray]:
     w = len(b.cells)
     fm, fi, fd = (np.zeros((rows, n, w)) for _ in range(3))
     scale, path = np.ones((rows, n)), np.ones(n, bool)
-    fm[0] = np.where(b.valid(0), 1 / b.width[:, 0, None], 0)
-    emit = [None] + [b.emission(i, model.modification) for i in range(1, rows)]
+    fm[0] = np.where(b.valid[0], 1 / b.width[:, 0, None], 0)
     for i in range(1, rows):
-        live, ok = i <= b.n_bases, b.valid(i)
-        m = emit[i][0] * (mm * b.shifted(fm[i - 1], i - 1, i, -1) + im * b.shifted(fi[i - 1], i - 1, i, -1) + dm * b.shifted(fd[i - 1], i - 1, i, -1)) * ok
-        ins = 0.25 * (mi * b.shifted(fm[i - 1], i - 1, i, 0) + ii * b.shifted(fi[i - 1], i - 1, i, 0)) * ok
+        live, ok = i <= b.n_bases, b.valid[i]
+        # One shift serves the three states, as it is linear.
+        m = b.emit[i] * b.shifted(mm * fm[i - 1] + im * fi[i - 1] + dm * fd[i - 1], i - 1, i, -1) * ok
+        ins = 0.25 * b.shifted(mi * fm[i - 1] + ii * fi[i - 1], i - 1, i, 0) * ok
         gap = np.zeros((n, w))
-        inner = i < b.n_bases
+        open_ = ok & (i < b.n_bases)[:, None]
         for c in range(1, w):
-            gap[:, c] = (md * m[:, c - 1] + dd * gap[:, c - 1]) * (ok[:, c] & inner)
+            gap[:, c] = (md * m[:, c - 1] + dd * gap[:, c - 1]) * open_[:, c]
         total = (m + ins + gap).sum(axis=1)
         if (total < 0).any() or not np.isfinite(total).all():
             raise ArithmeticError("the model is unsound on a read")
@@ -151,13 +219,14 @@ def posteriors(b: Batch, model: Model) -> tuple[np.ndarray, np.ndarray]:
         scale[i] = inverse
         fm[i], fi[i], fd[i] = m * inverse[:, None], ins * inverse[:, None], gap * inverse[:, None]
     out = np.zeros((3, n, b.window))
-    who = np.arange(n)[:, None]
-    bm = bi = bd = np.zeros((n, w))
+    flat = out.reshape(3, -1)
+    who = np.arange(n)[:, None] * b.window
+    bm = bi = np.zeros((n, w))
     for i in range(rows - 1, -1, -1):
-        ending, inner, ok = i == b.n_bases, i < b.n_bases, b.valid(i)
+        ending, inner, ok = (i == b.n_bases)[:, None], (i < b.n_bases)[:, None], b.valid[i]
         if i + 1 < rows:
             s = scale[i + 1][:, None]
-            p = b.shifted(emit[i + 1][0] * bm, i + 1, i, 1) * s
+            p = b.shifted(b.emit[i + 1] * bm, i + 1, i, 1) * s
             q = 0.25 * b.shifted(bi, i + 1, i, 0) * s
         else:
             p = q = np.zeros((n, w))
@@ -166,21 +235,22 @@ def posteriors(b: Batch, model: Model) -> tuple[np.ndarray, np.ndarray]:
             for c in range(w - 1, -1, -1):
                 gap[:, c] = (dm * p[:, c] + (dd * gap[:, c + 1] if c + 1 < w else 0)) * ok[:, c]
         after = np.concatenate([gap[:, 1:], np.zeros((n, 1))], axis=1)
-        bm = np.where(ending[:, None], 1.0, np.where(inner[:, None], mm * p + mi * q + md * after, 0.0)) * ok
-        new_bi = np.where(ending[:, None], 1.0, np.where(inner[:, None], im * p + ii * q, 0.0)) * ok
-        bd = np.where(inner[:, None], gap, 0.0)
+        bm = np.where(ending, 1.0, np.where(inner, mm * p + mi * q + md * after, 0.0)) * ok
+        new_bi = np.where(ending, 1.0, np.where(inner, im * p + ii * q, 0.0)) * ok
+        bd = np.where(inner, gap, 0.0)
         if i:
-            at = np.clip(b.prefixes(i) - 1 - b.origin[:, None], 0, b.window - 2)
+            # The cells of a read are different positions, so plain indexing adds each once.
+            at = who + np.clip(b.low[:, i, None] + b.cells - 1 - b.origin[:, None], 0, b.window - 2)
             use = ok & (i <= b.n_bases)[:, None]
             match, skip = np.where(use, fm[i] * bm, 0), np.where(use, fd[i] * bd, 0)
-            closed = np.where(use & inner[:, None], dm * fd[i] * p, 0)
-            out[0][who, at] += match
-            out[1][who, at] += match + skip
-            out[2][who, at] += model.substitution_weight * match * emit[i][1] + model.deletion_weight * closed
+            closed = np.where(use & inner, dm * fd[i] * p, 0)
+            flat[0][at] += match
+            flat[1][at] += match + skip
+            flat[2][at] += model.substitution_weight * match * b.share[i] + model.deletion_weight * closed
             if model.insertion_weight:
                 opened = np.where(use, model.insertion_weight * mi * 0.25 * scale[i][:, None] * b.shifted(fm[i - 1], i - 1, i, 0) * new_bi, 0)
-                out[1][who, at + 1] += opened
-                out[2][who, at + 1] += opened
+                flat[1][at + 1] += opened
+                flat[2][at + 1] += opened
         bi = new_bi
     whole = (fm[0] * bm).sum(axis=1)
     path &= np.isfinite(whole)
@@ -189,76 +259,91 @@ def posteriors(b: Batch, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return out, path
 
 
-def _batches(reads: list[tuple], band: int) -> Iterator[list[tuple]]:
-    """Reads of like length and band together, each batch of bounded size; one huge gap does not widen the others."""
-    order = sorted(reads, key=lambda r: (max(s - f for f, s in zip(r[2], r[3], strict=True)), len(r[2])))
-    i = 0
-    while i < len(order):
-        j, rows, width = i, 0, 0
-        while j < len(order):
-            rows, width = max(rows, len(order[j][2])), max(width, max(s - f for f, s in zip(order[j][2], order[j][3], strict=True)) + 2 * band + 1)
-            if j > i and (j - i + 1) * rows * width > CELLS:
-                break
-            j += 1
-        yield order[i:j]
-        i = j
+class Squares:
+    """Sums of pairs of positions, in squares of bounded size."""
+
+    def __init__(self):
+        self.sums: dict[tuple[int, int, int], np.ndarray] = {}
+
+    def add(self, tid: int, at: np.ndarray, windows: np.ndarray, inside: np.ndarray) -> None:
+        """Reads of one reference: positions ``at`` of their windows (3, reads, positions), where ``inside``."""
+        row, col = np.nonzero(inside)
+        pos, values = at[row, col], windows[:, row, col]
+        tile, dense = pos // SQUARE, {}
+        for t in np.unique(tile):
+            own = tile == t
+            who, back = np.unique(row[own], return_inverse=True)
+            part = np.zeros((3, len(who), SQUARE))
+            part[:, back, pos[own] - t * SQUARE] = values[:, own]
+            dense[int(t)] = who, part
+        for a in dense:
+            for b in dense:
+                if a <= b:
+                    both, left, right = np.intersect1d(dense[a][0], dense[b][0], assume_unique=True, return_indices=True)
+                    if len(both):
+                        (c, s, m), (d, t, u) = dense[a][1][:, left], dense[b][1][:, right]
+                        self.sums[tid, a, b] = self.sums.get((tid, a, b), 0) + np.stack([s.T @ t, m.T @ t, s.T @ u, m.T @ u, c.T @ d])
+
+    def taken(self) -> Iterator[pa.RecordBatch]:
+        for (tid, a, b), found in self.sums.items():
+            i, j = np.nonzero(np.triu(found[0] > 0) if a == b else found[0] > 0)
+            if len(i):
+                yield _rows("pair", tid, i + a * SQUARE, j + b * SQUARE, *found[:, i, j])
+        self.sums = {}
 
 
 _OUT = "kind string, tid int, i int, j int, a double, b double, c double, d double, e double"
 _COLUMNS = [x.split()[0] for x in _OUT.split(", ")]
 
 
-def counts(reads: DataFrame, references: DataFrame, band: int = 2, model: Model | None = None, min_phred: int = 0, pairs: bool = False) -> DataFrame:
+def _rows(kind: str, tid, i, j, *values) -> pa.RecordBatch:
+    n = len(np.atleast_1d(i))
+    whole = lambda x, t: pa.array(np.broadcast_to(np.asarray(x, t), n))
+    return pa.RecordBatch.from_arrays([pa.array([kind] * n), whole(tid, np.int32), whole(i, np.int32), whole(j, np.int32), *(whole(v, np.float64) for v in values)], names=_COLUMNS)
+
+
+def counts(reads: DataFrame, references: DataFrame, band: int = 2, model: Model | None = None, min_phred: int = 0, pairs: bool = False, bands: str | None = None) -> DataFrame:
     """What accepted reads contribute, summed by task: rows of ``kind`` ``pos`` (tid, position i: coverage, span, mutations), ``read`` (tid: reads with a path, and without) and, if asked, ``pair`` (tid, positions i <= j: five sums).
 
-    Only the stretch of the reference that a read's band can touch goes to the task with it.
+    Only the stretch of the reference that a read's band can touch goes to the task with it. ``bands`` names a column of arrays with
+    a half-width for each row of the band, one before the first placed base and one after each, in place of ``band``.
     """
     model = model or Model()
-    start = F.greatest(F.col("pos") - (band + 1), F.lit(0))
-    stretch = F.substring(F.col("ref_seq"), (start + 1).cast("int"), (reference_span(F.col("cigar")) + 2 * band + 4).cast("int"))
-    joined = reads.select("tid", "pos", "cigar", "seq", "qual").join(references.select("tid", F.col("seq").alias("ref_seq"), F.col("len").alias("ref_len")), "tid")
-    sent = joined.select("tid", "pos", "cigar", "seq", "qual", stretch.alias("stretch"), start.alias("stretch_from"), "ref_len")
-
-    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            lengths: dict[int, int] = {}
-            reads = []
-            for tid, pos, cigar, seq, qual, ref, ref_from, ref_len in frame.itertuples(index=False, name=None):
-                first, last, lead, tail = places(cigar, pos)
-                end = len(seq) - tail
-                reads.append((tid, pos, first, last, seq[lead:end], None if qual is None or qual != qual else qual[lead:end], ref, ref_from, ref_len))
-                lengths[tid] = ref_len
-            sums: dict[str, list] = {"key": [], "tid": [], "pos": [], "v": []}
-            status: dict[int, list[int]] = {}
-            pair_sums: dict[int, np.ndarray] = {}
-            for part in _batches(reads, band):
-                batch = Batch(part, band, min_phred)
-                windows, path = posteriors(batch, model)
-                tids = np.array([r[0] for r in part])
+    half = F.lit(band) if bands is None else F.array_max("band")
+    lens = F.transform(F.regexp_extract_all("cigar", F.lit("([0-9]+)[MIDNSHP=X]"), F.lit(1)), lambda x: x.cast("int"))
+    kinds = F.regexp_replace("cigar", "[^MIDNSHP=X]", "")
+    needed = reads.select("tid", "pos", "cigar", "seq", "qual", *([F.col(bands).alias("band")] if bands else []))
+    sent = with_stretch(needed, references, F.col("pos") - (half + 1), reference_span(F.col("cigar")) + 2 * half + 4)
+    sent = sent.select("tid", "pos", kinds.alias("kinds"), lens.alias("lens"), ascii_only(F.col("seq"), "N").alias("seq"), ascii_only(F.col("qual"), "?").alias("qual"), "stretch", "stretch_from", "ref_len", *(["band"] if bands else []))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squares = Squares()
+        for arrow in batches:
+            if not arrow.num_rows:
+                continue
+            all_reads = Reads(arrow)
+            keys, values, paths = [], [], np.zeros(all_reads.n, bool)
+            for chosen in all_reads.batches(0 if bands else band):
+                batch = Batch(all_reads, chosen, 0 if bands else band, min_phred, model.modification)
+                windows, paths[chosen] = posteriors(batch, model)
                 at = batch.origin[:, None] + np.arange(batch.window)
-                inside = path[:, None] & (at >= 0) & (at < batch.ref_len[:, None]) & (windows[1] > 0)
-                for k, tid in enumerate(tids):
-                    status.setdefault(int(tid), [0, 0])[0 if path[k] else 1] += 1
-                sums["tid"].append(np.broadcast_to(tids[:, None], at.shape)[inside])
-                sums["pos"].append(at[inside])
-                sums["v"].append(windows[:, inside])
+                inside = paths[chosen][:, None] & (at >= 0) & (at < batch.ref_len[:, None]) & (windows[1] > 0)
+                tids = all_reads.tid[chosen]
+                # Sums of a batch at once: few positions come again and again.
+                key, back = np.unique((tids[:, None] << 40 | np.maximum(at, 0))[inside], return_inverse=True)
+                keys.append(key), values.append(np.stack([np.bincount(back, v[inside], len(key)) for v in windows]))
                 if pairs:
                     for tid in np.unique(tids):
-                        mine, size = tids == tid, lengths[int(tid)]
-                        dense = np.zeros((3, int(mine.sum()), size))
-                        row, col = np.nonzero(inside[mine])
-                        dense[:, row, at[mine][row, col]] = windows[:, mine][:, row, col]
-                        c, s, m = dense
-                        found = np.stack([s.T @ s, m.T @ s, s.T @ m, m.T @ m, c.T @ c])
-                        pair_sums[int(tid)] = pair_sums.get(int(tid), 0) + found
-            tid, pos, v = np.concatenate(sums["tid"]), np.concatenate(sums["pos"]), np.concatenate(sums["v"], axis=1)
-            key, back = np.unique(tid.astype(np.int64) << 40 | pos, return_inverse=True)
-            total = [np.bincount(back, x, len(key)) for x in v]
-            nothing = np.zeros(len(key))
-            yield pd.DataFrame(dict(zip(_COLUMNS, ("pos", key >> 40, key & ((1 << 40) - 1), 0, *total, nothing, nothing), strict=True)))
-            yield pd.DataFrame([("read", t, 0, 0, float(good), float(bad), 0.0, 0.0, 0.0) for t, (good, bad) in status.items()], columns=_COLUMNS)
-            for t, found in pair_sums.items():
-                i, j = np.nonzero(np.triu(found[0] > 0))
-                yield pd.DataFrame(dict(zip(_COLUMNS, ("pair", t, i, j, *found[:, i, j]), strict=True)))
-
-    return sent.mapInPandas(counted, _OUT)
+                        mine = tids == tid
+                        squares.add(int(tid), at[mine], windows[:, mine], inside[mine])
+                        if len(squares.sums) > SQUARES:
+                            yield from squares.taken()
+            key, back = np.unique(np.concatenate(keys), return_inverse=True)
+            total = [np.bincount(back, x, len(key)) for x in np.concatenate(values, axis=1)]
+            yield _rows("pos", key >> 40, key & ((1 << 40) - 1), 0, *total, 0.0, 0.0)
+            tids, back = np.unique(all_reads.tid, return_inverse=True)
+            good = np.bincount(back, paths, len(tids))
+            yield _rows("read", tids, np.zeros(len(tids)), 0, good, np.bincount(back, minlength=len(tids)) - good, 0.0, 0.0, 0.0)
+        yield from squares.taken()
+
+    return sent.mapInArrow(counted, _OUT)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import MODIFICATION, cigar_ops, phred_error, share_if_other, share_if_same
+from ..functions import scalars
+from ..functions.scalars import cigar_ops, reference_span
+from ..joins import with_stretch
 
 
 _GAP = "DN"
@@ -40,8 +42,10 @@ def only_path(ops: Column) -> Column:
 
 
 def placed(reads: DataFrame, references: DataFrame) -> DataFrame:
-    """Accepted reads with the operations of their path, their reference, and whether the path is inside the reference. Tangled reads are for the model itself."""
-    joined = reads.join(references.select("tid", F.col("seq").alias("ref_seq"), F.col("len").alias("ref_len")), "tid").filter(~is_tangled(F.col("cigar")))
+    """Accepted reads with the operations of their path, the stretch of their reference under it, and whether the path is inside the reference. Tangled reads are for the model itself."""
+    plain = reads.filter(~is_tangled(F.col("cigar"))).select("tid", "pos", "cigar", "seq", "qual")
+    # The path of touching operations is no longer than their alignment and one base.
+    joined = with_stretch(plain, references, F.col("pos"), reference_span(F.col("cigar")) + 1)
     # A generator of one row keeps the parsed operations from being computed again for each use.
     ops = joined.withColumn("own_ops", F.explode(F.array(cigar_ops(F.col("cigar"), F.col("pos")))))
     ops = ops.withColumn("ops", F.explode(F.array(F.when(F.col("cigar").rlike(_TOUCHING), only_path(F.col("own_ops"))).otherwise(F.transform("own_ops", lambda o: F.struct(o["op"].alias("op"), o["len"].cast("int").alias("len"), o["query"].cast("int").alias("query"), o["ref"].cast("bigint").alias("ref"))))))).drop("own_ops")
@@ -49,38 +53,53 @@ def placed(reads: DataFrame, references: DataFrame) -> DataFrame:
     return ops.withColumn("has_path", ~outside)
 
 
-def contributions(reads: DataFrame, substitution: float = 1.0, deletion: float = 1.0, insertion: float = 0.0, min_phred: int = 0, modification: float = MODIFICATION) -> DataFrame:
+def shares(min_phred: int, modification: float) -> tuple[list[float], list[float]]:
+    """By quality, 0-222, and last without one: the chance that a base was modified, if it reads like its reference, and if not."""
+    errors = [scalars.WORST_ERROR if q < min_phred else min(scalars.WORST_ERROR, 10 ** (-q / 10)) for q in range(223)] + [0.0]
+    m = modification
+    same = [(1 - m) * (1 - e) + m * e / 3 for e in errors]
+    other = [(1 - m) * e / 3 + m * (1 - e / 3) / 3 for e in errors]
+    return [m * e / 3 / s if s else 0.0 for e, s in zip(errors, same, strict=True)], [m * (1 - e / 3) / 3 / o if o else 0.0 for e, o in zip(errors, other, strict=True)]
+
+
+def contributions(reads: DataFrame, substitution: float = 1.0, deletion: float = 1.0, insertion: float = 0.0, min_phred: int = 0, modification: float = scalars.MODIFICATION) -> DataFrame:
     """``tid, pos, coverage, spanned, mutations`` of each base of ``placed`` reads that have a path.
 
     A base counts 1 for coverage and span and its chance of a modification; each base of a deletion counts for span, its last
     as a mutation; an insertion counts, by its weight, for the base after it. Deletions at the ends count for nothing.
+    An operation's letters are cut out of read, reference and qualities as three lists and generated together, so a generated row
+    holds three letters.
     """
-    op = F.col("o.op")
-    letters = F.struct(_letters("seq").alias("seq"), _letters("ref_seq").alias("ref"), F.split("qual", "").alias("qual"))
-    each = reads.filter("has_path").select("tid", "ref_len", "ops", F.explode(F.array(letters)).alias("x")).select("tid", "ref_len", "ops", "x", F.posexplode("ops").alias("at", "o"))
+    op, n = F.col("o.op"), F.col("o.len")
+    each = reads.filter("has_path").select("tid", "ref_len", "ops", "seq", "qual", "stretch", "stretch_from", F.posexplode("ops").alias("at", "o"))
     between = F.exists(F.slice("ops", 1, F.col("at")), lambda o: F.lit("MI=X").contains(o["op"])) & F.exists(F.slice("ops", F.col("at") + 2, F.size("ops")), lambda o: F.lit("MI=X").contains(o["op"]))
-    counts = op.isin("M", "=", "X") | (op.isin("D", "N") & between) | ((op == "I") & F.lit(insertion > 0))
-    bases = each.filter(counts).select("tid", "ref_len", "x", "o", F.explode(F.sequence(F.lit(0), F.when(op == "I", 0).otherwise(F.col("o.len") - 1))).alias("k"))
-    query, pos = F.col("o.query") + F.col("k"), F.col("o.ref") + F.col("k")
-    named = bases.select(
-        "tid", "ref_len", pos.cast("int").alias("pos"), op.isin("M", "=", "X").alias("is_base"), op.isin("D", "N").alias("is_gap"), (F.col("k") == F.col("o.len") - 1).alias("is_last"),
-        F.get("x.seq", query).alias("read_base"), F.get("x.ref", pos.cast("int")).alias("ref_base"), (F.ascii(F.get("x.qual", query)) - 33).alias("quality"),
-    ).withColumn("error", phred_error(F.col("quality"), min_phred))
-    known = F.col("read_base").isin(*"ACGT") & F.col("ref_base").isin(*"ACGT")
-    share = F.when(~known, 0.0).when(F.col("read_base") == F.col("ref_base"), share_if_same(F.col("error"), modification)).otherwise(share_if_other(F.col("error"), modification))
+    is_base, is_gap = op.isin("M", "=", "X"), op.isin("D", "N")
+    cut = lambda text, begin: F.substring(text, (begin + 1).cast("int"), n)
+    letters = lambda text: F.split(F.translate(text, "acgtuU", "ACGTTT"), "")
+    spelled = F.arrays_zip(
+        letters(cut(F.col("seq"), F.col("o.query"))).alias("read"), letters(cut(F.col("stretch"), F.col("o.ref") - F.col("stretch_from"))).alias("ref"),
+        F.split(F.coalesce(cut(F.col("qual"), F.col("o.query")), F.lit("")), "").alias("qual"),
+    )
+    nothing = F.struct(*(F.lit(None).cast("string").alias(c) for c in ("read", "ref", "qual")))
+    kept = each.filter(is_base | (is_gap & between) | ((op == "I") & F.lit(insertion > 0)))
+    bases = kept.select(
+        "tid", "ref_len", F.col("o.ref").alias("ref"), n.alias("n"), is_base.alias("is_base"), is_gap.alias("is_gap"),
+        F.posexplode(F.when(is_base, spelled).otherwise(F.array_repeat(nothing, F.when(is_gap, n).otherwise(1)))).alias("k", "b"),
+    ).filter((F.col("k") < F.col("n")) | ~F.col("is_base"))
+    pos = (F.col("ref") + F.col("k")).cast("int")
+    same, other = (F.array(*map(F.lit, table)) for table in shares(min_phred, modification))
+    quality = F.when(F.coalesce(F.col("b.qual"), F.lit("")) == "", 223).otherwise(F.least(F.ascii("b.qual") - 33, F.lit(222)))
+    known = F.col("b.read").isin(*"ACGT") & F.col("b.ref").isin(*"ACGT")
+    share = F.when(~known, 0.0).when(F.col("b.read") == F.col("b.ref"), F.get(same, quality)).otherwise(F.get(other, quality))
+    named = bases.select("tid", pos.alias("pos"), "ref_len", "is_base", "is_gap", (F.col("k") == F.col("n") - 1).alias("is_last"), share.alias("share"))
     return named.filter((F.col("pos") >= 0) & (F.col("pos") < F.col("ref_len"))).select(
         "tid", "pos",
         F.when(F.col("is_base"), 1.0).otherwise(0.0).alias("coverage"),
         F.when(F.col("is_base") | F.col("is_gap"), 1.0).otherwise(insertion).alias("spanned"),
-        F.when(F.col("is_base"), substitution * share).when(F.col("is_gap"), F.when(F.col("is_last"), deletion).otherwise(0.0)).otherwise(insertion).alias("mutations"),
+        F.when(F.col("is_base"), substitution * F.col("share")).when(F.col("is_gap"), F.when(F.col("is_last"), deletion).otherwise(0.0)).otherwise(insertion).alias("mutations"),
     )
 
 
-def _letters(column: str) -> Column:
-    """Single letters, bases in upper case; upper() might change the number of others."""
-    return F.split(F.translate(column, "acgtuU", "ACGTTT"), "")
-
-
 def pileup(reads: DataFrame, references: DataFrame, **options) -> DataFrame:
     """``tid, pos`` and the sums of what accepted reads contribute, tangled ones apart; sums are partly made before the shuffle, so one deep reference is no hot group."""
     return contributions(placed(reads, references), **options).groupBy("tid", "pos").agg(*(F.sum(c).alias(c) for c in ("coverage", "spanned", "mutations")))

@@ -90,12 +90,16 @@ def to_dense(table: DataFrame, references: DataFrame, field: str, fill, kind: st
     return rows.select("tid", F.concat("own", F.array_repeat(F.lit(fill).cast(kind), F.lit(cap) - F.size("own"))).alias("values"))
 
 
-def count_along_alignments(alignments: DataFrame, references: DataFrame, rule: filters.ReadFilter | None = None, min_depth: float = 1.0, **options) -> DataFrame:
-    """The profile with a band of nothing, in closed form. Only reads whose insertions and deletions touch in ways that leave several paths go through the model."""
-    good = filters.mapped(alignments).filter(filters.accepted(rule or filters.ReadFilter()))
+def tangled_contributions(good: DataFrame, references: DataFrame, **options) -> DataFrame:
+    """``tid, pos, coverage, spanned, mutations`` of accepted reads that the closed form leaves out, by the model with a band of nothing, summed by task."""
     weights = {f"{k}_weight": v for k, v in options.items() if k in ("substitution", "deletion", "insertion")}
     model = hmm.Model(**weights, modification=options.get("modification", hmm.Model.modification))
     parts = hmm.counts(good.filter(is_tangled(F.col("cigar"))), references, 0, model, options.get("min_phred", 0)).filter("kind = 'pos'")
-    tangled = parts.select("tid", F.col("i").alias("pos"), F.col("a").alias("coverage"), F.col("b").alias("spanned"), F.col("c").alias("mutations"))
-    both = pileup(good, references, **options).unionByName(tangled)
+    return parts.select("tid", F.col("i").alias("pos"), F.col("a").alias("coverage"), F.col("b").alias("spanned"), F.col("c").alias("mutations"))
+
+
+def count_along_alignments(alignments: DataFrame, references: DataFrame, rule: filters.ReadFilter | None = None, min_depth: float = 1.0, **options) -> DataFrame:
+    """The profile with a band of nothing, in closed form. Only reads whose insertions and deletions touch in ways that leave several paths go through the model."""
+    good = filters.mapped(alignments).filter(filters.accepted(rule or filters.ReadFilter()))
+    both = pileup(good, references, **options).unionByName(tangled_contributions(good, references, **options))
     return profile(references, both.groupBy("tid", "pos").agg(*(F.sum(c).alias(c) for c in ("coverage", "spanned", "mutations"))), min_depth)

@@ -28,9 +28,10 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents cut into reads of 100 letters, with awkward flags, qualities and alignments by turns."""
     lang = F.when(F.col("lang") == "de", 0).when(F.col("lang") == "en", 1).when(F.col("lang") == "es", 2).otherwise(3)
     # A generator of one row: else the optimiser translates the whole text again for each read.
-    coded = table(spark, sf_dir, "documents").select("doc_id", lang.alias("tid"), F.explode(F.array(F.translate("text", LETTERS, BASES))).alias("coded"))
-    last = F.floor((F.length("coded") - 1) / READ).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("coded", i * READ + 1, F.lit(READ)))
+    # A small table is one row group, and so one task: its documents are dealt out before they become many reads.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    coded = docs.select("doc_id", lang.alias("tid"), F.explode(F.array(F.translate("text", LETTERS, BASES))).alias("coded"))
+    cut = F.regexp_extract_all("coded", F.lit(f"(?s).{{1,{READ}}}"), F.lit(0))  # in one pass over the text
     reads = coded.filter(F.length("coded") > 0).select("doc_id", "tid", F.posexplode(cut).alias("chunk", "seq"))
     n, k = F.length("seq"), F.col("doc_id") + F.col("chunk")
     op = lambda *parts: F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..operators import filters
 from ..operators.pileup import contributions, placed
+from ..operators.profile import tangled_contributions
 
 
 def read_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,9 +17,9 @@ def read_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def running_sums(alignments: DataFrame, references: DataFrame, rule: filters.ReadFilter | None = None, **options) -> DataFrame:
-    """Sums by position over all that has arrived. Sums commute, so no order and no watermark is needed; the state has a row a position. Tangled reads are left to batch runs."""
+    """Sums by position over all that has arrived. Sums commute, so no order and no watermark is needed; the state has a row a position. Tangled reads go through the model in each micro-batch."""
     good = filters.mapped(alignments).filter(filters.accepted(rule or filters.ReadFilter()))
-    each = contributions(placed(good, references), **options)
+    each = contributions(placed(good, references), **options).unionByName(tangled_contributions(good, references, **options))
     return each.groupBy("tid", "pos").agg(*(F.sum(c).alias(c) for c in ("coverage", "spanned", "mutations")))
 
 

@@ -2,14 +2,18 @@
 
 import hashlib
 import math
+import re
 import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from profilewright import joins
 from profilewright.operators import filters, hmm, profile, verify
 from profilewright.operators.pileup import is_tangled, pileup
 from profilewright.schema import ALIGNMENTS, REFERENCES
@@ -61,7 +65,7 @@ CIGARS = ["10M", "4M2D6M", "4M3I3M", "2S8M", "4M2I1D4M", "4M1D2I4M", "3M1I1D6M",
 
 
 def random_read(rng, cigar, pos):
-    n = sum(int(k) for k, op in hmm._OP.findall(cigar) if op in "MIS=X")
+    n = sum(int(k) for k, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar) if op in "MIS=X")
     return (0, pos, 0, 60, cigar, "".join(rng.choice(list("ACGTN"), n)), "".join(chr(33 + int(q)) for q in rng.integers(2, 41, n)))
 
 
@@ -74,7 +78,10 @@ def test_closed_form_is_the_model_without_a_band(spark, weights):
     model = hmm.Model(substitution_weight=weights[0], deletion_weight=weights[1], insertion_weight=weights[2])
     parts = hmm.counts(reads, refs, band=0, model=model, min_phred=5).collect()
     a = {r["pos"]: (r["coverage"], r["spanned"], r["mutations"]) for r in closed.collect()}
-    b = {r["i"]: (r["a"], r["b"], r["c"]) for r in parts if r["kind"] == "pos"}
+    b = {}
+    for r in parts:
+        if r["kind"] == "pos":
+            b[r["i"]] = b.get(r["i"], 0) + np.array([r["a"], r["b"], r["c"]])  # each task has its own sums
     assert a.keys() == b.keys() and len(a) > 10
     for pos in a:
         assert np.allclose(a[pos], b[pos], atol=1e-9), pos
@@ -88,10 +95,13 @@ def test_tangled_reads_are_told(spark):
     assert {r[0]: r[1] for r in rows.select("cigar", is_tangled(F.col("cigar"))).collect()} == cases
 
 
-def window(cigar, ref, seq, band, pos=0, **weights):
-    f, s, lead, tail = hmm.places(cigar, pos)
-    read = (0, pos, f, s, seq[lead : len(seq) - tail], "I" * (len(seq) - lead - tail), ref, 0, len(ref))
-    batch = hmm.Batch([read], band, 0)
+def window(cigar, ref, seq, band, pos=0, qual=None, bands=None, **weights):
+    """One read alone through the arrays of the model."""
+    columns = {"tid": [0], "pos": [pos], "kinds": [re.sub("[0-9]", "", cigar)], "lens": pa.array([[int(x) for x in re.findall("[0-9]+", cigar)]], pa.list_(pa.int32())), "seq": [seq], "qual": [qual or "I" * len(seq)], "stretch": [ref], "stretch_from": [0], "ref_len": [len(ref)]}
+    if bands:
+        columns["band"] = pa.array([bands], pa.list_(pa.int32()))
+    reads = hmm.Reads(pa.RecordBatch.from_pydict(columns))
+    batch = hmm.Batch(reads, np.array([0]), band, 0, hmm.Model(**weights).modification)
     out, path = hmm.posteriors(batch, hmm.Model(**weights))
     full = np.zeros((3, len(ref)))
     at = batch.origin[0] + np.arange(batch.window)
@@ -100,6 +110,144 @@ def window(cigar, ref, seq, band, pos=0, **weights):
     return full, bool(path[0])
 
 
+def brute_places(cigar, pos):
+    """After each placed base, and before the first, the reference bases passed: before and after a deletion there. And the clipped bases at either end."""
+    ops = [(int(n), op) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
+    lead = tail = 0
+    while ops and ops[0][1] in "SHP":
+        n, op = ops.pop(0)
+        lead += n * (op == "S")
+    while ops and ops[-1][1] in "SHP":
+        n, op = ops.pop()
+        tail += n * (op == "S")
+    first, last, at = [pos], [pos], pos
+    for n, op in ops:
+        for _ in range(n if op in "MI=X" else 0):
+            at += op != "I"
+            first.append(at), last.append(at)
+        if op in "DN":
+            at += n
+            last[-1] = at
+    return first, last, lead, tail
+
+
+def brute_window(cigar, ref, seq, band, pos=0, qual=None, bands=None, model=None):
+    """The recurrences cell by cell, in plain probabilities without scaling: three lists of sums by position, or None without a path."""
+    model = model or hmm.Model()
+    mi, md, ii, dd, mod = model.open_insertion, model.open_deletion, model.extend_insertion, model.extend_deletion, model.modification
+    mm, im, dm = 1 - mi - md, 1 - ii, 1 - dd
+    first, last, lead, tail = brute_places(cigar, pos)
+    bases, quals = seq[lead : len(seq) - tail].upper().replace("U", "T"), (qual or "I" * len(seq))[lead : len(seq) - tail]
+    n = len(bases)
+    half = bands or [band] * (n + 1)
+    cells = [range(f - h, s + h + 1) for f, s, h in zip(first, last, half)]
+
+    def emission(i, j):
+        if not 1 <= j <= len(ref):
+            return 0.0, 0.0
+        a, b, e = bases[i - 1], ref[j - 1].upper().replace("U", "T"), min(0.75, 10 ** (-(ord(quals[i - 1]) - 33) / 10))
+        if a not in "ACGT" or b not in "ACGT":
+            return 0.25, 0.0
+        p = (1 - mod) * (1 - e) + mod * e / 3 if a == b else (1 - mod) * e / 3 + mod * (1 - e / 3) / 3
+        return p, (mod * e / 3 if a == b else mod * (1 - e / 3) / 3) / p
+
+    fm, fi, fd = {(0, j): 1 / len(cells[0]) for j in cells[0]}, {}, {}
+    for i in range(1, n + 1):
+        for j in cells[i]:
+            fm[i, j] = emission(i, j)[0] * (mm * fm.get((i - 1, j - 1), 0) + im * fi.get((i - 1, j - 1), 0) + dm * fd.get((i - 1, j - 1), 0))
+            fi[i, j] = 0.25 * (mi * fm.get((i - 1, j), 0) + ii * fi.get((i - 1, j), 0))
+            fd[i, j] = md * fm[i, j - 1] + dd * fd[i, j - 1] if i < n and j > cells[i][0] else 0.0
+    bm, bi, bd, step = {}, {}, {}, {}
+    for i in range(n, -1, -1):
+        for j in reversed(cells[i]):
+            if i == n:
+                bm[i, j], bi[i, j], bd[i, j] = 1.0, 1.0, 0.0
+                continue
+            p = emission(i + 1, j + 1)[0] * bm.get((i + 1, j + 1), 0) if j + 1 in cells[i + 1] else 0.0
+            q = 0.25 * bi.get((i + 1, j), 0) if j in cells[i + 1] else 0.0
+            after = bd.get((i, j + 1), 0.0) if i else 0.0
+            bm[i, j], bi[i, j], bd[i, j], step[i, j] = mm * p + mi * q + md * after, im * p + ii * q, dm * p + dd * after if i else 0.0, p
+    whole = sum(fm[0, j] * bm[0, j] for j in cells[0])
+    if not whole:
+        return None
+    sums = np.zeros((3, len(ref) + 1))
+
+    def add(k, at, x):
+        if 0 <= at < len(ref):
+            sums[k, at] += x / whole
+
+    for i in range(1, n + 1):
+        for j in cells[i]:
+            match, gap = fm[i, j] * bm[i, j], fd[i, j] * bd[i, j]
+            add(0, j - 1, match), add(1, j - 1, match + gap)
+            add(2, j - 1, model.substitution_weight * match * emission(i, j)[1] + model.deletion_weight * dm * fd[i, j] * step.get((i, j), 0))
+            opened = model.insertion_weight * mi * 0.25 * fm.get((i - 1, j), 0) * bi[i, j]
+            add(1, j, opened), add(2, j, opened)
+    return sums[:, :-1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.data())
+def test_the_arrays_are_the_recurrences(data):
+    """Any band, weights and awkward alignments, against the model cell by cell."""
+    rng = np.random.default_rng(data.draw(st.integers(0, 9999)))
+    cigar, band, pos = data.draw(st.sampled_from([*CIGARS, "2D5M3I", "3M2D1N4M", "1M1I1M1D1M", "5I5M", "10I", "3S4M3D2M1I3M2S"])), data.draw(st.integers(0, 4)), int(rng.integers(0, 14))
+    _, _, _, _, _, seq, qual = random_read(rng, cigar, pos)
+    ref = "".join(rng.choice(list("ACGTN"), 24, p=[0.24, 0.24, 0.24, 0.24, 0.04]))
+    model = hmm.Model(0.01, 0.02, 0.4, 0.3, 0.01, 0.7, 0.6, 0.5)
+    bands = [int(x) for x in rng.integers(0, 4, len(brute_places(cigar, pos)[0]))] if data.draw(st.booleans()) else None
+    got, path = window(cigar, ref, seq, 0 if bands else band, pos, qual, bands, **vars(model))
+    want = brute_window(cigar, ref, seq, band, pos, qual, bands, model)
+    assert path == (want is not None)
+    if path:
+        assert np.allclose(got, want, atol=1e-9)
+
+
+@pytest.mark.parametrize("bands", [None, "half"])
+def test_counts_and_pairs_are_sums_of_windows(spark, bands, monkeypatch):
+    """The whole job against the recurrences: sums by position, paths, and all pairs, in small squares."""
+    monkeypatch.setattr(hmm, "SQUARE", 7)
+    rng = np.random.default_rng(3)
+    refs = [REF, "".join(rng.choice(list("ACGT"), 31))]
+    rows = [(int(rng.integers(2)), *random_read(rng, c, int(p))[1:]) for c in [*CIGARS, "30M"] for p in (0, 2, 11)]
+    halves = [[int(x) for x in rng.integers(0, 3, len(brute_places(r[4], r[1])[0]))] for r in rows]
+    reads = reads_of(spark, rows).join(spark.createDataFrame(list(enumerate(halves)), "rec_no bigint, half array<int>"), "rec_no")
+    parts = hmm.counts(reads.repartition(3), refs_of(spark, *refs), 2, pairs=True, bands=bands).collect()
+    sums, pairs, status = {}, {}, {0: [0, 0], 1: [0, 0]}
+    for (tid, pos, _, _, cigar, seq, qual), half in zip(rows, halves):
+        w = brute_window(cigar, refs[tid], seq, 2, pos, qual, half if bands else None)
+        status[tid][w is None] += 1
+        if w is not None:
+            at = np.flatnonzero(w[1] > 0)
+            for i in at:
+                sums[tid, i] = sums.get((tid, i), 0) + w[:, i]
+                for j in at[at >= i]:
+                    pairs[tid, i, j] = pairs.get((tid, i, j), 0) + np.array([w[1, i] * w[1, j], w[2, i] * w[1, j], w[1, i] * w[2, j], w[2, i] * w[2, j], w[0, i] * w[0, j]])
+    got = {}
+    for r in parts:
+        if r["kind"] == "pair":
+            got[r["tid"], r["i"], r["j"]] = got.get((r["tid"], r["i"], r["j"]), 0) + np.array([r[c] for c in "abcde"])
+    assert got.keys() == pairs.keys() and all(np.allclose(got[k], pairs[k], atol=1e-9) for k in got) and len(got) > 200
+    found = {}
+    for r in parts:
+        if r["kind"] == "pos":
+            found[r["tid"], r["i"]] = found.get((r["tid"], r["i"]), 0) + np.array([r[c] for c in "abc"])
+    assert found.keys() == sums.keys() and all(np.allclose(found[k], sums[k], atol=1e-9) for k in found)
+    assert {t: [sum(r["a"] for r in parts if r["kind"] == "read" and r["tid"] == t), sum(r["b"] for r in parts if r["kind"] == "read" and r["tid"] == t)] for t in status} == status
+
+
+@pytest.mark.parametrize("broadcast", [1 << 26, 0])
+def test_reads_find_their_stretch_of_long_references(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(joins, "STRETCH", 8), monkeypatch.setattr(joins, "BROADCAST_BASES", broadcast)
+    rng = np.random.default_rng(1)
+    refs = ["".join(rng.choice(list("ACGT"), n)) for n in (1, 7, 8, 9, 40, 100)]
+    rows = [(int(t), int(p), 0, 60, "5M", "GATTA", None) for t in range(7) for p in (0, 3, 7, 8, 15, 16, 39, 120)]
+    for n in (1, 5, 8, 9, 30, 200):
+        for r in joins.with_stretch(reads_of(spark, rows), refs_of(spark, *refs), F.col("pos") - 2, F.lit(n)).collect():
+            ref, start = refs[r["tid"]] if r["tid"] < 6 else "", max(0, r["pos"] - 2)
+            assert (r["stretch"], r["stretch_from"]) == (ref[start : start + n], start) and r["ref_len"] in (len(ref), 0 if start >= len(ref) else len(ref))
+
+
 @pytest.mark.parametrize("run", [10, 30])
 @pytest.mark.parametrize("gap", [1, 2, 3])
 def test_gap_placements_in_a_homopolymer_agree_within_the_band(run, gap):
@@ -202,13 +350,18 @@ def test_parameters_round_trip_and_refuse():
 
 
 def test_streaming_sums_equal_batch_sums(spark, tmp_path):
+    """Over several files, tangled reads among them: as the model without a band counts all."""
     from profilewright.streaming import counts
 
-    refs, reads = synthetic.generate(spark, synthetic.Options(references=2, length="60", reads="8", span="20:60"))
+    rng = np.random.default_rng(8)
+    refs = refs_of(spark, REF * 3)
+    reads = reads_of(spark, [random_read(rng, c, int(p)) for c in [*CIGARS, "4M1I1D1I4M", "3S1I1D5M", "5M2I2D"] for p in (0, 20, 40)])
     reads.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = counts.running_sums(counts.read_stream(spark, str(tmp_path / "in")), refs)
+    stream = counts.running_sums(counts.read_stream(spark, str(tmp_path / "in")), refs, min_phred=5)
     q = stream.writeStream.format("memory").queryName("sums").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    good = filters.mapped(reads).filter(filters.accepted(filters.ReadFilter()))
-    want = {(r["tid"], r["pos"]): round(r["mutations"], 9) for r in pileup(good, refs).collect()}
-    assert {(r["tid"], r["pos"]): round(r["mutations"], 9) for r in spark.table("sums").collect()} == want and want
+    want = {}
+    for r in hmm.counts(reads, refs, 0, min_phred=5).filter("kind = 'pos'").collect():
+        want[r["i"]] = want.get(r["i"], 0) + np.array([r["a"], r["b"], r["c"]])
+    got = {r["pos"]: np.array([r["coverage"], r["spanned"], r["mutations"]]) for r in spark.table("sums").collect()}
+    assert got.keys() == want.keys() and len(got) > 30 and all(np.allclose(got[k], want[k], atol=1e-9) for k in got)
