@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import materialize
+from ..joins import spread_join  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -23,7 +23,7 @@ def ascii_lower(text: Column) -> Column:
 def n_words(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; 0 for null."""
     one_blank = F.translate(text, "\t\n\x0b\x0c\r", "     ")
-    return F.coalesce(F.size(F.filter(F.split(one_blank, " "), lambda w: w != "")), F.lit(0)).cast("long")
+    return F.coalesce(F.size(F.array_remove(F.split(one_blank, " "), "")), F.lit(0)).cast("long")
 
 
 def private(df: DataFrame, name: str) -> str:
@@ -39,19 +39,3 @@ def with_results(df: DataFrame, results: Column, names: dict[str, str]) -> DataF
     held = private(df, "results")
     made = df.withColumn(held, results).drop(*names.values())
     return made.withColumns({column: F.col(f"{held}.{field}") for field, column in names.items()}).drop(held)
-
-
-def spread_join(large: DataFrame, small: DataFrame, on: list[str], name: str) -> DataFrame:
-    """Inner join on ``on`` where one key may hold any share of ``large``'s rows; ``small`` has few rows a key.
-
-    Keys with more than a 1/(4 * partitions) share of the rows are 4 * partitions at most, whatever the data: their rows of
-    ``small`` are broadcast, under that bound, and only the other keys are shuffled, none of which fills a task.
-    """
-    partitions = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = materialize(large.groupBy(*on).agg(F.count(F.lit(1)).alias("rows_of_key")), f"{name}-counts")
-    total = counts.agg(F.sum("rows_of_key")).first()[0] or 0
-    hot = materialize(counts.filter(F.col("rows_of_key") > max(1000, total // (4 * partitions))).select(*on), f"{name}-hot")
-    if not hot.head(1):
-        return large.join(small, on)
-    cold = large.join(F.broadcast(hot), on, "left_anti").join(small, on)
-    return cold.unionByName(large.join(F.broadcast(small.join(F.broadcast(hot), on)), on))

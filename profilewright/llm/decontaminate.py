@@ -1,7 +1,9 @@
 """Benchmark decontamination with DataFrame functions only.
 
-Test items become hashed windows of normalised words, broadcast as a hash set after a check of their number; every window of the
-training texts is hashed and probed inside the scan, hits are verified word by word there, and only hits are shuffled.
+Test items become windows of normalised words, broadcast as a hash set after a check of their number. A training text is probed
+at every fourth word: whatever window occurs there, the run of ten words that begins at the next such place lies inside it, so
+runs of ten words, hashed, find all windows with a quarter of the probes. Hits are verified word by word where they are found, and
+only hits, and a row of numbers a text, are shuffled.
 """
 
 from __future__ import annotations
@@ -9,26 +11,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, private, table
+from ..scratch import materialize
+from .common import LOWER, UPPER, private, spread_join, table
 
 WINDOW = 13
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows of test items that are broadcast at most (about 200 bytes each); above, the probe is a shuffled join.
-BROADCAST_WINDOWS = 500_000
+#: ASCII characters that part words; with A-Z lower-cased, the words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``.
+PARTING = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+#: Rows of the hash set that are broadcast at most (about 250 bytes each); above, the probe is a shuffled join.
+BROADCAST_ROWS = 500_000
+#: Tasks over which that join spreads a run of words, however common.
+SALTS = 16
+#: The code of a text's own row.
+OWN = 0
 
 
 def normal_words(text: Column) -> Column:
-    """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased; none for null."""
-    return F.coalesce(F.filter(F.split(ascii_lower(text), NOT_WORD), lambda w: w != ""), F.array().cast("array<string>"))
+    """Words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of the text with A-Z lower-cased; none for null."""
+    return F.coalesce(F.array_remove(F.split(F.translate(text, UPPER + PARTING, LOWER + " " * len(PARTING)), " "), ""), F.array().cast("array<string>"))
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``item_id, text`` to ``code, gram, item_ids``: distinct windows with the items that hold them. An item of fewer words, but not none, is one window."""
+    """``item_id, text`` to ``gram, item_ids``: distinct windows with the items that hold them. An item of fewer words, but not none, is one window."""
     words = items.select("item_id", F.explode(F.array(normal_words(F.col("text")))).alias("words")).filter(F.size("words") > 0)
     length = F.least(F.size("words"), F.lit(window))
     starts = F.sequence(F.lit(1), F.size("words") - length + 1)
     grams = words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i, length))).alias("gram"))
-    return grams.groupBy("gram").agg(F.collect_set(F.col("item_id").cast("string")).alias("item_ids")).withColumn("code", F.xxhash64("gram"))
+    return grams.groupBy("gram").agg(F.collect_set(F.col("item_id").cast("string")).alias("item_ids"))
+
+
+def probe_kinds(lengths: list[int], window: int) -> list[tuple[int, int, int]]:
+    """(window length, run of words that is hashed, distance between probes); windows of fewer words are probed at every word."""
+    step = max(1, window // 3)
+    return [(k, k - step + 1, step) if k == window else (k, k, 1) for k in lengths]
+
+
+def anchors(windows: DataFrame, kinds: list[tuple[int, int, int]]) -> DataFrame:
+    """``code, ahead, gram, item_ids``: the runs of each window that a probe may meet, and how many words of the window come before."""
+    runs = F.lit(None).cast("array<struct<ahead:int,code:bigint>>")
+    for k, run, step in kinds:
+        own = F.transform(F.sequence(F.lit(0), F.lit(step - 1)), lambda o: F.struct(o.alias("ahead"), F.xxhash64(F.slice("gram", o + 1, run)).alias("code")))  # noqa: B023
+        runs = F.when(F.size("gram") == k, own).otherwise(runs)
+    return windows.select(F.explode(runs).alias("r"), "gram", "item_ids").select("r.code", "r.ahead", "gram", "item_ids")
 
 
 def text_key() -> Column:
@@ -36,24 +59,52 @@ def text_key() -> Column:
     return F.struct(F.col("doc_id"), F.xxhash64("text").alias("code"), F.coalesce(F.length("text"), F.lit(-1)).alias("chars"))
 
 
-def code_at(k: int):
-    return lambda i: F.xxhash64(F.slice("words", i, k))
-
-
-def hits_of(docs: DataFrame, windows: DataFrame, lengths: list[int], broadcast: bool) -> DataFrame:
-    """``key, words`` to the verified hits ``key, at, length, item_ids``; ``at`` counts words from 0."""
+def probes(kinds: list[tuple[int, int, int]]) -> tuple[Column, Column]:
+    """Of an array ``words``: the codes to look up, the text's own first; and for a ``slot`` of it the word, from 0, where its run begins."""
     n = F.size("words")
-    count = lambda k: F.greatest(n - (k - 1), F.lit(0))
-    codes = [F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), code_at(k))).otherwise(F.array().cast("array<bigint>")) for k in lengths]
-    probes = docs.select("key", "words", F.posexplode(F.concat(*codes)).alias("slot", "code"))
-    at, length, before = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(0)
-    for k in lengths:  # the slots of each length follow each other
-        here = at.isNull() & (F.col("slot") < before + count(k))
-        at, length, before = F.when(here, F.col("slot") - before).otherwise(at), F.when(here, F.lit(k)).otherwise(length), before + count(k)
-    if len(lengths) == 1:
-        at, length = F.col("slot"), F.lit(lengths[0])
-    found = probes.join(F.broadcast(windows) if broadcast else windows, "code")
-    return found.select("key", "words", "gram", "item_ids", at.alias("at"), length.alias("length")).filter(F.slice("words", F.col("at") + 1, F.col("length")) == F.col("gram")).select("key", "at", "length", "item_ids")
+    codes, at, before = [F.array(F.lit(OWN).cast("bigint"))], F.lit(None).cast("int"), F.lit(1)
+    for k, run, step in kinds:
+        some = F.transform(F.sequence(F.lit(1), F.greatest(n - (run - 1), F.lit(1)), F.lit(step)), lambda i: F.xxhash64(F.slice("words", i, run)))  # noqa: B023
+        codes.append(F.when(n >= k, some).otherwise(F.array().cast("array<bigint>")))
+        count = F.when(n >= k, F.floor((n - run) / step).cast("int") + 1).otherwise(0)
+        at = F.when(at.isNull() & (F.col("slot") >= before) & (F.col("slot") < before + count), (F.col("slot") - before) * step).otherwise(at)
+        before = before + count  # the slots of each kind follow each other
+    return F.concat(*codes), at
+
+
+def verified(found: DataFrame) -> DataFrame:
+    """Rows ``key, words, start, first, gram, item_ids`` - the word where a window should start, and the number of the first of ``words`` - to ``key, n_words, span, item_ids`` of those whose words are the window's."""
+    here = F.col("start") - F.col("first")
+    same = (here >= 0) & (F.slice("words", F.greatest(here, F.lit(0)) + 1, F.size("gram")) == F.col("gram"))
+    return found.filter(same).select("key", F.lit(None).cast("long").alias("n_words"), F.struct(F.col("start").alias("at"), F.size("gram").alias("length")).alias("span"), "item_ids")
+
+
+def hits_of(docs: DataFrame, windows: DataFrame, kinds: list[tuple[int, int, int]], broadcast: bool) -> DataFrame:
+    """``key, words``, a row a text, to ``key, n_words, span, item_ids``: a row for each text, with its number of words, and one for each hit."""
+    codes, at = probes(kinds)
+    looked_up = anchors(windows, kinds)
+    if broadcast:
+        own = docs.sparkSession.range(1).select(F.lit(OWN).cast("bigint").alias("code"), F.lit(None).cast("int").alias("ahead"), F.lit(None).cast("array<string>").alias("gram"), F.lit(None).cast("array<string>").alias("item_ids"))
+        # Words stay where they are: a generated row goes on only if its code is in the hash set.
+        found = docs.select("key", "words", F.posexplode(codes).alias("slot", "code")).join(F.broadcast(looked_up.unionByName(own)), "code")
+        is_own, start = (F.col("slot") == 0) & F.col("gram").isNull(), at - F.col("ahead")
+        same = (F.col("slot") > 0) & (start >= 0) & (F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("gram")) == F.col("gram"))
+        return found.filter(is_own | F.coalesce(same, F.lit(False))).select(
+            "key", F.when(is_own, F.size("words").cast("long")).alias("n_words"), F.when(~is_own, F.struct(start.alias("at"), F.size("gram").alias("length"))).alias("span"), "item_ids"
+        )
+    # Only numbers are shuffled to be looked up; a stretch of words is fetched for each candidate.
+    looked_up = materialize(looked_up, "anchors")
+    salted = looked_up.select("code").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    probed = docs.select("key", F.posexplode(codes).alias("slot", "code")).filter("slot > 0").withColumn("salt", F.pmod(F.xxhash64("key", "slot"), F.lit(SALTS)).cast("int"))
+    met = probed.join(salted, ["code", "salt"], "left_semi").select("key", "slot", "code").distinct()
+    by_text = met.groupBy("key").agg(F.collect_list(F.struct("slot", "code")).alias("met")).withColumnRenamed("key", "met_key")  # a few numbers a word of the text
+    each = docs.join(by_text, F.col("key").eqNullSafe(F.col("met_key"))).select("key", "words", F.explode("met").alias("m")).select("key", "words", "m.slot", "m.code").withColumn("at", at)
+    longest = max(k for k, _, _ in kinds)
+    first = F.greatest(F.lit(0), F.col("at") - longest)
+    near = materialize(each.select("key", "code", "at", first.alias("first"), F.slice("words", first + 1, 2 * longest + 1).alias("words")), "candidates")
+    found = spread_join(near, looked_up, ["code"], "candidates").withColumn("start", F.col("at") - F.col("ahead"))
+    counted = docs.select("key", F.size("words").cast("long").alias("n_words"), F.lit(None).cast("struct<at:int,length:int>").alias("span"), F.lit(None).cast("array<string>").alias("item_ids"))
+    return counted.unionByName(verified(found))
 
 
 def covered_words(spans: Column) -> Column:
@@ -67,30 +118,27 @@ def covered_words(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda acc: acc["n"])
 
 
-def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: ``doc_id, key, n_words, n_hit, item_ids, spans``.
 
     ``spans`` are the hit ``(at, length)`` in word positions, sorted; ``item_ids`` the sorted ids, as strings, of items with an
     occurring window. ``key`` names the text of the row: (doc_id, hash and length of the text).
     Null or wordless texts, and an empty benchmark, have no hits; null doc_ids are kept; equal rows get equal results, a row each.
+    Other columns of either table don't matter.
     """
-    windows = item_windows(items, window)
-    counts = windows.groupBy(F.size("gram").alias("k")).count().collect()  # at most ``window`` rows
-    lengths = sorted(r["k"] for r in counts)
-    key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("code"), F.coalesce(F.length("text"), F.lit(-1)).alias("chars"))
+    windows = materialize(item_windows(items, window), "windows")
+    counts = windows.groupBy(F.size("gram").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("item_ids")).alias("ids")).collect()  # at most ``window`` rows
+    kinds = probe_kinds(sorted(r["k"] for r in counts), window)
+    step_of = {k: step for k, _, step in kinds}
+    rows = sum(max(r["n"], r["ids"]) * step_of[r["k"]] for r in counts)
     # A generator of one row: the optimiser can't copy the splitting of the text into the lambda of every window.
-    keyed = docs.select("doc_id", key.alias("key"), F.explode(F.array(normal_words(F.col("text")))).alias("words"))
-    sizes = keyed.select("doc_id", "key", F.size("words").cast("long").alias("n_words"))
-    nothing = F.array().cast("array<string>"), F.array().cast("array<struct<at:int,length:int>>")
-    if not lengths:
-        return sizes.select("doc_id", "key", "n_words", F.lit(0).cast("long").alias("n_hit"), nothing[0].alias("item_ids"), nothing[1].alias("spans"))
-    hits = hits_of(keyed.select("key", "words"), windows, lengths, sum(r["count"] for r in counts) <= broadcast_windows)
-    per_doc = hits.groupBy(F.col("key").alias("hit_key")).agg(  # at most a few rows a word of the document
-        F.array_sort(F.collect_set(F.struct("at", "length"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids")
-    ).withColumn("n_hit", covered_words(F.col("spans")))
-    return sizes.join(per_doc, sizes["key"].eqNullSafe(F.col("hit_key")), "left").select(
-        "doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", nothing[0]).alias("item_ids"), F.coalesce("spans", nothing[1]).alias("spans")
+    keyed = docs.select(text_key().alias("key"), F.explode(F.array(normal_words(F.col("text")))).alias("words"))
+    found = hits_of(keyed, windows, kinds, rows <= broadcast_rows)
+    per_text = found.groupBy("key").agg(  # at most a few rows a word of the text; equal rows meet partly before the shuffle
+        F.count("n_words").alias("copies"), F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids")
     )
+    each = per_text.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return each.select("key.doc_id", "key", "n_words", covered_words(F.col("spans")).alias("n_hit"), "item_ids", "spans")
 
 
 def is_contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -108,12 +156,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, clean_words``: the normalised words of every row without those that are hit."""
     found = scan(docs, items, window)
-    key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("code"), F.coalesce(F.length("text"), F.lit(-1)).alias("chars"))
-    words = docs.select(key.alias("word_key"), normal_words(F.col("text")).alias("words")).dropDuplicates(["word_key"])
+    words = docs.select(text_key().alias("word_key"), normal_words(F.col("text")).alias("words")).dropDuplicates(["word_key"])
     hit = F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["length"] - 1)))
-    joined = found.join(words, found["key"].eqNullSafe(F.col("word_key"))).withColumn("hit", hit)
-    places = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda p: ~F.array_contains("hit", p["i"]))
-    return joined.select("doc_id", F.transform(places, lambda p: p["w"]).alias("clean_words"))
+    joined = found.join(words, found["key"].eqNullSafe(F.col("word_key")))
+    kept = F.when(F.size("words") > 0, F.array_except(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0))), hit)).otherwise(F.array().cast("array<int>"))
+    return joined.select("doc_id", F.transform(kept, lambda i: F.get("words", i)).alias("clean_words"))
 
 
 def op10_decontaminate(spark, sf_dir):
