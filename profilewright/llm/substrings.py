@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spread_join, table
 from .textops import Hasher, find_words, first_of_runs, inside, mixed, text_slices
 
 WINDOW = 13
-#: Halving the window stops at this length; shorter windows repeat by chance.
-LEAST = 7
+#: Halving the window stops at this length or below.
+LEAST = 4
 #: Windows that a task settles among themselves before it sends them on.
 FLUSH = 1 << 20
 
@@ -204,7 +204,7 @@ def later_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, codes``: hashes of those texts of a document that a document with a smaller id has as a whole."""
     codes = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("code"), F.xxhash64(F.lit("again"), "text").alias("code2"))
     firsts = codes.groupBy("code", "code2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("other")).filter("first < other")
-    return codes.join(firsts, ["code", "code2"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("code").alias("codes"))
+    return spread_join(codes, firsts, ["code", "code2"], "whole-copies").filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("code").alias("codes"))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, least: int = LEAST, flush: int = FLUSH) -> DataFrame:
