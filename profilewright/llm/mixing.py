@@ -117,16 +117,24 @@ def in_order(mixed: DataFrame) -> DataFrame:
     return copies(mixed).repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")
 
 
+def in_ranges(mixed: DataFrame) -> DataFrame:
+    """Documents range-sorted by the training position of their first copy; those of which nothing is taken come last."""
+    order = F.col("position").asc_nulls_last()
+    return mixed.repartitionByRange(order, "doc_id").sortWithinPartitions(order, "doc_id")
+
+
 def by_first_copy(mixed: DataFrame) -> DataFrame:
     """Documents of which words are taken, range-sorted by the position of their first copy; ``in_order`` of it gives all copies in training order."""
-    return mixed.filter("taken > 0").repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return in_ranges(mixed.filter("taken > 0"))
 
 
 def op8_mix_sources(spark, sf_dir):
+    """A row a document, in the order of its first copy in training, with the positions of all its copies."""
     from .common import table
 
-    # Without ``positions``, which OP8_SQL does not have; op8_mix_copies has them.
-    return mix(table(spark, sf_dir, "documents")).drop("source", "positions")
+    mixed = mix(table(spark, sf_dir, "documents")).drop("source")
+    later = {f"position_{k}": F.get("positions", F.lit(k - 1)) for k in range(2, REPEATS + 1)}
+    return in_ranges(mixed).withColumns(later).drop("positions")
 
 
 def op8_mix_copies(spark, sf_dir):
@@ -155,11 +163,11 @@ p AS (SELECT d.doc_id, d.size, s.source_size, s.target, s.place,
              least(CAST(round(s.target) AS BIGINT), 3 * s.source_size) AS goal
       FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS epochs FROM p),
-r AS (SELECT *, greatest(0, least(size, goal - epochs * source_size - start)) AS part,
-             CASE (place - 1) % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.0 ELSE -0.5 END AS slope, least(start / greatest(goal, 1), 1.0) AS share FROM q)
-SELECT doc_id, size, source_size, target, CAST(epochs * size + part AS BIGINT) AS taken,
-       CAST(CASE WHEN size > 0 THEN epochs ELSE 0 END + CAST(part > 0 AS BIGINT) AS BIGINT) AS n_copies,
-       CASE WHEN epochs * size + part > 0 THEN CASE WHEN slope = 0 OR share = 0 THEN CAST(share AS DOUBLE)
-            ELSE (sqrt((1 - CAST(slope AS DOUBLE)) * (1 - CAST(slope AS DOUBLE)) + 4 * CAST(slope AS DOUBLE) * CAST(share AS DOUBLE)) - (1 - CAST(slope AS DOUBLE))) / (2 * CAST(slope AS DOUBLE)) END END AS position
-FROM r
+r AS (SELECT *, greatest(0, least(size, goal - epochs * source_size - start)) AS part, CASE (place - 1) % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE -0.5::DOUBLE END AS slope FROM q),
+c AS MATERIALIZED (SELECT *, CASE WHEN size > 0 THEN epochs ELSE 0 END + CAST(part > 0 AS BIGINT) AS copies, row_number() OVER () AS row_id FROM r),
+each AS (SELECT doc_id, row_id, k, least((start + (k - 1) * source_size) / greatest(goal, 1), 1.0::DOUBLE) AS share, slope FROM c, unnest(range(1, copies + 1)) AS t(k)),
+due AS (SELECT row_id, k, CASE WHEN slope = 0 OR share = 0 THEN share ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope) END AS position FROM each),
+wide AS (SELECT row_id, max(position) FILTER (k = 1) AS position, max(position) FILTER (k = 2) AS position_2, max(position) FILTER (k = 3) AS position_3 FROM due GROUP BY row_id)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + part AS BIGINT) AS taken, CAST(copies AS BIGINT) AS n_copies, position, position_2, position_3
+FROM c LEFT JOIN wide USING (row_id)
 """
