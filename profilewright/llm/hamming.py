@@ -27,6 +27,7 @@ K = 10
 BITS = 8
 #: Bounds of what is held at once: distinct queries of a block, codes of a chunk, and candidates of a lookup.
 QUERY_BLOCK, CHUNK, CANDIDATES = 50_000, 100_000, 1 << 20
+MOST_TASKS = 20_000
 #: A distance that no code has.
 FAR = 1 << 40
 _ANSWERS = "q binary, code binary, ids array<long>, distance long"
@@ -150,7 +151,10 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K, query_block: int =
         chunk_of, block_of = F.pmod(F.xxhash64("code"), F.lit(chunks)).cast("int"), F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")
         met = grouped.withColumns({"chunk": chunk_of, "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
         asked = open_.withColumns({"block": block_of, "chunk": F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))})
-        near = met.groupBy("chunk", "block").cogroup(asked.groupBy("chunk", "block")).applyInArrow(lookup(radius, k), _ANSWERS)
+        # A number of tasks that is asked for is kept, where small shuffles would be run together.
+        tasks = max(chunks, min(chunks * blocks, MOST_TASKS))
+        dealt = [df.repartition(tasks, "chunk", "block").groupBy("chunk", "block") for df in (met, asked)]
+        near = dealt[0].cogroup(dealt[1]).applyInArrow(lookup(radius, k), _ANSWERS)
         # What one segment reaches at this radius another may have reached before.
         both = near.unionByName(best).groupBy("q", "code").agg(F.first("ids").alias("ids"), F.first("distance").alias("distance"))
         placed = both.withColumns({"nth": F.row_number().over(order), "nearer": nearer})
