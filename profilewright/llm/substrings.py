@@ -19,8 +19,8 @@ from .common import spread_join, table
 from .textops import Hasher, find_words, first_of_runs, inside, mixed, text_slices
 
 WINDOW = 13
-#: Halving the window stops at this length or below.
-LEAST = 4
+#: Halving the window stops at this length or below: shorter windows repeat by chance, and a level of them costs more than it saves.
+LEAST = 7
 #: Windows that a task settles among themselves before it sends them on.
 FLUSH = 1 << 20
 
