@@ -1,12 +1,16 @@
 """Exact n-gram Jaccard join: documents whose sets of word shingles have a similarity of at least 0.9, and their components.
 
-A metric-space join by pivots in two steps. Unrelated texts all lie at Jaccard distance about 1 from each other and from any
-pivot document, so cells around pivot documents alone would hold everything; a first partition is needed that the distance bound
-still makes exact. It hashes the shingle space into more blocks than a linked pair can differ in: such a pair then agrees on all
-of some block (distances between sets, restricted to a block, cannot exceed those between the sets), and documents that agree on a
-block share a region. Inside regions, where distances tell something, pivots make Voronoi cells, the triangle inequality says
-which documents beyond a border must be replicated into a cell, and cells are joined recursively, exactly, down to single
-comparisons. Whatever is connected already is not compared again, so large groups of near copies cost one pivot each.
+A metric-space join: pivots make Voronoi cells, the triangle inequality says which documents beyond a border must be replicated
+into a cell and where a cell falls apart, and cells are joined recursively, exactly, until a pivot is left with what it was
+measured against. Every link is found as a distance to a pivot.
+
+Unrelated texts all lie at Jaccard distance 1 from each other and so from any pivot: there, distances tell nothing, and cells around
+pivots drawn from the whole corpus would hold everything. Documents therefore meet pivots only where some distance can be below
+1/9: the shingle space is hashed into more blocks than a linked pair can differ in, such a pair then agrees on all of some
+block (distances between sets, restricted to a block, cannot exceed those between the sets), and documents that agree on a block
+share a region. Inside regions everything goes by pivots; only what they leave together, as texts that share much with all
+of a region, is told apart by its rarest shingles, and met by new pivots. Whatever is connected already is not compared again,
+so large groups of near copies cost one pivot each.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .common import table
+from .common import spread_join, table
 from .components import components
 from .textops import Hasher, find_words, first_of_runs, inside, mixed, text_slices
 
@@ -29,8 +33,10 @@ PERCENT = 90
 RADIUS = 0.1
 #: Shingles of a region that one task takes; regions above are split over tasks.
 REGION_SHINGLES = 2_000_000
-FLUSH_BYTES = 48 << 20
-PIVOTS, LEAF = 4, 8
+FLUSH_BYTES = 32 << 20
+#: Pivots of a step: in a small group, in a larger one, and in a region that is spread over tasks.
+FEW, PIVOTS, MANY = 1, 4, 16
+SMALL = 8
 
 
 def size_classes(most: int) -> np.ndarray:
@@ -245,43 +251,50 @@ class Region:
         return [members[g] for g in np.split(order, np.flatnonzero(np.diff(label[order])) + 1) if len(g) > 1]
 
     def join(self, members: np.ndarray) -> None:
-        """Find the components of the members: by rare shingles, then by pivots, cells and their windows, and again inside each cell."""
+        """Find the components of the members: by pivots, Voronoi cells and their windows, and again inside each cell."""
         stack = [members]
         while stack:
             members = stack.pop()
             if len(members) < 2 or (self.root[members] == self.root[members[0]]).all():
                 continue
-            if len(members) <= LEAF:
-                for k in range(len(members) - 1):
-                    rest = members[k + 1 :]
-                    rest = rest[self.root[rest] != self.root[members[k]]]
-                    if len(rest):
-                        self.measure(members[k], rest)
-                continue
-            parts = self.parts(members)
-            if len(parts) != 1 or len(parts[0]) < len(members):
-                stack += parts
-                continue
             # A pivot is settled once it has been compared with all. Small components come first: what is left then is one.
             roots, first, size = np.unique(self.root[members], return_index=True, return_counts=True)
-            picks = members[first[np.argsort(size, kind="stable")[:PIVOTS]]]
+            picks = members[first[np.argsort(size, kind="stable")[: FEW if len(members) <= SMALL else PIVOTS]]]
             distances = np.stack([self.measure(p, members) for p in picks])
             rest = ~np.isin(members, picks)
             members, distances = members[rest], distances[:, rest]
-            nearest, home = distances.min(axis=0), distances.argmin(axis=0)
-            cells = []
-            for c in range(len(picks)):
-                own = home == c
-                if not own.any():
-                    continue
-                near = distances[c] <= nearest + 2 * RADIUS + 1e-9
-                # Of those replicated, some member of the cell must be within the radius, as far as any pivot can tell.
-                for k in range(len(picks)):
-                    low, high = distances[k][own].min() - RADIUS - 1e-9, distances[k][own].max() + RADIUS + 1e-9
-                    near &= (distances[k] >= low) & (distances[k] <= high)
-                cells.append(members[own | near])
-            # Cells that overlap too much would be joined again and again: then the members stay together, without the pivots.
-            stack += cells if 2 * sum(map(len, cells)) <= 3 * len(members) else [members]
+            cells = [c for cell in voronoi(distances) for c in windows(distances, cell) if len(c) > 1]
+            if 2 * sum(map(len, cells)) <= 3 * len(members):
+                stack += [members[c] for c in cells]
+            else:
+                # Cells that overlap too much would be joined again and again: what the pivots leave together meets others by its rarest shingles.
+                stack += self.parts(members)
+
+
+def voronoi(distances: np.ndarray) -> list[np.ndarray]:
+    """Cells, a row of distances a pivot: those nearest to it, and those beyond the border that may link with one of them."""
+    nearest, home = distances.min(axis=0), distances.argmin(axis=0)
+    cells = []
+    for c in np.unique(home):
+        own = home == c
+        near = distances[c] <= nearest + 2 * RADIUS + 1e-9
+        # Of those replicated, some member of the cell must be within the radius, as far as any pivot can tell.
+        for d in distances:
+            near &= (d >= d[own].min() - RADIUS - 1e-9) & (d <= d[own].max() + RADIUS + 1e-9)
+        cells.append(np.flatnonzero(own | near))
+    return cells
+
+
+def windows(distances: np.ndarray, cell: np.ndarray) -> list[np.ndarray]:
+    """A cell parted wherever, by the distance to some pivot, nobody stands in a stretch as wide as the radius: no link can span it."""
+    cells = [cell]
+    for d in distances:
+        parted = []
+        for c in cells:
+            order = c[np.argsort(d[c], kind="stable")]
+            parted += np.split(order, np.flatnonzero(np.diff(d[order]) > RADIUS + 1e-9) + 1)
+        cells = parted
+    return cells
 
 
 def region_links(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,46 +321,68 @@ def region_links(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def refine_regions(sets: DataFrame) -> DataFrame:
-    """Rows ``region, doc_id, n, codes`` of large regions, under the smaller regions that their documents' rarest shingles tell apart; documents left alone go.
+    """Rows ``region, doc_id, n, codes`` under the smaller regions that their documents' rarest shingles tell apart; documents left alone go.
 
     As ``Region.parts``, over tasks: shingles are counted inside each region, and a document's rarest tenth (and one more) tie it
-    to the others that have one of them there. A document has one region.
+    to the others of the region that have one of them.
     """
-    each = sets.select("region", "doc_id", F.monotonically_increasing_id().alias("row"), "n", F.explode("codes").alias("code"))
+    node = F.xxhash64("region", "doc_id")
+    each = sets.select("region", node.alias("node"), F.monotonically_increasing_id().alias("row"), "n", F.explode("codes").alias("code"))
     each = materialize(each, "jaccard-shingles")
-    shared = each.groupBy("region", "code").agg(F.count(F.lit(1)).alias("count"), F.min("doc_id").alias("first")).filter("count > 1")
-    counted = each.join(shared, ["region", "code"], "left").select("region", "doc_id", "row", "n", "code", F.coalesce("count", F.lit(1)).alias("count"), "first")
+    shared = each.groupBy("region", "code").agg(F.count(F.lit(1)).alias("count"), F.min("node").alias("first")).filter("count > 1")
+    counted = each.join(shared, ["region", "code"], "left").select("region", "node", "row", "n", "code", F.coalesce("count", F.lit(1)).alias("count"), "first")
     place = F.row_number().over(Window.partitionBy("region", "row").orderBy("count", "code"))
     rare = counted.withColumn("place", place).filter((F.col("place") <= F.floor(F.col("n") / 10) + 1) & (F.col("count") > 1))
-    ties = components(rare.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
-    return sets.join(ties, sets["doc_id"] == ties["id"]).select(F.col("component").alias("region"), "doc_id", "n", "codes")
+    ties = components(rare.select(F.col("first").alias("a"), F.col("node").alias("b")))
+    return sets.withColumn("node", node).join(ties, F.col("node") == F.col("id")).select(F.col("component").alias("region"), "doc_id", "n", "codes")
 
 
-def split_regions(sets: DataFrame, large: DataFrame, region_shingles: int, pivots: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Regions too large for a task, one level of the same join spread over tasks: links to pivots, and sub-regions that hold every pair that may still link.
+def split_regions(sets: DataFrame, region_shingles: int, pivots: int = MANY) -> tuple[DataFrame, DataFrame]:
+    """Regions too large for a task, the same join spread over tasks: links to pivots, and regions of bounded size that hold every pair that may still link.
 
-    Pivots of a region are its first documents by a hash. A set belongs to the cell of its nearest pivot and is replicated, with
-    the others of its document, into every cell within twice the radius. A cell whose documents the pivots' links connect already is done. Others are dealt
-    into chunks, and pairs of chunks become sub-regions, so that each fits a task and every pair of documents meets.
+    ``sets(region, doc_id, n, codes)``. Pivots of a region are its first sets by a hash; its sets are dealt into chunks of bounded
+    size, and each chunk meets all its pivots, so that no region fills a task. A set belongs to the cell of its nearest pivot and is
+    replicated, with the others of its document, into every cell within twice the radius. A cell whose documents are all connected
+    by links is done. Cells become regions; those that are too large still get new pivots (the old ones are settled and gone),
+    after their rarest shingles have told them apart where the pivots did not, and more pivots each time.
     """
-    members = sets.join(large.select("region"), "region")
-    place = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = members.select("region", "doc_id", "n", "codes").withColumn("pivot", place).filter(F.col("pivot") <= pivots).select("region", "pivot", F.col("doc_id").alias("p"), F.col("n").alias("p_n"), F.col("codes").alias("p_codes"))
-    both = F.size(F.array_intersect("codes", "p_codes"))
-    pairs = members.join(chosen, "region").withColumn("both", both).select("region", "doc_id", F.xxhash64("codes").alias("set"), "n", "pivot", "p", "both", (F.col("n") + F.col("p_n") - F.col("both")).alias("either"))
-    pairs = materialize(pairs.withColumn("d", 1 - F.col("both") / F.col("either")), "jaccard-pivots")
-    links = pairs.filter((100 * F.col("both") >= PERCENT * F.col("either")) & (F.col("doc_id") != F.col("p"))).select(F.col("doc_id").alias("a"), F.col("p").alias("b"))
-    known = components(links)
-    homes = pairs.groupBy("region", "doc_id", "set").agg(F.min("d").alias("d_home"))
-    cells = pairs.join(homes, ["region", "doc_id", "set"]).filter(F.col("d") <= F.col("d_home") + 2 * RADIUS + 1e-9).select("region", "pivot", "doc_id", "n")
-    cells = cells.join(known, cells["doc_id"] == known["id"], "left").select("region", "pivot", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    cells = materialize(cells, "jaccard-cells")
-    open_ = cells.groupBy("region", "pivot").agg(F.min("component").alias("one"), F.max("component").alias("other"), F.sum("n").alias("shingles")).filter("one < other")
-    chunks = F.ceil(2 * F.col("shingles") / F.lit(region_shingles)).cast("int")
-    dealt = cells.join(open_, ["region", "pivot"]).withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit("chunk")), F.col("chunks")).cast("int"))
-    pairs_of = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda other: F.struct(F.least("chunk", other).alias("i"), F.greatest("chunk", other).alias("j")))
-    subs = dealt.select("region", "pivot", "doc_id", F.explode(pairs_of).alias("c")).select("doc_id", F.col("region").alias("whole"), F.xxhash64("region", "pivot", "c.i", "c.j").alias("sub")).distinct()
-    return links, members.join(subs, (members["doc_id"] == subs["doc_id"]) & (members["region"] == subs["whole"])).select(F.col("sub").alias("region"), members["doc_id"], "n", "codes")
+    links = small = None
+    more = lambda a, b: b if a is None else a.unionByName(b)
+    before = None
+    while True:
+        sizes = materialize(sets.groupBy("region").agg(F.sum("n").alias("shingles")), "jaccard-sizes")
+        large = sizes.filter(F.col("shingles") > region_shingles).withColumn("chunks", F.ceil(F.col("shingles") / F.lit(region_shingles)).cast("int"))
+        fitting = sizes.filter(F.col("shingles") <= region_shingles).select("region")
+        small = more(small, sets.join(fitting, "region", "left_semi"))
+        left = large.agg(F.coalesce(F.sum("shingles"), F.lit(0))).first()[0]
+        if not left:
+            return links if links is not None else small.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0), small
+        if before is not None and 10 * left > 9 * before:
+            sets = materialize(refine_regions(sets.join(large.select("region"), "region", "left_semi")), "jaccard-finer")
+            before, pivots = None, 2 * pivots
+            continue
+        before = left
+        counts = sets.groupBy("region").agg(F.count(F.lit(1)).alias("rows_of_key"))
+        members = spread_join(sets, large.select("region", "chunks"), ["region"], "jaccard-members", materialize(counts, "jaccard-members"))
+        members = materialize(members.withColumns({"set": F.xxhash64("codes"), "chunk": F.pmod(F.xxhash64("doc_id", "codes"), F.col("chunks")).cast("int")}), "jaccard-members")
+        place = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("doc_id"), "doc_id", "set"))
+        chosen = members.select("region", "doc_id", "set", "n", "codes", "chunks").withColumn("pivot", place).filter(F.col("pivot") <= pivots)
+        met = chosen.select("region", "pivot", F.col("doc_id").alias("p"), F.col("set").alias("p_set"), F.col("n").alias("p_n"), F.col("codes").alias("p_codes"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+        both = F.size(F.array_intersect("codes", "p_codes"))
+        pairs = members.join(met, ["region", "chunk"]).withColumn("both", both).select("region", "doc_id", "set", "n", "pivot", "p", "p_set", "both", (F.col("n") + F.col("p_n") - F.col("both")).alias("either"))
+        pairs = materialize(pairs.withColumn("d", 1 - F.col("both") / F.col("either")), "jaccard-pivots")
+        links = more(links, pairs.filter((100 * F.col("both") >= PERCENT * F.col("either")) & (F.col("doc_id") != F.col("p"))).select(F.col("doc_id").alias("a"), F.col("p").alias("b")))
+        known = components(links)
+        open_sets = pairs.join(chosen.select("region", F.col("doc_id").alias("p"), F.col("set").alias("p_set")).withColumnsRenamed({"p": "doc_id", "p_set": "set"}), ["region", "doc_id", "set"], "left_anti")
+        homes = open_sets.groupBy("region", "doc_id", "set").agg(F.min("d").alias("d_home"))
+        cells = open_sets.join(homes, ["region", "doc_id", "set"]).filter(F.col("d") <= F.col("d_home") + 2 * RADIUS + 1e-9).select("region", "pivot", "doc_id")
+        cells = cells.distinct().join(known, F.col("doc_id") == F.col("id"), "left").select("region", "pivot", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        cells = materialize(cells, "jaccard-cells")
+        undone = cells.groupBy("region", "pivot").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one < other").select("region", "pivot", F.xxhash64("region", "pivot", F.lit("cell")).alias("cell"))
+        homes_of = cells.join(undone, ["region", "pivot"]).select("doc_id", F.col("region").alias("whole"), "cell")
+        settled = chosen.select("region", "doc_id", "set")
+        rest = members.join(settled, ["region", "doc_id", "set"], "left_anti")
+        sets = materialize(rest.join(homes_of, (rest["doc_id"] == homes_of["doc_id"]) & (rest["region"] == homes_of["whole"])).select(F.col("cell").alias("region"), rest["doc_id"], "n", "codes"), "jaccard-regions")
 
 
 def link_components(docs: DataFrame, region_shingles: int = REGION_SHINGLES) -> DataFrame:
@@ -362,8 +397,9 @@ def link_components(docs: DataFrame, region_shingles: int = REGION_SHINGLES) ->
     rows = materialize(texts.mapInArrow(set_rows, "kind int, a long, b long, doc_id long, n long"), "jaccard-sets")
     sets = rows.filter("kind = 0").select("doc_id", "n", "a", "b")
     full = sets.filter("n > 0 and doc_id is not null")
-    keepers = full.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    copies = full.join(keepers.filter("copies > 1"), ["a", "b"]).filter("doc_id > rep").select("doc_id", "rep").distinct()
+    keepers = full.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows_of_key")).filter("rows_of_key > 1")
+    keepers = materialize(keepers, "jaccard-keepers")
+    copies = spread_join(full, keepers.select("a", "b", "rep"), ["a", "b"], "jaccard-copies", keepers).filter("doc_id > rep").select("doc_id", "rep").distinct()
     copies = materialize(copies, "jaccard-copies")
 
     # A document with other sets too stays in its regions, where all its texts are read.
@@ -383,18 +419,12 @@ def link_components(docs: DataFrame, region_shingles: int = REGION_SHINGLES) ->
     regions = regions.select(F.col("id").alias("doc_id"), F.col("component").alias("region"))
     candidates = texts.join(regions.hint("shuffle_hash"), "doc_id").select("region", "doc_id", "text")
     found = materialize(candidates.mapInArrow(region_sets, "region long, doc_id long, n long, codes array<long>").filter("n > 0"), "jaccard-regions")
-    sizes = found.groupBy("region").agg(F.sum("n").alias("shingles"))
-    large = materialize(sizes.filter(F.col("shingles") > region_shingles), "jaccard-large")
     links = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    large = found.groupBy("region").agg(F.sum("n").alias("shingles")).filter(F.col("shingles") > region_shingles)
     small = found
     if large.head(1):
-        small = found.join(large.select("region"), "region", "left_anti")
-        finer = materialize(refine_regions(found.join(large.select("region"), "region", "left_semi")), "jaccard-finer")
-        large = materialize(finer.groupBy("region").agg(F.sum("n").alias("shingles")).filter(F.col("shingles") > region_shingles), "jaccard-large")
-        small = small.unionByName(finer.join(large.select("region"), "region", "left_anti"))
-        if large.head(1):
-            more, subs = split_regions(finer, large, region_shingles)
-            small, links = small.unionByName(subs), links.unionByName(more)
+        more, small = split_regions(found, region_shingles)
+        links = links.unionByName(more)
     links = links.unionByName(small.repartition("region").sortWithinPartitions("region").mapInArrow(region_links, "a long, b long"))
     labels = components(links)
     return sets.join(labels, sets["doc_id"] == labels["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
