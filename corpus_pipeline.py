@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from profilewright.llm import decontaminate, jaccard, language, mixing, secrets
-from profilewright.llm.common import table
+from profilewright.llm.common import private, table
 from profilewright.scratch import materialize
 
 #: Below this cosine with every language a text is not taken for any.
@@ -19,16 +19,18 @@ MARK = "[SECRET]"
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is determined; ``lang`` stays as it is."""
-    found = language.predict(docs, language.learn_unheld(docs))
-    return found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = private(docs, "lang_pred"), private(docs, "score")
+    found = language.predict(docs, language.learn_unheld(docs), into=(lang, score))
+    return found.filter((F.col(lang) != language.UNDETERMINED) & (F.col(score) >= LEAST_SCORE)).drop(lang, score)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by links, keep the one with the smallest doc_id: each of its different texts once, in the first row by the other columns. Rows without a doc_id stay."""
     firsts = jaccard.link_components(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     first_row = Window.partitionBy("doc_id", "text").orderBy(*([c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(1)]))
-    kept = docs.filter(F.col("doc_id").isNotNull()).join(firsts, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first_row)).filter("_nth = 1")
-    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    nth = private(docs, "nth")
+    kept = docs.filter(F.col("doc_id").isNotNull()).join(firsts, "doc_id", "left_semi").withColumn(nth, F.row_number().over(first_row)).filter(F.col(nth) == 1)
+    return kept.drop(nth).select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put a mark in place of every secret; all documents stay, and ``n_chars`` counts what is left."""
     clean = secrets.redact(docs, MARK)
-    return clean.withColumn("n_chars", secrets.n_chars(F.col("text"))).select(*docs.columns) if "n_chars" in docs.columns else clean
+    return clean.withColumn("n_chars", secrets.n_chars(F.col("text"))) if "n_chars" in docs.columns else clean
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
