@@ -367,7 +367,7 @@ def test_pipeline_equals_brute_force_by_stage(spark, tmp_path):
 def test_pipeline_stages_keep_columns_and_take_awkward_rows(spark, tmp_path):
     rows = [(None, "the dog and the cat", "en", None, 1), (1, None, None, "a", None), (2, "", "en", "a", 0), (3, "same words here today", "en", "b", 5), (3, "same words here today", "en", "b", 5), (4, "same words here today", "de", None, 5)]
     folder_of(spark, str(tmp_path), rows, [])
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumns({c: F.lit("x") for c in ("key", "component_id", "words", "size")})
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumns({c: F.lit("x") for c in ("key", "component_id", "words", "size", "score", "lang_pred", "guess", "found", "spans", "bad_key", "nth", "_nth", "results")})
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns
