@@ -64,10 +64,21 @@ def parser() -> argparse.ArgumentParser:
     g = step("gen")
     for field, value in asdict(synthetic.Options()).items():
         g.add_argument(f"--{field.replace('_', '-')}", type=type(value), default=value)
-    steps.add_parser("dump-layout"), steps.add_parser("dump-params")
+    for name in ("dump-layout", "dump-params", "dump-options"):
+        steps.add_parser(name)
     return p
 
 
+def options() -> dict[str, list[dict]]:
+    """Every step's options: names, default, choices, and whether they must be given or may be repeated."""
+    steps = next(x for x in parser()._actions if isinstance(x, argparse._SubParsersAction)).choices
+    plain = lambda v: sorted(v) if isinstance(v, frozenset) else v
+    return {
+        name: [{"names": x.option_strings or [x.dest], "default": plain(x.default), "choices": list(x.choices) if x.choices else None, "required": x.required, "repeated": x.nargs == "+" or isinstance(x, argparse._AppendAction)} for x in step._actions if x.dest != "help"]
+        for name, step in steps.items()
+    }
+
+
 def _alignments(spark: SparkSession, paths: list[str]):
     kinds = {p.endswith(".bam") for p in paths}
     if len(kinds) > 1:
@@ -90,8 +101,9 @@ def run(a: argparse.Namespace, spark: SparkSession) -> None:
         rule = filters.ReadFilter(a.min_mapq, a.min_length, a.max_length, a.strand)
         refs, reads = text.read_fasta(spark, a.fasta), _alignments(spark, a.alignments)
         for k, path in enumerate(a.alignments):
-            if not path.endswith(".bam"):
-                verify.verify(text.read_declared(spark, path, k), refs, "name" in a.verify, "checksum" in a.verify)
+            declared = bam.read_declared(spark, path, k, require_sorted=True) if path.endswith(".bam") else text.read_declared(spark, path, k)
+            verify.verify(declared, refs, "name" in a.verify, "checksum" in a.verify)
+        filters.refuse_disorder(reads)
         tables = profile.count_reads(reads, refs, rule, a.band, model, a.min_phred, a.min_depth, bool(a.pairwise))
         if "pairs" in tables:
             tables["pairs"] = tables["pairs"].select("tid", "i", "j", *sorted(a.pairwise), "coverage")
@@ -113,7 +125,9 @@ def run(a: argparse.Namespace, spark: SparkSession) -> None:
             runs.write_run({**{k: v for k, v in x.items() if k != "pairs"}, "profile": p, "run": noted}, path, a.overwrite)
     elif a.step == "score":
         refs, marks = text.read_fasta(spark, a.fasta), text.read_structures(spark, a.structures)
-        found = score.score(runs.read_run(spark, a.profile)["profile"], refs, marks, a.bases.replace(",", ""), a.min_coverage)
+        measured = runs.read_run(spark, a.profile)
+        score.refuse_longer(refs, measured["run"].first()["n_refs"])
+        found = score.score(measured["profile"], refs, marks, a.bases.replace(",", ""), a.min_coverage)
         rows = score.as_csv_lines(found.withColumn("tid", found["tid"])).toLocalIterator()
         any_row = False
         for row in rows:
@@ -138,6 +152,9 @@ def main(argv: list[str] | None = None) -> int:
     if a.step == "dump-layout":
         print(json.dumps({name: dict(c.split() for c in layout.split(", ")) for name, layout in {**runs.TABLES, "alignments": schema.ALIGNMENTS, "references": schema.REFERENCES}.items()}, indent=1))
         return 0
+    if a.step == "dump-options":
+        print(json.dumps(options(), indent=1))
+        return 0
     if a.step == "dump-params":
         print(params.dump(hmm.Model()), end="")
         return 0

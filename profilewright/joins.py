@@ -13,14 +13,16 @@ STRETCH, BROADCAST_BASES = 1 << 16, 1 << 26
 SALTS = 16
 
 
-def spread_join(large: DataFrame, small: DataFrame, on: list[str], name: str) -> DataFrame:
+def spread_join(large: DataFrame, small: DataFrame, on: list[str], name: str, counts: DataFrame | None = None) -> DataFrame:
     """Inner join on ``on`` where one key may hold any share of ``large``'s rows; ``small`` has few rows a key.
 
     Keys with more than a 1/(4 * partitions) share of the rows are 4 * partitions at most, whatever the data: their rows of
-    ``small`` are broadcast, under that bound, and only the other keys are shuffled, none of which fills a task.
+    ``small`` are broadcast, under that bound, and only the other keys are shuffled, none of which fills a task. ``counts`` has
+    the keys with ``rows_of_key``, where the caller knows them.
     """
     partitions = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = materialize(large.groupBy(*on).agg(F.count(F.lit(1)).alias("rows_of_key")), f"{name}-counts")
+    if counts is None:
+        counts = materialize(large.groupBy(*on).agg(F.count(F.lit(1)).alias("rows_of_key")), f"{name}-counts")
     total = counts.agg(F.sum("rows_of_key")).first()[0] or 0
     hot = materialize(counts.filter(F.col("rows_of_key") > max(1000, total // (4 * partitions))).select(*on), f"{name}-hot")
     if not hot.head(1):

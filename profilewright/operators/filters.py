@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import placed_length
@@ -75,9 +75,22 @@ def refuse_paired(alignments: DataFrame) -> DataFrame:
     return alignments.withColumn("flag", F.when(has(PAIRED), F.raise_error(F.lit("paired reads are not counted")).cast("int")).otherwise(F.col("flag")))
 
 
-def out_of_order(alignments: DataFrame) -> DataFrame:
-    """Records whose reference comes before that of the record ahead of them in their file; sorted files have none."""
-    from pyspark.sql import Window
+#: Records of a block, inside which order is looked at by one task.
+ORDER_BLOCK = 1 << 20
+
 
-    ahead = F.lag("tid").over(Window.partitionBy("file_id").orderBy("rec_no"))
-    return alignments.filter(~has(UNMAPPED)).withColumn("ahead", ahead).filter(F.col("tid") < F.col("ahead")).drop("ahead")
+def out_of_order(alignments: DataFrame) -> DataFrame:
+    """Records whose reference comes before that of the record ahead of them in their file; sorted files have none. Files are looked at in blocks, and each block at the end of the one before."""
+    rows = alignments.filter(~has(UNMAPPED)).withColumn("block", F.floor(F.col("rec_no") / ORDER_BLOCK))
+    ends = rows.groupBy("file_id", "block").agg(F.max(F.struct("rec_no", "tid")).alias("end"))
+    before = ends.select("file_id", "block", F.lag("end.tid").over(Window.partitionBy("file_id").orderBy("block")).alias("before"))  # a row a block
+    ahead = F.coalesce(F.lag("tid").over(Window.partitionBy("file_id", "block").orderBy("rec_no")), "before")
+    return rows.join(before, ["file_id", "block"]).withColumn("ahead", ahead).filter(F.col("tid") < F.col("ahead")).drop("ahead", "before", "block")
+
+
+def refuse_disorder(alignments: DataFrame) -> None:
+    """Refuse files in which some reference's records come before those of a reference ahead of it: a row a reference is compared."""
+    spans = alignments.filter(~has(UNMAPPED)).groupBy("file_id", "tid").agg(F.min("rec_no").alias("first"), F.max("rec_no").alias("last"))
+    ahead = F.lag("last").over(Window.partitionBy("file_id").orderBy("tid"))
+    if bad := spans.withColumn("ahead", ahead).filter(F.col("first") < F.col("ahead")).head(1):
+        raise ValueError(f"file {bad[0]['file_id']} is not sorted: reference {bad[0]['tid']} comes too early")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import is_finite, nan
+from ..scratch import materialize
 
 #: The percentile, and the bounds of the band, from the top, whose mean is taken.
 PERCENTILE, TRIM_TOP, TRIM_BAND = 0.9, 0.02, 0.10
 MIN_COVERAGE = 500.0
+#: Bins of one count, and rates that are sorted at most.
+BINS, MOST_SORTED = 1000, 100_000
 
 
 def pool(profiles: list[DataFrame], scheme: str = "ubr", min_coverage: float = MIN_COVERAGE) -> DataFrame:
@@ -21,28 +25,47 @@ def pool(profiles: list[DataFrame], scheme: str = "ubr", min_coverage: float = M
     return rates.filter(ok & ~F.isnan("coverage") & (F.col("coverage") > min_coverage) if scheme == "ubr" else ok).select("rate")
 
 
+def kth(rates: DataFrame, k: int, most: int = MOST_SORTED) -> float:
+    """The k-th smallest rate, from 0. Rates are counted in a thousand bins of the range that still holds it, until that is small enough to sort."""
+    low, high = rates.agg(F.min("rate"), F.max("rate")).first()
+    while low < high:
+        inside = rates.filter(F.col("rate").between(low, high))
+        place = F.least(F.floor((F.col("rate") - low) / F.lit(high - low) * BINS), F.lit(BINS - 1)) if (high - low) not in (0.0, float("inf")) else F.lit(0)
+        bins = inside.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("rate").alias("low"), F.max("rate").alias("high")).orderBy("bin").collect()  # a thousand rows
+        for row in bins:
+            if k < row["n"]:
+                break
+            k -= row["n"]
+        if row["n"] <= most or len(bins) == 1:
+            return inside.filter(F.col("rate").between(row["low"], row["high"])).orderBy("rate").select("rate").collect()[k][0]
+        low, high = row["low"], row["high"]
+    return low
+
+
 def percentile_scale(rates: DataFrame) -> DataFrame:
     """``factor``: the 90th percentile, between ranks; 1 for an empty pool."""
-    return rates.agg(F.coalesce(F.percentile("rate", PERCENTILE), F.lit(1.0)).alias("factor"))
+    rates = materialize(rates, "rates")
+    at = PERCENTILE * max(0, (n := rates.count()) - 1)
+    low = kth(rates, math.floor(at)) if n else 1.0
+    high = kth(rates, math.ceil(at)) if at > math.floor(at) else low
+    return rates.sparkSession.range(1).select(F.lit(float(low + (high - low) * (at - math.floor(at)))).alias("factor"))
 
 
 def band_scale(rates: DataFrame) -> DataFrame:
-    """``factor``: the mean of the ranks between the top 2 and the top 10 per cent, by halves rounded up; 1 for fewer than two rates.
-
-    Equal rates are counted first, so ranks are running sums over distinct values, taken in ranges of values over all tasks.
-    """
-    counts = rates.groupBy("rate").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.min("rate").alias("low"), F.max("rate").alias("high"))
-    spread = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0)
-    binned = counts.crossJoin(F.broadcast(sizes)).withColumn("bin", F.least(F.floor((F.col("high") - F.col("rate")) / spread * 1024), F.lit(1023)))  # one row
-    bins = binned.groupBy("bin").agg(F.sum("n").alias("bin_n"))  # 1024 rows at most
-    ahead = bins.withColumn("above", F.coalesce(F.sum("bin_n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("bin_n")
-    inside = Window.partitionBy("bin").orderBy(F.col("rate").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = binned.join(F.broadcast(ahead), "bin").withColumn("start", F.col("above") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    rank_of = lambda part: F.greatest(F.lit(1), F.round(F.lit(part) * F.col("total")).cast("long")) - 1
-    taken = F.greatest(F.lit(0), F.least(F.col("start") + F.col("n") - 1, rank_of(TRIM_BAND)) - F.greatest(F.col("start"), rank_of(TRIM_TOP)) + 1)
-    means = ranked.agg(F.max("total").alias("total"), F.sum(F.col("rate") * taken).alias("s"), F.sum(taken).alias("k"))
-    return means.select(F.when(F.col("total") >= 2, F.col("s") / F.when(F.col("k") > 0, F.col("k")).otherwise(1)).otherwise(1.0).alias("factor")).select(F.coalesce("factor", F.lit(1.0)).alias("factor"))
+    """``factor``: the mean of the ranks between the top 2 and the top 10 per cent, by halves rounded up; 1 for fewer than two rates. Ties at the ends count as often as their ranks lie in the band."""
+    rates = materialize(rates, "rates")
+    if (n := rates.count()) < 2:
+        return rates.sparkSession.range(1).select(F.lit(1.0).alias("factor"))
+    first, last = (max(1, math.floor(part * n + 0.5)) - 1 for part in (TRIM_TOP, TRIM_BAND))
+    high, low = kth(rates, n - 1 - first), kth(rates, n - 1 - last)
+    rate = F.col("rate")
+    above, inside, total = rates.agg(F.count_if(rate > high), F.count_if((rate < high) & (rate > low)), F.coalesce(F.sum(F.when((rate < high) & (rate > low), rate)), F.lit(0.0))).first()
+    size = last - first + 1
+    if high == low:
+        return rates.sparkSession.range(1).select(F.lit(float(high)).alias("factor"))
+    at_high = rates.filter(rate == high).count() - (first - above)
+    at_low = size - at_high - inside
+    return rates.sparkSession.range(1).select(F.lit(float((high * at_high + total + low * at_low) / size)).alias("factor"))
 
 
 def recorded(factor: Column) -> Column:

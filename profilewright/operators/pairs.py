@@ -13,13 +13,13 @@ SUMS = ("span", "left", "right", "both", "covered")
 def pair_sums(reads: DataFrame) -> DataFrame:
     """``tid, read, pos, coverage, spanned, mutations``, one row a read and position, to the five sums of positions i <= j that share reads.
 
-    The join is inside each read, whose positions are few; its output is summed before it is shuffled again.
+    A read's positions are gathered once and paired where they are; its sums are partly made before they are shuffled again.
     """
-    a = reads.select("tid", "read", F.col("pos").alias("i"), *(F.col(c).alias(f"{c}_i") for c in ("coverage", "spanned", "mutations")))
-    b = reads.select("tid", "read", F.col("pos").alias("j"), *(F.col(c).alias(f"{c}_j") for c in ("coverage", "spanned", "mutations")))
-    both = a.join(b, ["tid", "read"]).filter("i <= j")
-    products = (("spanned_i", "spanned_j"), ("mutations_i", "spanned_j"), ("spanned_i", "mutations_j"), ("mutations_i", "mutations_j"), ("coverage_i", "coverage_j"))
-    return both.groupBy("tid", "i", "j").agg(*(F.sum(F.col(x) * F.col(y)).alias(name) for name, (x, y) in zip(SUMS, products, strict=True)))
+    own = reads.groupBy("tid", "read").agg(F.collect_list(F.struct("pos", "coverage", "spanned", "mutations")).alias("at"))  # a read's positions
+    both = own.select("tid", "at", F.explode("at").alias("x")).select("tid", "x", F.explode("at").alias("y")).filter("x.pos <= y.pos")
+    products = (("spanned", "spanned"), ("mutations", "spanned"), ("spanned", "mutations"), ("mutations", "mutations"), ("coverage", "coverage"))
+    sums = (F.sum(F.col(f"x.{x}") * F.col(f"y.{y}")).alias(name) for name, (x, y) in zip(SUMS, products, strict=True))
+    return both.groupBy("tid", F.col("x.pos").alias("i"), F.col("y.pos").alias("j")).agg(*sums)
 
 
 def correlation(min_depth: float = 1.0) -> Column:

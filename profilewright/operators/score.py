@@ -13,10 +13,17 @@ def points(profile: DataFrame, references: DataFrame, structures: DataFrame, bas
     if structures.groupBy("name").count().filter("count > 1").head(1):
         raise ValueError("a structure is given twice")
     known = references.join(structures, "name").filter(F.length("pairing") == F.col("len")).select("tid", "seq", "pairing")
-    at = (F.col("pos") + 1).cast("int")
-    mark, base = F.substring("pairing", at, F.lit(1)), F.translate(F.upper(F.substring("seq", at, F.lit(1))), "T", "U")
-    kept = (mark != "-") & F.lit(bases).contains(base) & is_finite(F.col("reactivity")) & ~(F.col("coverage") < min_coverage)
-    return profile.join(known, "tid").filter(kept).select("tid", F.col("reactivity").cast("double").alias("value"), (mark == ".").alias("open"))
+    # A row a position on both sides: marks are spelled out once, and no long reference is a hot key.
+    letters = F.arrays_zip(F.split("pairing", "").alias("mark"), F.split(F.translate(F.upper("seq"), "T", "U"), "").alias("base"))
+    marks = known.select("tid", F.posexplode(letters).alias("pos", "l")).select("tid", "pos", "l.mark", "l.base")
+    kept = (F.col("mark") != "-") & F.lit(bases.replace("T", "U")).contains(F.col("base")) & is_finite(F.col("reactivity")) & ~(F.col("coverage") < min_coverage)
+    return profile.select("tid", "pos", "coverage", "reactivity").join(marks, ["tid", "pos"]).filter(kept).select("tid", F.col("reactivity").cast("double").alias("value"), (F.col("mark") == ".").alias("open"))
+
+
+def refuse_longer(references: DataFrame, n_refs: int) -> None:
+    """References stand for the rows of a profile by their order, so there cannot be more of them; fewer are accepted."""
+    if (n := references.count()) > n_refs:
+        raise ValueError(f"there are {n} references, but the profile has {n_refs}")
 
 
 def wrong_lengths(references: DataFrame, structures: DataFrame) -> DataFrame:

@@ -327,7 +327,7 @@ m AS (SELECT a.*, (ranks - u * (u + 1) / 2.0) / (u * p) AS auroc, (SELECT sum(o
 
 
 def _scores(spark, d) -> DataFrame:
-    return score.metrics(b.scored(spark, d))
+    return score.metrics(score.points(*b.scored(spark, d)))
 
 
 @query("score_auroc", f"{_SCORE} SELECT CAST(tid AS INT) AS tid, round(auroc, 6) AS auroc FROM m")
@@ -347,13 +347,14 @@ def score_means(spark, d):
 
 @query("score_table", f"{_SCORE} SELECT 'ref' || tid AS name, p AS paired, u AS unpaired, printf('%.5f', auroc) AS auroc, printf('%.5f', auprc) AS auprc FROM m")
 def score_table(spark, d):
-    named = b.references(spark).select("tid", "name").join(_scores(spark, d), "tid")
-    return score.as_csv_lines(named).select("name", "paired", "unpaired", "auroc", "auprc")
+    return score.as_csv_lines(score.score(*b.scored(spark, d))).select("name", "paired", "unpaired", "auroc", "auprc")
 
 
 @query("score_ties_half", f"WITH {b.B3} SELECT CAST(tid AS INT) AS tid, 0.5::DOUBLE AS auroc FROM pts GROUP BY 1 HAVING count(*) FILTER (open) > 0 AND count(*) FILTER (NOT open) > 0")
 def score_ties_half(spark, d):
-    return score.metrics(b.scored(spark, d).withColumn("value", F.lit(1.0))).select("tid", F.round("auroc", 6).alias("auroc"))
+    profile, refs, structures = b.scored(spark, d)
+    level = profile.withColumn("reactivity", F.lit(1.0).cast("float"))
+    return score.metrics(score.points(level, refs, structures)).select("tid", F.round("auroc", 6).alias("auroc"))
 
 
 # --- pairs -----------------------------------------------------------------------------------------------------------------

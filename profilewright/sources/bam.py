@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import ALIGNMENTS
+from ..schema import ALIGNMENTS, DECLARED
 
 _SEQ, _OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 _COLUMNS = [c.split()[0] for c in ALIGNMENTS.split(", ")]
@@ -49,15 +49,40 @@ class _Stream:
         return out
 
 
-def header(stream: _Stream) -> list[tuple[str, int]]:
+def header(stream: _Stream) -> tuple[str, list[tuple[str, int]]]:
+    """The text of the header, and the references by name and length."""
     if stream.take(4) != b"BAM\1":
         raise ValueError("not a BAM file")
-    stream.take(struct.unpack("<i", stream.take(4))[0])
+    text = stream.take(struct.unpack("<i", stream.take(4))[0]).rstrip(b"\0").decode()
     refs = []
     for _ in range(struct.unpack("<i", stream.take(4))[0]):
         name = stream.take(struct.unpack("<i", stream.take(4))[0])[:-1].decode()
         refs.append((name, struct.unpack("<i", stream.take(4))[0]))
-    return refs
+    return text, refs
+
+
+def read_header(spark: SparkSession, path: str, file_id: int = 0) -> DataFrame:
+    """``file_id, tid, name, len, m5, is_sorted``: the references that a BAM file declares, and whether its header's first line says exactly ``SO:coordinate``. Checksums stand in the text alone, under the same names."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for content in frame["content"]:
+                text, refs = header(_Stream(inflate(content)))
+                lines = [line.rstrip("\r").split("\t") for line in text.split("\n")]
+                is_sorted = lines[0][0] == "@HD" and "SO:coordinate" in lines[0]
+                tags = [dict(f.split(":", 1) for f in line[1:] if ":" in f) for line in lines if line[0] == "@SQ"]
+                sums = {t["SN"]: t["M5"] for t in tags if "SN" in t and "M5" in t}
+                yield pd.DataFrame([(file_id, k, name, size, sums.get(name), is_sorted) for k, (name, size) in enumerate(refs)], columns=["file_id", "tid", "name", "len", "m5", "is_sorted"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, DECLARED + ", is_sorted boolean")
+
+
+def read_declared(spark: SparkSession, path: str, file_id: int = 0, require_sorted: bool = False) -> DataFrame:
+    """``declared``: the references of a BAM file, as ``text.read_declared`` has those of a SAM file."""
+    found = read_header(spark, path, file_id)
+    if require_sorted and found.filter(~F.col("is_sorted")).head(1):
+        raise ValueError(f"{path}: not sorted by coordinate")
+    return found.drop("is_sorted")
 
 
 def records(stream: _Stream, file_id: int) -> Iterator[tuple]:

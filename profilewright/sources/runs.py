@@ -36,9 +36,15 @@ def write_run(tables: dict[str, DataFrame], path: str, overwrite: bool = False)
         kept = [c.split()[0] for c in TABLES[name].split(", ")]
         tables[name].select(*(c for c in kept if c in tables[name].columns)).write.mode("overwrite").parquet(f"{beside}/{name}")
     fs, final = _fs_path(spark, path)
-    fs.delete(final, True)
+    # What was there is moved aside, and goes only when the new run stands in its place.
+    aside = _fs_path(spark, path.rstrip("/") + "._replaced")[1]
+    fs.delete(aside, True)
+    if fs.exists(final) and not fs.rename(final, aside):
+        raise OSError(f"{path} could not be moved aside")
     if not fs.rename(_fs_path(spark, beside)[1], final):
+        fs.rename(aside, final)
         raise OSError(f"{beside} could not be moved to {path}")
+    fs.delete(aside, True)
 
 
 def read_run(spark: SparkSession, path: str, step: str | None = None) -> dict[str, DataFrame]:

@@ -75,6 +75,16 @@ def test_scales_follow_their_definition(spark, scheme, n):
     assert got == pytest.approx(want, rel=1e-9)
 
 
+def test_order_statistics_are_exact_however_rates_lie(spark, monkeypatch):
+    """Few bins and small sorts, so that the range is narrowed again and again: outliers, ties, and rates next to each other."""
+    monkeypatch.setattr(normalize, "BINS", 4)
+    rng = np.random.default_rng(2)
+    for rates in (rng.random(300), np.concatenate([rng.random(200) * 1e-9, [1e9, -1e300]]), np.repeat([0.5, 0.25], 60), np.nextafter(1, 2) ** np.arange(50), [3.0]):
+        df, want = spark.createDataFrame([(float(x),) for x in rates], "rate double"), np.sort(rates)
+        for k in {0, len(want) // 3, len(want) - 1}:
+            assert normalize.kth(df, k, most=5) == want[k]
+
+
 def test_scales_apply(spark):
     (made,), norm = normalize.normalize([profile_of(spark, [0.25, 0.25, NAN])])
     assert same(column(made, "reactivity"), [1, 1, NAN]) and norm.first()[0] == 0.25
@@ -105,6 +115,13 @@ def test_scores(spark):
     assert sum(scored(spark, [9.0, 1, 8, 2, 7, 3], pairing="-(.(.(")[0][k] for k in ("paired", "unpaired")) == 5
 
 
+def test_more_references_than_rows_are_refused(spark):
+    refs = spark.createDataFrame([(0, "a", None, "A", 1), (1, "b", None, "A", 1)], REFERENCES)
+    score.refuse_longer(refs, 2), score.refuse_longer(refs, 3)
+    with pytest.raises(ValueError):
+        score.refuse_longer(refs, 1)
+
+
 def test_area_is_the_share_of_ordered_pairs(spark):
     rng = np.random.default_rng(0)
     values, is_open = rng.integers(0, 9, 200).astype(float), rng.random(200) < 0.4
@@ -152,6 +169,8 @@ def test_runs_are_kept_whole(spark, tmp_path):
     broken = {**tables, "profile": tables["profile"].withColumn("coverage", F.when(F.col("pos") == 1, F.raise_error(F.lit("broken")).cast("float")).otherwise(1))}
     with pytest.raises(Exception):
         runs.write_run(broken, path, overwrite=True)
+    runs.write_run(tables, path, overwrite=True)
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith("_writing")] == ["run"]
     back = runs.read_run(spark, path, "sub")
     assert column(back["profile"], "pos") == [0, 1, 2] and runs.same_shape(back, tables)
     both = runs.combined_counts(back, back)
@@ -159,3 +178,15 @@ def test_runs_are_kept_whole(spark, tmp_path):
     with pytest.raises(ValueError):
         runs.write_run({"profile": tables["profile"]}, path, overwrite=True)
     assert fields_for("sub", back["profile"].drop("error")) == ["coverage", "reactivity", "base"]
+
+
+def test_options_are_described(capsys):
+    import json
+
+    from profilewright import cli
+
+    assert cli.main(["dump-options"]) == 0
+    found = json.loads(capsys.readouterr().out)
+    band = next(x for x in found["hmm"] if "--band" in x["names"])
+    assert band["default"] == 2 and not band["required"] and {"sub", "div", "norm", "score", "gen"} <= set(found)
+    assert next(x for x in found["norm"] if "--output" in x["names"])["repeated"]

@@ -324,13 +324,37 @@ def test_bam_is_decoded(spark, tmp_path):
     def member(x):
         z = zlib.compressobj(6, zlib.DEFLATED, 31)
         return z.compress(x) + z.flush()
+    head = b"@HD\tVN:1.6\tSO:coordinate\n@SQ\tSN:re\tLN:50\tM5:" + b"0" * 32 + b"\n"
+    with_head = b"BAM\1" + struct.pack("<i", len(head)) + head + data[8:]
+    (tmp_path / "h.bam").write_bytes(member(with_head) + member(b""))
+    assert tuple(bam.read_declared(spark, str(tmp_path / "h.bam"), 3, require_sorted=True).first()) == (3, 0, "re", 50, "0" * 32)
+    assert bam.read_bam(spark, str(tmp_path / "h.bam")).first()["seq"] == seq
     (tmp_path / "a.bam").write_bytes(member(data[:30]) + member(data[30:]) + member(b""))
     row = bam.read_bam(spark, str(tmp_path / "a.bam")).first()
     assert (row["tid"], row["pos"], row["flag"], row["mapq"], row["cigar"], row["seq"], row["qual"], row["l_qseq"]) == (0, 7, 16, 60, "5M", seq, "?@ABC", 5)
+    assert tuple(bam.read_declared(spark, str(tmp_path / "a.bam")).first()) == (0, 0, "re", 50, None)
+    with pytest.raises(ValueError, match="not sorted"):
+        bam.read_declared(spark, str(tmp_path / "a.bam"), require_sorted=True)
     with pytest.raises(ValueError):
         bam.read_bam(spark, "x.cram")
 
 
+def test_order_is_looked_at_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(filters, "ORDER_BLOCK", 3)
+    rng = np.random.default_rng(4)
+    for tids in (sorted(rng.integers(0, 5, 30)), rng.integers(0, 5, 30), [0, 1, 1, 0, 2, 2, 3, 3, 2]):
+        flags = rng.choice([0, 4], len(tids), p=[0.8, 0.2])
+        reads = reads_of(spark, [(int(t), 0, int(f), 60, "5M", "GATTA", None) for t, f in zip(tids, flags)])
+        mapped = [int(t) for t, f in zip(tids, flags) if not f]
+        backwards = sum(b < a for a, b in zip(mapped, mapped[1:]))
+        assert filters.out_of_order(reads.repartition(3)).count() == backwards
+        if backwards:
+            with pytest.raises(ValueError):
+                filters.refuse_disorder(reads)
+        else:
+            filters.refuse_disorder(reads)
+
+
 def test_structures_are_read_and_refused(spark, tmp_path):
     (tmp_path / "ok").write_text("> one  more\nACGU\n.(.)\n>two\n....\n>three\nACGU\n")
     assert sorted(map(tuple, text.read_structures(spark, str(tmp_path / "ok")).collect())) == [("one", ".(.)"), ("two", "....")]
