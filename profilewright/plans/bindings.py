@@ -109,15 +109,19 @@ def _sql_rates(name: str, flag: str) -> str:
 B2 = ",".join(_sql_rates(n, f) for n, f in (("treated", "R"), ("untreated", "A"), ("control", "N")))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Labelled documents as a profile (length as the rate), references and structures (quality as the pairing); what is not labelled has no known mark."""
+def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, tid, n_chars, mark``: documents as positions, open or paired by their quality, unknown without a label."""
     lang = F.when(F.col("lang") == "de", 0).when(F.col("lang") == "en", 1).when(F.col("lang") == "es", 2).otherwise(3)
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     docs = table(spark, sf_dir, "documents").select("doc_id", lang.alias("tid"), "n_chars").join(labels, "doc_id", "left")
-    placed = docs.withColumn("pos", F.row_number().over(Window.partitionBy("tid").orderBy("doc_id")) - 1)
-    mark = F.when(F.col("quality").isNull(), "-").when(F.col("quality") == 1, ".").otherwise("(")
+    return docs.withColumn("mark", F.when(F.col("quality").isNull(), "-").when(F.col("quality") == 1, ".").otherwise("("))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labelled documents as a profile (length as the rate), references and structures (quality as the pairing); what is not labelled has no known mark."""
+    placed = marks(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("tid").orderBy("doc_id")) - 1)
     profile = placed.select("tid", "pos", F.lit(0).cast("tinyint").alias("base"), F.lit(1.0).cast("float").alias("coverage"), F.col("n_chars").cast("float").alias("reactivity"))
-    spelled = placed.groupBy("tid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", mark.alias("mark")))), lambda x: x["mark"]), "").alias("pairing"))
+    spelled = placed.groupBy("tid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mark"))), lambda x: x["mark"]), "").alias("pairing"))
     refs = spelled.select("tid", F.concat(F.lit("ref"), F.col("tid").cast("string")).alias("name"), F.lit(None).cast("string").alias("comment"), F.repeat(F.lit("A"), F.length("pairing")).alias("seq"), F.length("pairing").alias("len"))
     return profile, refs, spelled.select(F.concat(F.lit("ref"), F.col("tid").cast("string")).alias("name"), "pairing")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import combine, filters, hmm, normalize, pairs, profile, score, verify
 from ..operators.pileup import pileup, placed
-from ..schema import nan
+from ..schema import FILLS, nan
+from ..scratch import shared_dir, written_text
+from ..sources import runs, text
 from . import bindings as b
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,14 +189,90 @@ def no_path_reads(spark, d):
     return placed(_mapped(spark, d).filter("accepted"), b.references(spark)).filter("not has_path").groupBy("tid").agg(F.count(F.lit(1)).alias("n"))
 
 
-# --- profiles --------------------------------------------------------------------------------------------------------------
+_K = "CAST(tid AS INT) AS tid, CAST(pos AS INT) AS pos"
 
 
 def _keys(df: DataFrame, *columns: Column) -> DataFrame:
     return df.select("tid", "pos", *columns)
 
 
-_K = "CAST(tid AS INT) AS tid, CAST(pos AS INT) AS pos"
+# --- files, there and back --------------------------------------------------------------------------------------------------
+
+
+def _plain_alignments(spark, d) -> DataFrame:
+    """Letters that a line of SAM can hold."""
+    return b.alignments(spark, d).withColumn("seq", F.regexp_replace("seq", "[^ACGT]", "N"))
+
+
+@query("sam_round_trip", f"WITH {b.B1} SELECT CAST(tid AS INT) AS tid, CAST(pos AS BIGINT) AS pos, CAST(flag AS INT) AS flag, CAST(mapq AS SMALLINT) AS mapq, cigar, md5(regexp_replace(seq, '[^ACGT]', 'N', 'g')) AS seq_md5, repeat(chr(CAST(33 + q AS INT)), 3) AS qual_head, CAST(n AS INT) AS l_qseq, count(*) AS n FROM aln GROUP BY ALL")
+def sam_round_trip(spark, d):
+    path = written_text(text.sam_lines(_plain_alignments(spark, d), b.references(spark)), "sam")
+    head = F.rpad(F.substring("qual", 1, 3), 3, F.substring("qual", 1, 1))
+    read = text.read_sam(spark, path, require_sorted=True).select("tid", "pos", "flag", "mapq", "cigar", F.md5("seq").alias("seq_md5"), head.alias("qual_head"), "l_qseq")
+    return read.groupBy(*read.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sam_two_files", f"WITH {b.B1} SELECT CAST(f AS INT) AS file_id, CAST(tid AS INT) AS tid, count(*) AS n, CAST(sum(pos) AS BIGINT) AS pos_sum FROM aln, unnest([0, 1]) AS t(f) GROUP BY 1, 2")
+def sam_two_files(spark, d):
+    path = written_text(text.sam_lines(_plain_alignments(spark, d), b.references(spark)), "sam")
+    return text.read_sam(spark, [path, path]).groupBy("file_id", "tid").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos_sum"))
+
+
+@query("sam_header", f"WITH {b.B1} SELECT 0 AS file_id, CAST(tid AS INT) AS tid, name, CAST(len AS BIGINT) AS len, md5(upper(seq)) AS m5, true AS is_sorted FROM refs")
+def sam_header(spark, d):
+    path = written_text(text.sam_lines(_plain_alignments(spark, d), b.references(spark)), "sam")
+    return text.read_declared(spark, path).withColumn("is_sorted", F.lit(text.header_is_sorted(spark, path)))
+
+
+@query("fasta_round_trip", f"WITH {b.B1} SELECT CAST(tid AS INT) AS tid, name, seq, CAST(len AS INT) AS len FROM refs")
+def fasta_round_trip(spark, d):
+    return text.read_fasta(spark, written_text(text.fasta_lines(b.references(spark)).coalesce(1), "fasta")).select("tid", "name", "seq", "len")  # four references
+
+
+@query("structure_round_trip", f"WITH {b.B3}, p AS (SELECT CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END AS tid, doc_id, quality FROM documents LEFT JOIN labels USING (doc_id)) SELECT 'ref' || tid || '.' || doc_id % 50 AS name, string_agg(CASE WHEN quality IS NULL THEN '-' WHEN quality = 1 THEN '.' ELSE '(' END, '' ORDER BY doc_id) AS pairing FROM p GROUP BY 1")
+def structure_round_trip(spark, d):
+    marks = b.marks(spark, d).withColumn("name", F.concat(F.lit("ref"), F.col("tid").cast("string"), F.lit("."), (F.col("doc_id") % 50).cast("string")))
+    spelled = marks.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "mark"))), lambda x: x["mark"]), "").alias("pairing"))
+    lines = spelled.select(F.concat(F.lit("> "), F.col("name"), F.lit(" a comment\nACGU\n"), F.col("pairing")).alias("value"))
+    return text.read_structures(spark, written_text(lines, "structures"))
+
+
+@query("run_round_trip", f"WITH {b.B2} SELECT {_K}, base, round(coverage, 6)::DOUBLE AS coverage, {sql_shown('reactivity')} AS reactivity, {sql_shown('error')} AS error, (SELECT count(DISTINCT tid) FROM treated) AS n_refs FROM treated")
+def run_round_trip(spark, d):
+    made = b.rates(spark, d, "R")
+    run = made.agg(F.count_distinct("tid").cast("int").alias("n_refs")).select(F.lit("p").alias("program"), F.lit("1").alias("version"), "n_refs", F.lit(7).alias("cap"), F.lit(0).cast("bigint").alias("unmapped"), nan("float").alias("norm"))
+    path = f"{shared_dir(spark)}/profilewright/run-{uuid.uuid4().hex}"
+    for _ in range(2):  # the second replaces the first
+        runs.write_run({"profile": made, "run": run}, path, overwrite=True)
+    back = runs.read_run(spark, path, "div")
+    rows = _keys(back["profile"], F.col("base"), F.col("coverage").cast("double").alias("coverage"), shown(F.col("reactivity")).alias("reactivity"), shown(F.col("error")).alias("error"))
+    return rows.crossJoin(F.broadcast(back["run"].select(F.col("n_refs").cast("bigint").alias("n_refs"))))  # one row
+
+
+@query("run_totals", f"WITH {b.B1} SELECT 'profilewright' AS program, CAST(4 AS INT) AS n_refs, CAST(120 AS INT) AS cap, count(*) FILTER (flag & 4 != 0) AS unmapped, true AS norm_is_nan FROM aln")
+def run_totals(spark, d):
+    return profile.run_table(b.references(spark), b.alignments(spark, d)).select("program", "n_refs", "cap", "unmapped", F.isnan("norm").alias("norm_is_nan"))
+
+
+@query("dense_coverage", f"WITH {b.B1} SELECT CAST(r.tid AS INT) AS tid, CAST(p AS INT) AS pos, round(CASE WHEN p < 120 - 20 * r.tid THEN coalesce(coverage, 0) ELSE 0 END, 3) AS value FROM refs r, unnest(range(0, 120)) AS t(p) LEFT JOIN pile ON pile.tid = r.tid AND pile.pos = p")
+def dense_coverage(spark, d):
+    """Rows of references of unlike length, padded to the longest with the field's fill."""
+    refs = b.references(spark)
+    found = profile.profile(refs, pileup(_mapped(spark, d).filter("accepted"), refs)).filter("pos < 120 - 20 * tid")
+    dense = profile.to_dense(found, refs, "coverage", FILLS["coverage"])
+    return dense.select("tid", F.posexplode("values").alias("pos", "value")).select("tid", "pos", F.round(F.col("value").cast("double"), 3).alias("value"))
+
+
+@query("sub_without_error", f"WITH {b.B2} SELECT {_K}, t.base, CAST(t.coverage + u.coverage AS BIGINT) AS coverage, {sql_shown('t.reactivity - u.reactivity')} AS reactivity, false AS has_error FROM treated t JOIN untreated u USING (tid, pos)")
+def sub_without_error(spark, d):
+    """A field that one input lacks is not carried."""
+    made = combine.subtract(b.rates(spark, d, "R").drop("error"), b.rates(spark, d, "A"))
+    return _keys(made, F.col("base"), F.col("coverage").cast("long").alias("coverage"), shown(F.col("reactivity")).alias("reactivity"), F.lit("error" in made.columns).alias("has_error"))
+
+
+# --- profiles --------------------------------------------------------------------------------------------------------------
+
+
 _SUB = f"{b.B2}, s AS (SELECT tid, pos, t.base, t.coverage + u.coverage AS coverage, t.reactivity - u.reactivity AS reactivity, CAST(sqrt(t.error * t.error + u.error * u.error) AS FLOAT) AS error FROM treated t JOIN untreated u USING (tid, pos))"
 
 

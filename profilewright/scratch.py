@@ -27,3 +27,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def written_text(df: DataFrame, name: str) -> str:
+    """Write a column of lines to the shared folder, and say where."""
+    path = f"{shared_dir(df.sparkSession)}/profilewright/{name}-{uuid.uuid4().hex}"
+    df.write.text(path)
+    return path
