@@ -15,6 +15,7 @@ from ..schema import FILLS, nan
 from ..scratch import shared_dir, written_text
 from ..sources import runs, text
 from . import bindings as b
+from .model_sql import B5
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -121,9 +122,17 @@ def hmm_band0_udf(spark, d):
     return _rounded_sums(_hmm_sums(spark, d, band=0))
 
 
-@query("hmm_band2_profile")
+_RATE = "least(1.0, m / s)"
+_BAND2 = f"""WITH RECURSIVE {b.B1}, {B5}, t AS (SELECT tid, pos, sum(cov) AS c, sum(spn) AS s, sum(mut) AS m FROM win GROUP BY 1, 2),
+j AS (SELECT refs.tid, p AS pos, instr('ACGT', substr(seq, p + 1, 1)) - 1 AS base, coalesce(c, 0) AS c, coalesce(s, 0) AS s, coalesce(m, 0) AS m FROM refs JOIN unnest(range(0, 120)) AS u(p) ON true LEFT JOIN t ON t.tid = refs.tid AND t.pos = p)
+SELECT CAST(tid AS INT) AS tid, CAST(pos AS INT) AS pos, CAST(base AS TINYINT) AS base, round(CAST(CAST(c AS FLOAT) AS DOUBLE), 3) AS coverage, CASE WHEN s >= 1 THEN round(CAST(CAST({_RATE} AS FLOAT) AS DOUBLE), 5) END AS reactivity,
+CASE WHEN s >= 1 THEN round(CAST(CAST(sqrt({_RATE} * (1 - {_RATE}) / s) AS FLOAT) AS DOUBLE), 5) END AS error FROM j"""
+
+
+@query("hmm_band2_profile", _BAND2)
 def hmm_band2_profile(spark, d):
-    return profile.count_reads(b.alignments(spark, d), b.references(spark))["profile"]
+    found = profile.count_reads(b.alignments(spark, d), b.references(spark))["profile"]
+    return found.select("tid", "pos", "base", F.round(F.col("coverage").cast("double"), 3).alias("coverage"), shown(F.col("reactivity"), 5).alias("reactivity"), shown(F.col("error"), 5).alias("error"))
 
 
 @query("hmm_band2_invariants", f"WITH {b.B1} SELECT count(*) AS mapped, true AS adds_up, true AS covered_within, true AS rates_within FROM mapped")
@@ -136,9 +145,23 @@ def hmm_band2_invariants(spark, d):
     return bases.crossJoin(stats).crossJoin(rates).select("mapped", (F.col("mapped") == F.col("reads")).alias("adds_up"), (F.col("covered") <= F.col("placed") * 1.0001).alias("covered_within"), "rates_within")
 
 
-@query("hmm_pairwise")
+def _narrow(x: str, digits: int) -> str:
+    """Narrowed to 32 bits, then rounded; no negative zero."""
+    return f"round(CAST(CAST({x} AS FLOAT) AS DOUBLE), {digits}) + 0.0"
+
+
+_PAIRWISE = f"""WITH RECURSIVE {b.B1}, {B5}, kept AS MATERIALIZED (SELECT * FROM win WHERE spn > 0),
+sums AS (SELECT x.tid, x.pos AS i, y.pos AS j, sum(x.spn * y.spn) AS span, sum(x.mut * y.spn) AS "left", sum(x.spn * y.mut) AS "right", sum(x.mut * y.mut) AS "both", sum(x.cov * y.cov) AS covered
+  FROM kept x JOIN kept y ON x.rec_no = y.rec_no AND x.pos <= y.pos GROUP BY 1, 2, 3),
+st AS (SELECT tid, i, j, span, "left" * (span - "left") * "right" * (span - "right") AS scale, "both" * span - "left" * "right" AS top, "both" / nullif("right", 0) AS conditional, covered FROM sums
+  UNION ALL SELECT tid, j, i, span, "left" * (span - "left") * "right" * (span - "right"), "both" * span - "left" * "right", "both" / nullif("left", 0), covered FROM sums WHERE i < j)
+SELECT CAST(tid AS INT) AS tid, CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN span >= 1 AND scale > 0 THEN {_narrow('top / sqrt(scale)', 3)} END AS correlation, CASE WHEN span >= 1 THEN {_narrow('conditional', 3)} END AS conditional, {_narrow('covered', 2)} AS coverage FROM st"""
+
+
+@query("hmm_pairwise", _PAIRWISE)
 def hmm_pairwise(spark, d):
-    return profile.count_reads(b.alignments(spark, d), b.references(spark), with_pairs=True)["pairs"]
+    found = profile.count_reads(b.alignments(spark, d), b.references(spark), with_pairs=True)["pairs"]
+    return found.select("tid", "i", "j", shown(F.col("correlation"), 3).alias("correlation"), shown(F.col("conditional"), 3).alias("conditional"), shown(F.col("coverage"), 2).alias("coverage"))
 
 
 @query("profile_skeleton", f"""WITH {b.B1}, each_pos AS (SELECT tid, p AS pos, instr('ACGT', substr(seq, p + 1, 1)) - 1 AS base FROM refs, unnest(range(0, 120)) AS t(p)),
