@@ -10,24 +10,33 @@ LONGEST_LINE = 4095
 PAIRING = r"^[()\[\]{}<>.\-]+$"
 
 
+FILE, BLOCK = "_file", "_block"
+
+
+def located(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Lines of text (``value``) with the file and the split of it that they are from."""
+    return spark.read.options(**options).text(path).select("value", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK))
+
+
 def numbered(rows: DataFrame, name: str) -> DataFrame:
-    """``rows``, with each one's ordinal in the input in column ``name``: its place in its partition after the sizes of those before, without a sort or a single task."""
-    placed = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    """``rows`` of ``located`` lines, with each one's ordinal in the input in column ``name``, by files in order of their names: its place in its split after the sizes of those before, without a sort or a single task."""
     from pyspark.sql import Window
 
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_part", before.alias("_before"))  # a row a partition
-    return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_part", "_before")
+    placed = rows.withColumn("_id", F.monotonically_increasing_id())
+    splits = placed.groupBy(FILE, BLOCK).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(FILE, BLOCK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.select(FILE, BLOCK, "_first", before.alias("_before"))  # a row a split
+    return placed.join(F.broadcast(offsets), [FILE, BLOCK]).withColumn(name, F.col("_before") + F.col("_id") - F.col("_first")).drop("_id", "_first", "_before", FILE, BLOCK)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.rtrim(F.translate("value", "\r", "")).alias("line"))
+    return located(spark, path).select(F.rtrim(F.translate("value", "\r", "")).alias("line"), FILE, BLOCK)
 
 
 def header_is_sorted(spark: SparkSession, path: str) -> bool:
-    """Whether the first line is ``@HD`` and says exactly ``SO:coordinate``."""
-    first = _lines(spark, path).limit(1).collect()
+    """Whether the first line, of the first file by name, is ``@HD`` and says exactly ``SO:coordinate``."""
+    files = sorted(spark.read.text(path).inputFiles())
+    first = _lines(spark, files[0]).limit(1).collect() if files else []
     return bool(first) and first[0][0].startswith("@HD") and "SO:coordinate" in first[0][0].split("\t")
 
 
@@ -61,7 +70,7 @@ def read_sam(spark: SparkSession, paths: list[str] | str, require_sorted: bool =
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
     """Text between ``>`` at line starts, a row each."""
-    rows = spark.read.option("lineSep", "\n>").text(path).select(F.translate("value", "\r", "").alias("value"))
+    rows = located(spark, path, lineSep="\n>").select(F.translate("value", "\r", "").alias("value"), FILE, BLOCK)
     return rows.filter(F.trim(F.regexp_replace("value", "\n", "")) != "")
 
 
