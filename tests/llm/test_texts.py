@@ -110,6 +110,40 @@ def test_operators_take_columns_of_any_name(spark):
     assert secrets.scan(docs.drop("text").withColumn("text", F.lit("x"))).columns[-5:] == ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 
 
+def brute_bundle(text):
+    """n-gram by n-gram: letters' vectors rolled by their place and multiplied, all added up; None without a letter."""
+    letters = [c if c.isalpha() else " " for c in (text or "").lower()]
+    if not any(c != " " for c in letters):
+        return None
+    runs = " ".join("".join(letters).split(" "))
+    runs = " " + re.sub(" +", " ", runs).strip(" ") + " "
+    vector = lambda c: language.letter_vectors(np.array([0 if c == " " else ord(c)]))[0].astype(float)
+    total = np.zeros(language.DIM)
+    for i in range(len(runs) - 2):
+        total += vector(runs[i]) * np.roll(vector(runs[i + 1]), 1) * np.roll(vector(runs[i + 2]), 2)
+    return total
+
+
+def test_language_equals_brute_force(spark):
+    """Prototypes, cosines and winners worked out apart, with awkward texts."""
+    rng = np.random.default_rng(1)
+    learned = [(i, " ".join(rng.permutation(t.split())[: 5 + i % 7]), lang) for i, (lang, t) in enumerate(list(TEXTS.items()) * 6)]
+    asked = [(100 + i, t, None) for i, t in enumerate(["the dog", "DER hund, und 12 katzen!", "a", "é", "", None, "?!", "zzz qqq", "le  chien\n\tet", "x" * 300, "the der le"])]
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    prototypes = {}
+    for lang in TEXTS:
+        own = [brute_bundle(t) for _, t, x in learned if x == lang]
+        total = sum(v / np.linalg.norm(v) for v in own)
+        prototypes[lang] = total / np.linalg.norm(total)
+    found = language.learn(docs(learned))
+    assert found.keys() == prototypes.keys() and all(np.allclose(found[k], prototypes[k], atol=1e-5) for k in found)
+    for r in language.predict(docs(learned + asked), found).collect():
+        v = brute_bundle(r["text"])
+        scores = {} if v is None else {k: float(v @ p / np.linalg.norm(v)) for k, p in prototypes.items()}
+        want = max(sorted(scores), key=scores.get) if scores else "und"
+        assert r["lang_pred"] == want and r["score"] == pytest.approx(min(1, max(0, scores.get(want, 0))), abs=1e-5)
+
+
 def test_gram_counts_do_not_depend_on_pieces(monkeypatch):
     alphabet, text = language.Alphabet(), "Ab cdé, f " * 50 + "x"
     whole = language.gram_counts(text, alphabet)
