@@ -12,7 +12,7 @@ from ..functions import scalars
 from ..operators import combine, filters, hmm, normalize, pairs, profile, score, verify
 from ..operators.pileup import pileup, placed
 from ..schema import FILLS, nan
-from ..scratch import shared_dir, written_text
+from ..scratch import own_dir, written_text
 from ..sources import runs, text
 from . import bindings as b
 from .model_sql import B5
@@ -264,7 +264,7 @@ def structure_round_trip(spark, d):
 def run_round_trip(spark, d):
     made = b.rates(spark, d, "R")
     run = made.agg(F.count_distinct("tid").cast("int").alias("n_refs")).select(F.lit("p").alias("program"), F.lit("1").alias("version"), "n_refs", F.lit(7).alias("cap"), F.lit(0).cast("bigint").alias("unmapped"), nan("float").alias("norm"))
-    path = f"{shared_dir(spark)}/profilewright/run-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/run-{uuid.uuid4().hex}"
     for _ in range(2):  # the second replaces the first
         runs.write_run({"profile": made, "run": run}, path, overwrite=True)
     back = runs.read_run(spark, path, "div")

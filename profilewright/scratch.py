@@ -20,10 +20,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The application's own folder in the shared one."""
+    return f"{shared_dir(spark)}/profilewright/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has written here. Results that are not written elsewhere yet are lost, as they read these tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: later steps don't recompute it, and survive lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/profilewright/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
@@ -31,6 +42,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def written_text(df: DataFrame, name: str) -> str:
     """Write a column of lines to the shared folder, and say where."""
-    path = f"{shared_dir(df.sparkSession)}/profilewright/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.text(path)
     return path

@@ -190,3 +190,16 @@ def test_options_are_described(capsys):
     band = next(x for x in found["hmm"] if "--band" in x["names"])
     assert band["default"] == 2 and not band["required"] and {"sub", "div", "norm", "score", "gen"} <= set(found)
     assert next(x for x in found["norm"] if "--output" in x["names"])["repeated"]
+
+
+def test_scratch_tables_can_be_cleared(spark, tmp_path):
+    import os
+
+    from profilewright import scratch
+
+    made = scratch.materialize(spark.range(5), "x")
+    assert made.count() == 5
+    own = scratch.own_dir(spark).removeprefix("file://")
+    assert os.path.isdir(own)
+    scratch.clear(spark)
+    assert not os.path.exists(own) and scratch.materialize(spark.range(2), "x").count() == 2
