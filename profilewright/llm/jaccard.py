@@ -35,7 +35,7 @@ RADIUS = 0.1
 REGION_SHINGLES = 2_000_000
 FLUSH_BYTES = 32 << 20
 #: Pivots of a step: in a small group, in a larger one, and in a region that is spread over tasks.
-FEW, PIVOTS, MANY = 1, 4, 16
+FEW, PIVOTS, MANY, LEVELS = 1, 4, 16, 2
 SMALL = 8
 
 
@@ -252,9 +252,9 @@ class Region:
 
     def join(self, members: np.ndarray) -> None:
         """Find the components of the members: by pivots, Voronoi cells and their windows, and again inside each cell."""
-        stack = [members]
+        stack = [(members, 2 * len(members))]
         while stack:
-            members = stack.pop()
+            members, tried = stack.pop()
             if len(members) < 2 or (self.root[members] == self.root[members[0]]).all():
                 continue
             # A pivot is settled once it has been compared with all. Small components come first: what is left then is one.
@@ -265,10 +265,12 @@ class Region:
             members, distances = members[rest], distances[:, rest]
             cells = [c for cell in voronoi(distances) for c in windows(distances, cell) if len(c) > 1]
             if 2 * sum(map(len, cells)) <= 3 * len(members):
-                stack += [members[c] for c in cells]
+                stack += [(members[c], 2 * len(c)) for c in cells]
+            elif 4 * len(members) > 3 * tried:  # rarest shingles left this together not long ago
+                stack.append((members, tried))
             else:
                 # Cells that overlap too much would be joined again and again: what the pivots leave together meets others by its rarest shingles.
-                stack += self.parts(members)
+                stack += [(g, len(g)) for g in self.parts(members)]
 
 
 def voronoi(distances: np.ndarray) -> list[np.ndarray]:
@@ -337,18 +339,31 @@ def refine_regions(sets: DataFrame) -> DataFrame:
     return sets.withColumn("node", node).join(ties, F.col("node") == F.col("id")).select(F.col("component").alias("region"), "doc_id", "n", "codes")
 
 
+def chunk_regions(sets: DataFrame, large: DataFrame) -> DataFrame:
+    """Regions (``large(region, chunks)``) dealt into chunks by document; every two chunks, and each alone, become a region."""
+    counts = materialize(sets.groupBy("region").agg(F.count(F.lit(1)).alias("rows_of_key")), "jaccard-members")
+    dealt = spread_join(sets, large.select("region", (2 * F.col("chunks")).alias("chunks")), ["region"], "jaccard-members", counts)
+    chunk = F.pmod(F.xxhash64("doc_id", F.lit("chunk")), F.col("chunks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda other: F.struct(F.least(chunk, other).alias("i"), F.greatest(chunk, other).alias("j")))
+    each = dealt.select("region", "doc_id", "n", "codes", F.explode(pairs).alias("c"))
+    return each.select(F.xxhash64("region", "c.i", "c.j").alias("region"), "doc_id", "n", "codes")
+
+
 def split_regions(sets: DataFrame, region_shingles: int, pivots: int = MANY) -> tuple[DataFrame, DataFrame]:
     """Regions too large for a task, the same join spread over tasks: links to pivots, and regions of bounded size that hold every pair that may still link.
 
     ``sets(region, doc_id, n, codes)``. Pivots of a region are its first sets by a hash; its sets are dealt into chunks of bounded
     size, and each chunk meets all its pivots, so that no region fills a task. A set belongs to the cell of its nearest pivot and is
     replicated, with the others of its document, into every cell within twice the radius. A cell whose documents are all connected
-    by links is done. Cells become regions; those that are too large still get new pivots (the old ones are settled and gone),
-    after their rarest shingles have told them apart where the pivots did not, and more pivots each time.
+    by links is done. Cells become regions; where they overlap too much their region stays whole, without its pivots, which are
+    settled. What is too large still is told apart by its rarest shingles and gets new pivots, ``LEVELS`` times. A region that
+    neither parts is dense - many texts at about the radius from each other - and is joined chunk by chunk: tasks of bounded
+    size, each with pivots and windows again, in which all its pairs meet.
     """
     links = small = None
+    level = 0
     more = lambda a, b: b if a is None else a.unionByName(b)
-    before = None
+    refine = False
     while True:
         sizes = materialize(sets.groupBy("region").agg(F.sum("n").alias("shingles")), "jaccard-sizes")
         large = sizes.filter(F.col("shingles") > region_shingles).withColumn("chunks", F.ceil(F.col("shingles") / F.lit(region_shingles)).cast("int"))
@@ -357,11 +372,12 @@ def split_regions(sets: DataFrame, region_shingles: int, pivots: int = MANY) ->
         left = large.agg(F.coalesce(F.sum("shingles"), F.lit(0))).first()[0]
         if not left:
             return links if links is not None else small.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0), small
-        if before is not None and 10 * left > 9 * before:
-            sets = materialize(refine_regions(sets.join(large.select("region"), "region", "left_semi")), "jaccard-finer")
-            before, pivots = None, 2 * pivots
+        if refine:
+            sets, refine = materialize(refine_regions(sets.join(large.select("region"), "region", "left_semi")), "jaccard-finer"), False
             continue
-        before = left
+        if level == LEVELS:
+            return links, small.unionByName(chunk_regions(sets, large))
+        level, refine = level + 1, True
         counts = sets.groupBy("region").agg(F.count(F.lit(1)).alias("rows_of_key"))
         members = spread_join(sets, large.select("region", "chunks"), ["region"], "jaccard-members", materialize(counts, "jaccard-members"))
         members = materialize(members.withColumns({"set": F.xxhash64("codes"), "chunk": F.pmod(F.xxhash64("doc_id", "codes"), F.col("chunks")).cast("int")}), "jaccard-members")
@@ -378,6 +394,9 @@ def split_regions(sets: DataFrame, region_shingles: int, pivots: int = MANY) ->
         cells = open_sets.join(homes, ["region", "doc_id", "set"]).filter(F.col("d") <= F.col("d_home") + 2 * RADIUS + 1e-9).select("region", "pivot", "doc_id")
         cells = cells.distinct().join(known, F.col("doc_id") == F.col("id"), "left").select("region", "pivot", "doc_id", F.coalesce("component", "doc_id").alias("component"))
         cells = materialize(cells, "jaccard-cells")
+        overlaps = cells.groupBy("region").agg(F.count(F.lit(1)).alias("placed"), F.count_distinct("doc_id").alias("docs")).filter(2 * F.col("placed") > 3 * F.col("docs")).select("region")
+        together = cells.join(overlaps, "region", "left_semi").select("region", F.lit(0).alias("pivot"), "doc_id", "component").distinct()
+        cells = materialize(cells.join(overlaps, "region", "left_anti").unionByName(together), "jaccard-cells")
         undone = cells.groupBy("region", "pivot").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one < other").select("region", "pivot", F.xxhash64("region", "pivot", F.lit("cell")).alias("cell"))
         homes_of = cells.join(undone, ["region", "pivot"]).select("doc_id", F.col("region").alias("whole"), "cell")
         settled = chosen.select("region", "doc_id", "set")
