@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, hamming, jaccard, language, mixing, secrets, substrings, urls, warc
+from . import chat, decontaminate, hamming, jaccard, language, mixing, secrets, substrings, suffix_tree, urls, warc
 
 _QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -16,6 +16,7 @@ _QUERIES = {
     "op8_mix_copies": mixing.op8_mix_copies,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_suffix_tree_score": suffix_tree.op11_suffix_tree_score,
 }
 _SQL = {"op4_topk_search": hamming.OP4_SQL, "op1_chat_format": chat.OP1_SQL, "op5_substring_dedup": substrings.OP5_SQL, "op8_mix_sources": mixing.OP8_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
 
