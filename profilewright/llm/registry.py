@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, hamming, jaccard, language, mixing, secrets, substrings, suffix_tree, urls, warc
+from . import chat, decontaminate, elkan, hamming, jaccard, language, mixing, secrets, substrings, suffix_tree, urls, warc, whitening
 
 _QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -17,8 +17,10 @@ _QUERIES = {
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_suffix_tree_score": suffix_tree.op11_suffix_tree_score,
+    "op12_elkan_clusters": elkan.op12_elkan_clusters,
+    "op13_tsqr_whitening": whitening.op13_tsqr_whitening,
 }
-_SQL = {"op4_topk_search": hamming.OP4_SQL, "op1_chat_format": chat.OP1_SQL, "op5_substring_dedup": substrings.OP5_SQL, "op8_mix_sources": mixing.OP8_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
+_SQL = {"op4_topk_search": hamming.OP4_SQL, "op1_chat_format": chat.OP1_SQL, "op5_substring_dedup": substrings.OP5_SQL, "op8_mix_sources": mixing.OP8_SQL, "op10_decontaminate": decontaminate.OP10_SQL, "op12_elkan_clusters": elkan.OP12_SQL}
 
 
 def queries() -> dict:
