@@ -7,9 +7,11 @@ import json
 import sys
 from collections.abc import Callable
 from dataclasses import asdict
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import schema
 from .operators import combine, filters, hmm, normalize, profile, score, verify
@@ -18,6 +20,10 @@ from .sources import bam, params, runs, synthetic, text
 CHOICES = {"verify": ("name", "checksum", "none"), "pairwise": ("correlation", "conditional", "none")}
 
 
+class UsageError(ValueError):
+    """Options or parameters that no run can have."""
+
+
 def chosen(value: str, choices: tuple[str, ...]) -> frozenset[str]:
     """A comma list of choices; ``none`` stands alone."""
     found = frozenset(value.split(","))
@@ -64,10 +70,8 @@ def _output(s: argparse.ArgumentParser, **more) -> None:
 
 
 def _alignments(spark: SparkSession, paths: list[str]):
-    kinds = {p.endswith(".bam") for p in paths}
-    if len(kinds) > 1:
-        raise ValueError("give BAM files or SAM files, not both")
-    return bam.read_bam(spark, paths) if kinds == {True} else text.read_sam(spark, paths, require_sorted=True)
+    parts = (bam.read_bam(spark, p) if p.endswith((".bam", ".cram")) else text.read_sam(spark, p, require_sorted=True) for p in paths)
+    return reduce(DataFrame.unionByName, (part.withColumn("file_id", F.lit(k)) for k, part in enumerate(parts)))
 
 
 def _write_pair(spark: SparkSession, made, first: dict, second: dict, a) -> None:
@@ -99,8 +103,11 @@ def _hmm_options(s: argparse.ArgumentParser) -> None:
 def run_hmm(a: argparse.Namespace, spark: SparkSession) -> None:
     weights = {f"{n}_weight": getattr(a, f"{n}_weight") for n in ("substitution", "deletion", "insertion")}
     base = hmm.Model(**weights)
-    model = params.parse(Path(a.params).read_text(), base) if a.params else base
-    rule = filters.ReadFilter(a.min_mapq, a.min_length, a.max_length, a.strand)
+    try:
+        model = params.parse(Path(a.params).read_text(), base) if a.params else base
+        rule = filters.ReadFilter(a.min_mapq, a.min_length, a.max_length, a.strand)
+    except (ValueError, OSError) as wrong:
+        raise UsageError(str(wrong)) from wrong
     refs, reads = text.read_fasta(spark, a.fasta), _alignments(spark, a.alignments)
     for k, path in enumerate(a.alignments):
         declared = bam.read_declared(spark, path, k, require_sorted=True) if path.endswith(".bam") else text.read_declared(spark, path, k)
@@ -207,7 +214,7 @@ def main(argv: list[str] | None = None) -> int:
         STEPS[a.step][1](a, spark)
     except Exception as failure:
         print(f"profilewright: {failure}", file=sys.stderr)
-        return 1
+        return 2 if isinstance(failure, UsageError) else 1
     return 0
 
 

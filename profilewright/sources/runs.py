@@ -11,14 +11,14 @@ TABLES = {"profile": schema.PROFILE, "ref_stats": schema.REF_STATS, "lengths": s
 NEEDED = ("profile", "run")
 
 
-def _fs_path(spark: SparkSession, path: str):
+def fs_path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def is_taken(spark: SparkSession, path: str) -> bool:
     """Whether something other than an empty file or folder is there."""
-    fs, p = _fs_path(spark, path)
+    fs, p = fs_path(spark, path)
     return fs.exists(p) and (len(fs.listStatus(p)) > 0 if fs.getFileStatus(p).isDirectory() else fs.getFileStatus(p).getLen() > 0)
 
 
@@ -35,13 +35,13 @@ def write_run(tables: dict[str, DataFrame], path: str, overwrite: bool = False)
     for name in sorted(tables, key=lambda n: n == "run"):
         kept = [c.split()[0] for c in TABLES[name].split(", ")]
         tables[name].select(*(c for c in kept if c in tables[name].columns)).write.mode("overwrite").parquet(f"{beside}/{name}")
-    fs, final = _fs_path(spark, path)
+    fs, final = fs_path(spark, path)
     # What was there is moved aside, and goes only when the new run stands in its place.
-    aside = _fs_path(spark, path.rstrip("/") + "._replaced")[1]
+    aside = fs_path(spark, path.rstrip("/") + "._replaced")[1]
     fs.delete(aside, True)
     if fs.exists(final) and not fs.rename(final, aside):
         raise OSError(f"{path} could not be moved aside")
-    if not fs.rename(_fs_path(spark, beside)[1], final):
+    if not fs.rename(fs_path(spark, beside)[1], final):
         fs.rename(aside, final)
         raise OSError(f"{beside} could not be moved to {path}")
     fs.delete(aside, True)
@@ -49,8 +49,8 @@ def write_run(tables: dict[str, DataFrame], path: str, overwrite: bool = False)
 
 def read_run(spark: SparkSession, path: str, step: str | None = None) -> dict[str, DataFrame]:
     """The tables of a run; with ``step``, the profile has that step's fields, and lacking a required one is refused."""
-    fs, _ = _fs_path(spark, path)
-    found = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES if fs.exists(_fs_path(spark, f"{path}/{name}")[1])}
+    fs, _ = fs_path(spark, path)
+    found = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES if fs.exists(fs_path(spark, f"{path}/{name}")[1])}
     if missing := set(NEEDED) - set(found):
         raise ValueError(f"{path} lacks {sorted(missing)}")
     if step:

@@ -4,6 +4,7 @@ import math
 
 from profilewright import cli
 from profilewright.sources import runs, text
+from tests.test_bam import bgzf, head, record
 
 
 def test_steps_follow_each_other(spark, tmp_path, capsys):
@@ -49,3 +50,17 @@ def test_wrong_inputs_are_refused_and_leave_what_was_there(spark, tmp_path):
     more.write_text(f">a\n{seq}\n>b\n{seq}\n>c\n{seq}\n")
     assert cli.main(["score", "-f", str(more), "-s", str(tmp_path / "marks"), str(tmp_path / "run")]) == 1  # longer than the profile
     assert cli.main(["score", "-f", str(tmp_path / "one"), "-s", str(tmp_path / "marks"), str(tmp_path / "run")]) == 0
+    (tmp_path / "wrong").write_text("substitution 7\n")
+    assert hmm("good", "--params", str(tmp_path / "wrong")) == 2 and hmm("good", "--min-length", "9", "--max-length", "3") == 2
+
+
+def test_sam_and_bam_in_one_run(spark, tmp_path):
+    seq = "ACGTACGTAC"
+    names = [f"ref{i:02d}"[:5] for i in range(2)]
+    sizes = [1000, 1001]
+    (tmp_path / "refs").write_text("".join(f">{n}\n{'ACGT' * (k // 4)}{'ACGT'[: k % 4]}\n" for n, k in zip(names, sizes, strict=True)))
+    (tmp_path / "a.sam").write_text("@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{n}\tLN:{k}\n" for n, k in zip(names, sizes, strict=True)) + f"r\t0\t{names[0]}\t1\t60\t10M\t*\t0\t0\t{seq}\t*\n")
+    (tmp_path / "b.bam").write_bytes(bgzf(head(2) + record(0, 0, seq, [(10, "M")]) + record(1, 4, seq, [(10, "M")]), 100))
+    assert cli.main(["hmm", "-f", str(tmp_path / "refs"), "-o", str(tmp_path / "run"), str(tmp_path / "a.sam"), str(tmp_path / "b.bam")]) == 0
+    stats = {r["tid"]: r["counted"] for r in runs.read_run(spark, str(tmp_path / "run"))["ref_stats"].collect()}
+    assert stats == {0: 2, 1: 1}
