@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import materialize
@@ -31,6 +31,24 @@ def spread_join(large: DataFrame, small: DataFrame, on: list[str], name: str, co
     return cold.unionByName(large.join(F.broadcast(small.join(F.broadcast(hot), on)), on))
 
 
+def with_sums_before(rows: DataFrame, group: str, order: str, sums: list[str], name: str) -> DataFrame:
+    """``rows`` with ``before_<c>``, the sum of ``c`` over the rows of the same ``group`` with a smaller ``order``, and ``all_<c>``, over all of them; an ``order`` stands once in a group.
+
+    Running sums in two levels over a range partition by group and order, written once: a group may span any number of tasks. Each
+    range sums its own rows; what earlier ranges hold of a group comes from a row a group and range.
+    """
+    ranged = materialize(rows.repartitionByRange(group, order).withColumn("slot", F.spark_partition_id()), name)
+    by_group = Window.partitionBy(group)
+    earlier = by_group.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = ranged.groupBy(group, "slot").agg(*(F.sum(c).alias(f"slot_{c}") for c in sums))
+    held = {f"slots_before_{c}": F.coalesce(F.sum(f"slot_{c}").over(earlier), F.lit(0)) for c in sums} | {f"all_{c}": F.sum(f"slot_{c}").over(by_group) for c in sums}
+    offsets = slots.withColumns(held).drop(*(f"slot_{c}" for c in sums))
+    own = Window.partitionBy(group, "slot").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(offsets, [group, "slot"])
+    made = joined.withColumns({f"before_{c}": F.col(f"slots_before_{c}") + F.coalesce(F.sum(c).over(own), F.lit(0)) for c in sums})
+    return made.drop("slot", *(f"slots_before_{c}" for c in sums))
+
+
 def ascii_only(text: Column, other: str) -> Column:
     """A byte for each character: ``other`` for those that ASCII lacks."""
     return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.regexp_replace(text, r"[^\x00-\x7F]", other))

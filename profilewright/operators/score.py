@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..joins import with_sums_before
 from ..schema import is_finite
 
 
@@ -34,13 +35,11 @@ def metrics(scored: DataFrame) -> DataFrame:
     """``tid, paired, unpaired, auroc, auprc, mean_paired, mean_unpaired`` of references with both classes.
 
     Equal values are counted first: a value's mid-rank and its step of the precision-recall curve follow from running counts over
-    distinct values, so ties share a rank and make one step.
+    distinct values, so ties share a rank and make one step. One reference's values may span any number of tasks.
     """
     by_value = scored.groupBy("tid", "value").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("n_open"))
-    up = Window.partitionBy("tid").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy("tid").orderBy(F.col("value").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    below = F.coalesce(F.sum("n").over(up), F.lit(0))
-    ranked = by_value.withColumns({"midrank": below + (F.col("n") + 1) / 2, "found": F.sum("n_open").over(down), "seen": F.sum("n").over(down)})
+    summed = with_sums_before(by_value, "tid", "value", ["n", "n_open"], "scored")
+    ranked = summed.withColumns({"midrank": F.col("before_n") + (F.col("n") + 1) / 2, "found": F.col("all_n_open") - F.col("before_n_open"), "seen": F.col("all_n") - F.col("before_n")})
     sums = ranked.groupBy("tid").agg(
         F.sum("n_open").alias("unpaired"), F.sum(F.col("n") - F.col("n_open")).alias("paired"), F.sum(F.col("midrank") * F.col("n_open")).alias("rank_sum"),
         F.sum(F.col("n_open") * F.col("found") / F.col("seen")).alias("precision_sum"),

@@ -10,12 +10,20 @@ from ..schema import nan
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASES = "ACGTACGTACGTACGTACGTACGTAC" * 2
 READ, REF_LEN = 100, 120
+#: A document has fewer reads, as a text is under 2**31 letters; and a reference of scores has the documents of so many ids at most.
+READS_OF_ONE, PER_REFERENCE = 1 << 25, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table of fewer splits than the session has cores, dealt out; a larger table stays where it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def references(spark: SparkSession) -> DataFrame:
     """Four references, one for each language, with bases by rule."""
     tid = F.col("id").cast("int")
@@ -28,8 +36,7 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents cut into reads of 100 letters, with awkward flags, qualities and alignments by turns."""
     lang = F.when(F.col("lang") == "de", 0).when(F.col("lang") == "en", 1).when(F.col("lang") == "es", 2).otherwise(3)
     # A generator of one row: else the optimiser translates the whole text again for each read.
-    # A small table is one row group, and so one task: its documents are dealt out before they become many reads.
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     coded = docs.select("doc_id", lang.alias("tid"), F.explode(F.array(F.translate("text", LETTERS, BASES))).alias("coded"))
     cut = F.regexp_extract_all("coded", F.lit(f"(?s).{{1,{READ}}}"), F.lit(0))  # in one pass over the text
     reads = coded.filter(F.length("coded") > 0).select("doc_id", "tid", F.posexplode(cut).alias("chunk", "seq"))
@@ -38,7 +45,7 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_turn = F.when(k % 6 == 1, op("10M2D", n - 10, "M")).when(k % 6 == 2, op("10M3I", n - 13, "M")).when(k % 6 == 3, op("5S", n - 5, "M")).when(k % 6 == 5, op("8M2I1D", n - 10, "M"))
     flag = F.when(k % 19 == 0, 4).otherwise(F.when(k % 2 == 1, 16).otherwise(0) + F.when(k % 17 == 0, 256).otherwise(0))
     return reads.select(
-        F.lit(0).alias("file_id"), (F.col("doc_id") * 65536 + F.col("chunk")).alias("rec_no"), F.col("tid").cast("int").alias("tid"), (k % 24).alias("pos"), flag.cast("int").alias("flag"),
+        F.lit(0).alias("file_id"), (F.col("doc_id") * READS_OF_ONE + F.col("chunk")).alias("rec_no"), F.col("tid").cast("int").alias("tid"), (k % 24).alias("pos"), flag.cast("int").alias("flag"),
         F.when(k % 13 == 0, 255).otherwise((F.col("doc_id") * 7 + F.col("chunk")) % 61).cast("smallint").alias("mapq"),
         F.when((n >= 20) & (k % 6 != 0) & (k % 6 != 4), by_turn).otherwise(op(n, "M")).alias("cigar"), "seq",
         F.repeat(F.char((35 + k % 39).cast("int")), n).alias("qual"), n.alias("l_qseq"),
@@ -50,7 +57,7 @@ refs AS (SELECT tid, 'ref' || tid AS name, 120 AS len, string_agg(substr('ACGT',
          FROM unnest(range(0, 4)) AS t(tid), unnest(range(0, 120)) AS u(p) GROUP BY tid),
 coded AS (SELECT doc_id, CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END AS tid, translate(text, '{LETTERS}', '{BASES}') AS coded FROM documents WHERE length(text) > 0),
 cut AS (SELECT doc_id, tid, i AS chunk, doc_id + i AS k, substr(coded, i * 100 + 1, 100) AS seq FROM coded, unnest(range(0, (length(coded) - 1) // 100 + 1)) AS t(i)),
-aln AS (SELECT doc_id * 65536 + chunk AS rec_no, tid, k % 24 AS pos,
+aln AS (SELECT doc_id * {READS_OF_ONE} + chunk AS rec_no, tid, k % 24 AS pos,
                CASE WHEN k % 19 = 0 THEN 4 ELSE CASE WHEN k % 2 = 1 THEN 16 ELSE 0 END + CASE WHEN k % 17 = 0 THEN 256 ELSE 0 END END AS flag,
                CASE WHEN k % 13 = 0 THEN 255 ELSE (doc_id * 7 + chunk) % 61 END AS mapq, seq, length(seq) AS n, 2 + k % 39 AS q,
                CASE WHEN length(seq) < 20 THEN length(seq) || 'M' WHEN k % 6 = 1 THEN '10M2D' || (length(seq) - 10) || 'M' WHEN k % 6 = 2 THEN '10M3I' || (length(seq) - 13) || 'M'
@@ -110,10 +117,11 @@ B2 = ",".join(_sql_rates(n, f) for n, f in (("treated", "R"), ("untreated", "A")
 
 
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, tid, n_chars, mark``: documents as positions, open or paired by their quality, unknown without a label."""
+    """``doc_id, tid, n_chars, mark``: documents as positions, open or paired by their quality, unknown without a label. A language has a reference for each thousand ids."""
     lang = F.when(F.col("lang") == "de", 0).when(F.col("lang") == "en", 1).when(F.col("lang") == "es", 2).otherwise(3)
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    docs = table(spark, sf_dir, "documents").select("doc_id", lang.alias("tid"), "n_chars").join(labels, "doc_id", "left")
+    tid = (F.floor(F.col("doc_id") / PER_REFERENCE) * 4 + lang).cast("int")
+    docs = table(spark, sf_dir, "documents").select("doc_id", tid.alias("tid"), "n_chars").join(labels, "doc_id", "left")
     return docs.withColumn("mark", F.when(F.col("quality").isNull(), "-").when(F.col("quality") == 1, ".").otherwise("("))
 
 
@@ -126,7 +134,8 @@ def scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return profile, refs, spelled.select(F.concat(F.lit("ref"), F.col("tid").cast("string")).alias("name"), "pairing")
 
 
-B3 = "pts AS (SELECT CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END AS tid, CAST(n_chars AS DOUBLE) AS value, quality = 1 AS open FROM documents JOIN labels USING (doc_id))"
+SQL_TID = f"doc_id // {PER_REFERENCE} * 4 + CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END"
+B3 = f"pts AS (SELECT {SQL_TID} AS tid, CAST(n_chars AS DOUBLE) AS value, quality = 1 AS open FROM documents JOIN labels USING (doc_id))"
 
 
 def pair_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,9 +252,9 @@ def fasta_round_trip(spark, d):
     return text.read_fasta(spark, written_text(text.fasta_lines(b.references(spark)).coalesce(1), "fasta")).select("tid", "name", "seq", "len")  # four references
 
 
-@query("structure_round_trip", f"WITH {b.B3}, p AS (SELECT CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END AS tid, doc_id, quality FROM documents LEFT JOIN labels USING (doc_id)) SELECT 'ref' || tid || '.' || doc_id % 50 AS name, string_agg(CASE WHEN quality IS NULL THEN '-' WHEN quality = 1 THEN '.' ELSE '(' END, '' ORDER BY doc_id) AS pairing FROM p GROUP BY 1")
+@query("structure_round_trip", f"SELECT 'ref' || {b.SQL_TID} AS name, string_agg(CASE WHEN quality IS NULL THEN '-' WHEN quality = 1 THEN '.' ELSE '(' END, '' ORDER BY doc_id) AS pairing FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
 def structure_round_trip(spark, d):
-    marks = b.marks(spark, d).withColumn("name", F.concat(F.lit("ref"), F.col("tid").cast("string"), F.lit("."), (F.col("doc_id") % 50).cast("string")))
+    marks = b.marks(spark, d).withColumn("name", F.concat(F.lit("ref"), F.col("tid").cast("string")))
     spelled = marks.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "mark"))), lambda x: x["mark"]), "").alias("pairing"))
     lines = spelled.select(F.concat(F.lit("> "), F.col("name"), F.lit(" a comment\nACGU\n"), F.col("pairing")).alias("value"))
     return text.read_structures(spark, written_text(lines, "structures"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from profilewright.joins import with_sums_before
 from profilewright.operators import combine, normalize, pairs, profile, score
 from profilewright.schema import LENGTHS, PROFILE, REF_STATS, REFERENCES, RUN, STRUCTURES, fields_for
 from profilewright.sources import runs
@@ -75,14 +76,28 @@ def test_scales_follow_their_definition(spark, scheme, n):
     assert got == pytest.approx(want, rel=1e-9)
 
 
-def test_order_statistics_are_exact_however_rates_lie(spark, monkeypatch):
-    """Few bins and small sorts, so that the range is narrowed again and again: outliers, ties, and rates next to each other."""
-    monkeypatch.setattr(normalize, "BINS", 4)
+@pytest.mark.parametrize("accuracy", [10_000, 2])
+def test_order_statistics_are_exact_however_rates_lie(spark, monkeypatch, accuracy):
+    """Wide brackets and few rows at once, so that ranks are looked for in stretches of stretches, and a coarse sketch that misses them: outliers, ties, and rates next to each other."""
+    monkeypatch.setattr(normalize, "REACH", 0.2)
+    monkeypatch.setattr(normalize, "ACCURACY", accuracy)
     rng = np.random.default_rng(2)
     for rates in (rng.random(300), np.concatenate([rng.random(200) * 1e-9, [1e9, -1e300]]), np.repeat([0.5, 0.25], 60), np.nextafter(1, 2) ** np.arange(50), [3.0]):
         df, want = spark.createDataFrame([(float(x),) for x in rates], "rate double"), np.sort(rates)
-        for k in {0, len(want) // 3, len(want) - 1}:
-            assert normalize.kth(df, k, most=5) == want[k]
+        ranks = [0, len(want) // 3, len(want) - 1]
+        assert normalize.values_at(df, [0, 1 / 3, 1], lambda _, r=ranks: r, most=45) == (len(want), [want[k] for k in ranks])
+
+
+def test_running_sums_span_tasks(spark):
+    """One group over many ranges, and many groups in one."""
+    rng = np.random.default_rng(3)
+    rows = [(0, float(v), int(rng.integers(0, 5))) for v in rng.permutation(3000)] + [(g, float(v), g) for g in range(1, 40) for v in range(3)] + [(None, 1.0, 7)]
+    got = with_sums_before(spark.createDataFrame(rows, "g int, v double, n long"), "g", "v", ["n"], "t").collect()
+    assert len(got) == len(rows) - 1  # a row without a group is in none
+    for g in (0, 7):
+        mine = sorted((r[1], r[2]) for r in rows if r[0] == g)
+        before = np.cumsum([0] + [n for _, n in mine])
+        assert sorted((r["v"], r["before_n"], r["all_n"]) for r in got if r["g"] == g) == [(v, b, before[-1]) for (v, _), b in zip(mine, before, strict=False)]
 
 
 def test_scales_apply(spark):
