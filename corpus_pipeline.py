@@ -25,9 +25,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by links, keep the one with the smallest doc_id: each of its different texts once, in the first row by the other columns. Rows without a doc_id stay."""
+    """Of documents connected by links, keep the one with the smallest doc_id: each of its different texts once, in the first row by a hash of the other columns, which may be of any type. Rows without a doc_id stay."""
     firsts = jaccard.link_components(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first_row = Window.partitionBy("doc_id", "text").orderBy(*([c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(1)]))
+    others = F.to_json(F.struct(F.lit(0).alias(private(docs, "none")), *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))))
+    first_row = Window.partitionBy("doc_id", "text").orderBy(F.xxhash64(others), others)
     nth = private(docs, "nth")
     kept = docs.filter(F.col("doc_id").isNotNull()).join(firsts, "doc_id", "left_semi").withColumn(nth, F.row_number().over(first_row)).filter(F.col(nth) == 1)
     return kept.drop(nth).select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Model defaults, and the largest error a base can have.
 OPEN_DELETION, OPEN_INSERTION, EXTEND_DELETION, EXTEND_INSERTION, MODIFICATION = 1e-3, 2e-4, 0.35, 0.35, 5e-3
 WORST_ERROR = 0.75
+#: Operations of a CIGAR whose lengths are summed one by one.
+CHUNK = 64
 
 
 def base_code(base: Column) -> Column:
@@ -51,15 +53,28 @@ def bound(value: Column, use) -> Column:
 
 
 def cigar_ops(cigar: Column, pos: Column) -> Column:
-    """A CIGAR's operations as ``struct(op, len, query, ref)``, with the query and reference positions at which each begins."""
+    """A CIGAR's operations as ``struct(op, len, query, ref)``, with the query and reference positions at which each begins.
+
+    Positions are summed within chunks of operations, and over the chunks before, so a read of thousands of operations is cut in
+    little more than one pass.
+    """
     pattern = F.lit("([0-9]+)([MIDNSHP=X])")
     lens, kinds = F.regexp_extract_all(cigar, pattern, F.lit(1)), F.regexp_extract_all(cigar, pattern, F.lit(2))
     parsed = F.transform(F.arrays_zip(lens.alias("len"), kinds.alias("op")), lambda o: F.struct(o["op"].alias("op"), o["len"].cast("int").alias("len")))
+    chunk_of = lambda i: F.floor(i / CHUNK).cast("int")
+
+    def moved(ops: Column, first: Column, n: Column, by: str) -> Column:
+        return F.aggregate(F.slice(ops, first + 1, n), F.lit(0), lambda s, o: s + F.when(F.lit(by).contains(o["op"]), o["len"]).otherwise(0))
+
+    def chunk_starts(ops: Column, by: str) -> Column:
+        chunks = F.sequence(F.lit(0), chunk_of(F.size(ops)))
+        return F.aggregate(chunks, F.array(F.lit(0)), lambda s, c: F.array_append(s, F.element_at(s, -1) + moved(ops, c * CHUNK, F.lit(CHUNK), by)))
 
-    def moved(ops: Column, upto: Column, by: str) -> Column:
-        return F.aggregate(F.slice(ops, 1, upto), F.lit(0), lambda s, o: s + F.when(F.lit(by).contains(o["op"]), o["len"]).otherwise(0))
+    def placed(held: Column) -> Column:
+        at = lambda i, by, starts: F.get(held[starts], chunk_of(i)) + moved(held["ops"], chunk_of(i) * CHUNK, i % CHUNK, by)
+        return F.transform(held["ops"], lambda o, i: F.struct(o["op"].alias("op"), o["len"].alias("len"), at(i, "MIS=X", "q").alias("query"), (pos + at(i, "MDN=X", "r")).alias("ref")))
 
-    return bound(parsed, lambda ops: F.transform(ops, lambda o, i: F.struct(o["op"].alias("op"), o["len"].alias("len"), moved(ops, i, "MIS=X").alias("query"), (pos + moved(ops, i, "MDN=X")).alias("ref"))))
+    return bound(parsed, lambda ops: bound(F.struct(ops.alias("ops"), chunk_starts(ops, "MIS=X").alias("q"), chunk_starts(ops, "MDN=X").alias("r")), placed))
 
 
 def placed_length(cigar: Column, l_qseq: Column) -> Column:

@@ -52,7 +52,8 @@ def values_at(rates: DataFrame, shares: list[float], ranks_of: Callable[[int], l
         row, k = rows[at], rank - starts[at]
         if row["low"] < row["high"]:
             stretch = rates.filter(rate.between(row["low"], row["high"]))
-            out += values_at(stretch, [k / row["n"]], lambda _, k=k: [k], most)[1]
+            # A sketch as accurate as it is asked to be leaves a small part; should it leave all, more rows are taken at once.
+            out += values_at(stretch, [k / row["n"]], lambda _, k=k: [k], most if row["n"] < n else 2 * most)[1]
         else:
             out.append(row["low"])
     return n, out

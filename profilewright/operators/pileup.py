@@ -71,8 +71,10 @@ def contributions(reads: DataFrame, substitution: float = 1.0, deletion: float =
     holds three letters.
     """
     op, n = F.col("o.op"), F.col("o.len")
-    each = reads.filter("has_path").select("tid", "ref_len", "ops", "seq", "qual", "stretch", "stretch_from", F.posexplode("ops").alias("at", "o"))
-    between = F.exists(F.slice("ops", 1, F.col("at")), lambda o: F.lit("MI=X").contains(o["op"])) & F.exists(F.slice("ops", F.col("at") + 2, F.size("ops")), lambda o: F.lit("MI=X").contains(o["op"]))
+    is_placed = F.transform("ops", lambda o: F.lit("MI=X").contains(o["op"]))
+    ends = {"first_placed": F.array_position(is_placed, True) - 1, "last_placed": F.size("ops") - F.array_position(F.reverse(is_placed), True)}
+    each = reads.filter("has_path").withColumns(ends).select("tid", "ref_len", "seq", "qual", "stretch", "stretch_from", "first_placed", "last_placed", F.posexplode("ops").alias("at", "o"))
+    between = (F.col("first_placed") >= 0) & F.col("at").between(F.col("first_placed") + 1, F.col("last_placed") - 1)
     is_base, is_gap = op.isin("M", "=", "X"), op.isin("D", "N")
     cut = lambda text, begin: F.substring(text, (begin + 1).cast("int"), n)
     letters = lambda text: F.split(F.translate(text, "acgtuU", "ACGTTT"), "")

@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from profilewright import joins
+from profilewright.functions import scalars
 from profilewright.operators import filters, hmm, profile, verify
 from profilewright.operators.pileup import is_tangled, pileup
 from profilewright.schema import ALIGNMENTS, REFERENCES
@@ -389,3 +390,18 @@ def test_streaming_sums_equal_batch_sums(spark, tmp_path):
         want[r["i"]] = want.get(r["i"], 0) + np.array([r["a"], r["b"], r["c"]])
     got = {r["pos"]: np.array([r["coverage"], r["spanned"], r["mutations"]]) for r in spark.table("sums").collect()}
     assert got.keys() == want.keys() and len(got) > 30 and all(np.allclose(got[k], want[k], atol=1e-9) for k in got)
+
+
+def test_long_reads_have_thousands_of_operations(spark):
+    """Positions past many chunks of operations, against a running sum."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for n in (1, 63, 64, 65, 128, 3000):
+        ops = [(int(rng.integers(1, 9)), "MID=XSHPN"[int(rng.integers(0, 9))]) for _ in range(n)]
+        rows.append(("".join(f"{k}{o}" for k, o in ops), n, ops))
+    got = spark.createDataFrame([r[:2] for r in rows], "cigar string, pos long").select("pos", scalars.cigar_ops(F.col("cigar"), F.col("pos")).alias("ops")).collect()
+    for (_, n, ops), r in zip(rows, sorted(got, key=lambda r: r["pos"]), strict=True):
+        query, ref = 0, n
+        for (k, o), x in zip(ops, r["ops"], strict=True):
+            assert (x["op"], x["len"], x["query"], x["ref"]) == (o, k, query, ref)
+            query, ref = query + k * (o in "MIS=X"), ref + k * (o in "MDN=X")
