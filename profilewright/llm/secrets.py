@@ -96,13 +96,21 @@ def find_spans(text: str, model: Markov, least_ratio: float = LEAST_RATIO) -> li
     spans = [(m.start(), 0, m.end()) for m in _RE["assign"].finditer(text) if m.end(2) - m.start(2) >= LEAST["assign"]] if any(k in low for k in _KEYWORDS) else []
     spans += [(m.start(), 1, m.end()) for m in _RE["access"].finditer(text) if m.end() - m.start() >= LEAST["access"]]
     spans += [(m.start(), 2, m.end()) for m in _RE["hex"].finditer(text)]
-    base = sorted(spans)
+    spans.sort()
+    base, at, reach = spans[:], 0, 0
     for m in _RE["token"].finditer(text):
-        if model.ratio(m.group()) >= least_ratio and not any(s < m.end() and m.start() < e for s, _, e in base):
+        while at < len(base) and base[at][0] < m.end():  # spans that begin before the token's end, and how far they reach
+            reach, at = max(reach, base[at][2]), at + 1
+        if reach <= m.start() and model.ratio(m.group()) >= least_ratio:
             spans.append((m.start(), 3, m.end()))
     return sorted(spans)
 
 
+def best_ratio(text: str, model: Markov) -> float | None:
+    """The largest ratio of the text's tokens, wherever they lie; None without a token."""
+    return max((model.ratio(m.group()) for m in _RE["token"].finditer(text)), default=None)
+
+
 # A run of hex digits is taken whole, so asking for the least length inside the pattern finds the same spans and skips the rest.
 _RE = {"assign": re.compile(ASSIGN), "access": re.compile(ACCESS), "hex": re.compile(rf"[0-9a-f]{{{LEAST['hex']},}}"), "token": re.compile(_TOKEN)}
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
@@ -113,12 +121,13 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, model: Markov | None = None, least_ratio: float = LEAST_RATIO) -> DataFrame:
-    """``docs`` with ``n_assign, n_access, n_hex, base_sha256, spans``; its other columns are kept, whatever their names, and every row.
+    """``docs`` with ``n_assign, n_access, n_hex, base_sha256, spans, best_ratio``; its other columns are kept, whatever their names, and every row.
 
-    ``spans`` are ``kind:start:end`` by start, then kind, comma-joined. Null is an empty text: no spans, and the digest of the
-    empty string. Whole texts are scanned where they lie; nothing is shuffled.
+    ``spans`` are ``kind:start:end`` by start, then kind, comma-joined. ``best_ratio`` is the largest log-likelihood ratio among the
+    text's tokens, in base spans too; null without a token. Null is an empty text: no spans, and the digest of the empty string.
+    Whole texts are scanned where they lie; nothing is shuffled.
     """
-    model = model or train()
+    model, columns = model or train(), {"n_assign": "long", "n_access": "long", "n_hex": "long", "base_sha256": "string", "spans": "string", "best_ratio": "double"}
 
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for column in batches:
@@ -126,11 +135,11 @@ def scan(docs: DataFrame, model: Markov | None = None, least_ratio: float = LEAS
             for text in column:
                 spans = find_spans(text or "", model, least_ratio)
                 base = [s for s in spans if s[1] < 3]
-                rows.append((*(sum(s[1] == k for s in base) for k in range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-            yield pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+                rows.append((*(sum(s[1] == k for s in base) for k in range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), best_ratio(text or "", model)))
+            yield pd.DataFrame(rows, columns=list(columns))
 
-    udf = F.pandas_udf(found, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
-    return with_results(docs, udf(F.col("text")), {c: c for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")})
+    udf = F.pandas_udf(found, ", ".join(f"{c} {kind}" for c, kind in columns.items()))
+    return with_results(docs, udf(F.col("text")), {c: c for c in columns})
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", model: Markov | None = None, least_ratio: float = LEAST_RATIO) -> DataFrame:

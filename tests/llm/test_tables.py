@@ -412,3 +412,10 @@ def test_pipeline_keeps_each_text_of_an_id(spark):
     rows = [(1, one, "en", "b", 1), (1, two, "en", "b", 1), (1, two, "en", "a", 1), (1, two, "en", "a", 1), (2, one, "en", "a", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     assert sorted(map(tuple, corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect())) == sorted([rows[0], rows[2]])
+
+
+def test_pipeline_takes_columns_that_have_no_order(spark):
+    one = " ".join(f"x{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, one, {"a": 1}, [1], (2,)), (1, one, {"b": 2}, [3], (4,)), (2, one, None, None, None), (3, "other words", {}, [], (None,))], "doc_id long, text string, m map<string, int>, l array<int>, s struct<x: int>")
+    got = corpus_pipeline.keep_one_of_each_group(spark, docs.repartition(2), "")
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 3]

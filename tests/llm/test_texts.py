@@ -107,7 +107,7 @@ def test_operators_take_columns_of_any_name(spark):
     items = spark.createDataFrame([(1, "w1 w2")], "item_id long, text string").withColumns({c: F.lit(c) for c in CLASHING})
     kept = decontaminate.decontaminate(docs, items)
     assert [r["doc_id"] for r in kept.collect()] == [2] and kept.columns == docs.columns and rest(kept) == own()
-    assert secrets.scan(docs.drop("text").withColumn("text", F.lit("x"))).columns[-5:] == ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    assert secrets.scan(docs.drop("text").withColumn("text", F.lit("x"))).columns[-6:] == ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "best_ratio"]
 
 
 def brute_bundle(text):
@@ -465,3 +465,17 @@ def test_hits_are_the_windows(spark, broadcast, window):
 def test_an_empty_benchmark_hits_nothing(spark):
     items = spark.createDataFrame([(1, None)], "item_id long, text string")
     assert decontaminate.scan(docs_of(spark, [(1, "a b"), (2, None)]), items).filter("n_hit > 0").count() == 0
+
+
+def test_a_megabyte_of_keys_takes_linear_time_and_shows_its_best_ratio():
+    import random
+    import time
+
+    rng, model = random.Random(1), secrets.train()
+    text = " ".join("".join(rng.choices("0123456789abcdef", k=40)) if i % 3 else "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789", k=40)) for i in range(26_000))
+    began = time.perf_counter()
+    spans = secrets.find_spans(text, model)
+    assert time.perf_counter() - began < 5
+    assert sum(s[1] == 2 for s in spans) == 17_333 and sum(s[1] == 3 for s in spans) > 8_600
+    assert all(a[2] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert secrets.best_ratio(text, model) > secrets.LEAST_RATIO > secrets.best_ratio("maximum_connection_timeout_of_the_server", model) and secrets.best_ratio("short", model) is None
