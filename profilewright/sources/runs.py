@@ -1,4 +1,4 @@
-"""A run's tables in a folder: written only after the inputs are validated, the run table last."""
+"""A run's tables in a folder, or in one HDF5 file where the path says so: written only after the inputs are validated, the run table last."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from .. import schema
 
 TABLES = {"profile": schema.PROFILE, "ref_stats": schema.REF_STATS, "lengths": schema.LENGTHS, "pairs": schema.PAIRS, "run": schema.RUN}
 NEEDED = ("profile", "run")
+#: Ends of paths that are HDF5 files.
+ONE_FILE = (".h5", ".hdf5")
 
 
 def fs_path(spark: SparkSession, path: str):
@@ -28,6 +30,10 @@ def write_run(tables: dict[str, DataFrame], path: str, overwrite: bool = False)
         raise ValueError(f"unknown tables: {sorted(unknown)}")
     if missing := set(NEEDED) - set(tables):
         raise ValueError(f"a run needs {sorted(missing)}")
+    if path.endswith(ONE_FILE):
+        from .hdf5 import write_hdf5
+
+        return write_hdf5(tables, path, overwrite)
     spark = tables["run"].sparkSession
     if is_taken(spark, path) and not overwrite:
         raise FileExistsError(f"{path} is not empty; pass overwrite to replace it")
@@ -49,8 +55,13 @@ def write_run(tables: dict[str, DataFrame], path: str, overwrite: bool = False)
 
 def read_run(spark: SparkSession, path: str, step: str | None = None) -> dict[str, DataFrame]:
     """The tables of a run; with ``step``, the profile has that step's fields, and lacking a required one is refused."""
-    fs, _ = fs_path(spark, path)
-    found = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES if fs.exists(fs_path(spark, f"{path}/{name}")[1])}
+    if path.endswith(ONE_FILE):
+        from .hdf5 import read_hdf5
+
+        found = read_hdf5(spark, path)
+    else:
+        fs, _ = fs_path(spark, path)
+        found = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES if fs.exists(fs_path(spark, f"{path}/{name}")[1])}
     if missing := set(NEEDED) - set(found):
         raise ValueError(f"{path} lacks {sorted(missing)}")
     if step:
