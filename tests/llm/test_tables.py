@@ -174,19 +174,38 @@ def test_search_is_exact(spark, block, k):
 
 
 def test_signs_make_codes_and_nothing_finds_nothing(spark):
-    vectors = spark.createDataFrame([(1, [1.0, -1.0, 0.0, 2.0, 0.5, -3.0, 1.0, 1.0, 1.0]), (2, None), (3, [1.0])], "id long, v array<double>")
-    coded = vectors.select("id", hamming.sign_code(F.col("v"), 9).alias("code"))
-    assert {r["id"]: r["code"] and bytes(r["code"]) for r in coded.collect()} == {1: bytes([0b11011001, 1]), 2: None, 3: None}
-    odd = spark.createDataFrame([(i, [1.0] * (17 if i == 150 else 16)) for i in range(200)] + [(900, None)], "id long, v array<double>")
-    assert hamming.usual_width(F.col("v"), odd) == 16 and hamming.usual_width(F.col("v"), odd.limit(0)) == 0
-    codes = odd.select("id", hamming.sign_code(F.col("v"), 16).alias("code"))
-    got = hamming.search(codes, codes.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), 3).collect()
-    assert sorted(tuple(r) for r in got) == [(q, k + 1, k, 0) for q in range(0, 200, 20) for k in range(3)]  # the long vector alone is out
+    vectors = spark.createDataFrame([(1, [1.0, -1.0, 0.0, 2.0, 0.5, -3.0, 1.0, 1.0, 1.0]), (2, None), (3, [1.0]), (4, [None, float("nan"), -0.0]), (5, [])], "id long, v array<double>")
+    coded = vectors.select("id", F.size("v").alias("width"), hamming.sign_code(F.col("v")).alias("code"))
+    assert {r["id"]: r["code"] if r["code"] is None else bytes(r["code"]) for r in coded.collect()} == {1: bytes([0b11011001, 1]), 2: None, 3: b"\1", 4: b"\2", 5: b""}
     none = coded.filter("id > 5")
     assert hamming.search(none, none.withColumnRenamed("id", "query_id")).count() == 0
     assert hamming.search(none, coded.withColumnRenamed("id", "query_id")).count() == 0
 
 
+def test_every_width_is_searched_among_its_own(spark):
+    rng = np.random.default_rng(4)
+    widths = [16] * 120 + [17] * 30 + [20, 0, 0, 13, 13]  # 17 to 20 have as many bytes
+    rows = [(i, rng.normal(size=w).tolist()) for i, w in enumerate(widths)] + [(900, None)]
+    codes = spark.createDataFrame(rows, "id long, v array<double>").select("id", F.size("v").alias("width"), hamming.sign_code(F.col("v")).alias("code"))
+    got = hamming.search(codes, codes.withColumnRenamed("id", "query_id"), 3).collect()
+    want = []
+    for w in set(widths):
+        own = [(i, np.packbits(np.array(v) > 0, bitorder="little").tobytes()) for i, v in rows if v is not None and len(v) == w]
+        want += brute_top(own, own, 3)
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_lookups_return_few_codes_as_tables_grow():
+    """Segments grow with the number of codes, so candidates of a radius don't grow with it."""
+    rng, seen = np.random.default_rng(5), []
+    for n in (1 << 10, 1 << 16):
+        codes = [bytes(x) for x in rng.integers(0, 256, (n, 8), np.uint8)]
+        index = hamming.Index(codes, 64)
+        values, words = index.cut(codes[:200])
+        seen.append(sum(len(q) for q, _, _ in index.within(values, words, np.full(200, 64), 0)) / 200 / index.segments)
+    assert max(seen) < 4 and seen[1] < 2 * seen[0]
+
+
 # --- 6: WARC ---
 
 HEADERS = "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-Odd:  a: b \r\n\r\n"
