@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .common import spread_join, table
+from .common import LOWER, UPPER, spread_join, table
 from .components import components
 from .textops import Hasher, find_words, first_of_runs, inside, mixed, text_slices
 
@@ -34,8 +34,8 @@ RADIUS = 0.1
 #: Shingles of a region that one task takes; regions above are split over tasks.
 REGION_SHINGLES = 2_000_000
 FLUSH_BYTES = 32 << 20
-#: Pivots of a step: in a small group, in a larger one, and in a region that is spread over tasks.
-FEW, PIVOTS, MANY, LEVELS = 1, 4, 16, 2
+#: Pivots of a step: in a small group, in a larger one, and in a region that is spread over tasks, where each further step has twice as many.
+FEW, PIVOTS, MANY = 1, 4, 16
 SMALL = 8
 
 
@@ -200,10 +200,11 @@ class Region:
             self.root[i] = self.root[other]
 
     def connect(self, i: int, others: np.ndarray) -> None:
-        for j in others:
-            if self.root[i] != self.root[j]:
-                self.links.append((self.ids[i], self.ids[j]))
-                self.root[self.root == self.root[j]] = self.root[i]
+        roots, first = np.unique(self.root[others], return_index=True)
+        new = roots != self.root[i]
+        if new.any():
+            self.links += [(self.ids[i], self.ids[j]) for j in others[first[new]]]
+            self.root[np.isin(self.root, roots[new])] = self.root[i]
 
     def common(self, i: int, members: np.ndarray) -> np.ndarray:
         """Sizes of the intersections of set i with each of the members."""
@@ -339,16 +340,6 @@ def refine_regions(sets: DataFrame) -> DataFrame:
     return sets.withColumn("node", node).join(ties, F.col("node") == F.col("id")).select(F.col("component").alias("region"), "doc_id", "n", "codes")
 
 
-def chunk_regions(sets: DataFrame, large: DataFrame) -> DataFrame:
-    """Regions (``large(region, chunks)``) dealt into chunks by document; every two chunks, and each alone, become a region."""
-    counts = materialize(sets.groupBy("region").agg(F.count(F.lit(1)).alias("rows_of_key")), "jaccard-members")
-    dealt = spread_join(sets, large.select("region", (2 * F.col("chunks")).alias("chunks")), ["region"], "jaccard-members", counts)
-    chunk = F.pmod(F.xxhash64("doc_id", F.lit("chunk")), F.col("chunks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda other: F.struct(F.least(chunk, other).alias("i"), F.greatest(chunk, other).alias("j")))
-    each = dealt.select("region", "doc_id", "n", "codes", F.explode(pairs).alias("c"))
-    return each.select(F.xxhash64("region", "c.i", "c.j").alias("region"), "doc_id", "n", "codes")
-
-
 def split_regions(sets: DataFrame, region_shingles: int, pivots: int = MANY) -> tuple[DataFrame, DataFrame]:
     """Regions too large for a task, the same join spread over tasks: links to pivots, and regions of bounded size that hold every pair that may still link.
 
@@ -356,9 +347,9 @@ def split_regions(sets: DataFrame, region_shingles: int, pivots: int = MANY) ->
     size, and each chunk meets all its pivots, so that no region fills a task. A set belongs to the cell of its nearest pivot and is
     replicated, with the others of its document, into every cell within twice the radius. A cell whose documents are all connected
     by links is done. Cells become regions; where they overlap too much their region stays whole, without its pivots, which are
-    settled. What is too large still is told apart by its rarest shingles and gets new pivots, ``LEVELS`` times. A region that
-    neither parts is dense - many texts at about the radius from each other - and is joined chunk by chunk: tasks of bounded
-    size, each with pivots and windows again, in which all its pairs meet.
+    settled. What is too large still is told apart by its rarest shingles and gets new pivots, twice as many each time, dealt to
+    twice as many chunks. So a region that nothing parts - many texts at about the radius from each other - is used up by its
+    pivots in a number of steps that is the logarithm of its documents; the distances measured there grow with their square.
     """
     links = small = None
     level = 0
@@ -375,14 +366,13 @@ def split_regions(sets: DataFrame, region_shingles: int, pivots: int = MANY) ->
         if refine:
             sets, refine = materialize(refine_regions(sets.join(large.select("region"), "region", "left_semi")), "jaccard-finer"), False
             continue
-        if level == LEVELS:
-            return links, small.unionByName(chunk_regions(sets, large))
-        level, refine = level + 1, True
+        deeper, level, refine = 1 << level, level + 1, True
+        large = large.withColumn("chunks", F.col("chunks") * deeper)
         counts = sets.groupBy("region").agg(F.count(F.lit(1)).alias("rows_of_key"))
         members = spread_join(sets, large.select("region", "chunks"), ["region"], "jaccard-members", materialize(counts, "jaccard-members"))
         members = materialize(members.withColumns({"set": F.xxhash64("codes"), "chunk": F.pmod(F.xxhash64("doc_id", "codes"), F.col("chunks")).cast("int")}), "jaccard-members")
         place = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("doc_id"), "doc_id", "set"))
-        chosen = members.select("region", "doc_id", "set", "n", "codes", "chunks").withColumn("pivot", place).filter(F.col("pivot") <= pivots)
+        chosen = members.select("region", "doc_id", "set", "n", "codes", "chunks").withColumn("pivot", place).filter(F.col("pivot") <= pivots * deeper)
         met = chosen.select("region", "pivot", F.col("doc_id").alias("p"), F.col("set").alias("p_set"), F.col("n").alias("p_n"), F.col("codes").alias("p_codes"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
         both = F.size(F.array_intersect("codes", "p_codes"))
         pairs = members.join(met, ["region", "chunk"]).withColumn("both", both).select("region", "doc_id", "set", "n", "pivot", "p", "p_set", "both", (F.col("n") + F.col("p_n") - F.col("both")).alias("either"))
@@ -449,5 +439,17 @@ def link_components(docs: DataFrame, region_shingles: int = REGION_SHINGLES) ->
     return sets.join(labels, sets["doc_id"] == labels["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+OP9_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, words[i:i + 2] AS gram FROM w, unnest(range(1, greatest(len(words) - 1, 2))) AS t(i) WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n AS x ON a = x.doc_id JOIN n AS y ON b = y.doc_id WHERE 100 * c >= {PERCENT} * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS other FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.id = w.doc_id GROUP BY 1, 2
+"""
+
+
 def op9_jaccard_join(spark, sf_dir):
     return link_components(table(spark, sf_dir, "documents"))

@@ -158,7 +158,7 @@ s3 AS (SELECT *, 3 * source_size * weight_left <= rest * weight AS is_capped FRO
 lev AS (SELECT rest, weight_left FROM s3 WHERE NOT is_capped ORDER BY source_size / weight, place LIMIT 1),
 s AS (SELECT source, source_size, place, CASE WHEN is_capped THEN CAST(3 * source_size AS DOUBLE)
              ELSE weight * CAST((SELECT rest FROM lev) AS DOUBLE) / CAST((SELECT weight_left FROM lev) AS DOUBLE) END AS target FROM s3),
-p AS (SELECT d.doc_id, d.size, s.source_size, s.target, s.place,
+p AS (SELECT d.doc_id, d.source, d.size, s.source_size, s.target, s.place,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
              least(CAST(round(s.target) AS BIGINT), 3 * s.source_size) AS goal
       FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
@@ -171,3 +171,12 @@ wide AS (SELECT row_id, max(position) FILTER (k = 1) AS position, max(position)
 SELECT doc_id, size, source_size, target, CAST(epochs * size + part AS BIGINT) AS taken, CAST(copies AS BIGINT) AS n_copies, position, position_2, position_3
 FROM c LEFT JOIN wide USING (row_id)
 """
+
+#: As above, a row for each copy.
+OP8_COPIES_SQL = (
+    OP8_SQL[: OP8_SQL.index("wide AS (")].rstrip().rstrip(",")
+    + """
+SELECT doc_id, source, size, source_size, target, CAST(copies AS BIGINT) AS n_copies, CAST(least(size, epochs * size + part - (k - 1) * size) AS BIGINT) AS taken, k AS copy, position
+FROM due JOIN c USING (row_id)
+"""
+)

@@ -168,3 +168,17 @@ def n_chars(text: Column) -> Column:
 
 def op7_secret_scan(spark, sf_dir):
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op7_base_counts(spark, sf_dir):
+    """What does not depend on the models: the base spans of every document by kind, by the same operator."""
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+_EITHER_CASE = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key"))
+OP7_COUNTS_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '({_EITHER_CASE})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= {LEAST['assign']})) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(text, '{ACCESS}'), lambda x: length(x) >= {LEAST['access']})) AS BIGINT) AS n_access,
+  CAST(len(list_filter(regexp_extract_all(text, '{HEX}'), lambda x: length(x) >= {LEAST['hex']})) AS BIGINT) AS n_hex FROM d
+"""

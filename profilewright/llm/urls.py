@@ -129,3 +129,18 @@ def judge(pages: DataFrame, model: Model | None = None, rules=RULES, threshold:
 
 def op3_url_filter(spark, sf_dir):
     return judge(table(spark, sf_dir, "pages"))
+
+
+def op3_url_parts(spark, sf_dir):
+    """What does not depend on the model: host, path and rule of every page, by the same operator."""
+    return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule")
+
+
+OP3_PARTS_SQL = rf"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+r AS (SELECT * FROM (VALUES {", ".join(f"('{host}', '{path}')" for _, host, path in RULES)}) AS t(name, start)),
+f AS (SELECT page_id, name || start AS rule, row_number() OVER (PARTITION BY page_id ORDER BY length(name || start) DESC) AS place FROM p JOIN r ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start))
+SELECT p.page_id, host, path, rule FROM p LEFT JOIN f ON f.page_id = p.page_id AND place = 1
+"""
