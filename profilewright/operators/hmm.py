@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..functions.scalars import reference_span
 from ..joins import ascii_only, with_stretch
+from .exact import halves
 
 OK, NO_PATH = "ok", "no path"
 #: Cells of one batch of reads; positions to a side of the squares in which pairs are summed, and squares held at once.
@@ -211,7 +212,7 @@ def posteriors(b: Batch, model: Model) -> tuple[np.ndarray, np.ndarray]:
         open_ = ok & (i < b.n_bases)[:, None]
         for c in range(1, w):
             gap[:, c] = (md * m[:, c - 1] + dd * gap[:, c - 1]) * open_[:, c]
-        total = (m + ins + gap).sum(axis=1)
+        total = np.cumsum(m + ins + gap, axis=1)[:, -1]  # in one order, however wide the batch
         if (total < 0).any() or not np.isfinite(total).all():
             raise ArithmeticError("the model is unsound on a read")
         path &= ~live | (total >= np.finfo(float).tiny)
@@ -303,7 +304,7 @@ def _rows(kind: str, tid, i, j, *values) -> pa.RecordBatch:
 
 
 def counts(reads: DataFrame, references: DataFrame, band: int = 2, model: Model | None = None, min_phred: int = 0, pairs: bool = False, bands: str | None = None) -> DataFrame:
-    """What accepted reads contribute, summed by task: rows of ``kind`` ``pos`` (tid, position i: coverage, span, mutations), ``read`` (tid: reads with a path, and without) and, if asked, ``pair`` (tid, positions i <= j: five sums).
+    """What accepted reads contribute, summed by task: rows of ``kind`` ``pos`` (tid, position i: coverage, span, mutations, in two rows that add up exactly), ``read`` (tid: reads with a path, and without) and, if asked, ``pair`` (tid, positions i <= j: five sums).
 
     Only the stretch of the reference that a read's band can touch goes to the task with it. ``bands`` names a column of arrays with
     a half-width for each row of the band, one before the first placed base and one after each, in place of ``band``.
@@ -331,7 +332,7 @@ def counts(reads: DataFrame, references: DataFrame, band: int = 2, model: Model
                 tids = all_reads.tid[chosen]
                 # Sums of a batch at once: few positions come again and again.
                 key, back = np.unique((tids[:, None] << 40 | np.maximum(at, 0))[inside], return_inverse=True)
-                keys.append(key), values.append(np.stack([np.bincount(back, v[inside], len(key)) for v in windows]))
+                keys.append(key), values.append(np.stack([np.bincount(back, x, len(key)) for v in windows for x in halves(v[inside])]))
                 if pairs:
                     for tid in np.unique(tids):
                         mine = tids == tid
@@ -340,7 +341,8 @@ def counts(reads: DataFrame, references: DataFrame, band: int = 2, model: Model
                             yield from squares.taken()
             key, back = np.unique(np.concatenate(keys), return_inverse=True)
             total = [np.bincount(back, x, len(key)) for x in np.concatenate(values, axis=1)]
-            yield _rows("pos", key >> 40, key & ((1 << 40) - 1), 0, *total, 0.0, 0.0)
+            for half in (0, 1):
+                yield _rows("pos", key >> 40, key & ((1 << 40) - 1), 0, *total[half::2], 0.0, 0.0)
             tids, back = np.unique(all_reads.tid, return_inverse=True)
             good = np.bincount(back, paths, len(tids))
             yield _rows("read", tids, np.zeros(len(tids)), 0, good, np.bincount(back, minlength=len(tids)) - good, 0.0, 0.0, 0.0)

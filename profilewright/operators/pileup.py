@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..functions.scalars import cigar_ops, reference_span
 from ..joins import with_stretch
+from .exact import exact_sum
 
 
 _GAP = "DN"
@@ -104,4 +105,5 @@ def contributions(reads: DataFrame, substitution: float = 1.0, deletion: float =
 
 def pileup(reads: DataFrame, references: DataFrame, **options) -> DataFrame:
     """``tid, pos`` and the sums of what accepted reads contribute, tangled ones apart; sums are partly made before the shuffle, so one deep reference is no hot group."""
-    return contributions(placed(reads, references), **options).groupBy("tid", "pos").agg(*(F.sum(c).alias(c) for c in ("coverage", "spanned", "mutations")))
+    span = exact_sum if options.get("insertion") else F.sum  # whole numbers are summed exactly as they are
+    return contributions(placed(reads, references), **options).groupBy("tid", "pos").agg(F.sum("coverage").alias("coverage"), span("spanned").alias("spanned"), exact_sum("mutations").alias("mutations"))

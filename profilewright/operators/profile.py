@@ -10,6 +10,7 @@ from ..functions.scalars import base_code
 from ..schema import nan
 from ..scratch import materialize
 from . import filters, hmm, pairs
+from .exact import exact_sum
 from .pileup import is_tangled, pileup
 
 
@@ -67,7 +68,7 @@ def count_reads(alignments: DataFrame, references: DataFrame, rule: filters.Read
     reads = filters.mapped(filters.refuse_paired(alignments)).withColumn("accepted", filters.accepted(rule))
     good = reads.filter("accepted")
     parts = materialize(hmm.counts(good, references, band, model, min_phred, with_pairs), "counts")
-    sums = parts.filter("kind = 'pos'").groupBy("tid", F.col("i").alias("pos")).agg(F.sum("a").alias("coverage"), F.sum("b").alias("spanned"), F.sum("c").alias("mutations"))
+    sums = parts.filter("kind = 'pos'").groupBy("tid", F.col("i").alias("pos")).agg(exact_sum("a").alias("coverage"), exact_sum("b").alias("spanned"), exact_sum("c").alias("mutations"))
     by_ref = parts.filter("kind = 'read'").groupBy("tid").agg(F.sum("a").cast("long").alias("counted"), F.sum("b").cast("long").alias("no_path"))
     refused = reads.filter(~F.col("accepted")).groupBy("tid").agg(F.count(F.lit(1)).alias("refused"))
     stats = references.select("tid", "name", "len").join(by_ref, "tid", "left").join(refused, "tid", "left").fillna(0, ["counted", "no_path", "refused"])
@@ -102,4 +103,4 @@ def count_along_alignments(alignments: DataFrame, references: DataFrame, rule: f
     """The profile with a band of nothing, in closed form. Only reads whose insertions and deletions touch in ways that leave several paths go through the model."""
     good = filters.mapped(alignments).filter(filters.accepted(rule or filters.ReadFilter()))
     both = pileup(good, references, **options).unionByName(tangled_contributions(good, references, **options))
-    return profile(references, both.groupBy("tid", "pos").agg(*(F.sum(c).alias(c) for c in ("coverage", "spanned", "mutations"))), min_depth)
+    return profile(references, both.groupBy("tid", "pos").agg(*(exact_sum(c).alias(c) for c in ("coverage", "spanned", "mutations"))), min_depth)

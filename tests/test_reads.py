@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from profilewright import joins
 from profilewright.functions import scalars
 from profilewright.operators import filters, hmm, profile, verify
+from profilewright.operators.exact import exact_sum, halves
 from profilewright.operators.pileup import is_tangled, pileup
 from profilewright.schema import ALIGNMENTS, REFERENCES
 from profilewright.sources import bam, params, synthetic, text
@@ -405,3 +406,22 @@ def test_long_reads_have_thousands_of_operations(spark):
         for (k, o), x in zip(ops, r["ops"], strict=True):
             assert (x["op"], x["len"], x["query"], x["ref"]) == (o, k, query, ref)
             query, ref = query + k * (o in "MIS=X"), ref + k * (o in "MDN=X")
+
+
+def test_sums_do_not_depend_on_order(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.random(4000) * 10.0 ** -rng.integers(0, 9, 4000), [0.0, 1.0, -0.25, 1e6 + 0.1]])
+    sums = {spark.createDataFrame([(float(v),) for v in rng.permutation(x)], "v double").repartition(n).agg(exact_sum("v")).first()[0] for n in (1, 3, 8)}
+    assert len(sums) == 1 and sums.pop() == pytest.approx(math.fsum(x), abs=len(x) * 2**-53, rel=1e-15)
+    high, low = halves(x)
+    assert np.abs(high + low - x).max() <= 2**-52 and len({float(high[rng.permutation(len(x))].sum()) for _ in range(9)}) == len({float(low[rng.permutation(len(x))].sum()) for _ in range(9)}) == 1
+    assert spark.createDataFrame([], "v double").agg(exact_sum("v")).first()[0] is None
+
+
+@pytest.mark.parametrize("band", [0, 2])
+def test_profiles_are_bit_equal_however_reads_are_dealt(spark, band):
+    refs, reads = synthetic.generate(spark, synthetic.Options(references=3, length="60:90", reads="40", unmapped=2))
+    count = lambda r: profile.count_reads(r, refs, band=band)["profile"] if band else profile.count_along_alignments(r, refs)
+    bits = lambda r: [(x["tid"], x["pos"], *(struct.pack("<d", x[c]) for c in ("coverage", "reactivity", "error"))) for x in count(r).orderBy("tid", "pos").collect()]
+    found = [bits(reads.orderBy(F.rand(n)).repartition(n)) for n in (1, 4, 16)]
+    assert found[0] == found[1] == found[2] and any(not math.isnan(struct.unpack("<d", x[3])[0]) for x in found[0])
