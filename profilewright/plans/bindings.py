@@ -32,6 +32,17 @@ def references(spark: SparkSession) -> DataFrame:
     return spark.range(4).select(tid.alias("tid"), F.concat(F.lit("ref"), tid.cast("string")).alias("name"), F.lit(None).cast("string").alias("comment"), seq.alias("seq"), F.lit(REF_LEN).alias("len"))
 
 
+def text_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reference for each document that has a text, its whole letters as bases; every third has no comment."""
+    docs = table(spark, sf_dir, "documents").filter(F.length("text") > 0)
+    seq = F.regexp_replace(F.translate("text", LETTERS, BASES), "[^ACGT]", "N")
+    comment = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("number "), F.col("doc_id").cast("string")))
+    return docs.select(F.col("doc_id").cast("int").alias("tid"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), comment.alias("comment"), seq.alias("seq"), F.length("text").alias("len"))
+
+
+B5 = f"""refs AS (SELECT doc_id AS tid, 'doc' || doc_id AS name, CASE WHEN doc_id % 3 != 0 THEN 'number ' || doc_id END AS comment, regexp_replace(translate(text, '{LETTERS}', '{BASES}'), '[^ACGT]', 'N', 'g') AS seq, length(text) AS len FROM documents WHERE length(text) > 0)"""
+
+
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents cut into reads of 100 letters, with awkward flags, qualities and alignments by turns."""
     lang = F.when(F.col("lang") == "de", 0).when(F.col("lang") == "en", 1).when(F.col("lang") == "es", 2).otherwise(3)

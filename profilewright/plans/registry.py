@@ -89,15 +89,20 @@ def cigar_reference_span(spark, d):
     return b.alignments(spark, d).select("rec_no", scalars.reference_span(F.col("cigar")).cast("long").alias("span"), scalars.placed_length(F.col("cigar"), F.col("l_qseq")).cast("long").alias("placed"))
 
 
-@query("phred_error_table", "SELECT CAST(q AS BIGINT) AS q, round(least(0.75, power(10.0, -q / 10.0)), 12) AS error, round(CASE WHEN q < 20 THEN 0.75 ELSE least(0.75, power(10.0, -q / 10.0)) END, 12) AS floored FROM unnest(range(0, 256)) AS t(q)")
+def _by_quality(spark, d) -> DataFrame:
+    return b.alignments(spark, d).groupBy((F.ascii("qual") - 33).cast("long").alias("q")).agg(F.count(F.lit(1)).alias("reads"))
+
+
+@query("phred_error_table", f"WITH {b.B1} SELECT CAST(q AS BIGINT) AS q, count(*) AS reads, round(least(0.75, power(10.0, -q / 10.0)), 12) AS error, round(CASE WHEN q < 20 THEN 0.75 ELSE least(0.75, power(10.0, -q / 10.0)) END, 12) AS floored FROM aln GROUP BY q")
 def phred_error_table(spark, d):
-    return spark.range(256).select(F.col("id").alias("q"), F.round(scalars.phred_error(F.col("id")), 12).alias("error"), F.round(scalars.phred_error(F.col("id"), 20), 12).alias("floored"))
+    """The errors of the qualities that reads have."""
+    return _by_quality(spark, d).select("q", "reads", F.round(scalars.phred_error(F.col("q")), 12).alias("error"), F.round(scalars.phred_error(F.col("q"), 20), 12).alias("floored"))
 
 
-@query("emission_shares", "SELECT CAST(q AS BIGINT) AS q, round(0.005 * e / 3 / (0.995 * (1 - e) + 0.005 * e / 3), 10) AS same, round(0.005 * (1 - e / 3) / 3 / (0.995 * e / 3 + 0.005 * (1 - e / 3) / 3), 10) AS other FROM (SELECT q, least(0.75, power(10.0, -q / 10.0)) AS e FROM unnest(range(0, 94)) AS t(q))")
+@query("emission_shares", f"WITH {b.B1} SELECT CAST(q AS BIGINT) AS q, reads, round(0.005 * e / 3 / (0.995 * (1 - e) + 0.005 * e / 3), 10) AS same, round(0.005 * (1 - e / 3) / 3 / (0.995 * e / 3 + 0.005 * (1 - e / 3) / 3), 10) AS other FROM (SELECT q, count(*) AS reads, least(0.75, power(10.0, -q / 10.0)) AS e FROM aln GROUP BY q)")
 def emission_shares(spark, d):
-    e = scalars.phred_error(F.col("id"))
-    return spark.range(94).select(F.col("id").alias("q"), F.round(scalars.share_if_same(e), 10).alias("same"), F.round(scalars.share_if_other(e), 10).alias("other"))
+    e = scalars.phred_error(F.col("q"))
+    return _by_quality(spark, d).select("q", "reads", F.round(scalars.share_if_same(e), 10).alias("same"), F.round(scalars.share_if_other(e), 10).alias("other"))
 
 
 _PILE_SQL = f"WITH {b.B1} SELECT CAST(tid AS INT) AS tid, CAST(pos AS INT) AS pos, round(coverage, 4) AS coverage, round(spanned, 4) AS spanned, round(mutations, 4) AS mutations FROM pile"
@@ -184,20 +189,22 @@ def sequence_codes(spark, d):
     return letters.groupBy(scalars.base_code(F.col("letter")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sequence_md5", f"WITH {b.B1} SELECT CAST(tid AS INT) AS tid, md5(upper(seq)) AS m5 FROM refs")
+@query("sequence_md5", f"WITH {b.B5} SELECT CAST(tid AS INT) AS tid, md5(upper(seq)) AS m5 FROM refs")
 def sequence_md5(spark, d):
-    return b.references(spark).select("tid", scalars.sequence_md5(F.col("seq")).alias("m5"))
+    return b.text_references(spark, d).select("tid", scalars.sequence_md5(F.col("seq")).alias("m5"))
 
 
-@query("reference_mismatches", f"""WITH {b.B1}, d AS (SELECT f AS file_id, tid, CASE WHEN f = 1 AND tid = 2 THEN 'other' ELSE name END AS name, CASE WHEN f = 1 AND tid = 0 THEN 99 ELSE 120 END AS len,
-CASE WHEN tid = 1 THEN upper(md5(seq)) WHEN f = 1 AND tid = 3 THEN md5('x') END AS m5, md5(upper(seq)) AS own FROM refs, unnest([0, 1]) AS t(f))
-SELECT CAST(file_id AS INT) AS file_id, CAST(tid AS INT) AS tid, name, CASE WHEN len != 120 THEN 'length' WHEN name != 'ref' || tid THEN 'name' ELSE 'checksum' END AS reason
-FROM d WHERE len != 120 OR name != 'ref' || tid OR (m5 IS NOT NULL AND lower(m5) != own)""")
+@query("reference_mismatches", f"""WITH {b.B5}, d AS (SELECT f AS file_id, tid, name AS own_name, len AS own_len, CASE WHEN f = 1 AND tid % 7 = 2 THEN 'other' ELSE name END AS name, CASE WHEN f = 1 AND tid % 7 = 0 THEN len + 1 ELSE len END AS len,
+CASE WHEN tid % 2 = 1 THEN upper(md5(seq)) WHEN f = 1 AND tid % 7 = 4 THEN md5('x') WHEN tid % 7 = 6 THEN 'abc' END AS m5, md5(upper(seq)) AS own FROM refs, unnest([0, 1]) AS t(f))
+SELECT CAST(file_id AS INT) AS file_id, CAST(tid AS INT) AS tid, name, CASE WHEN len != own_len THEN 'length' WHEN name != own_name THEN 'name' ELSE 'checksum' END AS reason
+FROM d WHERE len != own_len OR name != own_name OR (m5 IS NOT NULL AND lower(m5) != own)""")
 def reference_mismatches(spark, d):
-    refs = b.references(spark)
+    """Two files that declare a reference for every document: one agrees but for checksums that are none, one errs by turns."""
+    refs = b.text_references(spark, d)
     f, tid = F.col("file_id"), F.col("tid")
-    m5 = F.when(tid == 1, F.upper(F.md5("seq"))).when((f == 1) & (tid == 3), F.md5(F.lit("x")))
-    declared = refs.crossJoin(spark.range(2).select(F.col("id").cast("int").alias("file_id"))).select("file_id", "tid", F.when((f == 1) & (tid == 2), "other").otherwise(F.col("name")).alias("name"), F.when((f == 1) & (tid == 0), 99).otherwise(120).cast("long").alias("len"), m5.alias("m5"))
+    m5 = F.when(tid % 2 == 1, F.upper(F.md5("seq"))).when((f == 1) & (tid % 7 == 4), F.md5(F.lit("x"))).when(tid % 7 == 6, "abc")
+    each = refs.withColumn("file_id", F.explode(F.array(F.lit(0), F.lit(1))))
+    declared = each.select("file_id", "tid", F.when((f == 1) & (tid % 7 == 2), "other").otherwise(F.col("name")).alias("name"), F.when((f == 1) & (tid % 7 == 0), F.col("len") + 1).otherwise(F.col("len")).cast("long").alias("len"), m5.alias("m5"))
     return verify.mismatches(declared, refs)
 
 
@@ -247,9 +254,11 @@ def sam_header(spark, d):
     return text.read_declared(spark, path).withColumn("is_sorted", F.lit(text.header_is_sorted(spark, path)))
 
 
-@query("fasta_round_trip", f"WITH {b.B1} SELECT CAST(tid AS INT) AS tid, name, seq, CAST(len AS INT) AS len FROM refs")
+@query("fasta_round_trip", f"WITH {b.B5} SELECT CAST(row_number() OVER (ORDER BY tid) - 1 AS INT) AS tid, name, comment, md5(seq) AS seq_md5, CAST(len AS INT) AS len FROM refs")
 def fasta_round_trip(spark, d):
-    return text.read_fasta(spark, written_text(text.fasta_lines(b.references(spark)).coalesce(1), "fasta")).select("tid", "name", "seq", "len")  # four references
+    """Whole documents as references, wrapped, in as many files as the sort made; numbered as they stand."""
+    read = text.read_fasta(spark, written_text(text.fasta_lines(b.text_references(spark, d)), "fasta"))
+    return read.select("tid", "name", "comment", F.md5("seq").alias("seq_md5"), "len")
 
 
 @query("structure_round_trip", f"SELECT 'ref' || {b.SQL_TID} AS name, string_agg(CASE WHEN quality IS NULL THEN '-' WHEN quality = 1 THEN '.' ELSE '(' END, '' ORDER BY doc_id) AS pairing FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")

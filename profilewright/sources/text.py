@@ -114,5 +114,5 @@ def sam_lines(alignments: DataFrame, references: DataFrame) -> DataFrame:
 
 
 def fasta_lines(references: DataFrame, width: int = 60) -> DataFrame:
-    """One column of FASTA text, wrapped."""
-    return references.orderBy("tid").select(F.concat(F.lit(">"), F.col("name"), F.lit("\n"), F.rtrim(F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n"))).alias("value"))
+    """One column of FASTA text, wrapped, with the comments after the names."""
+    return references.orderBy("tid").select(F.concat(F.lit(">"), F.concat_ws(" ", "name", "comment"), F.lit("\n"), F.rtrim(F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n"))).alias("value"))
