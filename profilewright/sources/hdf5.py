@@ -192,8 +192,11 @@ def read_layout(spark: SparkSession, path: str) -> Layout:
             if not own.dims:
                 values[name] = np.frombuffer(file.read(own.address, np.dtype(own.dtype).itemsize), own.dtype)[0].item() if own.address != _NONE else FILLS[FIELDS[name][1]]
             elif own.chunk is None:
-                rows.append((name, own.address, int(np.prod(own.dims)) * np.dtype(own.dtype).itemsize, _NONE & 0xFFFFFFFF, [0] * len(own.dims)))
-                own.chunk = own.dims
+                # Stored in one piece: taken as chunks of whole rows, none of which is compressed.
+                row = int(np.prod(own.dims[1:])) * np.dtype(own.dtype).itemsize
+                own.chunk = (min(own.dims[0], max(1, CHUNK_BYTES // row)), *own.dims[1:])
+                for first in range(0, own.dims[0] if own.address != _NONE else 0, own.chunk[0]):
+                    rows.append((name, own.address + first * row, min(own.chunk[0], own.dims[0] - first) * row, 0xFFFFFFFF, [first] + [0] * (len(own.dims) - 1)))
             else:
                 for key, at in file.tree(own.address, 8 + 8 * (len(own.dims) + 1)):
                     size, mask, *offsets = struct.unpack(f"<II{len(own.dims)}Q", key[:-8])
@@ -214,7 +217,7 @@ def decode(data: bytes, own: Dataset, mask: int) -> np.ndarray:
     for i in reversed(range(len(own.filters))):
         if not mask >> i & 1:
             data = zlib.decompress(data) if own.filters[i] == 1 else np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T.tobytes()
-    return np.frombuffer(data, kind).reshape(own.chunk)
+    return np.frombuffer(data, kind).reshape(-1, *own.chunk[1:])
 
 
 def encode(values: np.ndarray) -> bytes:

@@ -44,7 +44,10 @@ def by_hand(values):
     return bytes(out)
 
 
-def test_a_file_laid_out_by_hand(spark, tmp_path):
+@pytest.mark.parametrize("size", [hdf5.CHUNK_BYTES, 40])
+def test_a_file_laid_out_by_hand(spark, tmp_path, monkeypatch, size):
+    """Whole, and in pieces of two rows and one."""
+    monkeypatch.setattr(hdf5, "CHUNK_BYTES", size)
     values = np.arange(12).reshape(3, 4) + 0.5
     (tmp_path / "a.h5").write_bytes(by_hand(values))
     run = hdf5.read_hdf5(spark, str(tmp_path / "a.h5"))
