@@ -108,7 +108,7 @@ def run_hmm(a: argparse.Namespace, spark: SparkSession) -> None:
         rule = filters.ReadFilter(a.min_mapq, a.min_length, a.max_length, a.strand)
     except (ValueError, OSError) as wrong:
         raise UsageError(str(wrong)) from wrong
-    refs, reads = text.read_fasta(spark, a.fasta), _alignments(spark, a.alignments)
+    refs, reads = text.read_fasta_pieces(spark, a.fasta), _alignments(spark, a.alignments)
     for k, path in enumerate(a.alignments):
         declared = bam.read_declared(spark, path, k, require_sorted=True) if path.endswith(".bam") else text.read_declared(spark, path, k)
         verify.verify(declared, refs, "name" in a.verify, "checksum" in a.verify)

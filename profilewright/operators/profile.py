@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import __version__
 from ..functions.scalars import base_code
+from ..pieces import heads, letters
 from ..schema import nan
 from ..scratch import materialize
 from . import filters, hmm, pairs
@@ -33,8 +34,7 @@ def rate_error(mutations: Column, spanned: Column, min_depth: float = 1.0) -> Co
 
 def skeleton(references: DataFrame) -> DataFrame:
     """``tid, pos, base``: a row for each position of each reference, read or not."""
-    each = references.filter("len > 0").select("tid", "seq", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("pos"))
-    return each.select("tid", "pos", base_code(F.substring("seq", F.col("pos") + 1, F.lit(1))).alias("base"))
+    return letters(references).select("tid", "pos", base_code(F.col("letter")).alias("base"))
 
 
 def profile(references: DataFrame, sums: DataFrame, min_depth: float = 1.0) -> DataFrame:
@@ -52,18 +52,18 @@ def length_histogram(counted: DataFrame, cap: int) -> DataFrame:
 def ref_stats(references: DataFrame, reads: DataFrame) -> DataFrame:
     """``reads(tid, is_counted)`` of mapped reads by reference; a row for each reference."""
     by_ref = reads.groupBy("tid").agg(F.count_if("is_counted").alias("counted"), F.count_if(~F.col("is_counted")).alias("rejected"))
-    return references.select("tid", "name", "len").join(by_ref, "tid", "left").fillna(0, ["counted", "rejected"])
+    return heads(references).select("tid", "name", "len").join(by_ref, "tid", "left").fillna(0, ["counted", "rejected"])
 
 
 def run_table(references: DataFrame, alignments: DataFrame) -> DataFrame:
-    sizes = references.agg(F.count(F.lit(1)).cast("int").alias("n_refs"), F.coalesce(F.max("len"), F.lit(0)).alias("cap"))
+    sizes = heads(references).agg(F.count(F.lit(1)).cast("int").alias("n_refs"), F.coalesce(F.max("len"), F.lit(0)).alias("cap"))
     return filters.unmapped_total(alignments).crossJoin(F.broadcast(sizes)).select(  # one row each
         F.lit("profilewright").alias("program"), F.lit(__version__).alias("version"), "n_refs", "cap", "unmapped", nan("float").alias("norm")
     )
 
 
 def count_reads(alignments: DataFrame, references: DataFrame, rule: filters.ReadFilter | None = None, band: int = 2, model: hmm.Model | None = None, min_phred: int = 0, min_depth: float = 1.0, with_pairs: bool = False) -> dict[str, DataFrame]:
-    """All tables of a run: ``profile, ref_stats, lengths, run`` and, if asked, ``pairs``. The model runs once; its sums are written to the shared folder."""
+    """All tables of a run: ``profile, ref_stats, lengths, run`` and, if asked, ``pairs``. The model runs once; its sums are written to the shared folder. References may come in pieces."""
     rule = rule or filters.ReadFilter()
     reads = filters.mapped(filters.refuse_paired(alignments)).withColumn("accepted", filters.accepted(rule))
     good = reads.filter("accepted")
@@ -71,8 +71,8 @@ def count_reads(alignments: DataFrame, references: DataFrame, rule: filters.Read
     sums = parts.filter("kind = 'pos'").groupBy("tid", F.col("i").alias("pos")).agg(exact_sum("a").alias("coverage"), exact_sum("b").alias("spanned"), exact_sum("c").alias("mutations"))
     by_ref = parts.filter("kind = 'read'").groupBy("tid").agg(F.sum("a").cast("long").alias("counted"), F.sum("b").cast("long").alias("no_path"))
     refused = reads.filter(~F.col("accepted")).groupBy("tid").agg(F.count(F.lit(1)).alias("refused"))
-    stats = references.select("tid", "name", "len").join(by_ref, "tid", "left").join(refused, "tid", "left").fillna(0, ["counted", "no_path", "refused"])
-    cap = references.agg(F.coalesce(F.max("len"), F.lit(0))).first()[0]
+    stats = heads(references).select("tid", "name", "len").join(by_ref, "tid", "left").join(refused, "tid", "left").fillna(0, ["counted", "no_path", "refused"])
+    cap = heads(references).agg(F.coalesce(F.max("len"), F.lit(0))).first()[0]
     out = {
         "profile": profile(references, sums, min_depth),
         "ref_stats": stats.select("tid", "name", "len", "counted", (F.col("no_path") + F.col("refused")).alias("rejected")),

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import same_digest, sequence_md5
+from .. import pieces
+from ..functions.scalars import same_digest
+from ..pieces import heads
 
 
 def mismatches(declared: DataFrame, references: DataFrame, names: bool = True, checksums: bool = True) -> DataFrame:
     """Declarations that disagree, with a ``reason``: no such record, its length (always checked), its name or its checksum. A missing checksum is accepted; a malformed one is not."""
-    own = references.select("tid", F.col("name").alias("own_name"), F.col("len").alias("own_len"), "seq")
+    own = heads(references).select("tid", F.col("name").alias("own_name"), F.col("len").alias("own_len"))
     reason = F.when(F.col("own_len").isNull(), "missing").when(F.col("len") != F.col("own_len"), "length")
     if names:
         reason = reason.when(F.col("name") != F.col("own_name"), "name")
     if checksums:
-        reason = reason.when(F.col("m5").isNotNull() & ~same_digest(F.col("m5"), sequence_md5(F.col("seq"))), "checksum")
+        own = own.join(pieces.checksums(references).select("tid", F.col("m5").alias("own_m5")), "tid")
+        reason = reason.when(F.col("m5").isNotNull() & ~same_digest(F.col("m5"), F.col("own_m5")), "checksum")
     return declared.join(own, "tid", "left").withColumn("reason", reason).filter(F.col("reason").isNotNull()).select("file_id", "tid", "name", "reason")
 
 

@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..joins import spread_join
+from ..scratch import materialize
+
 NO_SEQ = "*"
 LONGEST_LINE = 4095
 PAIRING = r"^[()\[\]{}<>.\-]+$"
 
 
+#: Bases of a piece of a reference at most.
+PIECE = 1 << 16
+
 FILE, BLOCK = "_file", "_block"
+_PIECE_SCHEMA = f"{FILE} string, {BLOCK} bigint, head int, name string, comment string, at bigint, n int, bases string"
+_PIECE_COLUMNS = [x.split()[0] for x in _PIECE_SCHEMA.split(", ")]
+_PIECE_TYPES = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string()]
 
 
 def located(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -20,8 +35,6 @@ def located(spark: SparkSession, path: str, **options) -> DataFrame:
 
 def numbered(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` of ``located`` lines, with each one's ordinal in the input in column ``name``, by files in order of their names: its place in its split after the sizes of those before, without a sort or a single task."""
-    from pyspark.sql import Window
-
     placed = rows.withColumn("_id", F.monotonically_increasing_id())
     splits = placed.groupBy(FILE, BLOCK).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy(FILE, BLOCK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -82,6 +95,85 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return named.withColumn("len", F.length("seq"))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines in order to pieces: ``head`` counts the names of a split, 0 is what goes on from the split before; ``at`` are the bases since. A name's first piece has it, and may be empty."""
+    split, head, at, title, held, rows = None, 0, 0, None, [], []
+
+    def cut(all_of_it: bool) -> None:
+        nonlocal at, title, held
+        text = "".join(held)
+        ends = range(0, len(text) if all_of_it else len(text) - len(text) % PIECE, PIECE)
+        for k in ends if text else ([0] if title is not None and all_of_it else []):
+            bases = text[k : k + PIECE]
+            name, comment = (None, None) if title is None else title
+            rows.append((*split, head, name, comment, at, len(bases), bases))
+            at, title = at + len(bases), None
+        held = [] if all_of_it else [text[len(ends) * PIECE :]]
+
+    def taken() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PIECE_TYPES, strict=True)], names=_PIECE_COLUMNS)
+        rows.clear()
+        return made
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lines, files = batch["value"].cast(pa.large_binary()), batch[FILE].dictionary_encode()
+        offsets, data = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + len(lines) + 1], memoryview(lines.buffers()[2] or b"")
+        names = np.flatnonzero(pc.starts_with(lines, b">").to_numpy(zero_copy_only=False))
+        place = np.stack([files.indices.to_numpy(), batch[BLOCK].to_numpy()])
+        borders = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1
+        is_name = set(names.tolist())
+        # What lies between names and borders of splits is one stretch of the batch's bytes: lines have no ends any more.
+        stops = np.unique(np.concatenate([[0], names, names + 1, borders, [len(lines)]]))
+        for k, end in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True):
+            here = (files.dictionary[int(place[0, k])].as_py(), int(place[1, k]))
+            if here != split:
+                if split is not None:
+                    cut(True)
+                split, head, at, title = here, 0, 0, None
+            if k in is_name:
+                cut(True)
+                line = bytes(data[offsets[k] + 1 : offsets[k + 1]]).decode("utf-8", "replace")
+                name = re.match(r"\S*", line)[0]
+                head, at, title = head + 1, 0, (name, line[len(name) :].strip() or None)
+            else:
+                held.append(bytes(data[offsets[k] : offsets[end]]).translate(None, b" \t\r\n\v\f").decode("utf-8", "replace"))
+                if sum(map(len, held)) >= PIECE:
+                    cut(False)
+        if rows:
+            yield taken()
+    if split is not None:
+        cut(True)
+    if rows:
+        yield taken()
+
+
+def read_fasta_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """References as ``read_fasta`` numbers them, in pieces of up to ``PIECE`` bases (``profilewright.pieces``): lines are read, so a record may be of any length and span any number of splits. What stands before a file's first name is passed over.
+
+    Pieces are written once; a row a split then tells each which record it goes on with, and after how many bases. A line must fit a row.
+    """
+    cut = materialize(located(spark, path).mapInArrow(_pieces, _PIECE_SCHEMA), "fasta-pieces")
+    by_name = cut.groupBy(FILE, BLOCK, "head").agg(F.sum("n").alias("n"))
+    splits = by_name.groupBy(FILE, BLOCK).agg(F.max("head").alias("heads"), F.max_by("n", "head").alias("tail"))  # a row a split
+    ahead = lambda *by: Window.partitionBy(*by).orderBy(*([] if by else [FILE]), BLOCK)
+    summed = splits.withColumn("upto", F.sum("heads").over(ahead())).withColumn("run", F.sum("tail").over(ahead(FILE, "upto")))
+    place = summed.select(
+        FILE, BLOCK, (F.col("upto") - F.col("heads")).alias("before"), F.coalesce(F.lag("run").over(ahead(FILE)), F.lit(0)).alias("carried"),
+        (F.sum("heads").over(ahead(FILE)) - F.col("heads")).alias("of_file"),
+    )
+    found = cut.join(F.broadcast(place), [FILE, BLOCK]).filter((F.col("head") > 0) | (F.col("of_file") > 0)).select(
+        (F.col("before") + F.col("head") - 1).cast("int").alias("tid"), "name", "comment", (F.col("at") + F.when(F.col("head") == 0, F.col("carried")).otherwise(0)).alias("from_base"), "n", "bases",
+    )
+    # Names and comments are with a record's first piece alone.
+    records = found.groupBy("tid").agg(F.max("name").alias("name"), F.max("comment").alias("comment"), F.sum("n").cast("int").alias("len"), F.count(F.lit(1)).alias("rows_of_key"))
+    records = materialize(records, "fasta-records")
+    full = found.drop("name", "comment")
+    joined = spread_join(full, records.drop("rows_of_key"), ["tid"], "fasta", records.select("tid", "rows_of_key"))
+    return joined.filter((F.col("n") > 0) | (F.col("len") == 0)).select("tid", "name", "comment", "len", "from_base", "bases")
+
+
 def read_structures(spark: SparkSession, path: str) -> DataFrame:
     """``structures``: the pairing under each name; other lines, as the sequence, are passed over. Two pairings under a name, one before any name, or a line of 4096 characters or more are refused when the rows are read."""
     lines = F.transform(F.split(F.regexp_replace("value", "^>", ""), "\n"), lambda x: F.trim(x))
