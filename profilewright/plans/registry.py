@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import pieces
 from ..functions import scalars
+from ..joins import with_stretch
 from ..operators import combine, filters, hmm, normalize, pairs, profile, score, verify
 from ..operators.pileup import pileup, placed
 from ..schema import FILLS, nan
@@ -261,6 +263,22 @@ def fasta_round_trip(spark, d):
     return read.select("tid", "name", "comment", F.md5("seq").alias("seq_md5"), "len")
 
 
+@query("fasta_pieces", f"WITH {b.B5} SELECT CAST(row_number() OVER (ORDER BY tid) - 1 AS INT) AS tid, name, comment, CAST(len AS INT) AS len, md5(seq) AS m5 FROM refs")
+def fasta_pieces(spark, d):
+    """The same files read in pieces: one row a record from its first, and a checksum over all of them."""
+    read = text.read_fasta_pieces(spark, written_text(text.fasta_lines(b.text_references(spark, d)), "fasta"))
+    return pieces.heads(read).join(pieces.checksums(read), "tid")
+
+
+@query("reference_stretches", f"WITH {b.B5} SELECT CAST(tid AS INT) AS tid, len // 3 AS stretch_from, md5(substr(seq, CAST(len // 3 + 1 AS BIGINT), CAST(len // (k + 1) + 1 AS BIGINT))) AS stretch_md5, CAST(len AS INT) AS ref_len FROM refs, unnest(range(0, 3)) AS t(k)")
+def reference_stretches(spark, d):
+    """Three reads of each reference from its first third on: as far as it goes, a half and a third of it."""
+    refs = b.text_references(spark, d)
+    reads = refs.select("tid", F.expr("bigint(len div 3)").alias("pos"), F.lit("").alias("seq"), F.lit("").alias("cigar"), "len", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    found = with_stretch(reads, refs, F.col("pos"), F.expr("int(len div (k + 1)) + 1"))
+    return found.select("tid", "stretch_from", F.md5("stretch").alias("stretch_md5"), "ref_len")
+
+
 @query("structure_round_trip", f"SELECT 'ref' || {b.SQL_TID} AS name, string_agg(CASE WHEN quality IS NULL THEN '-' WHEN quality = 1 THEN '.' ELSE '(' END, '' ORDER BY doc_id) AS pairing FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
 def structure_round_trip(spark, d):
     marks = b.marks(spark, d).withColumn("name", F.concat(F.lit("ref"), F.col("tid").cast("string")))
