@@ -11,6 +11,8 @@ TABLES = {"profile": schema.PROFILE, "ref_stats": schema.REF_STATS, "lengths": s
 NEEDED = ("profile", "run")
 #: Ends of paths that are HDF5 files.
 ONE_FILE = (".h5", ".hdf5")
+#: Positions a side of the squares in which pairs lie in a folder, and bytes of a row group, which has a few of them.
+SQUARE, ROW_GROUP = 256, 1 << 22
 
 
 def fs_path(spark: SparkSession, path: str):
@@ -24,6 +26,14 @@ def is_taken(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and (len(fs.listStatus(p)) > 0 if fs.getFileStatus(p).isDirectory() else fs.getFileStatus(p).getLen() > 0)
 
 
+def by_squares(pairs: DataFrame) -> DataFrame:
+    """Pairs in order of their squares of positions, each in one stretch of one task, so that a window's lie in few row groups and pages."""
+    square = (F.floor(F.col(c) / SQUARE) for c in ("i", "j"))
+    ranged = pairs.withColumns(dict(zip(("row_of_squares", "column_of_squares"), square, strict=True)))
+    keys = ["tid", "row_of_squares", "column_of_squares"]
+    return ranged.repartitionByRange(*keys).sortWithinPartitions(*keys, "i", "j").drop(*keys[1:])
+
+
 def write_run(tables: dict[str, DataFrame], path: str, overwrite: bool = False) -> None:
     """Write into a folder beside ``path`` and move it there when all is done, so a failing run leaves what was there intact."""
     if unknown := set(tables) - set(TABLES):
@@ -40,7 +50,9 @@ def write_run(tables: dict[str, DataFrame], path: str, overwrite: bool = False)
     beside = path.rstrip("/") + "._writing"
     for name in sorted(tables, key=lambda n: n == "run"):
         kept = [c.split()[0] for c in TABLES[name].split(", ")]
-        tables[name].select(*(c for c in kept if c in tables[name].columns)).write.mode("overwrite").parquet(f"{beside}/{name}")
+        rows = tables[name].select(*(c for c in kept if c in tables[name].columns))
+        writer = by_squares(rows).write.option("parquet.block.size", ROW_GROUP) if name == "pairs" else rows.write
+        writer.mode("overwrite").parquet(f"{beside}/{name}")
     fs, final = fs_path(spark, path)
     # What was there is moved aside, and goes only when the new run stands in its place.
     aside = fs_path(spark, path.rstrip("/") + "._replaced")[1]
@@ -69,6 +81,16 @@ def read_run(spark: SparkSession, path: str, step: str | None = None) -> dict[st
     return found
 
 
+def read_pairs(spark: SparkSession, path: str, tid: int, first: tuple[int, int], second: tuple[int, int]) -> DataFrame:
+    """A run's pairs of one reference with ``i`` in ``first`` and ``j`` in ``second``, ends excluded. Of a folder only the pages that hold such pairs are decoded."""
+    if path.endswith(ONE_FILE):
+        pairs = read_run(spark, path)["pairs"]
+    else:
+        pairs = spark.read.parquet(f"{path.rstrip('/')}/pairs")
+    inside = [(F.col(c) >= ends[0]) & (F.col(c) < ends[1]) for c, ends in (("i", first), ("j", second))]
+    return pairs.filter((F.col("tid") == tid) & inside[0] & inside[1])
+
+
 def same_shape(first: dict[str, DataFrame], second: dict[str, DataFrame]) -> bool:
     """Whether two runs have as many references, and the same longest one."""
     a, b = (r["run"].select("n_refs", "cap").first() for r in (first, second))
