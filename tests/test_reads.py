@@ -425,3 +425,12 @@ def test_profiles_are_bit_equal_however_reads_are_dealt(spark, band):
     bits = lambda r: [(x["tid"], x["pos"], *(struct.pack("<d", x[c]) for c in ("coverage", "reactivity", "error"))) for x in count(r).orderBy("tid", "pos").collect()]
     found = [bits(reads.orderBy(F.rand(n)).repartition(n)) for n in (1, 4, 16)]
     assert found[0] == found[1] == found[2] and any(not math.isnan(struct.unpack("<d", x[3])[0]) for x in found[0])
+
+
+def test_one_base_whose_quality_is_a_star_comes_back_from_sam(spark, tmp_path):
+    rows = [(0, 0, 0, 60, "1M", "G", "*"), (0, 1, 0, 60, "1M", "A", None), (0, 2, 0, 60, "2M", "TT", "**"), (0, 3, 0, 60, "1M", None, "*"), (0, 4, 0, 60, "1M", "A", "I")]
+    text.sam_lines(reads_of(spark, rows), refs_of(spark, REF)).write.text(str(tmp_path / "sam"))
+    back = text.read_sam(spark, str(tmp_path / "sam")).orderBy("pos").select("seq", "qual").collect()
+    assert [tuple(r) for r in back] == [("G", "*"), ("A", None), ("TT", "**"), (None, None), ("A", "I")]
+    (tmp_path / "foreign").write_text("@HD\tVN:1.6\n@SQ\tSN:ref0\tLN:20\nr\t0\tref0\t1\t60\t1M\t*\t0\t0\tG\t*\tNM:i:0\n")
+    assert text.read_sam(spark, str(tmp_path / "foreign")).first()["qual"] is None
