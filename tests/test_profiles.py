@@ -218,3 +218,11 @@ def test_scratch_tables_can_be_cleared(spark, tmp_path):
     assert os.path.isdir(own)
     scratch.clear(spark)
     assert not os.path.exists(own) and scratch.materialize(spark.range(2), "x").count() == 2
+
+
+def test_scores_are_printed_as_c_prints_them(spark):
+    rows = [(0, "a", 8, 8, 0.578125, 0.000015, 0.5, 123456.5), (1, "b", 1, 1, 0.328125, 1.0, 1e-7, 2.0)]
+    kept = spark.createDataFrame(rows, "tid int, name string, paired long, unpaired long, auroc double, auprc double, mean_paired double, mean_unpaired double")
+    got = [tuple(r) for r in score.as_csv_lines(kept).collect()]
+    assert got == [("a", 8, 8, *("%.5f,%.5f,%.6g,%.6g" % rows[0][4:]).split(",")), ("b", 1, 1, "0.32812", "1.00000", "1e-07", "2")]
+    assert got[0][3] == "0.57812"
