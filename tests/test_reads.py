@@ -17,7 +17,7 @@ from profilewright import joins
 from profilewright.functions import scalars
 from profilewright.operators import filters, hmm, profile, verify
 from profilewright.operators.exact import exact_sum, halves
-from profilewright.operators.pileup import is_tangled, pileup
+from profilewright.operators.pileup import contributions, is_tangled, pileup, placed, tallied
 from profilewright.schema import ALIGNMENTS, REFERENCES
 from profilewright.sources import bam, params, synthetic, text
 
@@ -434,3 +434,18 @@ def test_one_base_whose_quality_is_a_star_comes_back_from_sam(spark, tmp_path):
     assert [tuple(r) for r in back] == [("G", "*"), ("A", None), ("TT", "**"), (None, None), ("A", "I")]
     (tmp_path / "foreign").write_text("@HD\tVN:1.6\n@SQ\tSN:ref0\tLN:20\nr\t0\tref0\t1\t60\t1M\t*\t0\t0\tG\t*\tNM:i:0\n")
     assert text.read_sam(spark, str(tmp_path / "foreign")).first()["qual"] is None
+
+
+@pytest.mark.parametrize("options", [{}, {"substitution": 0.5, "deletion": 2.0, "insertion": 0.25, "min_phred": 9}])
+def test_pileup_on_arrays_sends_a_few_rows_a_position_and_sums_what_its_rows_do(spark, options):
+    refs, cigars = refs_of(spark, REF, REF[::-1]), ["8M", "3M2D3M", "2M1I5M", "2S4M1H", "2M2I1D4M", "2M1D2I4M", "3D5M2D", "1M1D1D6M", "8M", "*"]
+    rows = [(k % 2, (3 * k) % 14 - 1, 0, 60, c, "GATuACNG"[: 6 if "S" in c else 8], None if k % 5 == 0 else "I#%&~+!H"[: 6 if "S" in c else 8]) for k, c in enumerate(cigars * 40)]
+    rows += [(0, 2, 0, 60, c, "", "") for c in ("", "5S")]
+    reads = reads_of(spark, rows)
+    names = ["tid", "pos", "coverage", "spanned", "mutations"]
+    one_by_one = contributions(placed(reads, refs), **options).groupBy("tid", "pos").agg(*(exact_sum(c).alias(c) for c in names[2:]))
+    told = lambda df: {tuple(r[:2]): tuple(r[2:]) for r in df.select(*names).collect()}
+    want, got = told(one_by_one), told(pileup(reads, refs, **options))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    made = next(tallied(**options)([joins.with_stretch(reads, refs, F.col("pos"), scalars.reference_span(F.col("cigar")) + 1).toArrow().combine_chunks().to_batches()[0]]))
+    assert made.num_rows <= len(want)
