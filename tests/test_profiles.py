@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from profilewright.joins import with_sums_before
+from profilewright import joins
 from profilewright.operators import combine, normalize, pairs, profile, score
+from profilewright.plans import bindings
 from profilewright.schema import LENGTHS, PROFILE, REF_STATS, REFERENCES, RUN, STRUCTURES, fields_for
 from profilewright.sources import runs
 
@@ -226,3 +228,15 @@ def test_scores_are_printed_as_c_prints_them(spark):
     got = [tuple(r) for r in score.as_csv_lines(kept).collect()]
     assert got == [("a", 8, 8, *("%.5f,%.5f,%.6g,%.6g" % rows[0][4:]).split(",")), ("b", 1, 1, "0.32812", "1.00000", "1e-07", "2")]
     assert got[0][3] == "0.57812"
+
+
+def test_pairs_are_dealt_once_to_tasks_by_the_number_of_lines(spark, tmp_path, monkeypatch):
+    lines = [(k // 3, k % 3 + 1, "R" if k % 4 == 0 else "N") for k in range(900)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, f"{k % 5 + 1}-X") for k in range(300)], "o_orderkey long, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    want = bindings.pair_events(spark, str(tmp_path))
+    monkeypatch.setattr(joins, "ROWS_OF_A_TASK", 10)
+    events = bindings.pair_events(spark, str(tmp_path))
+    assert sorted(want.collect()) == sorted(events.collect())
+    plan = pairs.pair_sums(events)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("l_orderkey#") and plan.count("Exchange hashpartitioning") == 3 and ", 90)" in plan  # lines, orders, and the sums
