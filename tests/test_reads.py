@@ -449,3 +449,20 @@ def test_pileup_on_arrays_sends_a_few_rows_a_position_and_sums_what_its_rows_do(
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
     made = next(tallied(**options)([joins.with_stretch(reads, refs, F.col("pos"), scalars.reference_span(F.col("cigar")) + 1).toArrow().combine_chunks().to_batches()[0]]))
     assert made.num_rows <= len(want)
+
+
+def test_reads_of_a_batch_that_move_alike_stand_together_and_equal_reads_alone(monkeypatch):
+    cigars = ["8M", "3M2I3M", "2M2D6M", "8M"] * 6
+    columns = {"tid": [0] * 24, "pos": [k % 5 for k in range(24)], "kinds": [re.sub("[0-9]", "", c) for c in cigars], "lens": pa.array([[int(x) for x in re.findall("[0-9]+", c)] for c in cigars], pa.list_(pa.int32())),
+               "seq": ["GATTACAG"] * 24, "qual": ["I5#IIII+"] * 24, "stretch": [REF] * 24, "stretch_from": [0] * 24, "ref_len": [len(REF)] * 24}
+    reads, model = hmm.Reads(pa.RecordBatch.from_pydict(columns)), hmm.Model(insertion_weight=0.5)
+    (chosen,) = reads.batches(2)
+    shapes = [cigars[k] for k in chosen]
+    assert sum(a != b for a, b in zip(shapes, shapes[1:], strict=False)) == 2
+    batch = hmm.Batch(reads, chosen, 2, 0, model.modification)
+    together, paths = hmm.posteriors(batch, model)
+    for k, read in enumerate(chosen):
+        one = hmm.Batch(reads, np.array([read]), 2, 0, model.modification)
+        alone, path = hmm.posteriors(one, model)
+        assert path[0] == paths[k] and one.origin[0] == batch.origin[k]
+        assert (alone[:, 0] == together[:, k, : one.window]).all() and not together[:, k, one.window :].any()
