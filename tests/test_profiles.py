@@ -240,3 +240,19 @@ def test_pairs_are_dealt_once_to_tasks_by_the_number_of_lines(spark, tmp_path, m
     assert sorted(want.collect()) == sorted(events.collect())
     plan = pairs.pair_sums(events)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("l_orderkey#") and plan.count("Exchange hashpartitioning") == 3 and ", 90)" in plan  # lines, orders, and the sums
+
+
+def test_the_curve_is_walked_from_the_highest_value_down(spark, monkeypatch):
+    """The steps add up to 237/40, over 8: a printed score that lies between two digits, which only this order rounds up."""
+    is_open = [1, 1, 0, 0, 1, 1, 0, 1, 1, 1, 0, 1, 0, 0]
+    rows = [(tid, float(100 - k), bool(o)) for tid in range(40) for k, o in enumerate(is_open)]
+    points = spark.createDataFrame(rows, "tid int, value double, open boolean").repartition(7)
+    found = found_steps = 0
+    for seen, o in enumerate(is_open, 1):
+        found += o
+        found_steps += o * found / seen
+    assert "%.5f" % (found_steps / 8) == "0.74063"
+    assert {r["auprc"] for r in score.metrics(points).collect()} == {found_steps / 8}
+    monkeypatch.setattr(score, "WALKED", 7)
+    long = {r["auprc"] for r in score.metrics(points).collect()}
+    assert len(long) == 1 and long.pop() == pytest.approx(237 / 320, rel=1e-14)
