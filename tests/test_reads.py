@@ -466,3 +466,20 @@ def test_reads_of_a_batch_that_move_alike_stand_together_and_equal_reads_alone(m
         alone, path = hmm.posteriors(one, model)
         assert path[0] == paths[k] and one.origin[0] == batch.origin[k]
         assert (alone[:, 0] == together[:, k, : one.window]).all() and not together[:, k, one.window :].any()
+
+
+def test_a_sam_file_given_twice_is_parsed_once_and_counts_twice(spark, tmp_path):
+    refs, reads = synthetic.generate(spark, synthetic.Options(references=30, length="70:130", reads="4", unmapped=2))
+    path, other = str(tmp_path / "sam"), str(tmp_path / "other")
+    text.sam_lines(reads, refs).repartitionByRange(5, F.col("value").startswith("@").cast("int") * -1, F.substring("value", 1, 1)).write.text(path)
+    text.sam_lines(reads.filter("tid < 3"), refs).coalesce(1).write.text(other)
+    back = text.read_sam(spark, [path, other, path], with_numbers=False)
+    assert "rec_no" not in back.columns
+    assert back._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 2
+    by_file = lambda df, f: sorted(map(tuple, df.filter(F.col("file_id") == f).select("tid", "pos", "flag", "mapq", "cigar", "seq", "qual").collect()))
+    whole = text.read_sam(spark, path)
+    assert by_file(back, 0) == by_file(back, 2) == by_file(whole, 0) and len(by_file(back, 0)) == reads.count()
+    assert len(by_file(back, 1)) == reads.filter("tid < 3").count()
+    assert sorted(r[0] for r in whole.select("rec_no").collect()) == list(range(reads.count()))
+    names = {r["name"]: r["tid"] for r in text.read_declared(spark, path, 4).collect()}
+    assert sorted(names.values()) == list(range(30)) and len(names) == 30
