@@ -4,9 +4,9 @@ The tree's nodes are contexts: runs of up to ``DEPTH`` words before a token. A c
 diverges from that of its longest suffix that stayed by more than its parameters cost; its distribution is smoothed with that
 suffix's by absolute discounting, down to the counts of single tokens. A token is scored in the longest context that stayed.
 
-Counts cover every learned text. As in the definition of such trees, contexts must hold a least share of all tokens, ``SHARE``; so
-a level has at most 1 / SHARE rows whatever the corpus, and that is what is collected and broadcast. Words below that share are
-scored from their exact counts by a join: such a word is rare by definition, so no key of that join is hot.
+Counts cover every learned text, and every context with a next token that was learned twice is in the tree. While no level has more
+than ``HELD`` rows, the tree is collected and broadcast. Above, levels are tables: the tree's score of a text is a sum of weights of
+its runs of tokens (``run_weights``), which a join finds. Words that are not broadcast are scored from their exact counts by a join.
 """
 
 from __future__ import annotations
@@ -25,10 +25,14 @@ from .textops import Hasher, find_words, text_slices
 
 #: Words of the longest context.
 DEPTH = 3
-#: Least share of all learned tokens that a word, or a context with its next token, needs to be in the tree; and the least number of times for the latter.
+#: Share of all learned tokens from which a word is broadcast where levels are tables; and the least number of times for a context with its next token.
 SHARE, LEAST = 2.0**-20, 2
 #: Taken off every count of a context, for its suffix.
 DISCOUNT = 0.6
+#: Rows of a level that are broadcast at most. A tree with more has its runs in tables, and is scored by a join.
+HELD = 1 << 20
+#: Bits of the broadcast map that leaves out of that join most runs the tree lacks; those it lets through have no partner there.
+MAP_BITS = 27
 #: Tokens whose counts a task holds before it sends them on.
 FLUSH = 1 << 22
 
@@ -189,33 +193,145 @@ def count_runs(tree) -> Callable:
     return rows
 
 
+def hashed_runs(hasher: Hasher, words: np.ndarray, doc: np.ndarray, n_texts: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For n = 1 to ``longest``: hashes of all n tokens in a row of the words and an end after each text; which of them lie in one text; and its number."""
+    tokens, text = np.full(len(words) + n_texts, _END, np.uint64), np.repeat(np.arange(n_texts), np.bincount(doc, minlength=n_texts) + 1)
+    tokens[np.arange(len(words)) + doc] = words
+    for n in range(1, longest + 1):
+        hashes = tokens if n == 1 else hasher.windows(tokens, n)
+        yield hashes, text[: len(hashes)] == text[len(tokens) - len(hashes) :], text[: len(hashes)]
+
+
+_LONG_RUNS = ["level", "run", "context", "suffix", "n"]
+
+
+def count_long_runs(depth: int) -> Callable:
+    """Batches ``text`` to ``level, run, context, suffix, n``: hashes of runs of two tokens and more, of all but their last token, and of all but their first."""
+
+    def counted(held: list, level: int) -> pa.RecordBatch:
+        runs, context, suffix = (np.concatenate(x) for x in zip(*held, strict=True))
+        keys, at, n = np.unique(runs, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), level, np.int32)), *(pa.array(x.view(np.int64)) for x in (keys, context[at], suffix[at])), pa.array(n)], names=_LONG_RUNS)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, held, size = Hasher(_SEED), [[] for _ in range(depth)], 0
+        for batch in batches:
+            for i, j, data, offsets in text_slices(batch.column("text"), lower=True):
+                starts, ends, doc = find_words(data, offsets)
+                shorter = None
+                for n, (runs, inside, _) in enumerate(hashed_runs(hasher, hasher.words(data, starts, ends), doc, j - i, depth + 1), 1):
+                    if n > 1:
+                        held[n - 2].append((runs[inside], shorter[: len(runs)][inside], shorter[1 : len(runs) + 1][inside]))
+                    shorter = runs
+                size += depth * (len(starts) + j - i)  # and each with three hashes
+                if 2 * size >= FLUSH:
+                    yield from (counted(h, n) for n, h in enumerate(held, 2))
+                    held, size = [[] for _ in range(depth)], 0
+        if size:
+            yield from (counted(h, n) for n, h in enumerate(held, 2))
+
+    return rows
+
+
+def run_weights(docs: DataFrame, counts: DataFrame, tree: Tree, depth: int) -> DataFrame:
+    """``run, weight``: what each run of tokens adds to log10 of a text's base probability, by the same rules as ``Tree.add``, for trees of any size.
+
+    A token in a context that stayed has the context's own probability of it, or else what it leaves to its suffix. So a run adds
+    what its context leaves wherever it is such a context, and the rest of its last token's gain where it was learned. Those sums
+    over all runs of a text are its score; a level takes joins with the one before, none of which sends a table to one task.
+    """
+    runs = docs.select("text").mapInArrow(count_long_runs(depth), "level int, run long, context long, suffix long, n long")
+    runs = materialize(runs.groupBy("level", "run").agg(F.sum("n").alias("n"), F.first("context").alias("context"), F.first("suffix").alias("suffix")).filter(F.col("n") >= LEAST), "lm-runs")
+    before = counts.filter(F.col("n") >= LEAST).select(F.col("word").alias("run"), "n", ((F.col("n") + 1) / F.lit(float(tree.n_tokens + tree.n_distinct + 1))).alias("p"))
+    parts = []
+    for level in range(2, depth + 2):
+        mine = runs.filter(F.col("level") == level).drop("level")
+        mine = mine.join(before.select(F.col("run").alias("suffix"), F.col("p").alias("shorter")), "suffix").join(before.select(F.col("run").alias("context"), F.col("n").alias("total")), "context")
+        mine = materialize(mine.select("run", "context", "n", "shorter", "total"), "lm-level")
+        seen = F.col("n") / F.col("total")
+        sums = mine.groupBy("context").agg(
+            F.first("total").alias("total"), F.count(F.lit(1)).alias("kinds"), (1 - F.sum(seen)).alias("rest"), (1 - F.sum("shorter")).alias("rest_shorter"),
+            F.sum(seen * F.log(seen / F.col("shorter"))).alias("gain"), (1 - F.sum((F.col("n") - DISCOUNT) / F.col("total"))).alias("left"),
+        )
+        of_rest = F.when(F.col("rest") >= 1e-12, F.col("rest") * F.log(F.col("rest") / F.greatest("rest_shorter", F.lit(1e-300)))).otherwise(0.0)
+        stayed = sums.filter(F.col("total") * (F.col("gain") + of_rest) > 0.5 * F.col("kinds") * F.log(F.col("total").cast("double"))).select("context", "left")
+        own = (F.col("n") - DISCOUNT) / F.col("total") + F.col("left") * F.col("shorter")
+        placed = mine.join(stayed, "context", "left").select("run", "n", F.coalesce(own, "shorter").alias("p"), (F.log10(own) - F.log10("shorter") - F.log10("left")).alias("weight"))
+        before = materialize(placed, "lm-placed")
+        parts += [before.filter("weight is not null").select("run", "weight"), stayed.select(F.col("context").alias("run"), F.log10("left").alias("weight"))]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return materialize(every.groupBy("run").agg(F.sum("weight").alias("weight")), "lm-weights")
+
+
+def map_of(weights: DataFrame) -> np.ndarray:
+    """A bit for the first ``MAP_BITS`` bits of each run's hash: ``2 ** MAP_BITS`` bits, whatever the number of runs."""
+    at = F.shiftrightunsigned("run", 64 - MAP_BITS) + 1
+    found = weights.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toArrow()
+    out = np.zeros((-(-(1 << MAP_BITS) // 32768), 4096), np.uint8)
+    for bucket, bits in zip(found["b"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        out[bucket - 1] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
+
+
 @dataclass
 class Model:
-    """The tree, and ``word, n``: exact counts of the learned words that are below its share."""
+    """The tree, and ``word, n``: exact counts of the learned words that are below its share. A tree of more than ``HELD`` rows a level has its words alone, and the rest as ``run_weights`` for runs of up to ``longest`` tokens."""
 
     tree: Tree
     rare: DataFrame
+    weights: DataFrame | None = None
+    longest: int = 0
 
 
-def fit(docs: DataFrame, depth: int = DEPTH, share: float = SHARE) -> Model:
-    """Learn from every row of ``docs(text)``; null is an empty text, which is one end. Without rows every probability is that of no count at all."""
+def fit(docs: DataFrame, depth: int = DEPTH, share: float | None = None) -> Model:
+    """Learn from every row of ``docs(text)``; null is an empty text, which is one end. Without rows every probability is that of no count at all.
+
+    The tree has every word, and every context with a next token that was learned ``LEAST`` times; with ``share``, only those that make up
+    that share of all tokens.
+    """
     spark = docs.sparkSession
     counts = materialize(docs.select("text").mapInArrow(count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     n_tokens, n_distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    tree, common = Tree(int(n_tokens), int(n_distinct)), F.col("n") >= share * n_tokens
-    found = counts.filter(common).toArrow()
-    words = np.asarray(found["word"]).view(np.uint64)
-    tree.add(words, np.asarray(found["n"]))
-    coded = materialize(docs.select("text").mapInArrow(coded_texts(spark.sparkContext.broadcast(tree.levels[0].keys)), "ids array<int>"), "lm-ids")
-    for _ in range(depth):
-        runs = coded.mapInArrow(count_runs(spark.sparkContext.broadcast(tree)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        found = runs.filter(F.col("n") >= max(float(LEAST), share * n_tokens)).toArrow()
-        tree.add(np.asarray(found["key"]), np.asarray(found["n"]))
-    return Model(tree, counts.filter(~common))
+    whole, n_tokens = share is None, int(n_tokens)
+
+    def words(least: float) -> tuple[Tree, Column]:
+        common = (F.col("n") >= least) | (F.lit(whole) & (F.col("word") == _END))
+        found, tree = counts.filter(common).toArrow(), Tree(n_tokens, int(n_distinct))
+        tree.add(np.asarray(found["word"]).view(np.uint64), np.asarray(found["n"]))
+        return tree, common
+
+    if not whole or n_distinct <= HELD:
+        least = 0.0 if whole else share * n_tokens
+        tree, common = words(least)
+        coded = materialize(docs.select("text").mapInArrow(coded_texts(spark.sparkContext.broadcast(tree.levels[0].keys)), "ids array<int>"), "lm-ids")
+        for _ in range(depth):
+            runs = coded.mapInArrow(count_runs(spark.sparkContext.broadcast(tree)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+            runs = runs.filter(F.col("n") >= max(float(LEAST), least))
+            found = (runs.limit(HELD + 1) if whole else runs).toArrow()
+            if whole and len(found) > HELD:
+                break
+            tree.add(np.asarray(found["key"]), np.asarray(found["n"]))
+        else:
+            return Model(tree, counts.filter(~common))
+    tree, common = words(SHARE * n_tokens)
+    return Model(tree, counts.filter(~common), run_weights(docs, counts, tree, depth), depth + 1)
+
+
+def _counted_by_text(hashes: np.ndarray, doc: np.ndarray, n_texts: int) -> tuple[pa.Array, pa.Array]:
+    """Lists a text: its different hashes, and how often it has each."""
+    order = np.lexsort((hashes, doc))
+    hashes, doc = hashes[order], doc[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(fresh)
+    lists = pa.array(np.searchsorted(doc[at], np.arange(n_texts + 1)).astype(np.int32))
+    return tuple(pa.ListArray.from_arrays(lists, pa.array(x)) for x in (hashes[at].view(np.int64), np.diff(np.concatenate([at, [len(order)]]))))
 
 
-def score_rows(tree) -> Callable:
-    """Batches ``row, text`` to what the tree knows of each text, and its words below the share with how often they stand in it."""
+def score_rows(tree, bits=None, longest: int = 0) -> Callable:
+    """Batches ``row, text`` to what the tree knows of each text, and its words below the share with how often they stand in it; likewise its runs of up to ``longest`` tokens that the map ``bits`` has."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, known = Hasher(_SEED), tree.value
@@ -235,20 +351,18 @@ def score_rows(tree) -> Callable:
                     base_of = np.where(ids >= 0, base[ids] if len(base) else 0, 0)
                 scores = known.log_probabilities(ids, begins) if end >= 0 else base_of
                 rare = ids[np.arange(len(words)) + doc] < 0
-                rare_words, rare_doc = words[rare], doc[rare]
-                order = np.lexsort((rare_words, rare_doc))
-                rare_words, rare_doc = rare_words[order], rare_doc[order]
-                fresh = np.ones(len(order), bool)
-                fresh[1:] = (rare_words[1:] != rare_words[:-1]) | (rare_doc[1:] != rare_doc[:-1])
-                at = np.flatnonzero(fresh)
-                times = np.diff(np.concatenate([at, [len(order)]]))
-                lists = pa.array(np.searchsorted(rare_doc[at], np.arange(j - i + 1)).astype(np.int32))
+                runs, of = [], []
+                for hashes, inside, text in hashed_runs(hasher, words, doc, j - i, longest):
+                    at = (hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+                    inside &= (bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                    runs.append(hashes[inside]), of.append(text[inside])
+                runs, of = (np.concatenate(runs), np.concatenate(of)) if runs else (words[:0], doc[:0])
                 columns = [
                     batch.column("row").slice(i, j - i), batch.column("kept").slice(i, j - i), pa.array(np.diff(first)), pa.array(np.add.reduceat((ids >= 0).astype(np.int64), first[:-1])),
                     pa.array(np.add.reduceat(base_of, first[:-1])), pa.array(np.add.reduceat(scores, first[:-1])),
-                    pa.ListArray.from_arrays(lists, pa.array(rare_words[at].view(np.int64))), pa.ListArray.from_arrays(lists, pa.array(times)),
+                    *_counted_by_text(words[rare], doc[rare], j - i), *_counted_by_text(runs, of, j - i),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "kept", "n_tokens", "n_known", "base", "score", "words", "times"])
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "kept", "n_tokens", "n_known", "base", "score", "words", "times", "runs", "run_times"])
 
     return rows
 
@@ -267,14 +381,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     rest = [c for c in carried if c.lower() not in RESULTS]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(1).alias(private(docs, "one"))).alias("kept"), F.col("text").cast("string").alias("text"))
     kind = rows.schema["kept"].dataType.simpleString()
-    schema = f"row long, kept {kind}, n_tokens long, n_known long, base double, score double, words array<long>, times array<long>"
-    held = materialize(rows.mapInArrow(score_rows(docs.sparkSession.sparkContext.broadcast(tree)), schema), "lm-scores")
+    schema = f"row long, kept {kind}, n_tokens long, n_known long, base double, score double, words array<long>, times array<long>, runs array<long>, run_times array<long>"
+    share = docs.sparkSession.sparkContext.broadcast
+    bits = None if model.weights is None else share(map_of(model.weights))
+    held = materialize(rows.mapInArrow(score_rows(share(tree), bits, model.longest), schema), "lm-scores")
     each = held.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     of_rare = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(tree.n_tokens + tree.n_distinct + 1)))
     sums = each.join(model.rare, "word", "left").groupBy("row").agg(F.sum(F.col("times") * of_rare).alias("rare"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("seen"))
-    total = held.drop("words", "times").join(sums, "row", "left")
+    total = held.drop("words", "times", "runs", "run_times").join(sums, "row", "left").withColumn("gained", F.lit(0.0))
+    if model.weights is not None:
+        of_text = held.select("row", F.explode(F.arrays_zip("runs", "run_times")).alias("w")).select("row", F.col("w.runs").alias("run"), F.col("w.run_times").alias("times"))
+        total = total.drop("gained").join(of_text.join(model.weights, "run").groupBy("row").agg(F.sum(F.col("times") * F.col("weight")).alias("gained")), "row", "left")
     rare = F.coalesce("rare", F.lit(0.0))
-    made = [F.col("n_tokens"), (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(tree.n_tokens).cast("long").alias("train_tokens"), (F.col("base") + rare).alias("base_score"), (F.col("score") + rare).alias("score")]
+    made = [F.col("n_tokens"), (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(tree.n_tokens).cast("long").alias("train_tokens"), (F.col("base") + rare).alias("base_score"), (F.col("score") + rare + F.coalesce("gained", F.lit(0.0))).alias("score")]
     return total.select(*(F.col("kept").getField(c).alias(c) for c in rest), *made)
 
 

@@ -95,6 +95,24 @@ def test_scores_equal_a_tree_of_dictionaries(spark, share):
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
 
 
+@pytest.mark.parametrize("most", [1 << 20, 100, 10])
+def test_whole_trees_are_scored_however_large_they_are(spark, monkeypatch, most):
+    """Contexts that were learned twice count among any number of tokens, in a broadcast tree and in tables."""
+    monkeypatch.setattr(suffix_tree, "HELD", most)
+    monkeypatch.setattr(suffix_tree, "SHARE", 1 / 400)
+    rows, docs = tree_docs(spark)
+    twice = [(1000 + i, "only these two texts say so of a " + w) for i, w in enumerate(["kind", "kind"])]
+    rows, docs = rows + twice, docs.unionByName(docs_of(spark, twice), allowMissingColumns=True)
+    brute = BruteTree([t for i, t in rows if i is not None], 3, 0, suffix_tree.LEAST, suffix_tree.DISCOUNT)
+    model = suffix_tree.fit(docs.filter(F.col("doc_id").isNotNull()).repartition(3))
+    assert (model.weights is None) == (most == 1 << 20)
+    got = sorted(suffix_tree.score(docs.repartition(5), model).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
+    for r, (i, text) in zip(got, sorted(rows, key=lambda r: (r[0] is None, r[0])), strict=True):
+        n, known, train, base, score = brute.score(text)
+        assert (r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i, n, known, train)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
+
+
 def test_probabilities_of_all_next_tokens_sum_to_one(spark):
     texts = [r[1] for r in corpus(3)] + ["sea shells by the sea shore"] * 9
     tree = suffix_tree.fit(docs_of(spark, list(enumerate(texts)))).tree
