@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialize
+from ..scratch import discard, materialize, shuffles_once
 from .common import private, table
-from .textops import Hasher, find_words, text_slices
+from .textops import Hasher, find_words, mixed, text_slices
 
 #: Words of the longest context.
 DEPTH = 3
@@ -33,12 +33,15 @@ DISCOUNT = 0.6
 HELD = 1 << 20
 #: Bits of the broadcast map that leaves out of that join most runs the tree lacks; those it lets through have no partner there.
 MAP_BITS = 27
+#: Parts of the texts, by their hash, that are scored one after another where levels are tables: what a join with the runs of all texts shuffles is never on disk at once.
+PARTS = 8
 #: Tokens whose counts a task holds before it sends them on.
 FLUSH = 1 << 22
 
 _BITS = 21
 _END = 0  # in place of the hash of a word
 _SEED = 11
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
@@ -193,61 +196,82 @@ def count_runs(tree) -> Callable:
     return rows
 
 
-def hashed_runs(hasher: Hasher, words: np.ndarray, doc: np.ndarray, n_texts: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def hashed_runs(words: np.ndarray, doc: np.ndarray, n_texts: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For n = 1 to ``longest``: hashes of all n tokens in a row of the words and an end after each text; which of them lie in one text; and its number."""
     tokens, text = np.full(len(words) + n_texts, _END, np.uint64), np.repeat(np.arange(n_texts), np.bincount(doc, minlength=n_texts) + 1)
     tokens[np.arange(len(words)) + doc] = words
+    hashes = tokens
     for n in range(1, longest + 1):
-        hashes = tokens if n == 1 else hasher.windows(tokens, n)
+        if n > 1:
+            hashes = joined(hashes[:-1], hashes[1:])
         yield hashes, text[: len(hashes)] == text[len(tokens) - len(hashes) :], text[: len(hashes)]
 
 
-_LONG_RUNS = ["level", "run", "context", "suffix", "n"]
+def joined(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """The hash of a run, by those of all but its last token and of all but its first."""
+    return mixed(context * _ODD + suffix)
 
 
-def count_long_runs(depth: int) -> Callable:
-    """Batches ``text`` to ``level, run, context, suffix, n``: hashes of runs of two tokens and more, of all but their last token, and of all but their first."""
+def mapped(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the map of ``map_of`` has."""
+    at = (hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
-    def counted(held: list, level: int) -> pa.RecordBatch:
-        runs, context, suffix = (np.concatenate(x) for x in zip(*held, strict=True))
-        keys, at, n = np.unique(runs, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), level, np.int32)), *(pa.array(x.view(np.int64)) for x in (keys, context[at], suffix[at])), pa.array(n)], names=_LONG_RUNS)
+
+def count_long_runs(level: int, bits) -> Callable:
+    """Batches ``text`` to ``context, suffix, n``: runs of ``level`` tokens by the hashes of all but their last and of all but their first, where the map has both."""
+
+    def counted(held: list) -> pa.RecordBatch:
+        context, suffix = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, at, n = np.unique(joined(context, suffix), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(x[at].view(np.int64)) for x in (context, suffix)), pa.array(n)], names=["context", "suffix", "n"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = Hasher(_SEED), [[] for _ in range(depth)], 0
+        hasher, held = Hasher(_SEED), []
         for batch in batches:
             for i, j, data, offsets in text_slices(batch.column("text"), lower=True):
                 starts, ends, doc = find_words(data, offsets)
-                shorter = None
-                for n, (runs, inside, _) in enumerate(hashed_runs(hasher, hasher.words(data, starts, ends), doc, j - i, depth + 1), 1):
-                    if n > 1:
-                        held[n - 2].append((runs[inside], shorter[: len(runs)][inside], shorter[1 : len(runs) + 1][inside]))
-                    shorter = runs
-                size += depth * (len(starts) + j - i)  # and each with three hashes
-                if 2 * size >= FLUSH:
-                    yield from (counted(h, n) for n, h in enumerate(held, 2))
-                    held, size = [[] for _ in range(depth)], 0
-        if size:
-            yield from (counted(h, n) for n, h in enumerate(held, 2))
+                *_, (shorter, _, _), (_, inside, _) = hashed_runs(hasher.words(data, starts, ends), doc, j - i, level)
+                known = mapped(bits.value, shorter)
+                inside = inside & known[:-1] & known[1:]
+                held.append((shorter[:-1][inside], shorter[1:][inside]))
+                if sum(len(x) for x, _ in held) >= FLUSH // 2:  # each has two hashes
+                    yield counted(held)
+                    held = []
+        if held:
+            yield counted(held)
 
     return rows
 
 
+def with_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches ``context, suffix, n`` with the hash of the run they make."""
+    for batch in batches:
+        context, suffix = (np.asarray(batch.column(c)).view(np.uint64) for c in ("context", "suffix"))
+        yield pa.RecordBatch.from_arrays([pa.array(joined(context, suffix).view(np.int64)), *batch.columns], names=["run", *batch.schema.names])
+
+
 def run_weights(docs: DataFrame, counts: DataFrame, tree: Tree, depth: int) -> DataFrame:
     """``run, weight``: what each run of tokens adds to log10 of a text's base probability, by the same rules as ``Tree.add``, for trees of any size.
 
     A token in a context that stayed has the context's own probability of it, or else what it leaves to its suffix. So a run adds
     what its context leaves wherever it is such a context, and the rest of its last token's gain where it was learned. Those sums
     over all runs of a text are its score; a level takes joins with the one before, none of which sends a table to one task.
+
+    A run that was learned twice has a context and a suffix that were, so a level sends only runs of those, as far as a map can
+    tell. What a step leaves behind, tables and shuffles, goes before the next one.
     """
-    runs = docs.select("text").mapInArrow(count_long_runs(depth), "level int, run long, context long, suffix long, n long")
-    runs = materialize(runs.groupBy("level", "run").agg(F.sum("n").alias("n"), F.first("context").alias("context"), F.first("suffix").alias("suffix")).filter(F.col("n") >= LEAST), "lm-runs")
-    before = counts.filter(F.col("n") >= LEAST).select(F.col("word").alias("run"), "n", ((F.col("n") + 1) / F.lit(float(tree.n_tokens + tree.n_distinct + 1))).alias("p"))
+    share, learned = docs.sparkSession.sparkContext.broadcast, F.col("n") >= LEAST
+    before = counts.filter(learned).select(F.col("word").alias("run"), "n", ((F.col("n") + 1) / F.lit(float(tree.n_tokens + tree.n_distinct + 1))).alias("p"), F.lit(None).cast("double").alias("weight"))
     parts = []
     for level in range(2, depth + 2):
-        mine = runs.filter(F.col("level") == level).drop("level")
-        mine = mine.join(before.select(F.col("run").alias("suffix"), F.col("p").alias("shorter")), "suffix").join(before.select(F.col("run").alias("context"), F.col("n").alias("total")), "context")
+        bits = share(map_of(before))
+        runs = docs.select("text").mapInArrow(count_long_runs(level, bits), "context long, suffix long, n long").groupBy("context", "suffix").agg(F.sum("n").alias("n"))
+        runs = materialize(runs.filter(learned).mapInArrow(with_runs, "run long, context long, suffix long, n long"), "lm-runs")
+        bits.destroy()
+        mine = runs.join(before.select(F.col("run").alias("suffix"), F.col("p").alias("shorter")), "suffix").join(before.select(F.col("run").alias("context"), F.col("n").alias("total")), "context")
         mine = materialize(mine.select("run", "context", "n", "shorter", "total"), "lm-level")
+        discard(runs)
         seen = F.col("n") / F.col("total")
         sums = mine.groupBy("context").agg(
             F.first("total").alias("total"), F.count(F.lit(1)).alias("kinds"), (1 - F.sum(seen)).alias("rest"), (1 - F.sum("shorter")).alias("rest_shorter"),
@@ -255,14 +279,21 @@ def run_weights(docs: DataFrame, counts: DataFrame, tree: Tree, depth: int) -> D
         )
         of_rest = F.when(F.col("rest") >= 1e-12, F.col("rest") * F.log(F.col("rest") / F.greatest("rest_shorter", F.lit(1e-300)))).otherwise(0.0)
         stayed = sums.filter(F.col("total") * (F.col("gain") + of_rest) > 0.5 * F.col("kinds") * F.log(F.col("total").cast("double"))).select("context", "left")
+        stayed = materialize(stayed, "lm-stayed")
         own = (F.col("n") - DISCOUNT) / F.col("total") + F.col("left") * F.col("shorter")
         placed = mine.join(stayed, "context", "left").select("run", "n", F.coalesce(own, "shorter").alias("p"), (F.log10(own) - F.log10("shorter") - F.log10("left")).alias("weight"))
-        before = materialize(placed, "lm-placed")
-        parts += [before.filter("weight is not null").select("run", "weight"), stayed.select(F.col("context").alias("run"), F.log10("left").alias("weight"))]
+        placed = materialize(placed, "lm-placed")
+        discard(mine)
+        weights = before.filter("weight is not null").select("run", "weight").unionByName(stayed.select(F.col("context").alias("run"), F.log10("left").alias("weight")))
+        parts.append(materialize(weights.groupBy("run").agg(F.sum("weight").alias("weight")), "lm-weights"))
+        discard(*([stayed, before] if level > 2 else [stayed]))
+        before = placed
+    parts.append(materialize(before.filter("weight is not null").select("run", "weight"), "lm-weights"))
+    discard(before)
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return materialize(every.groupBy("run").agg(F.sum("weight").alias("weight")), "lm-weights")
+    return every
 
 
 def map_of(weights: DataFrame) -> np.ndarray:
@@ -316,7 +347,8 @@ def fit(docs: DataFrame, depth: int = DEPTH, share: float | None = None) -> Mode
         else:
             return Model(tree, counts.filter(~common))
     tree, common = words(SHARE * n_tokens)
-    return Model(tree, counts.filter(~common), run_weights(docs, counts, tree, depth), depth + 1)
+    with shuffles_once(spark):
+        return Model(tree, counts.filter(~common), run_weights(docs, counts, tree, depth), depth + 1)
 
 
 def _counted_by_text(hashes: np.ndarray, doc: np.ndarray, n_texts: int) -> tuple[pa.Array, pa.Array]:
@@ -352,9 +384,8 @@ def score_rows(tree, bits=None, longest: int = 0) -> Callable:
                 scores = known.log_probabilities(ids, begins) if end >= 0 else base_of
                 rare = ids[np.arange(len(words)) + doc] < 0
                 runs, of = [], []
-                for hashes, inside, text in hashed_runs(hasher, words, doc, j - i, longest):
-                    at = (hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-                    inside &= (bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                for hashes, inside, text in hashed_runs(words, doc, j - i, longest):
+                    inside &= mapped(bits.value, hashes)
                     runs.append(hashes[inside]), of.append(text[inside])
                 runs, of = (np.concatenate(runs), np.concatenate(of)) if runs else (words[:0], doc[:0])
                 columns = [
@@ -377,14 +408,31 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     log10((c + 1) / (N + V + 1)) with the token's count c, all N and distinct V in what was learned. ``score`` is the tree's log10
     probability of the tokens, which sums to 1 over all next tokens in every context. Words are told apart by 64 bits of hash.
     """
-    tree, carried = model.tree, [c for c in docs.columns if c.lower() != "text"]
-    rest = [c for c in carried if c.lower() not in RESULTS]
+    share = docs.sparkSession.sparkContext.broadcast
+    tree = share(model.tree)
+    if model.weights is None:
+        return _totals(docs, _texts(docs, model, tree), model)
+    bits, every = share(map_of(model.weights)), None
+    with shuffles_once(docs.sparkSession):
+        for k in range(PARTS):
+            held = _texts(docs.filter(F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(PARTS)) == k), model, tree, bits)
+            part = materialize(_totals(docs, held, model), "lm-totals")
+            discard(held)
+            every = part if every is None else every.unionByName(part)
+    return every
+
+
+def _texts(docs: DataFrame, model: Model, tree, bits=None) -> DataFrame:
+    """What the tree's part that is broadcast knows of each text, and what is left to joins; written once."""
+    rest = [c for c in docs.columns if c.lower() not in ("text", *RESULTS)]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(1).alias(private(docs, "one"))).alias("kept"), F.col("text").cast("string").alias("text"))
     kind = rows.schema["kept"].dataType.simpleString()
     schema = f"row long, kept {kind}, n_tokens long, n_known long, base double, score double, words array<long>, times array<long>, runs array<long>, run_times array<long>"
-    share = docs.sparkSession.sparkContext.broadcast
-    bits = None if model.weights is None else share(map_of(model.weights))
-    held = materialize(rows.mapInArrow(score_rows(share(tree), bits, model.longest), schema), "lm-scores")
+    return materialize(rows.mapInArrow(score_rows(tree, bits, model.longest), schema), "lm-scores")
+
+
+def _totals(docs: DataFrame, held: DataFrame, model: Model) -> DataFrame:
+    tree, rest = model.tree, [c for c in docs.columns if c.lower() not in ("text", *RESULTS)]
     each = held.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     of_rare = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(tree.n_tokens + tree.n_distinct + 1)))
     sums = each.join(model.rare, "word", "left").groupBy("row").agg(F.sum(F.col("times") * of_rare).alias("rare"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("seen"))
