@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ HELD = 1 << 20
 #: Bits of the broadcast map that leaves out of that join most runs the tree lacks; those it lets through have no partner there.
 MAP_BITS = 27
 #: Parts of the texts, by their hash, that are scored one after another where levels are tables: what a join with the runs of all texts shuffles is never on disk at once.
-PARTS = 8
+PARTS = 6
 #: Tokens whose counts a task holds before it sends them on.
 FLUSH = 1 << 22
 
@@ -218,13 +219,86 @@ def mapped(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def count_long_runs(level: int, bits) -> Callable:
-    """Batches ``text`` to ``context, suffix, n``: runs of ``level`` tokens by the hashes of all but their last and of all but their first, where the map has both."""
+def buckets_for(df: DataFrame) -> int:
+    """Buckets over which arrays of runs are dealt: a few a task, so that a task holds a part of its share at once."""
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(buckets: int, hashes: np.ndarray, /, **columns: np.ndarray) -> pa.RecordBatch:
+    """A row a bucket that has any of the hashes: its share of each column, as bytes, in the order given."""
+    bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    found, first = np.unique(bucket[order], return_index=True)
+    ends = np.append(first, len(order))[1:]
+    shares = [pa.array([x[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()) for x in (c[order] for c in columns.values())]
+    return pa.RecordBatch.from_arrays([pa.array(found), *shares], names=["bucket", *columns])
+
+
+def gathered(table: pa.Table, **kinds) -> list[np.ndarray]:
+    """The columns of a bucket, its shares put together."""
+    return [np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in kinds.items()]
+
+
+def merged_runs(bucket: pa.Table) -> pa.Table:
+    """The runs of a bucket that were learned ``LEAST`` times."""
+    context, suffix, n = gathered(bucket, context=np.uint64, suffix=np.uint64, n=np.int32)
+    runs, at, of = np.unique(joined(context, suffix), return_index=True, return_inverse=True)
+    total = np.bincount(of, n, len(runs)).astype(np.int64)
+    kept = total >= LEAST
+    return pa.table({"run": runs[kept].view(np.int64), "context": context[at[kept]].view(np.int64), "suffix": suffix[at[kept]].view(np.int64), "n": total[kept]})
+
+
+def dealt_lookups(buckets: int) -> Callable:
+    """Batches ``row, runs, run_times`` to what each bucket has to look up."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                row, runs, times = batch.slice(i, 1000).columns
+                n = pa.compute.list_value_length(runs).to_numpy()
+                yield dealt(buckets, hashes := runs.flatten().to_numpy().view(np.uint64), rows=np.repeat(row.to_numpy(), n), runs=hashes, times=times.flatten().to_numpy().astype(np.int32))
+
+    return rows
+
+
+def dealt_weights(buckets: int) -> Callable:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= FLUSH // 4:
+                yield from several(held)
+                held, size = [], 0
+        if size:
+            yield from several(held)
+
+    def several(held: list) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        runs = table["run"].to_numpy().view(np.uint64)
+        yield dealt(buckets, runs, runs=runs, weights=table["weight"].to_numpy())
+
+    return rows
+
+
+def looked_up(lookups: pa.Table, weights: pa.Table) -> pa.Table:
+    """A bucket's part of what each text gains."""
+    rows, runs, times = gathered(lookups, rows=np.int64, runs=np.uint64, times=np.int32)
+    keys, gains = gathered(weights, runs=np.uint64, weights=np.float64)
+    order = np.argsort(keys)
+    at = places(keys[order], runs)
+    found = at >= 0
+    of, place = np.unique(rows[found], return_inverse=True)
+    return pa.table({"row": of, "gained": np.bincount(place, times[found] * gains[order][at[found]], len(of)).astype(float)})
+
+
+def count_long_runs(level: int, bits, buckets: int) -> Callable:
+    """Batches ``text`` to ``context, suffix, n`` by bucket: runs of ``level`` tokens by the hashes of all but their last and of all but their first, where the map has both."""
 
     def counted(held: list) -> pa.RecordBatch:
         context, suffix = (np.concatenate(x) for x in zip(*held, strict=True))
-        _, at, n = np.unique(joined(context, suffix), return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([*(pa.array(x[at].view(np.int64)) for x in (context, suffix)), pa.array(n)], names=["context", "suffix", "n"])
+        runs, at, n = np.unique(joined(context, suffix), return_index=True, return_counts=True)
+        return dealt(buckets, runs, context=context[at], suffix=suffix[at], n=n.astype(np.int32))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held = Hasher(_SEED), []
@@ -235,7 +309,7 @@ def count_long_runs(level: int, bits) -> Callable:
                 known = mapped(bits.value, shorter)
                 inside = inside & known[:-1] & known[1:]
                 held.append((shorter[:-1][inside], shorter[1:][inside]))
-                if sum(len(x) for x, _ in held) >= FLUSH // 2:  # each has two hashes
+                if sum(len(x) for x, _ in held) >= FLUSH // 4:  # each has two hashes, and is sorted
                     yield counted(held)
                     held = []
         if held:
@@ -244,19 +318,13 @@ def count_long_runs(level: int, bits) -> Callable:
     return rows
 
 
-def with_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches ``context, suffix, n`` with the hash of the run they make."""
-    for batch in batches:
-        context, suffix = (np.asarray(batch.column(c)).view(np.uint64) for c in ("context", "suffix"))
-        yield pa.RecordBatch.from_arrays([pa.array(joined(context, suffix).view(np.int64)), *batch.columns], names=["run", *batch.schema.names])
-
-
 def run_weights(docs: DataFrame, counts: DataFrame, tree: Tree, depth: int) -> DataFrame:
     """``run, weight``: what each run of tokens adds to log10 of a text's base probability, by the same rules as ``Tree.add``, for trees of any size.
 
     A token in a context that stayed has the context's own probability of it, or else what it leaves to its suffix. So a run adds
     what its context leaves wherever it is such a context, and the rest of its last token's gain where it was learned. Those sums
-    over all runs of a text are its score; a level takes joins with the one before, none of which sends a table to one task.
+    over all runs of a text are its score; a level takes joins with the one before, none of which sends a table to one task. Runs
+    are counted as arrays, by bucket.
 
     A run that was learned twice has a context and a suffix that were, so a level sends only runs of those, as far as a map can
     tell. What a step leaves behind, tables and shuffles, goes before the next one.
@@ -266,8 +334,8 @@ def run_weights(docs: DataFrame, counts: DataFrame, tree: Tree, depth: int) -> D
     parts = []
     for level in range(2, depth + 2):
         bits = share(map_of(before))
-        runs = docs.select("text").mapInArrow(count_long_runs(level, bits), "context long, suffix long, n long").groupBy("context", "suffix").agg(F.sum("n").alias("n"))
-        runs = materialize(runs.filter(learned).mapInArrow(with_runs, "run long, context long, suffix long, n long"), "lm-runs")
+        runs = docs.select("text").mapInArrow(count_long_runs(level, bits, buckets_for(docs)), "bucket int, context binary, suffix binary, n binary").groupBy("bucket")
+        runs = materialize(runs.applyInArrow(merged_runs, "run long, context long, suffix long, n long"), "lm-runs")
         bits.destroy()
         mine = runs.join(before.select(F.col("run").alias("suffix"), F.col("p").alias("shorter")), "suffix").join(before.select(F.col("run").alias("context"), F.col("n").alias("total")), "context")
         mine = materialize(mine.select("run", "context", "n", "shorter", "total"), "lm-level")
@@ -438,8 +506,11 @@ def _totals(docs: DataFrame, held: DataFrame, model: Model) -> DataFrame:
     sums = each.join(model.rare, "word", "left").groupBy("row").agg(F.sum(F.col("times") * of_rare).alias("rare"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("seen"))
     total = held.drop("words", "times", "runs", "run_times").join(sums, "row", "left").withColumn("gained", F.lit(0.0))
     if model.weights is not None:
-        of_text = held.select("row", F.explode(F.arrays_zip("runs", "run_times")).alias("w")).select("row", F.col("w.runs").alias("run"), F.col("w.run_times").alias("times"))
-        total = total.drop("gained").join(of_text.join(model.weights, "run").groupBy("row").agg(F.sum(F.col("times") * F.col("weight")).alias("gained")), "row", "left")
+        n = buckets_for(docs)
+        lookups = held.select("row", "runs", "run_times").mapInArrow(dealt_lookups(n), "bucket int, rows binary, runs binary, times binary").groupBy("bucket")
+        weights = model.weights.mapInArrow(dealt_weights(n), "bucket int, runs binary, weights binary").groupBy("bucket")
+        gained = lookups.cogroup(weights).applyInArrow(looked_up, "row long, gained double").groupBy("row").agg(F.sum("gained").alias("gained"))
+        total = total.drop("gained").join(gained, "row", "left")
     rare = F.coalesce("rare", F.lit(0.0))
     made = [F.col("n_tokens"), (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(tree.n_tokens).cast("long").alias("train_tokens"), (F.col("base") + rare).alias("base_score"), (F.col("score") + rare + F.coalesce("gained", F.lit(0.0))).alias("score")]
     return total.select(*(F.col("kept").getField(c).alias(c) for c in rest), *made)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from profilewright import scratch
 from profilewright.llm import elkan, suffix_tree, whitening
 from profilewright.llm.textops import Hasher, find_words
 from tests.llm.test_texts import corpus, docs_of
@@ -113,6 +115,21 @@ def test_whole_trees_are_scored_however_large_they_are(spark, monkeypatch, most)
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
 
 
+def test_what_a_step_of_a_large_tree_leaves_on_disk_goes(spark, monkeypatch):
+    """Counted runs and levels are deleted when the next step has them; words and weights stay, and so do settings of the session."""
+    monkeypatch.setattr(suffix_tree, "HELD", 10)
+    own = scratch.own_dir(spark).removeprefix("file:")
+    there = lambda: {x.rsplit("-", 1)[0] for x in set(os.listdir(own)) - old}
+    scratch.materialize(spark.range(1), "lm-other")
+    old = set(os.listdir(own))
+    docs = docs_of(spark, [(i, t) for i, t in enumerate(TEXTS)])
+    model = suffix_tree.fit(docs)
+    assert there() - {"lm-ids"} == {"lm-words", "lm-weights"} and model.weights.count()
+    assert suffix_tree.score(docs, model).count() == len(TEXTS)
+    assert there() - {"lm-ids"} == {"lm-words", "lm-weights", "lm-totals"}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+
+
 def test_probabilities_of_all_next_tokens_sum_to_one(spark):
     texts = [r[1] for r in corpus(3)] + ["sea shells by the sea shore"] * 9
     tree = suffix_tree.fit(docs_of(spark, list(enumerate(texts)))).tree
