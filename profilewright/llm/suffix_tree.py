@@ -6,7 +6,8 @@ suffix's by absolute discounting, down to the counts of single tokens. A token i
 
 Counts cover every learned text, and every context with a next token that was learned twice is in the tree. While no level has more
 than ``HELD`` rows, the tree is collected and broadcast. Above, levels are tables: the tree's score of a text is a sum of weights of
-its runs of tokens (``run_weights``), which a join finds. Words that are not broadcast are scored from their exact counts by a join.
+its runs of tokens (``run_weights``), which are looked up by bucket of the runs' hashes. So are the exact counts of words that are not
+broadcast; only for a tree that is broadcast whole a join of rows finds those.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import discard, materialize, shuffles_once
 from .common import private, table
-from .textops import Hasher, find_words, mixed, text_slices
+from .textops import Hasher, find_words, first_of_runs, mixed, text_slices
 
 #: Words of the longest context.
 DEPTH = 3
@@ -32,10 +33,12 @@ SHARE, LEAST = 2.0**-20, 2
 DISCOUNT = 0.6
 #: Rows of a level that are broadcast at most. A tree with more has its runs in tables, and is scored by a join.
 HELD = 1 << 20
-#: Bits of the broadcast map that leaves out of that join most runs the tree lacks; those it lets through have no partner there.
+#: Bits of the broadcast map that leaves out of those lookups most runs the tree lacks; those it lets through are not found there.
 MAP_BITS = 27
-#: Parts of the texts, by their hash, that are scored one after another where levels are tables: what a join with the runs of all texts shuffles is never on disk at once.
-PARTS = 6
+#: Pieces of that map, by the first bits of a hash, that are put together apart.
+MAP_PIECES = 256
+#: Parts of the texts, by their hash, that are scored one after another where levels are tables: the lookups of all texts are never on disk at once.
+PARTS = 5
 #: Tokens whose counts a task holds before it sends them on.
 FLUSH = 1 << 22
 
@@ -60,6 +63,20 @@ def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return at
 
 
+def decided(prefix: np.ndarray, counts: np.ndarray, total: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which contexts stay, what each leaves to its suffix, and the probabilities of the runs that stayed contexts give their last tokens. ``prefix`` has each run's place among the contexts, ``total`` their counts, ``shorter`` the last token's probability in the suffix."""
+    n = len(total)
+    seen = counts / total[prefix]
+    sums = lambda x: np.bincount(prefix, x, n)
+    rest, rest_shorter = 1 - sums(seen), 1 - sums(shorter)
+    rest[rest < 1e-12] = 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        divergence = sums(seen * np.log(seen / shorter)) + np.where(rest > 0, rest * np.log(rest / np.maximum(rest_shorter, 1e-300)), 0)
+        stays = (kinds := np.bincount(prefix, minlength=n)).astype(bool) & (total * divergence > 0.5 * kinds * np.log(total))
+        left = 1 - sums((counts - DISCOUNT) / total[prefix])
+    return stays, left, np.where(stays[prefix], (counts - DISCOUNT) / total[prefix] + left[prefix] * shorter, shorter)
+
+
 @dataclass
 class Level:
     """Runs of n tokens, by the place of their first n - 1 in the level before and their last token. ``p`` is the last one's probability in the longest suffix of the others that stayed."""
@@ -94,17 +111,9 @@ class Tree:
             above = self.levels[-1]
             prefix, last = new.keys >> _BITS, new.keys & ((1 << _BITS) - 1)
             new.suffix = last if len(self.levels) == 1 else places(above.keys, above.suffix[prefix] << _BITS | last)
-            shorter, total, n = above.p[new.suffix], above.counts.astype(float), len(above.keys)
-            seen = new.counts / total[prefix]
-            sums = lambda x: np.bincount(prefix, x, n)
-            rest, rest_shorter = 1 - sums(seen), 1 - sums(shorter)
-            rest[rest < 1e-12] = 0
+            above.stays, left, new.p = decided(prefix, new.counts, above.counts.astype(float), above.p[new.suffix])
             with np.errstate(divide="ignore", invalid="ignore"):
-                divergence = sums(seen * np.log(seen / shorter)) + np.where(rest > 0, rest * np.log(rest / np.maximum(rest_shorter, 1e-300)), 0)
-                above.stays = (kinds := np.bincount(prefix, minlength=n)).astype(bool) & (total * divergence > 0.5 * kinds * np.log(total))
-                left = 1 - sums((new.counts - DISCOUNT) / total[prefix])
                 above.left = np.where(above.stays, np.log10(left), 0.0)
-            new.p = np.where(above.stays[prefix], (new.counts - DISCOUNT) / total[prefix] + left[prefix] * shorter, shorter)
         new.stays, new.left = np.zeros(len(keys), bool), np.zeros(len(keys))
         self.levels.append(new)
 
@@ -226,12 +235,20 @@ def buckets_for(df: DataFrame) -> int:
 
 def dealt(buckets: int, hashes: np.ndarray, /, **columns: np.ndarray) -> pa.RecordBatch:
     """A row a bucket that has any of the hashes: its share of each column, as bytes, in the order given."""
-    bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int32)  # 16 bits are sorted by their digits
     order = np.argsort(bucket, kind="stable")
-    found, first = np.unique(bucket[order], return_index=True)
+    bucket = bucket[order]
+    first = np.flatnonzero(first_of_runs(bucket))
     ends = np.append(first, len(order))[1:]
     shares = [pa.array([x[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()) for x in (c[order] for c in columns.values())]
-    return pa.RecordBatch.from_arrays([pa.array(found), *shares], names=["bucket", *columns])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), *shares], names=["bucket", *columns])
+
+
+def of_kind(kind: int, batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    """The batch with a column ``kind``, and nulls in what else the schema has."""
+    n = batch.num_rows
+    have = {c: batch.column(c) for c in batch.schema.names} | {"kind": pa.array(np.full(n, kind, np.int32))}
+    return pa.RecordBatch.from_arrays([have[f.name] if f.name in have else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
 def gathered(table: pa.Table, **kinds) -> list[np.ndarray]:
@@ -239,57 +256,120 @@ def gathered(table: pa.Table, **kinds) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in kinds.items()]
 
 
-def merged_runs(bucket: pa.Table) -> pa.Table:
-    """The runs of a bucket that were learned ``LEAST`` times."""
-    context, suffix, n = gathered(bucket, context=np.uint64, suffix=np.uint64, n=np.int32)
-    runs, at, of = np.unique(joined(context, suffix), return_index=True, return_inverse=True)
-    total = np.bincount(of, n, len(runs)).astype(np.int64)
-    kept = total >= LEAST
-    return pa.table({"run": runs[kept].view(np.int64), "context": context[at[kept]].view(np.int64), "suffix": suffix[at[kept]].view(np.int64), "n": total[kept]})
+def merged_runs(buckets: int) -> Callable:
+    """The runs of a bucket that were learned ``LEAST`` times, dealt by their suffixes."""
+
+    def merged(bucket: pa.Table) -> pa.Table:
+        context, suffix, n = gathered(bucket, context=np.uint64, suffix=np.uint64, n=np.int32)
+        order = np.argsort(runs := joined(context, suffix))
+        first = np.flatnonzero(first_of_runs(runs[order]))
+        total = np.add.reduceat(n[order], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+        at = order[first[total >= LEAST]]
+        return pa.Table.from_batches([dealt(buckets, suffix[at], context=context[at], suffix=suffix[at], n=total[total >= LEAST])])
+
+    return merged
+
 
+def with_shorter(buckets: int) -> Callable:
+    """A bucket's runs with the probability that their suffixes give their last tokens, dealt by their contexts; those whose suffix was not learned ``LEAST`` times go."""
 
-def dealt_lookups(buckets: int) -> Callable:
-    """Batches ``row, runs, run_times`` to what each bucket has to look up."""
+    def found(runs: pa.Table, before: pa.Table) -> pa.Table:
+        context, suffix, n = gathered(runs, context=np.uint64, suffix=np.uint64, n=np.int64)
+        keys, p = gathered(before, run=np.uint64, p=np.float64)
+        order = np.argsort(keys)
+        at = places(keys[order], suffix)
+        ok = at >= 0
+        context, suffix = context[ok], suffix[ok]
+        return pa.Table.from_batches([dealt(buckets, context, context=context, run=joined(context, suffix), n=n[ok], p=p[order][at[ok]])])
+
+    return found
+
+
+#: Kinds of rows: runs of a level with counts and probabilities; weights of runs; counts of words that are not broadcast. Lookups of texts have those of what they look up.
+RUNS, WEIGHTS, WORDS = range(3)
+_LEVEL = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("run", pa.binary()), ("n", pa.binary()), ("p", pa.binary())])
+_LEVEL_SQL = "kind int, bucket int, run binary, n binary, p binary"
+
+
+def placed_runs(buckets: int) -> Callable:
+    """A bucket's contexts decided by their runs: the runs of the new level, and weights of them and of the contexts, each dealt by its hash."""
+
+    def placed(runs: pa.Table, before: pa.Table) -> pa.Table:
+        context, run, n, shorter = gathered(runs, context=np.uint64, run=np.uint64, n=np.int64, p=np.float64)
+        keys, totals = gathered(before, run=np.uint64, n=np.int64)
+        order = np.argsort(keys)
+        at = places(keys[order], context)
+        ok = at >= 0
+        prefix, run, n, shorter = at[ok], run[ok], n[ok], shorter[ok]
+        stays, left, p = decided(prefix, n, totals[order].astype(float), shorter)
+        under = stays[prefix]
+        gains = np.log10(p[under]) - np.log10(shorter[under]) - np.log10(left[prefix[under]])
+        weighed, gains = np.concatenate([run[under], keys[order][stays]]), np.concatenate([gains, np.log10(left[stays])])
+        return pa.Table.from_batches([of_kind(RUNS, dealt(buckets, run, run=run, n=n, p=p), _LEVEL), of_kind(WEIGHTS, dealt(buckets, weighed, run=weighed, p=gains), _LEVEL)])
+
+    return placed
+
+
+def dealt_words(buckets: int, tree: Tree, kind: int) -> Callable:
+    """Batches ``word, n`` to the first level's runs, or to words that are looked up."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = Tree(tree.n_tokens, tree.n_distinct).base
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                row, runs, times = batch.slice(i, 1000).columns
-                n = pa.compute.list_value_length(runs).to_numpy()
-                yield dealt(buckets, hashes := runs.flatten().to_numpy().view(np.uint64), rows=np.repeat(row.to_numpy(), n), runs=hashes, times=times.flatten().to_numpy().astype(np.int32))
+            run, n = batch.column("word").to_numpy().view(np.uint64), batch.column("n").to_numpy()
+            yield of_kind(kind, dealt(buckets, run, run=run, **({"n": n, "p": base(n)} if kind == RUNS else {"p": np.log10(n + 1.0)})), _LEVEL)
 
     return rows
 
 
-def dealt_weights(buckets: int) -> Callable:
+def merged_weights(bucket: pa.Table) -> pa.Table:
+    """A bucket's weights of each kind in one row, by ascending hash; those of a run are added up."""
+    parts = []
+    for kind in (WEIGHTS, WORDS):
+        runs, weights = gathered(bucket.filter(pa.compute.equal(bucket["kind"], kind)), run=np.uint64, p=np.float64)
+        keys, of = np.unique(runs, return_inverse=True)
+        one = pa.RecordBatch.from_pydict({"bucket": bucket["bucket"][:1].combine_chunks(), "run": pa.array([keys.tobytes()], pa.binary()), "p": pa.array([np.bincount(of, weights, len(keys)).astype(float).tobytes()], pa.binary())})
+        parts += [of_kind(kind, one, _LEVEL)] if len(keys) else []
+    return pa.Table.from_batches(parts, _LEVEL)
+
+
+def weights_of(vocabulary) -> Callable:
+    """Batches of weights to ``word, weight``: of words that are broadcast."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= FLUSH // 4:
-                yield from several(held)
-                held, size = [], 0
-        if size:
-            yield from several(held)
-
-    def several(held: list) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held)
-        runs = table["run"].to_numpy().view(np.uint64)
-        yield dealt(buckets, runs, runs=runs, weights=table["weight"].to_numpy())
+            for run, p in zip(batch.column("run").to_pylist(), batch.column("p").to_pylist(), strict=True):
+                keys, p = np.frombuffer(run, np.uint64), np.frombuffer(p, np.float64)
+                ok = places(vocabulary.value, keys) >= 0
+                yield pa.RecordBatch.from_arrays([pa.array(keys[ok].view(np.int64)), pa.array(p[ok])], names=["word", "weight"])
 
     return rows
 
 
-def looked_up(lookups: pa.Table, weights: pa.Table) -> pa.Table:
-    """A bucket's part of what each text gains."""
-    rows, runs, times = gathered(lookups, rows=np.int64, runs=np.uint64, times=np.int32)
-    keys, gains = gathered(weights, runs=np.uint64, weights=np.float64)
-    order = np.argsort(keys)
-    at = places(keys[order], runs)
-    found = at >= 0
-    of, place = np.unique(rows[found], return_inverse=True)
-    return pa.table({"row": of, "gained": np.bincount(place, times[found] * gains[order][at[found]], len(of)).astype(float)})
+def looked_up(buckets: int) -> Callable:
+    """A bucket's part of what each text gains by its runs, and by its words below the share, and how many of those were learned; dealt by texts."""
+
+    def found(lookups: pa.Table, tables: pa.Table) -> pa.Table:
+        rows, gains, words = [], [], []
+        for kind in (WEIGHTS, WORDS):
+            row, run = gathered(lookups.filter(pa.compute.equal(lookups["kind"], kind)), rows=np.int64, runs=np.uint64)
+            keys, p = gathered(tables.filter(pa.compute.equal(tables["kind"], kind)), run=np.uint64, p=np.float64)
+            at = places(keys, run)
+            ok = at >= 0
+            rows.append(row[ok]), gains.append(p[at[ok]]), words.append(np.full(int(ok.sum()), float(kind == WORDS)))
+        rows, gains, words = (np.concatenate(x) for x in (rows, gains, words))
+        of, place = np.unique(rows, return_inverse=True)
+        sums = lambda x: np.bincount(place, x, len(of)).astype(float)
+        return pa.Table.from_batches([dealt(buckets, mixed(of.view(np.uint64)), row=of, gained=sums(gains * (1 - words)), rare=sums(gains * words), seen=sums(words))])
+
+    return found
+
+
+def summed_gains(bucket: pa.Table) -> pa.Table:
+    rows, *parts = gathered(bucket, row=np.int64, gained=np.float64, rare=np.float64, seen=np.float64)
+    of, place = np.unique(rows, return_inverse=True)
+    gained, rare, seen = (np.bincount(place, x, len(of)) for x in parts)
+    return pa.table({"row": of, "gained": gained.astype(float), "rare": rare.astype(float), "seen": seen.astype(np.int64)})
 
 
 def count_long_runs(level: int, bits, buckets: int) -> Callable:
@@ -318,59 +398,71 @@ def count_long_runs(level: int, bits, buckets: int) -> Callable:
     return rows
 
 
-def run_weights(docs: DataFrame, counts: DataFrame, tree: Tree, depth: int) -> DataFrame:
-    """``run, weight``: what each run of tokens adds to log10 of a text's base probability, by the same rules as ``Tree.add``, for trees of any size.
+def run_weights(docs: DataFrame, counts: DataFrame, common: Column, tree: Tree, depth: int) -> DataFrame:
+    """Arrays ``run, p`` by ``kind, bucket``: what each run of tokens adds to log10 of a text's base probability, by the same rules as ``Tree.add``, for trees of any size; and of words that are not ``common`` log10 of their count and one.
 
     A token in a context that stayed has the context's own probability of it, or else what it leaves to its suffix. So a run adds
     what its context leaves wherever it is such a context, and the rest of its last token's gain where it was learned. Those sums
-    over all runs of a text are its score; a level takes joins with the one before, none of which sends a table to one task. Runs
-    are counted as arrays, by bucket.
+    over all runs of a text are its score. What single words of the tree add is in its first level's ``left``.
+
+    Runs go as arrays, by bucket: of their hash to be counted, of their suffix's for what that gives their last token, and of their
+    context's, whose fate they decide together. Only those that were learned twice go on, so a context's have different last tokens.
 
     A run that was learned twice has a context and a suffix that were, so a level sends only runs of those, as far as a map can
     tell. What a step leaves behind, tables and shuffles, goes before the next one.
     """
-    share, learned = docs.sparkSession.sparkContext.broadcast, F.col("n") >= LEAST
-    before = counts.filter(learned).select(F.col("word").alias("run"), "n", ((F.col("n") + 1) / F.lit(float(tree.n_tokens + tree.n_distinct + 1))).alias("p"), F.lit(None).cast("double").alias("weight"))
-    parts = []
+    share, n, by = docs.sparkSession.sparkContext.broadcast, buckets_for(docs), "bucket"
+    before = materialize(counts.filter(F.col("n") >= LEAST).select("word", "n").mapInArrow(dealt_words(n, tree, RUNS), _LEVEL_SQL), "lm-level")
+    parts = [materialize(counts.filter(~common).select("word", "n").mapInArrow(dealt_words(n, tree, WORDS), _LEVEL_SQL), "lm-part")]
     for level in range(2, depth + 2):
         bits = share(map_of(before))
-        runs = docs.select("text").mapInArrow(count_long_runs(level, bits, buckets_for(docs)), "bucket int, context binary, suffix binary, n binary").groupBy("bucket")
-        runs = materialize(runs.applyInArrow(merged_runs, "run long, context long, suffix long, n long"), "lm-runs")
+        runs = docs.select("text").mapInArrow(count_long_runs(level, bits, n), "bucket int, context binary, suffix binary, n binary").groupBy(by)
+        runs = materialize(runs.applyInArrow(merged_runs(n), "bucket int, context binary, suffix binary, n binary"), "lm-runs")
         bits.destroy()
-        mine = runs.join(before.select(F.col("run").alias("suffix"), F.col("p").alias("shorter")), "suffix").join(before.select(F.col("run").alias("context"), F.col("n").alias("total")), "context")
-        mine = materialize(mine.select("run", "context", "n", "shorter", "total"), "lm-level")
+        with_p = runs.groupBy(by).cogroup(before.select(by, "run", "p").groupBy(by)).applyInArrow(with_shorter(n), "bucket int, context binary, run binary, n binary, p binary")
+        with_p = materialize(with_p, "lm-shorter")
         discard(runs)
-        seen = F.col("n") / F.col("total")
-        sums = mine.groupBy("context").agg(
-            F.first("total").alias("total"), F.count(F.lit(1)).alias("kinds"), (1 - F.sum(seen)).alias("rest"), (1 - F.sum("shorter")).alias("rest_shorter"),
-            F.sum(seen * F.log(seen / F.col("shorter"))).alias("gain"), (1 - F.sum((F.col("n") - DISCOUNT) / F.col("total"))).alias("left"),
-        )
-        of_rest = F.when(F.col("rest") >= 1e-12, F.col("rest") * F.log(F.col("rest") / F.greatest("rest_shorter", F.lit(1e-300)))).otherwise(0.0)
-        stayed = sums.filter(F.col("total") * (F.col("gain") + of_rest) > 0.5 * F.col("kinds") * F.log(F.col("total").cast("double"))).select("context", "left")
-        stayed = materialize(stayed, "lm-stayed")
-        own = (F.col("n") - DISCOUNT) / F.col("total") + F.col("left") * F.col("shorter")
-        placed = mine.join(stayed, "context", "left").select("run", "n", F.coalesce(own, "shorter").alias("p"), (F.log10(own) - F.log10("shorter") - F.log10("left")).alias("weight"))
-        placed = materialize(placed, "lm-placed")
-        discard(mine)
-        weights = before.filter("weight is not null").select("run", "weight").unionByName(stayed.select(F.col("context").alias("run"), F.log10("left").alias("weight")))
-        parts.append(materialize(weights.groupBy("run").agg(F.sum("weight").alias("weight")), "lm-weights"))
-        discard(*([stayed, before] if level > 2 else [stayed]))
-        before = placed
-    parts.append(materialize(before.filter("weight is not null").select("run", "weight"), "lm-weights"))
-    discard(before)
+        placed = materialize(with_p.groupBy(by).cogroup(before.select(by, "run", "n").groupBy(by)).applyInArrow(placed_runs(n), _LEVEL_SQL), "lm-placed")
+        discard(with_p, before)
+        parts.append(materialize(placed.filter(F.col("kind") == WEIGHTS), "lm-part"))
+        if level <= depth:
+            before = materialize(placed.filter(F.col("kind") == RUNS), "lm-level")
+        discard(placed)
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return every
+    weights = materialize(every.groupBy(by).applyInArrow(merged_weights, _LEVEL_SQL), "lm-weights")
+    discard(*parts)
+    first = tree.levels[0]
+    found = weights.filter(F.col("kind") == WEIGHTS).mapInArrow(weights_of(share(first.keys)), "word long, weight double").toArrow()
+    first.left[places(first.keys, found["word"].to_numpy().view(np.uint64))] = found["weight"].to_numpy()
+    return weights
+
+
+def places_in_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of arrays ``run`` to ``piece, bits``: which bits of a piece they set."""
+    for batch in batches:
+        runs = np.frombuffer(b"".join(batch.column("run").to_pylist()), np.uint64)
+        at = np.unique(runs >> np.uint64(64 - MAP_BITS)).astype(np.uint32)
+        size = (1 << MAP_BITS) // MAP_PIECES
+        cuts = np.searchsorted(at, np.arange(MAP_PIECES + 1) * size)
+        pieces = np.flatnonzero(np.diff(cuts))
+        yield pa.RecordBatch.from_arrays([pa.array(pieces.astype(np.int32)), pa.array([(at[cuts[k] : cuts[k + 1]] - k * size).astype(np.uint32).tobytes() for k in pieces], pa.binary())], names=["piece", "bits"])
+
+
+def merged_map(piece: pa.Table) -> pa.Table:
+    (at,) = gathered(piece, bits=np.uint32)
+    out = np.zeros((1 << MAP_BITS) // MAP_PIECES, bool)
+    out[at] = True
+    return pa.table({"piece": piece["piece"][:1], "bits": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
 
 
-def map_of(weights: DataFrame) -> np.ndarray:
+def map_of(runs: DataFrame) -> np.ndarray:
     """A bit for the first ``MAP_BITS`` bits of each run's hash: ``2 ** MAP_BITS`` bits, whatever the number of runs."""
-    at = F.shiftrightunsigned("run", 64 - MAP_BITS) + 1
-    found = weights.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toArrow()
-    out = np.zeros((-(-(1 << MAP_BITS) // 32768), 4096), np.uint8)
-    for bucket, bits in zip(found["b"].to_pylist(), found["bits"].to_pylist(), strict=True):
-        out[bucket - 1] = np.frombuffer(bits, np.uint8)
+    found = runs.select("run").mapInArrow(places_in_map, "piece int, bits binary").groupBy("piece").applyInArrow(merged_map, "piece int, bits binary").toArrow()
+    out = np.zeros((MAP_PIECES, (1 << MAP_BITS) // MAP_PIECES // 8), np.uint8)
+    for piece, bits in zip(found["piece"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        out[piece] = np.frombuffer(bits, np.uint8)
     return out.reshape(-1)
 
 
@@ -416,7 +508,7 @@ def fit(docs: DataFrame, depth: int = DEPTH, share: float | None = None) -> Mode
             return Model(tree, counts.filter(~common))
     tree, common = words(SHARE * n_tokens)
     with shuffles_once(spark):
-        return Model(tree, counts.filter(~common), run_weights(docs, counts, tree, depth), depth + 1)
+        return Model(tree, counts.filter(~common), run_weights(docs, counts, common, tree, depth), depth + 1)
 
 
 def _counted_by_text(hashes: np.ndarray, doc: np.ndarray, n_texts: int) -> tuple[pa.Array, pa.Array]:
@@ -430,38 +522,66 @@ def _counted_by_text(hashes: np.ndarray, doc: np.ndarray, n_texts: int) -> tuple
     return tuple(pa.ListArray.from_arrays(lists, pa.array(x)) for x in (hashes[at].view(np.int64), np.diff(np.concatenate([at, [len(order)]]))))
 
 
-def score_rows(tree, bits=None, longest: int = 0) -> Callable:
-    """Batches ``row, text`` to what the tree knows of each text, and its words below the share with how often they stand in it; likewise its runs of up to ``longest`` tokens that the map ``bits`` has."""
+def _scored(known: Tree, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """For slices of batches ``row, kept, text``: columns of what the tree knows of each text, hashes and text numbers of its words, and which words are below the share."""
+    hasher = Hasher(_SEED)
+    vocabulary, base = known.levels[0].keys, np.log10(known.base(known.levels[0].counts))
+    end = int(places(vocabulary, np.zeros(1, np.uint64))[0])
+    for batch in batches:
+        for i, j, data, offsets in text_slices(batch.column("text"), lower=True):
+            starts, ends, doc = find_words(data, offsets)
+            words = hasher.words(data, starts, ends)
+            ids, first = token_ids(words, doc, j - i, vocabulary, end)
+            begins = np.zeros(len(ids), bool)
+            begins[first[:-1]] = True
+            if end < 0:  # nothing was learned
+                base_of = np.full(len(ids), np.log10(known.base(0)))
+                base_of[np.arange(len(words)) + doc] = 0
+            else:
+                base_of = np.where(ids >= 0, base[ids] if len(base) else 0, 0)
+            scores = known.log_probabilities(ids, begins) if end >= 0 else base_of
+            if end >= 0 and len(known.levels) == 1:  # the rest is in tables, but for what single words leave
+                scores = scores + np.where(ids >= 0, known.levels[0].left[ids], 0)
+            of_text = [np.diff(first), *(np.add.reduceat(x, first[:-1]) for x in ((ids >= 0).astype(np.int64), base_of, scores))]
+            yield [batch.column("row").slice(i, j - i), batch.column("kept").slice(i, j - i), *map(pa.array, of_text)], words, doc, ids[np.arange(len(words)) + doc] < 0
+
+
+_OF_TEXT = ["row", "kept", "n_tokens", "n_known", "base", "score"]
+
+
+def score_rows(tree) -> Callable:
+    """Batches ``row, kept, text`` to what the tree knows of each text, and its words below the share with how often they stand in it."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, known = Hasher(_SEED), tree.value
-        vocabulary, base = known.levels[0].keys, np.log10(known.base(known.levels[0].counts))
-        end = int(places(vocabulary, np.zeros(1, np.uint64))[0])
-        for batch in batches:
-            for i, j, data, offsets in text_slices(batch.column("text"), lower=True):
-                starts, ends, doc = find_words(data, offsets)
-                words = hasher.words(data, starts, ends)
-                ids, first = token_ids(words, doc, j - i, vocabulary, end)
-                begins = np.zeros(len(ids), bool)
-                begins[first[:-1]] = True
-                if end < 0:  # nothing was learned
-                    base_of = np.full(len(ids), np.log10(known.base(0)))
-                    base_of[np.arange(len(words)) + doc] = 0
-                else:
-                    base_of = np.where(ids >= 0, base[ids] if len(base) else 0, 0)
-                scores = known.log_probabilities(ids, begins) if end >= 0 else base_of
-                rare = ids[np.arange(len(words)) + doc] < 0
-                runs, of = [], []
-                for hashes, inside, text in hashed_runs(words, doc, j - i, longest):
-                    inside &= mapped(bits.value, hashes)
-                    runs.append(hashes[inside]), of.append(text[inside])
-                runs, of = (np.concatenate(runs), np.concatenate(of)) if runs else (words[:0], doc[:0])
-                columns = [
-                    batch.column("row").slice(i, j - i), batch.column("kept").slice(i, j - i), pa.array(np.diff(first)), pa.array(np.add.reduceat((ids >= 0).astype(np.int64), first[:-1])),
-                    pa.array(np.add.reduceat(base_of, first[:-1])), pa.array(np.add.reduceat(scores, first[:-1])),
-                    *_counted_by_text(words[rare], doc[rare], j - i), *_counted_by_text(runs, of, j - i),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "kept", "n_tokens", "n_known", "base", "score", "words", "times", "runs", "run_times"])
+        for columns, words, doc, rare in _scored(tree.value, batches):
+            yield pa.RecordBatch.from_arrays([*columns, *_counted_by_text(words[rare], doc[rare], len(columns[0]))], names=[*_OF_TEXT, "words", "times"])
+
+    return rows
+
+
+def score_and_deal(tree, bits, longest: int, buckets: int) -> Callable:
+    """Batches ``row, kept, text`` to what the tree knows of each text (kind ``RUNS``), and what each bucket has to look up: the runs of up to ``longest`` tokens that the map ``bits`` has, and the words below the share."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.log10(tree.value.base(0))
+        for columns, words, doc, rare in _scored(tree.value, batches):
+            n_texts, row = len(columns[0]), columns[0].to_numpy()
+            n_rare = np.bincount(doc[rare], minlength=n_texts)
+            columns[4], columns[5] = (pa.array(x.to_numpy() + n_rare * none) for x in columns[4:])
+            texts = pa.RecordBatch.from_arrays(columns, names=_OF_TEXT)
+            schema = pa.schema([("kind", pa.int32()), *texts.schema, ("bucket", pa.int32()), ("rows", pa.binary()), ("runs", pa.binary())])
+            yield of_kind(RUNS, texts, schema)
+            runs, of = [], []
+            for n, (hashes, inside, text) in enumerate(hashed_runs(words, doc, n_texts, longest)):
+                if n == 0:
+                    ends = np.ones(len(hashes), bool)
+                    ends[np.arange(len(words)) + doc] = ~rare
+                    inside = ~ends
+                at = np.flatnonzero(inside)
+                at = at[mapped(bits.value, hashes[at])]
+                runs.append(hashes[at]), of.append(row[text[at]])
+            for kind, hashes, rows_of in ((WEIGHTS, np.concatenate(runs), np.concatenate(of)), (WORDS, words[rare], row[doc[rare]])):
+                yield of_kind(kind, dealt(buckets, hashes, rows=rows_of, runs=hashes), schema)
 
     return rows
 
@@ -477,42 +597,45 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     probability of the tokens, which sums to 1 over all next tokens in every context. Words are told apart by 64 bits of hash.
     """
     share = docs.sparkSession.sparkContext.broadcast
-    tree = share(model.tree)
+    tree, texts = share(model.tree), _texts(docs)
     if model.weights is None:
-        return _totals(docs, _texts(docs, model, tree), model)
-    bits, every = share(map_of(model.weights)), None
+        kind = texts.schema["kept"].dataType.simpleString()
+        held = materialize(texts.mapInArrow(score_rows(tree), f"row long, kept {kind}, n_tokens long, n_known long, base double, score double, words array<long>, times array<long>"), "lm-scores")
+        each = held.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+        of_rare = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(model.tree.n_tokens + model.tree.n_distinct + 1)))
+        sums = each.join(model.rare, "word", "left").groupBy("row").agg(F.sum(F.col("times") * of_rare).alias("rare"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("seen"), F.lit(0.0).alias("gained"))
+        return _totals(docs, held, sums, model)
+    bits, every = share(map_of(model.weights.filter(F.col("kind") == WEIGHTS))), None
     with shuffles_once(docs.sparkSession):
         for k in range(PARTS):
-            held = _texts(docs.filter(F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(PARTS)) == k), model, tree, bits)
-            part = materialize(_totals(docs, held, model), "lm-totals")
+            part = texts.filter(F.pmod(F.xxhash64("text"), F.lit(PARTS)) == k)
+            part, held = _looked_up(docs, part, model, tree, bits)
+            part = materialize(part, "lm-totals")
             discard(held)
             every = part if every is None else every.unionByName(part)
     return every
 
 
-def _texts(docs: DataFrame, model: Model, tree, bits=None) -> DataFrame:
-    """What the tree's part that is broadcast knows of each text, and what is left to joins; written once."""
+def _texts(docs: DataFrame) -> DataFrame:
     rest = [c for c in docs.columns if c.lower() not in ("text", *RESULTS)]
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(1).alias(private(docs, "one"))).alias("kept"), F.col("text").cast("string").alias("text"))
-    kind = rows.schema["kept"].dataType.simpleString()
-    schema = f"row long, kept {kind}, n_tokens long, n_known long, base double, score double, words array<long>, times array<long>, runs array<long>, run_times array<long>"
-    return materialize(rows.mapInArrow(score_rows(tree, bits, model.longest), schema), "lm-scores")
-
-
-def _totals(docs: DataFrame, held: DataFrame, model: Model) -> DataFrame:
-    tree, rest = model.tree, [c for c in docs.columns if c.lower() not in ("text", *RESULTS)]
-    each = held.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    of_rare = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(tree.n_tokens + tree.n_distinct + 1)))
-    sums = each.join(model.rare, "word", "left").groupBy("row").agg(F.sum(F.col("times") * of_rare).alias("rare"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("seen"))
-    total = held.drop("words", "times", "runs", "run_times").join(sums, "row", "left").withColumn("gained", F.lit(0.0))
-    if model.weights is not None:
-        n = buckets_for(docs)
-        lookups = held.select("row", "runs", "run_times").mapInArrow(dealt_lookups(n), "bucket int, rows binary, runs binary, times binary").groupBy("bucket")
-        weights = model.weights.mapInArrow(dealt_weights(n), "bucket int, runs binary, weights binary").groupBy("bucket")
-        gained = lookups.cogroup(weights).applyInArrow(looked_up, "row long, gained double").groupBy("row").agg(F.sum("gained").alias("gained"))
-        total = total.drop("gained").join(gained, "row", "left")
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(1).alias(private(docs, "one"))).alias("kept"), F.col("text").cast("string").alias("text"))
+
+
+def _looked_up(docs: DataFrame, texts: DataFrame, model: Model, tree, bits) -> tuple[DataFrame, DataFrame]:
+    """The totals of texts by a tree in tables, and the table that they read: texts and lookups, written once."""
+    n, kind = buckets_for(docs), texts.schema["kept"].dataType.simpleString()
+    schema = f"kind int, row long, kept {kind}, n_tokens long, n_known long, base double, score double, bucket int, rows binary, runs binary"
+    held = materialize(texts.mapInArrow(score_and_deal(tree, bits, model.longest, n), schema), "lm-scores")
+    lookups = held.filter(F.col("kind") != RUNS).select("kind", "bucket", "rows", "runs").groupBy("bucket")
+    found = lookups.cogroup(model.weights.select("kind", "bucket", "run", "p").groupBy("bucket")).applyInArrow(looked_up(n // 4), "bucket int, row binary, gained binary, rare binary, seen binary")
+    sums = found.groupBy("bucket").applyInArrow(summed_gains, "row long, gained double, rare double, seen long")
+    return _totals(docs, held.filter(F.col("kind") == RUNS).select(*_OF_TEXT), sums, model), held
+
+
+def _totals(docs: DataFrame, held: DataFrame, sums: DataFrame, model: Model) -> DataFrame:
+    total, rest = held.join(sums, "row", "left"), [c for c in docs.columns if c.lower() not in ("text", *RESULTS)]
     rare = F.coalesce("rare", F.lit(0.0))
-    made = [F.col("n_tokens"), (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(tree.n_tokens).cast("long").alias("train_tokens"), (F.col("base") + rare).alias("base_score"), (F.col("score") + rare + F.coalesce("gained", F.lit(0.0))).alias("score")]
+    made = [F.col("n_tokens"), (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(model.tree.n_tokens).cast("long").alias("train_tokens"), (F.col("base") + rare).alias("base_score"), (F.col("score") + rare + F.coalesce("gained", F.lit(0.0))).alias("score")]
     return total.select(*(F.col("kept").getField(c).alias(c) for c in rest), *made)
 
 
