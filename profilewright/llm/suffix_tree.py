@@ -38,7 +38,9 @@ MAP_BITS = 27
 #: Pieces of that map, by the first bits of a hash, that are put together apart.
 MAP_PIECES = 256
 #: Parts of the texts, by their hash, that are scored one after another where levels are tables: the lookups of all texts are never on disk at once.
-PARTS = 5
+PARTS = 7
+#: Learned tokens whose runs a bucket has, about; a task has a few in memory.
+BUCKET = 1 << 19
 #: Tokens whose counts a task holds before it sends them on.
 FLUSH = 1 << 22
 
@@ -82,7 +84,7 @@ class Level:
     """Runs of n tokens, by the place of their first n - 1 in the level before and their last token. ``p`` is the last one's probability in the longest suffix of the others that stayed."""
 
     keys: np.ndarray
-    counts: np.ndarray
+    counts: np.ndarray | None
     p: np.ndarray | None = None
     suffix: np.ndarray | None = None
     #: log10 of what a run leaves to its suffix when it is a context that stayed, else 0.
@@ -101,6 +103,11 @@ class Tree:
     def base(self, counts) -> np.ndarray:
         return (np.asarray(counts, float) + 1) / (self.n_tokens + self.n_distinct + 1)
 
+    def sent(self, scores: bool) -> Tree:
+        """What tasks need of it to find runs, and to score."""
+        levels = [Level(x.keys, x.counts if scores and not n else None, *((x.p, None, x.left) if scores else ())) for n, x in enumerate(self.levels)]
+        return Tree(self.n_tokens, self.n_distinct, levels)
+
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         """Add the next level, and decide which runs of the level before stay as contexts."""
         order = np.argsort(keys)
@@ -228,9 +235,9 @@ def mapped(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def buckets_for(df: DataFrame) -> int:
-    """Buckets over which arrays of runs are dealt: a few a task, so that a task holds a part of its share at once."""
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def buckets_for(n_tokens: int) -> int:
+    """Buckets over which arrays of runs are dealt: one for ``BUCKET`` learned tokens, however many tasks there are; so a share of a bucket has many runs."""
+    return max(16, -(-n_tokens // BUCKET))
 
 
 def dealt(buckets: int, hashes: np.ndarray, /, **columns: np.ndarray) -> pa.RecordBatch:
@@ -377,8 +384,10 @@ def count_long_runs(level: int, bits, buckets: int) -> Callable:
 
     def counted(held: list) -> pa.RecordBatch:
         context, suffix = (np.concatenate(x) for x in zip(*held, strict=True))
-        runs, at, n = np.unique(joined(context, suffix), return_index=True, return_counts=True)
-        return dealt(buckets, runs, context=context[at], suffix=suffix[at], n=n.astype(np.int32))
+        order = np.argsort(runs := joined(context, suffix))
+        first = np.flatnonzero(first_of_runs(runs := runs[order]))
+        at, n = order[first], np.diff(np.append(first, len(runs)))
+        return dealt(buckets, runs[first], context=context[at], suffix=suffix[at], n=n.astype(np.int32))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held = Hasher(_SEED), []
@@ -411,7 +420,7 @@ def run_weights(docs: DataFrame, counts: DataFrame, common: Column, tree: Tree,
     A run that was learned twice has a context and a suffix that were, so a level sends only runs of those, as far as a map can
     tell. What a step leaves behind, tables and shuffles, goes before the next one.
     """
-    share, n, by = docs.sparkSession.sparkContext.broadcast, buckets_for(docs), "bucket"
+    share, n, by = docs.sparkSession.sparkContext.broadcast, buckets_for(tree.n_tokens), "bucket"
     before = materialize(counts.filter(F.col("n") >= LEAST).select("word", "n").mapInArrow(dealt_words(n, tree, RUNS), _LEVEL_SQL), "lm-level")
     parts = [materialize(counts.filter(~common).select("word", "n").mapInArrow(dealt_words(n, tree, WORDS), _LEVEL_SQL), "lm-part")]
     for level in range(2, depth + 2):
@@ -496,15 +505,20 @@ def fit(docs: DataFrame, depth: int = DEPTH, share: float | None = None) -> Mode
     if not whole or n_distinct <= HELD:
         least = 0.0 if whole else share * n_tokens
         tree, common = words(least)
-        coded = materialize(docs.select("text").mapInArrow(coded_texts(spark.sparkContext.broadcast(tree.levels[0].keys)), "ids array<int>"), "lm-ids")
-        for _ in range(depth):
-            runs = coded.mapInArrow(count_runs(spark.sparkContext.broadcast(tree)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-            runs = runs.filter(F.col("n") >= max(float(LEAST), least))
-            found = (runs.limit(HELD + 1) if whole else runs).toArrow()
-            if whole and len(found) > HELD:
-                break
-            tree.add(np.asarray(found["key"]), np.asarray(found["n"]))
-        else:
+        send = spark.sparkContext.broadcast
+        with shuffles_once(spark):
+            coded = materialize(docs.select("text").mapInArrow(coded_texts(sent := send(tree.levels[0].keys)), "ids array<int>"), "lm-ids")
+            sent.destroy()
+            for _ in range(depth):
+                runs = coded.mapInArrow(count_runs(sent := send(tree.sent(scores=False))), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+                runs = runs.filter(F.col("n") >= max(float(LEAST), least))
+                found = (runs.limit(HELD + 1) if whole else runs).toArrow()
+                sent.destroy()
+                if whole and len(found) > HELD:
+                    break
+                tree.add(np.asarray(found["key"]), np.asarray(found["n"]))
+        discard(coded)
+        if len(tree.levels) > depth:
             return Model(tree, counts.filter(~common))
     tree, common = words(SHARE * n_tokens)
     with shuffles_once(spark):
@@ -597,7 +611,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     probability of the tokens, which sums to 1 over all next tokens in every context. Words are told apart by 64 bits of hash.
     """
     share = docs.sparkSession.sparkContext.broadcast
-    tree, texts = share(model.tree), _texts(docs)
+    tree, texts = share(model.tree.sent(scores=True)), _texts(docs)
     if model.weights is None:
         kind = texts.schema["kept"].dataType.simpleString()
         held = materialize(texts.mapInArrow(score_rows(tree), f"row long, kept {kind}, n_tokens long, n_known long, base double, score double, words array<long>, times array<long>"), "lm-scores")
@@ -623,11 +637,11 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _looked_up(docs: DataFrame, texts: DataFrame, model: Model, tree, bits) -> tuple[DataFrame, DataFrame]:
     """The totals of texts by a tree in tables, and the table that they read: texts and lookups, written once."""
-    n, kind = buckets_for(docs), texts.schema["kept"].dataType.simpleString()
+    n, kind = buckets_for(model.tree.n_tokens), texts.schema["kept"].dataType.simpleString()
     schema = f"kind int, row long, kept {kind}, n_tokens long, n_known long, base double, score double, bucket int, rows binary, runs binary"
     held = materialize(texts.mapInArrow(score_and_deal(tree, bits, model.longest, n), schema), "lm-scores")
     lookups = held.filter(F.col("kind") != RUNS).select("kind", "bucket", "rows", "runs").groupBy("bucket")
-    found = lookups.cogroup(model.weights.select("kind", "bucket", "run", "p").groupBy("bucket")).applyInArrow(looked_up(n // 4), "bucket int, row binary, gained binary, rare binary, seen binary")
+    found = lookups.cogroup(model.weights.select("kind", "bucket", "run", "p").groupBy("bucket")).applyInArrow(looked_up(n), "bucket int, row binary, gained binary, rare binary, seen binary")
     sums = found.groupBy("bucket").applyInArrow(summed_gains, "row long, gained double, rare double, seen long")
     return _totals(docs, held.filter(F.col("kind") == RUNS).select(*_OF_TEXT), sums, model), held
 

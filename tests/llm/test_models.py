@@ -130,6 +130,16 @@ def test_what_a_step_of_a_large_tree_leaves_on_disk_goes(spark, monkeypatch):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
 
 
+def test_weights_of_a_large_tree_are_a_few_arrays(spark, monkeypatch):
+    """However many runs have weights, they are a row a bucket and kind; buckets follow the learned tokens and not the tasks, and of a tree that is broadcast a step has what it needs."""
+    monkeypatch.setattr(suffix_tree, "HELD", 10)
+    model = suffix_tree.fit(docs_of(spark, [(i, t) for i, t in enumerate(TEXTS + [LONG, LONG])]))
+    assert suffix_tree.buckets_for(model.tree.n_tokens) == 16 and suffix_tree.buckets_for(100 * suffix_tree.BUCKET) == 100
+    rows = model.weights.collect()
+    assert 0 < len(rows) <= 2 * 16 and sum(len(r["run"]) for r in rows) > 8 * 100
+    assert [x.counts is None for x in model.tree.sent(scores=False).levels] == [True]
+
+
 def test_probabilities_of_all_next_tokens_sum_to_one(spark):
     texts = [r[1] for r in corpus(3)] + ["sea shells by the sea shore"] * 9
     tree = suffix_tree.fit(docs_of(spark, list(enumerate(texts)))).tree
